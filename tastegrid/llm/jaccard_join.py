@@ -260,3 +260,16 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     named = classes.join(joined, F.col("node") == F.col("_node"), "left").select(F.col("key").alias("_key"), F.coalesce("component", "node").alias("component"))
     out = sets.select("doc_id", "key", F.col("size").alias("n_shingles")).join(named, F.col("key") == F.col("_key"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group, that with the least doc_id. Rows with a null doc_id stay; of rows
+    that share a doc_id one stays."""
+    labels = written(groups(docs, n, percent).select("doc_id", "component_id"), "groups")
+    dropped = labels.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    rest = docs.join(_bounded(dropped), F.col("doc_id") == F.col("_id"), "left_anti")
+    repeated = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
+    if repeated.isEmpty():
+        return rest
+    single = rest.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti")
+    return single.unionByName(rest.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))

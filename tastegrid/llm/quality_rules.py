@@ -2,7 +2,8 @@
 
 Lines are normalised (lower case, white space to one space, trimmed) and hashed. For every host and line the
 distinct documents are counted; exact copies of a text are one document. A line in more than the limit of its
-host is boilerplate and is removed. A document that is left with less than min_left of its words is depleted
+host is boilerplate and is removed from all but the document with the least doc_id, so one copy of every line
+stays. A document that is left with less than min_left of its words is depleted
 and rejected, as is one that fails the base rules. DataFrame functions only.
 
 Cases: a null text counts as no text: all counts 0, base_failed true; a null host is a host of its own; a
@@ -51,8 +52,10 @@ def text_counts(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumn("_words", words(F.col("text"))).withColumn("_grams", _windows(F.col("_words"))).withColumn("_lines", lines)
     repeats = F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), _covered(F.col("_grams"))).otherwise(0)
+    # a value that Spark holds for indeterminate is not copied into filters above, which would count every word again
+    as_counted = F.monotonically_increasing_id() >= 0
     out = out.withColumns({
-        "n_words": F.size("_words").cast("long"),
+        "n_words": F.when(as_counted, F.size("_words")).cast("long"),
         "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
@@ -70,19 +73,20 @@ def _lines(docs: DataFrame, host: str) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", min_documents: int = MIN_LINE_DOCUMENTS, share: float = LINE_DOCUMENT_SHARE) -> DataFrame:
-    """(host, line hash, n_documents) of the lines above their host's limit. Each step is summed before its shuffle."""
+    """(host, line hash, n_documents, first doc_id) of the lines above their host's limit. Each step is summed before
+    its shuffle."""
     lines = _lines(docs, host)
-    once = lines.groupBy("_host", "_line", "_document").agg(F.lit(1).alias("_one"))
-    counts = once.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("n_documents")).filter(F.col("n_documents") > min_documents)
+    once = lines.groupBy("_host", "_line", "_document").agg(F.min("doc_id").alias("_first"))
+    counts = once.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("n_documents"), F.min("_first").alias("first")).filter(F.col("n_documents") > min_documents)
     hosts = docs.select(F.col(host).alias("_in"), F.xxhash64("text").alias("_document")).distinct().groupBy("_in").agg(F.count(F.lit(1)).alias("_of"))
-    return counts.join(hosts, F.col("_host").eqNullSafe(F.col("_in"))).filter(F.col("n_documents") > F.col("_of") * share).select("_host", "_line", "n_documents")
+    return counts.join(hosts, F.col("_host").eqNullSafe(F.col("_in"))).filter(F.col("n_documents") > F.col("_of") * share).select("_host", "_line", "n_documents", "first")
 
 
 def judged(docs: DataFrame, host: str = "source", min_left: float = MIN_LEFT, **limits) -> DataFrame:
     """text_counts with n_removed_words and kept. The lines above the limits are few (each stands for more than
     min_documents documents); Spark broadcasts them where they are small and joins by shuffle where not."""
-    frequent = frequent_lines(docs, host, **limits).select(F.col("_host").alias("_h"), F.col("_line").alias("_l"))
-    hits = _lines(docs, host).join(frequent, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_line") == F.col("_l")), "left_semi")
+    frequent = frequent_lines(docs, host, **limits).select(F.col("_host").alias("_h"), F.col("_line").alias("_l"), "first")
+    hits = _lines(docs, host).join(frequent, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_line") == F.col("_l")) & ~F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     # per distinct (doc_id, text): repeated rows of one document add up their words as often as they stand
     removed = hits.groupBy(F.col("doc_id").alias("_id"), F.col("_document").alias("_doc")).agg(F.sum("_n").alias("_removed"))
     rows = docs.groupBy(F.col("doc_id").alias("_id2"), F.xxhash64("text").alias("_doc2")).agg(F.count(F.lit(1)).alias("_times")).filter(F.col("_times") > 1)
