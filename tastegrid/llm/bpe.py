@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 #: Characters of a text window and of a word that the memo takes; entries of the memo; symbols merged at once.
 WINDOW_CHARS = 1 << 16
 MEMO_WORD = 64
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 400_000
 BLOCK = 1 << 12
 #: Characters of text that one Arrow batch of results stands for.
 BATCH_CHARS = 4_000_000
@@ -90,6 +90,7 @@ class Merges:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {p: i for i, p in enumerate(pairs)}
         self.vocab: dict[str, int] = model["vocab"]
+        self.packed = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         made: dict[str, int] = {}
         for i, (u, v) in enumerate(pairs):
@@ -102,22 +103,21 @@ class Merges:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """symbols after all merges, lowest rank first."""
-        ranks = self.ranks
-        if len(symbols) > 40:
+        if len(symbols) > 100:
             return self._merged_long(symbols)
-        while len(symbols) > 1:
-            best = min((ranks.get(p, 1 << 60) for p in zip(symbols, symbols[1:], strict=False)))
-            if best == 1 << 60:
-                return symbols
-            out, i, n = [], 0, len(symbols)
-            while i < n:
-                if i + 1 < n and ranks.get((symbols[i], symbols[i + 1])) == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+        get, never = self.ranks.get, len(self.ranks)
+        due = [get(p, never) for p in zip(symbols, symbols[1:], strict=False)]
+        while due:
+            best = min(due)
+            if best == never:
+                break
+            i = due.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del due[i]
+            if i:
+                due[i - 1] = get((symbols[i - 1], symbols[i]), never)
+            if i < len(due):
+                due[i] = get((symbols[i], symbols[i + 1]), never)
         return symbols
 
     def _merged_long(self, symbols: list[str]) -> list[str]:
@@ -168,15 +168,17 @@ class WordTransducer:
 
 
 class Memo(dict):
-    """word -> its ids as little-endian int32 bytes; emptied when full."""
+    """word -> its ids as little-endian int32 bytes. A full memo becomes the old one, from which words that come
+    again are taken over: what is common stays, and two generations bound the memory."""
 
     def __init__(self, encoder: Encoder) -> None:
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = b"".join(self.encoder.word_ids([word]))
+        found = self.old.get(word) or self.encoder.word_ids(word)
         if len(word) <= MEMO_WORD:
             if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -191,6 +193,9 @@ class Encoder:
         self.merges = Merges(spec)
         # a contraction begins with no letter, so it does not matter that letters are tried first
         self.words = re.compile(f"[{letters}]+|{CONTRACTIONS}|[{numbers}]|[^{WHITE}{letters}{numbers}]+")
+        # the same for texts of Latin-1, whose classes are small and quick to look up
+        few = ["".join(f"\\x{c:02x}" for c in range(256) if re.match(f"[{x}]", chr(c))) for x in (letters, numbers, WHITE)]
+        self.latin_words = re.compile(f"[{few[0]}]+|{CONTRACTIONS}|[{few[1]}]|[^{few[2]}{few[0]}{few[1]}]+")
         self.kinds = [re.compile(f"[{letters}]+"), None, re.compile(f"[^{WHITE}{letters}{numbers}]+")]
         self.letter = re.compile(f"[{letters}]")
         self.number = re.compile(f"[{numbers}]")
@@ -205,12 +210,9 @@ class Encoder:
     def word_symbols(self, word: str) -> list[str]:
         return [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
 
-    def word_ids(self, pieces: Iterable[str]) -> Iterator[bytes]:
-        vocab, word = self.merges.vocab, WordTransducer(self.merges)
-        pack = lambda tokens: np.array([vocab[t] for t in tokens], dtype="<i4").tobytes()
-        for piece in pieces:
-            yield pack(word.feed(self.word_symbols(piece)))
-        yield pack(word.finish())
+    def word_ids(self, word: str) -> bytes:
+        machine = WordTransducer(self.merges)
+        return self._pack(machine.feed(self.word_symbols(word)) + machine.finish())
 
     @staticmethod
     def normal(text: str) -> str:
@@ -240,7 +242,9 @@ class Encoder:
     def _plain(self, text: str) -> Iterator[bytes]:
         """ids of a text without special tokens, a window at a time; a word open at a window's end goes on."""
         if len(text) <= WINDOW_CHARS:
-            yield b"".join(map(self.memo.__getitem__, self.words.findall(self.normal(text))))
+            text = self.normal(text)
+            words = self.latin_words if text.isascii() or max(text) < "\u0100" else self.words
+            yield b"".join(map(self.memo.__getitem__, words.findall(text)))
             return
         held, word, kind = "", None, 0
         for window in self._windows(text):
@@ -281,7 +285,7 @@ class Encoder:
             yield b"".join(map(self.memo.__getitem__, self.words.findall(held)))
 
     def _pack(self, tokens: list[str]) -> bytes:
-        return np.array([self.merges.vocab[t] for t in tokens], dtype="<i4").tobytes()
+        return b"".join(map(self.merges.packed.__getitem__, tokens))
 
     def encode(self, text: str | None) -> Iterator[bytes]:
         """The ids of a text as little-endian int32, in pieces."""
