@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..registry import QUERIES
+from . import aggregates, filters, joins
+
+MODULES = (aggregates, filters, joins)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
+    return QUERIES["session_context"](spark, sf_dir)
