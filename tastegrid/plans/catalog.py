@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..registry import QUERIES
-from . import aggregates, filters, joins, upserts, windows
+from . import aggregates, filters, joins, scalars, upserts, windows
 
-MODULES = (aggregates, filters, joins, upserts, windows)
+MODULES = (aggregates, filters, joins, scalars, upserts, windows)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
