@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..registry import QUERIES
-from . import aggregates, filters, joins, scalars, upserts, windows
+from . import aggregates, filters, joins, models, scalars, upserts, windows
 
-MODULES = (aggregates, filters, joins, scalars, upserts, windows)
+MODULES = (aggregates, filters, joins, models, scalars, upserts, windows)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["session_context"](spark, sf_dir)
+    return QUERIES["rank_scores"](spark, sf_dir)
