@@ -17,8 +17,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,7 +30,7 @@ BITS = 64
 WIDE, NARROW, WIDE_FROM = 16, 8, 4096
 K = 10
 #: Radii of the first step, and the last radius that is taken for all segments at once.
-FIRST_RADIUS, JOINT_RADIUS = 2, 3
+FIRST_RADIUS, JOINT_RADIUS = 1, 3
 SALTS = 64
 
 
@@ -64,16 +62,13 @@ def _least(rows: DataFrame, by: list[str], order: list[Column], k: int, salt: Co
     return rows.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k)
 
 
-def _masks(r: int, width: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(width), r)]
-
-
 def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """codes (id, code), queries (id, code): a row per query and rank with query_id, rank, neighbour_id, distance."""
     entries = _least(codes, ["code"], [F.col("id")], k, F.pmod(F.xxhash64("id"), F.lit(SALTS))).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     entries = written(entries, "codes")
     width = WIDE if entries.count() >= WIDE_FROM else NARROW
     n_segments = BITS // width
+    parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.expr(f"shiftrightunsigned(code, segment * {width}) & {(1 << width) - 1}").alias("key")
     segments = lambda numbers: F.explode(F.array(*map(F.lit, numbers))).alias("segment")
     index = written(entries.select("code", segments(range(n_segments))).select("segment", key, "code"), "segments")
@@ -83,12 +78,15 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     steps = [(range(FIRST_RADIUS + 1), every)] + [((r,), every) for r in range(FIRST_RADIUS + 1, JOINT_RADIUS + 1)] + [((r,), (s,)) for r in range(JOINT_RADIUS + 1, width + 1) for s in every]
     found = []
     for radii, numbers in steps:
-        flips = F.explode(F.array(*[F.lit(m).cast("long") for r in radii for m in _masks(r, width)])).alias("mask")
+        bits = np.bitwise_count(np.arange(1 << width))
+        masks = ", ".join(f"{m}L" for m in np.flatnonzero((bits >= min(radii)) & (bits <= max(radii))))
+        flips = F.expr(f"explode(array({masks}))").alias("mask")
         limit = F.when(F.size("best") >= k, F.get("best", k - 1)["distance"]).otherwise(BITS).alias("limit")
-        probes = waiting.select(F.col("code").alias("query"), "code", limit, segments(numbers)).select("query", "limit", "segment", key, flips)
+        # Spark's size estimate knows nothing of the flips: spread the queries, and join by shuffle
+        probes = waiting.repartition(parts, "code").select(F.col("code").alias("query"), "code", limit, segments(numbers)).select("query", "limit", "segment", key, flips)
         sought = probes.select("query", "limit", F.col("segment").alias("_s"), F.expr("key ^ mask").alias("_k"))
         near = (F.col("_s") == F.col("segment")) & (F.col("_k") == F.col("key")) & (F.bit_count(F.col("query").bitwiseXOR(F.col("code"))) <= F.col("limit"))
-        hits = sought.join(index, near).select("query", "code").distinct()
+        hits = sought.hint("merge").join(index, near).select("query", "code").distinct()
         rated = hits.join(entries, "code").select("query", F.expr("bit_count(query ^ code)").alias("distance"), F.explode("ids").alias("id"))
         before = waiting.select(F.col("code").alias("query"), F.inline("best"))
         top = _least(rated.unionByName(before).distinct(), ["query"], [F.col("distance"), F.col("id")], k)
