@@ -20,8 +20,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = written(mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"), "sizes")
-    first = F.get("copies", 0)
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"), first["shard"].alias("first_shard"))
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
