@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..registry import QUERIES
-from . import aggregates, filters, joins, models, scalars, upserts, windows
+from . import aggregates, extras, filters, joins, models, scalars, upserts, windows
 
-MODULES = (aggregates, filters, joins, models, scalars, upserts, windows)
+MODULES = (aggregates, extras, filters, joins, models, scalars, upserts, windows)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

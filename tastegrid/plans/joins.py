@@ -130,9 +130,9 @@ def migrations(spark, sf_dir):
     return table(spark, sf_dir, "part").join(F.broadcast(m), F.col("p_brand").startswith(F.col("affects")) & (F.col("p_size") < F.col("version")) & (F.col("version") <= 40)).select("p_partkey", "version")
 
 
-@query("pending_shoots", """WITH p AS (SELECT user_id, max(event_id) AS predicted FROM events WHERE event_type = 'view' GROUP BY 1), l AS (SELECT user_id, max(event_id) AS learned FROM events WHERE event_type = 'purchase' GROUP BY 1)
+@query("pending_sessions", """WITH p AS (SELECT user_id, max(event_id) AS predicted FROM events WHERE event_type = 'view' GROUP BY 1), l AS (SELECT user_id, max(event_id) AS learned FROM events WHERE event_type = 'purchase' GROUP BY 1)
   SELECT p.user_id, predicted FROM p LEFT JOIN l USING (user_id) WHERE learned IS NULL OR predicted > learned""")
-def pending_shoots(spark, sf_dir):
+def pending_sessions(spark, sf_dir):
     """Sessions never learned from, or predicted again since."""
     e = table(spark, sf_dir, "events")
     p = e.filter("event_type = 'view'").groupBy("user_id").agg(F.max("event_id").alias("predicted"))

@@ -27,7 +27,7 @@ def lenient(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def dataset(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, dict]:
     """(rows, meta) of a dataset whose last line is its meta row; one without is refused."""
-    lines = strict(spark, path, StructType(list(schema.fields)).add("_type", "string").add("model", "string").add("dim", "int"))
+    lines = strict(spark, path, StructType(list(schema.fields)).add("_type", "string").add("model", "string").add("dim", "integer"))
     meta = lines.filter(F.col("_type") == META).select("model", "dim").limit(2).collect()
     if len(meta) != 1:
         raise BadDataset(f"{path} has {len(meta)} meta rows")
