@@ -21,7 +21,8 @@ def strict(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def lenient(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Lines that do not parse are dropped."""
     marked = StructType(list(schema.fields)).add("_bad", "string")
-    lines = spark.read.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", marked, options).alias("row")).select("row.*")
     return lines.filter(F.col("_bad").isNull()).drop("_bad")
 
 
