@@ -1,15 +1,18 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the groups that its links make.
 
-A document is the set of its hashed word n-grams. Equal sets are one class and one node. Every set is ordered by
-hash; two sets with a similarity of at least t share a token in their prefixes of n - ceil(t * n) + 1 tokens, and
+A document is the set of its hashed word n-grams. Equal sets are one class and one node. Every set is ordered
+from rare to frequent tokens, as a table of fixed size counts them over all documents, and by hash; any one order
+gives the same links, this one keeps passages that many documents share out of the prefixes. Two sets with a similarity of at least t share a token in their prefixes of n - ceil(t * n) + 1 tokens, and
 at least m in prefixes that are m - 1 tokens longer. Nodes that share a prefix token belong to the family of the
 token's least node, and candidates are sought within families. The more partners a node's families hold, the
-longer its prefix and the more prefix tokens it must share: a pair must share the lesser of its two demands.
+longer its prefix and the more prefix tokens it must share: a pair must share the lesser of its two demands. A
+node of few partners, whose prefix is the plain one, sends only the tokens of it that another node has.
 
 A family is cut into blocks by length (similar sets lie in one or two neighbouring length classes) and hash, of
 about BLOCK nodes, and every pair of blocks is a group of its own: no group grows with its family. A pair of
-blocks counts shared tokens by a matrix product, first over prefixes, which leaves few nodes, then over the
-whole sets of these, recomputed from their texts. It gives the links that join its nodes, not all pairs.
+blocks is first held against what its nodes can share at most, by sizes and numbers of shared tokens alone; then
+it counts shared tokens by a matrix product, over prefixes, which leaves few nodes, and over the whole sets of
+these, recomputed from their texts. It gives the links that join its nodes, not all pairs.
 
 Cases: a null or empty text, or one without words, has the empty set and is linked with nothing; fewer words
 than n are one shingle; rows that share a doc_id are one node of the groups; rows with a null doc_id get a null
@@ -27,30 +30,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import modest_batches, written
 from .components import components
 from .shingles import shingle_sets, text_blocks
 
 #: Nodes of a block, and the most nodes whose ids are broadcast to find their texts; more are joined by shuffle.
 BLOCK = 256
 BROADCAST_ROWS = 500_000
+#: Counters of the frequency table, and the parts it is summed in.
+COUNTERS, SLICES = 1 << 20, 64
 #: Tokens stored beyond the plain prefix: a share of it and a few more.
-LONGER, MORE = 0.5, 4
+LONGER, MORE = 0.25, 4
+#: Partners up to which a node's prefix is the plain one; each doubling demands one more shared token.
+CHEAP = 512
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def token_counts(docs: DataFrame, n: int) -> np.ndarray:
+    """How many documents hold the tokens of each counter; a counter stands for all tokens with its low bits."""
+    width = COUNTERS // SLICES
+
+    def count(batches):
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for _, _, texts in text_blocks(batch.column(0)):
+                total += np.bincount(np.concatenate(shingle_sets(texts, n)) & (COUNTERS - 1), minlength=COUNTERS)
+        yield _slices({i: total[i * width : (i + 1) * width] for i in range(SLICES)})
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(raw, dtype=np.int64)
+                sums[i] = sums[i] + part if i in sums else part
+        yield _slices(sums)
+
+    kind = "slice int, counts binary"
+    parts = modest_batches(docs).select("text").mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    for row in parts:
+        out[row["slice"] * width : (row["slice"] + 1) * width] += np.frombuffer(row["counts"], dtype=np.int64)
+    return out
+
+
+def _slices(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([v.tobytes() for v in parts.values()], pa.binary())], names=["slice", "counts"])
+
+
+def ordered_tokens(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Tokens as numbers in their order: the class of their frequency, then 52 bits of the hash."""
+    return np.sort((classes[tokens & (COUNTERS - 1)] << 52) | ((tokens >> 12) & ((1 << 52) - 1)))
+
+
 def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, key, size, prefix): a digest of the set, its size, its least tokens up to the longest prefix."""
+    """(doc_id, key, size, prefix): a digest of the set, its size, its first tokens up to the longest prefix."""
+    counts = token_counts(docs, n)
+    frequency = docs.sparkSession.sparkContext.broadcast(np.floor(16 * np.log2(1.0 + counts)).astype(np.int64))
 
     def run(batches):
         for batch in batches:
             for lo, hi, texts in text_blocks(batch.column(1)):
                 sets = shingle_sets(texts, n)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                cut = [s[: int(prefix_length(len(s), percent) * (1 + LONGER)) + MORE] if len(s) else s for s in sets]
+                cut = [ordered_tokens(s, frequency.value)[: int(prefix_length(len(s), percent) * (1 + LONGER)) + MORE] if len(s) else s for s in sets]
                 ends = np.concatenate(([0], np.cumsum([len(c) for c in cut])))
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cut)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), prefix], names=["doc_id", "key", "size", "prefix"])
@@ -63,12 +108,17 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
-def _families(nodes: DataFrame, percent: int) -> DataFrame:
-    """(family, node, size): nodes that share a token of their plain prefixes, under the token's least node."""
-    plain = F.slice("prefix", F.lit(1), (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int"))
-    tokens = nodes.select("node", "size", F.explode(plain).alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("family"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("token").alias("_token"), "family")
-    return tokens.join(shared, F.col("token") == F.col("_token")).select("family", "node", "size").distinct()
+def _plain(percent: int):
+    return (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int")
+
+
+def _shared_tokens(nodes: DataFrame, percent: int) -> DataFrame:
+    """(family, node, size, token): the tokens of plain prefixes that another node's has too, under the token's
+    least node as family. Counted before the join back, so that a frequent token is many rows of a join that can
+    be split, not a group."""
+    tokens = nodes.select("node", "size", F.explode(F.slice("prefix", F.lit(1), _plain(percent))).alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("node").alias("family"), F.max("node").alias("_last")).filter("family < _last").select(F.col("token").alias("_token"), "family")
+    return tokens.join(shared, F.col("token") == F.col("_token")).select("family", "node", "size", "token")
 
 
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
@@ -76,13 +126,17 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
     # a little wider than the ratio, so that rounding never parts similar sizes by two classes
     width = math.log(100 / percent) * (1 + 1e-6)
     classed = members.withColumn("_class", F.floor(F.log(F.col("size").cast("double")) / width).cast("int"))
-    counts = classed.groupBy(F.col("family").alias("_f"), F.col("_class").alias("_c")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts"))
+    counts = classed.groupBy(F.col("family").alias("_f"), F.col("_class").alias("_c")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / BLOCK).cast("int"))
     around = counts.select("_f", F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_at"), "_c", "_parts")
     near = around.groupBy("_f", "_at").agg(
         F.max(F.when(F.col("_c") == F.col("_at") - 1, F.col("_parts"))).alias("_below"),
         F.max(F.when(F.col("_c") == F.col("_at"), F.col("_parts"))).alias("_own"),
         F.max(F.when(F.col("_c") == F.col("_at") + 1, F.col("_parts"))).alias("_above"),
     )
+    counted = counts.select(F.col("_f").alias("_f2"), F.col("_c").alias("_c2"), "_n")
+    near = near.join(counted, (F.col("_f") == F.col("_f2")) & (F.col("_at") == F.col("_c2")))
+    # a node with no other of a similar length in the family has no partner there
+    near = near.filter((F.col("_n") > 1) | F.col("_below").isNotNull() | F.col("_above").isNotNull()).drop("_f2", "_c2", "_n")
     dealt = classed.join(near, (F.col("family") == F.col("_f")) & (F.col("_class") == F.col("_at"))).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_own")).cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     name = lambda c, a, d, b: F.struct(F.col("family").alias("family"), c.alias("c"), a.alias("a"), d.alias("d"), b.alias("b"))
@@ -93,9 +147,12 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
     return dealt.select(*members.columns, F.inline(F.concat(same, below, above)))
 
 
-def _grouped(dealt: DataFrame, columns: list[str]) -> DataFrame:
+def _paired(dealt: DataFrame, columns: list[str]) -> DataFrame:
+    return dealt.select(F.xxhash64("pair.family", "pair.c", "pair.a", "pair.d", "pair.b").alias("pair"), "side", *columns)
+
+
+def _grouped(keyed: DataFrame) -> DataFrame:
     """Rows of a pair of blocks side by side in one task, in an order of their own."""
-    keyed = dealt.select(F.xxhash64("pair.family", "pair.c", "pair.a", "pair.d", "pair.b").alias("pair"), "side", *columns)
     return keyed.repartition("pair").sortWithinPartitions("pair", "node")
 
 
@@ -151,24 +208,25 @@ def _lists(column) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _plausible(percent: int):
-    """Nodes of a group that share enough of their prefixes with another one."""
+def _plausible(percent: int, by_tokens: bool):
+    """Nodes of a group that share enough of their prefixes with another one; without tokens, that can share it
+    by the numbers of tokens (most) that any other node has too."""
 
     def run(batches):
         for group in _runs(batches):
             side, node, size = (np.asarray(group[c]) for c in ("side", "node", "size"))
             if len(node) < 2:
                 continue
-            demand = np.asarray(group["demand"])
-            plain = size - -(-percent * size // 100) + 1
-            prefixes = [p[:k] for p, k in zip(_lists(group["prefix"]), (plain + demand - 1).tolist(), strict=True)]
-            held = np.array([len(p) for p in prefixes])
-            last = np.array([p[-1] for p in prefixes])
-            shared = _shared_counts(prefixes)
-            most = np.where(last[:, None] <= last[None, :], (size - held)[:, None], (size - held)[None, :])
+            demand, last = np.asarray(group["demand"]), np.asarray(group["last"])
+            held = size - -(-percent * size // 100) + demand
+            if by_tokens:
+                shared = _shared_counts(_lists(group["tokens"]))
+            else:
+                shared = np.minimum.outer(*[np.asarray(group["most"])] * 2)
+            rest = np.where(last[:, None] <= last[None, :], (size - held)[:, None], (size - held)[None, :])
             # at least t / (1 + t) of both sizes must be common; past its prefix a set has no more than its rest
             needed = -(-percent * (size[:, None] + size[None, :]) // (100 + percent))
-            good = _wanted(side) & (shared >= np.minimum(demand[:, None], demand[None, :])) & (shared + most >= needed)
+            good = _wanted(side) & (shared >= np.minimum(demand[:, None], demand[None, :])) & (shared + rest >= needed)
             good &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
             hit = good.any(axis=0) | good.any(axis=1)
             if hit.any():
@@ -211,45 +269,60 @@ def _verified(percent: int):
     return run
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, tokens): the whole sets of some nodes, from the texts of the documents they are named after."""
+def with_sets(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """rows (pair, side, node, size, key) with tokens, the whole sets, from the texts of the documents that nodes
+    are named after. Few rows go to where the texts are. Of documents that share an id but not the text, those
+    with the node's own set count."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi, texts in text_blocks(batch.column(1)):
+            for lo, hi, texts in text_blocks(batch.column(0)):
                 sets = shingle_sets(texts, n)
+                keys = batch.column(1).slice(lo, hi - lo).to_pylist()
+                own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, keys, strict=True)]
+                sets = [s for s, mine in zip(sets, own, strict=True) if mine]
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digests, pa.binary()), tokens], names=["node", "key", "tokens"])
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, dtype=np.int64)])))
+                rest = [c.slice(lo, hi - lo).filter(pa.array(own)) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*rest, tokens], names=["pair", "side", "node", "size", "tokens"])
 
-    wanted = docs.select("doc_id", "text").join(_bounded(nodes.select(F.col("node").alias("doc_id"))), "doc_id")
-    return wanted.mapInArrow(run, "node long, key binary, tokens array<long>")
+    wanted = docs.select(F.col("doc_id").alias("_id"), "text").join(_bounded(rows), F.col("_id") == F.col("node"))
+    return wanted.select("text", "key", "pair", "side", "node", "size").mapInArrow(run, "pair long, side int, node long, size long, tokens array<long>")
 
 
 def links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The classes (key, node) and links (a, b) between their nodes that join all that similar sets join."""
     classes = sets.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("node"))
     classes = written(classes.filter(F.col("node").isNotNull()), "classes")
-    first = (F.col("doc_id") == F.col("node")) & (sets["key"] == F.col("_key"))
-    nodes = sets.join(classes.select(F.col("key").alias("_key"), "node"), first).select("node", "size", "prefix")
-    families = written(_families(nodes, percent), "families")
+    # the copies are told apart by id, so that prefixes stay where they are
+    named = sets.select("doc_id", F.col("key").alias("_key")).join(classes, F.col("_key") == F.col("key"))
+    copies = written(named.filter(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("_copy"), "_key").distinct(), "copies")
+    first = sets.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
+    nodes = first.join(_bounded(copies), (F.col("doc_id") == F.col("_copy")) & (F.col("key") == F.col("_key")), "left_anti").select(F.col("doc_id").alias("node"), "size", "prefix")
+    shared = written(_shared_tokens(nodes, percent), "shared")
+    families = written(shared.select("family", "node", "size").distinct(), "families")
     partners = families.groupBy(F.col("family").alias("_f")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    costed = families.join(partners, F.col("family") == F.col("_f")).groupBy("node").agg(F.sum("_n").alias("cost"))
-    room = F.size("prefix") - (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
-    # one more token to share for each doubling of the partners that the plain prefix brings up, as far as stored
-    demand = F.greatest(F.lit(1), F.least(1 + room, F.floor(F.log2(F.col("cost").cast("double"))))).cast("long")
-    costed = costed.withColumnRenamed("node", "_node")
-    demanding = nodes.join(_bounded(costed), F.col("node") == F.col("_node")).select(F.col("node").alias("_node"), "prefix", demand.alias("demand"))
-    dealt = _blocks(families.join(partners.select("_f"), F.col("family") == F.col("_f"), "left_semi"), percent)
-    ready = dealt.join(demanding, F.col("node") == F.col("_node")).drop("_node")
-    plausible = _grouped(ready, ["family", "node", "size", "prefix", "demand"]).mapInArrow(_plausible(percent), "family long, node long, size long").distinct()
+    costs = families.join(partners, F.col("family") == F.col("_f")).groupBy("node").agg(F.sum("_n").alias("cost"))
+    costs = written(costs.withColumnRenamed("node", "_node"), "costs")
+    room = F.size("prefix") - _plain(percent)
+    demand = F.greatest(F.lit(1), F.least(1 + room, 1 + F.floor(F.log2(F.col("cost") / CHEAP)))).cast("int")
+    of = lambda some: nodes.join(_bounded(some), F.col("node") == F.col("_node"))
+    ends = of(costs).withColumn("demand", demand).select("_node", "demand", F.get("prefix", _plain(percent) + F.col("demand") - 2).alias("last"))
+    own = shared.groupBy(F.col("node").alias("_n2")).agg(F.collect_set("token").alias("tokens"))
+    dear = F.col("demand") > 1
+    longer = of(costs.filter(F.col("cost") >= 2 * CHEAP)).withColumn("demand", demand).filter(dear).select(F.col("_node").alias("_n3"), F.slice("prefix", F.lit(1), _plain(percent) + F.col("demand") - 1).alias("longer"))
+    most = F.when(dear, F.size("longer")).otherwise(F.size("tokens")).cast("long").alias("most")
+    sent = written(ends.join(own, F.col("_node") == F.col("_n2")).join(longer, F.col("_node") == F.col("_n3"), "left").select("_node", "demand", "last", most, F.coalesce("longer", "tokens").alias("tokens")), "sent")
+    kind = "family long, node long, size long"
+    met = families.join(partners.select("_f"), F.col("family") == F.col("_f"), "left_semi")
+    ready = _blocks(met, percent).join(sent.drop("tokens"), F.col("node") == F.col("_node")).drop("_node")
+    possible = written(_grouped(_paired(ready, ["family", "node", "size", "demand", "last", "most"])).mapInArrow(_plausible(percent, False), kind).distinct(), "possible")
+    ready = _blocks(possible, percent).join(sent, F.col("node") == F.col("_node")).drop("_node")
+    plausible = _grouped(_paired(ready, ["family", "node", "size", "tokens", "demand", "last"])).mapInArrow(_plausible(percent, True), kind).distinct()
     plausible = written(plausible, "plausible")
-    whole = node_sets(docs, plausible.select("node").distinct(), n)
-    # rows that share a doc_id but not the text: the class's own set counts
-    whole = whole.join(classes.select(F.col("key").alias("_key"), F.col("node").alias("_node")), (F.col("node") == F.col("_node")) & (F.col("key") == F.col("_key"))).select(F.col("node").alias("_node"), "tokens").dropDuplicates(["_node"])
-    ready = _blocks(plausible, percent).join(whole, F.col("node") == F.col("_node")).drop("_node")
-    return classes, written(_grouped(ready, ["node", "size", "tokens"]).mapInArrow(_verified(percent), "a long, b long").distinct(), "similar")
+    # a node's sets are computed beside its text, once for each pair of blocks that wants them
+    wanted = written(_paired(_blocks(plausible.join(classes, "node"), percent), ["node", "size", "key"]), "wanted")
+    return classes, written(_grouped(with_sets(docs, wanted, n)).mapInArrow(_verified(percent), "a long, b long").distinct(), "similar")
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
