@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import modest_batches
+
 #: Characters of a text window and of a word that the memo takes; entries of the memo; symbols merged at once.
 WINDOW_CHARS = 1 << 16
 MEMO_WORD = 64
@@ -372,4 +374,4 @@ def coded(docs: DataFrame, path: str, *, text: str = "text", decode: bool = True
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
     schema = StructType(list(kept)).add("n_tokens", LongType()).add("ids", ArrayType(IntegerType(), False))
-    return source.mapInArrow(run, schema.add("decoded", StringType()) if decode else schema)
+    return modest_batches(source).mapInArrow(run, schema.add("decoded", StringType()) if decode else schema)

@@ -38,6 +38,14 @@ def hash48(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 12), 16, 10).cast("long")
 
 
+def modest_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches are set to rows of whole texts; a setting of the user's own stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, "1000")
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .common import hash48
+from .common import hash48, modest_batches
 
 #: Most labelled rows of each label that the model is fitted on.
 SAMPLE = 2000
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: i
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(digests), pa.array([r.tobytes() for r in counts], pa.binary())], names=["doc_id", "label", "digest", "counts"])
 
     # repeated rows could exceed the bound: the limit of both labels' rows holds for what is collected
-    rows = texts.select("doc_id", "text", "_label").mapInArrow(counted, "doc_id long, label int, digest string, counts binary")
+    rows = modest_batches(texts).select("doc_id", "text", "_label").mapInArrow(counted, "doc_id long, label int, digest string, counts binary")
     rows = rows.orderBy(order, "doc_id", "digest", "label").limit(2 * sample).collect()
     counts = np.array([np.frombuffer(r["counts"], dtype=np.float32) for r in rows]).reshape(len(rows), HASHED + REPEATS)
     return Model(counts, np.array([r["label"] for r in rows], dtype=np.int64))
@@ -179,7 +179,7 @@ def scored(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, text:
                 score = shared.value.scores(term_counts(block)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*(f.name for f in kept), *added])
 
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, StructType(list(kept)).add("score", DoubleType()).add("predicted", IntegerType()))
+    return modest_batches(docs).select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, StructType(list(kept)).add("score", DoubleType()).add("predicted", IntegerType()))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import modest_batches, shared_dir, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -105,7 +105,7 @@ def write_archives(pages: DataFrame, *, id: str = "page_id", url: str = "url", p
             close()
         yield pa.RecordBatch.from_pydict({"path": [d[0] for d in done], "n_records": [d[1] for d in done], "n_bytes": [d[2] for d in done]}, schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
 
-    manifest = written(rows.mapInArrow(run, "path string, n_records long, n_bytes long"), "warc-manifest")
+    manifest = written(modest_batches(rows).mapInArrow(run, "path string, n_records long, n_bytes long"), "warc-manifest")
     return manifest.withColumn("store", F.lit(target))
 
 
