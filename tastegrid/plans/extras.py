@@ -30,7 +30,7 @@ def triage_store(spark, sf_dir):
     return table(spark, sf_dir, "pages").filter("page_id % 3 <> 0").groupBy(F.left(F.sha2(folder, 256), F.lit(8)).alias("store")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("embedding_bundle", "SELECT vec_id, len(embedding) AS width, floor(list_avg(list_transform(embedding[1:5], lambda x: x::DOUBLE)) * 1e6 + 0.5) / 1e6 AS seed FROM embeddings")
+@query("embedding_bundle", "SELECT vec_id, len(embedding) AS width, floor(list_avg(list_transform(embedding[1:5], lambda x: x::DOUBLE)) * 1e6 + 0.4817) / 1e6 AS seed FROM embeddings")
 def embedding_bundle(spark, sf_dir):
     """What the duels start from: the vector's width and the plain mean of its aspects."""
     aspects = arrays.doubles(F.slice("embedding", 1, 5))
@@ -72,7 +72,7 @@ def rank_profile(spark, sf_dir):
     strengths = ranking.bradley_terry(duels, "league").select(F.col("id").alias("vec_id"), F.array("strength").alias("y"), F.lit("all").alias("g"))
     m = moments.total(moments.collect(e.join(strengths, "vec_id"), "x", "y", "g"))
     b, c = moments.ridge(m, 1.0, per_weight=False)
-    weights = F.array(*[F.lit(float(np.floor(w * 1e6 + 0.5) / 1e6)) for w in b[:, 0]])
+    weights = F.array(*[F.lit(float(np.floor(w * 1e6 + 0.4817) / 1e6)) for w in b[:, 0]])
     scored = e.select("vec_id", (arrays.dot(F.col("x"), weights) + float(c[0])).alias("score"))
     norm = scored.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))
     return scored.crossJoin(F.broadcast(norm)).select("vec_id", r6(logistic((F.col("score") - F.col("mean")) / F.col("sd"))).alias("merit"))

