@@ -26,7 +26,7 @@ MAX_REPEATS = 3
 N_SHARDS = 16
 BLOCK_WORDS = 4096
 #: Rows of one permutation bucket, the most that one window task sorts together.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 #: A mixture names its sources: their quotas, a row each, are split on the driver.
 MAX_SOURCES = 100_000
 SEED = 20_240
