@@ -6,7 +6,8 @@ gives the same links, this one keeps passages that many documents share out of t
 at least m in prefixes that are m - 1 tokens longer. Nodes that share a prefix token belong to the family of the
 token's least node, and candidates are sought within families. The more partners a node's families hold, the
 longer its prefix and the more prefix tokens it must share: a pair must share the lesser of its two demands. A
-node of few partners, whose prefix is the plain one, sends only the tokens of it that another node has.
+node of few partners, whose prefix is the plain one, sends only the tokens of it that another node's plain prefix
+has; where it meets a longer prefix, both are bounded by their plain prefixes.
 
 A family is cut into blocks by length (similar sets lie in one or two neighbouring length classes) and hash, of
 about BLOCK nodes, and every pair of blocks is a group of its own: no group grows with its family. A pair of
@@ -208,6 +209,11 @@ def _lists(column) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
+def _rest(last: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+    """Tokens that each two nodes can share past the prefix that ends first."""
+    return np.where(last[:, None] <= last[None, :], beyond[:, None], beyond[None, :])
+
+
 def _plausible(percent: int, by_tokens: bool):
     """Nodes of a group that share enough of their prefixes with another one; without tokens, that can share it
     by the numbers of tokens (most) that any other node has too."""
@@ -217,13 +223,16 @@ def _plausible(percent: int, by_tokens: bool):
             side, node, size = (np.asarray(group[c]) for c in ("side", "node", "size"))
             if len(node) < 2:
                 continue
-            demand, last = np.asarray(group["demand"]), np.asarray(group["last"])
-            held = size - -(-percent * size // 100) + demand
+            demand, last, edge = (np.asarray(group[c]) for c in ("demand", "last", "edge"))
+            plain = size - -(-percent * size // 100) + 1
             if by_tokens:
                 shared = _shared_counts(_lists(group["tokens"]))
             else:
                 shared = np.minimum.outer(*[np.asarray(group["most"])] * 2)
-            rest = np.where(last[:, None] <= last[None, :], (size - held)[:, None], (size - held)[None, :])
+            rest = _rest(last, size - (plain + demand - 1))
+            # a plain prefix comes without the tokens that only the other's extension has, so that extension is rest
+            mixed = (demand[:, None] == 1) != (demand[None, :] == 1)
+            rest = np.where(mixed, _rest(edge, size - plain), rest)
             # at least t / (1 + t) of both sizes must be common; past its prefix a set has no more than its rest
             needed = -(-percent * (size[:, None] + size[None, :]) // (100 + percent))
             good = _wanted(side) & (shared >= np.minimum(demand[:, None], demand[None, :])) & (shared + rest >= needed)
@@ -307,18 +316,18 @@ def links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> tuple[DataF
     room = F.size("prefix") - _plain(percent)
     demand = F.greatest(F.lit(1), F.least(1 + room, 1 + F.floor(F.log2(F.col("cost") / CHEAP)))).cast("int")
     of = lambda some: nodes.join(_bounded(some), F.col("node") == F.col("_node"))
-    ends = of(costs).withColumn("demand", demand).select("_node", "demand", F.get("prefix", _plain(percent) + F.col("demand") - 2).alias("last"))
+    ends = of(costs).withColumn("demand", demand).select("_node", "demand", F.get("prefix", _plain(percent) + F.col("demand") - 2).alias("last"), F.get("prefix", _plain(percent) - 1).alias("edge"))
     own = shared.groupBy(F.col("node").alias("_n2")).agg(F.collect_set("token").alias("tokens"))
     dear = F.col("demand") > 1
     longer = of(costs.filter(F.col("cost") >= 2 * CHEAP)).withColumn("demand", demand).filter(dear).select(F.col("_node").alias("_n3"), F.slice("prefix", F.lit(1), _plain(percent) + F.col("demand") - 1).alias("longer"))
     most = F.when(dear, F.size("longer")).otherwise(F.size("tokens")).cast("long").alias("most")
-    sent = written(ends.join(own, F.col("_node") == F.col("_n2")).join(longer, F.col("_node") == F.col("_n3"), "left").select("_node", "demand", "last", most, F.coalesce("longer", "tokens").alias("tokens")), "sent")
+    sent = written(ends.join(own, F.col("_node") == F.col("_n2")).join(longer, F.col("_node") == F.col("_n3"), "left").select("_node", "demand", "last", "edge", most, F.coalesce("longer", "tokens").alias("tokens")), "sent")
     kind = "family long, node long, size long"
     met = families.join(partners.select("_f"), F.col("family") == F.col("_f"), "left_semi")
     ready = _blocks(met, percent).join(sent.drop("tokens"), F.col("node") == F.col("_node")).drop("_node")
-    possible = written(_grouped(_paired(ready, ["family", "node", "size", "demand", "last", "most"])).mapInArrow(_plausible(percent, False), kind).distinct(), "possible")
+    possible = written(_grouped(_paired(ready, ["family", "node", "size", "demand", "last", "edge", "most"])).mapInArrow(_plausible(percent, False), kind).distinct(), "possible")
     ready = _blocks(possible, percent).join(sent, F.col("node") == F.col("_node")).drop("_node")
-    plausible = _grouped(_paired(ready, ["family", "node", "size", "tokens", "demand", "last"])).mapInArrow(_plausible(percent, True), kind).distinct()
+    plausible = _grouped(_paired(ready, ["family", "node", "size", "tokens", "demand", "last", "edge"])).mapInArrow(_plausible(percent, True), kind).distinct()
     plausible = written(plausible, "plausible")
     # a node's sets are computed beside its text, once for each pair of blocks that wants them
     wanted = written(_paired(_blocks(plausible.join(classes, "node"), percent), ["node", "size", "key"]), "wanted")

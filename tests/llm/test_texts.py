@@ -65,6 +65,21 @@ def test_groups_against_all_pairs(docs, monkeypatch, n, percent, block):
     assert got == plain_groups(rows, n, percent)
 
 
+@pytest.mark.parametrize("cheap", [1, 2, 3, 4])
+def test_links_between_demands(docs, monkeypatch, cheap):
+    """Pairs just above and below the threshold, one node of each with few partners and the other with more; the
+    one's own words come last in its order, the other's come first and stand in 0 to 8 single words."""
+    monkeypatch.setattr(jaccard_join, "CHEAP", cheap)
+    pairs, texts = [(common, busy) for common in (91, 92, 93) for busy in (0, 1, 2, 4, 8)], []
+    for i, (common, busy) in enumerate(pairs):
+        both, late, early = ([f"{k}{i}x{j}" for j in range(n)] for k, n in (("b", common), ("l", 100 - common), ("e", 100 - common)))
+        texts += [" ".join(both + late), " ".join(both + early), *early[:busy]]
+        texts += [" ".join((both if k < 4 else []) + late + [f"r{i}x{k}x{j}" for j in range(800)]) for k in range(12)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.groups(docs(rows, extra=False), 1, 85).collect()}
+    assert got == plain_groups(rows, 1, 85)
+
+
 def test_groups_odd_rows(docs):
     out = jaccard_join.groups(docs(ODD), 4, 85).collect()
     assert len(out) == len(ODD) and {r["component_id"] for r in out if r["doc_id"] is None} == {None}
