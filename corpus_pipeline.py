@@ -11,8 +11,8 @@ from tastegrid.llm.common import table, written
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return quality_rules.judged(docs).filter("kept").select(*docs.columns)
+    """Rejected documents go, and lines above their host's limit go from the others."""
+    return quality_rules.cleaned(docs)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,9 +64,13 @@ def text_counts(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
 
 
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+
+
 def _lines(docs: DataFrame, host: str) -> DataFrame:
     """(doc_id, host, document, line, words) of each distinct normalised line of a document."""
-    clean = F.trim(F.regexp_replace(F.lower("_raw"), SPACE, " "))
+    clean = _normal(F.col("_raw"))
     raw = docs.select("doc_id", F.col(host).alias("_host"), F.xxhash64("text").alias("_document"), F.explode(F.split("text", "\n")).alias("_raw"))
     cleaned = raw.withColumn("_clean", clean).filter(F.col("_clean") != "")
     return cleaned.select("doc_id", "_host", "_document", F.xxhash64("_clean").alias("_line"), (F.length("_clean") - F.length(F.translate("_clean", " ", "")) + 1).alias("_n"))
@@ -82,17 +86,35 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_documents: int = M
     return counts.join(hosts, F.col("_host").eqNullSafe(F.col("_in"))).filter(F.col("n_documents") > F.col("_of") * share).select("_host", "_line", "n_documents", "first")
 
 
-def judged(docs: DataFrame, host: str = "source", min_left: float = MIN_LEFT, **limits) -> DataFrame:
-    """text_counts with n_removed_words and kept. The lines above the limits are few (each stands for more than
-    min_documents documents); Spark broadcasts them where they are small and joins by shuffle where not."""
+def _judged(docs: DataFrame, host: str, min_left: float, limits: dict) -> DataFrame:
+    """text_counts with n_removed_words, kept and _gone, the hashes of the lines to remove or null. The lines above
+    the limits are few (each stands for more than min_documents documents); Spark broadcasts them where they are
+    small and joins by shuffle where not."""
     frequent = frequent_lines(docs, host, **limits).select(F.col("_host").alias("_h"), F.col("_line").alias("_l"), "first")
     hits = _lines(docs, host).join(frequent, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_line") == F.col("_l")) & ~F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    # per distinct (doc_id, text): repeated rows of one document add up their words as often as they stand
-    removed = hits.groupBy(F.col("doc_id").alias("_id"), F.col("_document").alias("_doc")).agg(F.sum("_n").alias("_removed"))
-    rows = docs.groupBy(F.col("doc_id").alias("_id2"), F.xxhash64("text").alias("_doc2")).agg(F.count(F.lit(1)).alias("_times")).filter(F.col("_times") > 1)
-    removed = removed.join(rows, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_doc") == F.col("_doc2")), "left").select("_id", "_doc", (F.col("_removed") / F.coalesce("_times", F.lit(1))).cast("long").alias("_removed"))
+    # per distinct (doc_id, text, host): repeated rows of one document add up their words as often as they stand
+    removed = hits.groupBy(F.col("doc_id").alias("_id"), F.col("_document").alias("_doc"), F.col("_host").alias("_of")).agg(F.sum("_n").alias("_removed"), F.collect_set("_line").alias("_gone"))
+    rows = docs.groupBy(F.col("doc_id").alias("_id2"), F.xxhash64("text").alias("_doc2"), F.col(host).alias("_of2")).agg(F.count(F.lit(1)).alias("_times")).filter(F.col("_times") > 1)
+    removed = removed.join(rows, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_doc") == F.col("_doc2")) & F.col("_of").eqNullSafe(F.col("_of2")), "left").select("_id", "_doc", "_of", (F.col("_removed") / F.coalesce("_times", F.lit(1))).cast("long").alias("_removed"), "_gone")
     counted = text_counts(docs).withColumn("_key", F.xxhash64("text"))
-    out = counted.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_doc")), "left")
+    out = counted.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_doc")) & F.col(host).eqNullSafe(F.col("_of")), "left")
     left = F.col("n_words") - F.coalesce("_removed", F.lit(0))
     depleted = left < F.col("n_words") * min_left
-    return out.withColumn("n_removed_words", F.coalesce("_removed", F.lit(0)).cast("long")).withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_key", "_id", "_doc", "_removed")
+    return out.withColumn("n_removed_words", F.coalesce("_removed", F.lit(0)).cast("long")).withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_key", "_id", "_doc", "_of", "_removed")
+
+
+def judged(docs: DataFrame, host: str = "source", min_left: float = MIN_LEFT, **limits) -> DataFrame:
+    """text_counts with n_removed_words and kept."""
+    return _judged(docs, host, min_left, limits).drop("_gone")
+
+
+def cleaned(docs: DataFrame, host: str = "source", min_left: float = MIN_LEFT, **limits) -> DataFrame:
+    """The kept rows of docs, text without the removed lines; n_chars, where docs have it, is the new text's length.
+    The other lines stay as they are, in their order; a text without a removed line is passed on untouched."""
+    out = _judged(docs, host, min_left, limits).filter("kept")
+    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(_normal(x))))
+    changed = F.col("_gone").isNotNull()
+    out = out.withColumn("text", F.when(changed, F.array_join(left, "\n")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

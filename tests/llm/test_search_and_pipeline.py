@@ -68,3 +68,18 @@ def test_pipeline_stages(spark):
             assert sorted(ids) == mixed and got.filter(F.size("ids") != F.col("n_tokens")).count() == 0
     whole = sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect())
     assert whole == mixed
+
+
+def test_pipeline_removes_lines(spark):
+    """A line in 120 documents of a host goes from all but the first; other hosts and lines stay as they are."""
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    rows = [(i, f"Read  MORE here\n{body(i)}\n\n  kept {i} \nread more\there", "en", "a") for i in range(120)]
+    rows += [(200 + i, f"{body(200 + i)}\nread more here", "en", "b") for i in range(5)] + [(300, None, "en", "a"), (None, f"{body(9)}\nRead more here\n", "en", "a")]
+    rows.append((1, rows[1][1], "en", "c"))
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.quality_rules_stage(spark, docs, SF).collect()
+    assert [r["text"] for r in out if r["source"] == "c"] == [rows[1][1]]
+    got = {r["doc_id"]: r for r in out if r["source"] != "c"}
+    want = {i: f"{body(i)}\n\n  kept {i} " for i in range(1, 120)} | {0: rows[0][1], None: f"{body(9)}\n"} | {r[0]: r[1] for r in rows[120:125]}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
