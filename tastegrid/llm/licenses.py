@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 MIN_DICE = 0.8
 
-#: Licence notices as they stand in files and pages (fixed values).
+#: Licence notices and texts as they stand in files and pages (fixed values).
 TEMPLATES = (
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -40,6 +40,148 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
+    # whole short licences, and standard headers and leading paragraphs of long ones; without titles and holders
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
+        'compliance with the License. You may obtain a copy of the License at '
+        'http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, '
+        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
+        'CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing '
+        'permissions and limitations under the License.',
+    ),
+    (
+        "Apache-2.0",
+        '2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor '
+        'hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable '
+        'copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, '
+        'sublicense, and distribute the Work and such Derivative Works in Source or Object form.',
+    ),
+    (
+        "BSD-2-Clause",
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided '
+        'that the following conditions are met: 1. Redistributions of source code must retain the above copyright '
+        'notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must '
+        'reproduce the above copyright notice, this list of conditions and the following disclaimer in the '
+        'documentation and/or other materials provided with the distribution.',
+    ),
+    (
+        "BSD-2-Clause",
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided '
+        'that the following conditions are met: 1. Redistributions of source code must retain the above copyright '
+        'notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must '
+        'reproduce the above copyright notice, this list of conditions and the following disclaimer in the '
+        'documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE '
+        'COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        'LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE '
+        'DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, '
+        'INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF '
+        'SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND '
+        'ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR '
+        'OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH '
+        'DAMAGE.',
+    ),
+    (
+        "BSD-3-Clause",
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided '
+        'that the following conditions are met: 1. Redistributions of source code must retain the above copyright '
+        'notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must '
+        'reproduce the above copyright notice, this list of conditions and the following disclaimer in the '
+        'documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright '
+        'holder nor the names of its contributors may be used to endorse or promote products derived from this '
+        'software without specific prior written permission.',
+    ),
+    (
+        "BSD-3-Clause",
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided '
+        'that the following conditions are met: 1. Redistributions of source code must retain the above copyright '
+        'notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must '
+        'reproduce the above copyright notice, this list of conditions and the following disclaimer in the '
+        'documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright '
+        'holder nor the names of its contributors may be used to endorse or promote products derived from this '
+        'software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS '
+        'AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+        'IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT '
+        'SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, '
+        'EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR '
+        'SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF '
+        'LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN '
+        'ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ),
+    (
+        "GPL-2.0",
+        'The licenses for most software are designed to take away your freedom to share and change it. By '
+        'contrast, the GNU General Public License is intended to guarantee your freedom to share and change free '
+        'software--to make sure the software is free for all its users. This General Public License applies to '
+        "most of the Free Software Foundation's software and to any other program whose authors commit to using "
+        'it. (Some other Free Software Foundation software is covered by the GNU Lesser General Public License '
+        'instead.) You can apply it to your programs, too.',
+    ),
+    (
+        "GPL-2.0",
+        'This program is free software; you can redistribute it and/or modify it under the terms of the GNU '
+        'General Public License as published by the Free Software Foundation; either version 2 of the License, or '
+        '(at your option) any later version.',
+    ),
+    (
+        "GPL-3.0",
+        'The licenses for most software and other practical works are designed to take away your freedom to share '
+        'and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom '
+        'to share and change all versions of a program--to make sure it remains free software for all its users. '
+        'We, the Free Software Foundation, use the GNU General Public License for most of our software; it applies '
+        'also to any other work released this way by its authors. You can apply it to your programs, too.',
+    ),
+    (
+        "GPL-3.0",
+        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU '
+        'General Public License as published by the Free Software Foundation, either version 3 of the License, or '
+        '(at your option) any later version.',
+    ),
+    (
+        "GPL-3.0",
+        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU '
+        'General Public License as published by the Free Software Foundation, either version 3 of the License, or '
+        '(at your option) any later version. This program is distributed in the hope that it will be useful, but '
+        'WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR '
+        'PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU '
+        'General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.',
+    ),
+    (
+        "GPL-2.0",
+        'This program is free software; you can redistribute it and/or modify it under the terms of the GNU '
+        'General Public License as published by the Free Software Foundation; either version 2 of the License, or '
+        '(at your option) any later version. This program is distributed in the hope that it will be useful, but '
+        'WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR '
+        'PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU '
+        'General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 '
+        'Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.',
+    ),
+    (
+        "MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and '
+        'associated documentation files (the "Software"), to deal in the Software without restriction, including '
+        'without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell '
+        'copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the '
+        'following conditions:',
+    ),
+    (
+        "MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and '
+        'associated documentation files (the "Software"), to deal in the Software without restriction, including '
+        'without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell '
+        'copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the '
+        'following conditions: The above copyright notice and this permission notice shall be included in all '
+        'copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY '
+        'KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A '
+        'PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR '
+        'ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, '
+        'OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
+    (
+        "MPL-2.0",
+        'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL '
+        'was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.',
+    ),
 )
 
 

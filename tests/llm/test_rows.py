@@ -150,3 +150,53 @@ def test_key_words_are_sound():
 def test_whole_rows_come_back(docs):
     df = docs([(1, "a b"), (1, "a b")])
     assert quality_rules.judged(df).filter(F.col("doc_id") == 1).count() == 2
+
+
+def test_whole_licences(docs):
+    """Licence texts as files and headers have them: wrapped, in comments, with titles and holders."""
+    mit = """MIT License
+
+Copyright (c) 2020 Foo
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+    apache = """# Copyright 2020 Foo
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    code = "\n\n" + "\n".join(f"x{i} = f{i}(y{i})" for i in range(200))
+    rows = [(1, mit), (2, mit + code), (3, apache), (4, apache + code), (5, gpl + code), (6, code)]
+    out = {r["doc_id"]: [m["license"] for m in r["matches"]] for r in licenses.scanned(docs(rows)).collect()}
+    assert {i: got[:1] for i, got in out.items()} == {1: ["MIT"], 2: ["MIT"], 3: ["Apache-2.0"], 4: ["Apache-2.0"], 5: ["GPL-3.0"], 6: []}
+    whole = {t: licenses.bigrams(licenses.normal(text)) for t, (_, text) in enumerate(licenses.TEMPLATES)}
+    assert max(map(len, whole.values())) > 100
