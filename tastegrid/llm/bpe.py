@@ -13,7 +13,8 @@ The file's form: NFC, white space to one space, lower case; words split by contr
 numbers and other runs; byte symbols with a word-end suffix; special tokens cut out first.
 
 Cases: a null or empty text has no tokens and decodes to the empty string; white space alone has no tokens; a
-special token inside a text gives its id; repeated rows are coded alike; an empty table gives an empty result;
+special token inside a text gives its id; a very long text or word is coded in windows and pieces, and only its
+ids and what they decode to are held whole; a tokenizer file of another form raises; repeated rows are coded alike; an empty table gives an empty result;
 extra columns pass through unless they carry an output name.
 """
 
@@ -31,15 +32,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import modest_batches
+from .common import parts, released
 
-#: Characters of a text window and of a word that the memo takes; entries of the memo; symbols merged at once.
+#: Characters of a text window and of a word that the memo takes; bytes of each of the memo's two generations;
+#: symbols merged at once.
 WINDOW_CHARS = 1 << 16
 MEMO_WORD = 64
-MEMO_ENTRIES = 400_000
+MEMO_BYTES = 16 << 20
 BLOCK = 1 << 12
-#: Characters of text that one Arrow batch of results stands for.
-BATCH_CHARS = 4_000_000
+#: Bytes that an entry of the memo takes besides the letters and ids: two objects' heads and a place in the table.
+ENTRY_BYTES = 200
+#: Bytes of text that one Arrow batch of results stands for.
+BATCH_BYTES = 1 << 20
 
 WHITE = r"\t-\r \x85\xa0  -     　"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -171,21 +175,42 @@ class WordTransducer:
 
 class Memo(dict):
     """word -> its ids as little-endian int32 bytes. A full memo becomes the old one, from which words that come
-    again are taken over: what is common stays, and two generations bound the memory."""
+    again are taken over: what is common stays, and two generations of MEMO_BYTES bound the memory."""
 
     def __init__(self, encoder: Encoder) -> None:
-        self.encoder, self.old = encoder, {}
+        self.encoder, self.old, self.held = encoder, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word) or self.encoder.word_ids(word)
         if len(word) <= MEMO_WORD:
-            if len(self) >= MEMO_ENTRIES:
-                self.old = dict(self)
+            if self.held >= MEMO_BYTES:
+                self.old, self.held = dict(self), 0
                 self.clear()
             self[word] = found
+            self.held += ENTRY_BYTES + len(word) + len(found)
         return found
 
 
+#: The form of file that the encoder reads (fixed values of the format): how texts are normalised and split.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+
+
+def check_form(spec: dict) -> None:
+    """Raises unless the file has the form that this encoder is made for; any other would be encoded wrongly."""
+    model, splits = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    form = [
+        model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        (spec.get("normalizer") or {}).get("normalizers") == NORMALIZER,
+        [p.get("type") for p in splits] == ["Split", "ByteLevel"] and splits[0].get("pattern") == SPLITTER and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True,
+        len(splits) == 2 and not splits[1].get("add_prefix_space") and splits[1].get("use_regex") is False,
+        not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        spec.get("decoder") is None,
+    ]
+    if not all(form):
+        raise ValueError("this tokenizer file has another form than the encoder reads")
+
+
 class Encoder:
     """Streams text to ids."""
 
@@ -347,7 +372,9 @@ def coded(docs: DataFrame, path: str, *, text: str = "text", decode: bool = True
     """docs with n_tokens, ids and, if decode, decoded: what the ids decode to."""
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast((json.load(f), *classes()))
+        form = json.load(f)
+    check_form(form)
+    spec = spark.sparkContext.broadcast((form, *classes()))
     added = ["n_tokens", "ids", *(["decoded"] if decode else [])]
     kept = [f for f in docs.schema.fields if f.name not in added]
     source = docs.select(*[f"`{f.name}`" for f in kept])
@@ -356,22 +383,23 @@ def coded(docs: DataFrame, path: str, *, text: str = "text", decode: bool = True
     def run(batches):
         encoder = _coder(path, spec)
         for batch in batches:
-            texts, lengths = batch.column(at), np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0))
-            groups = np.cumsum(lengths) // BATCH_CHARS
-            edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if lo == hi:
-                    continue
-                rows = [b"".join(encoder.encode(t)) for t in texts.slice(lo, hi - lo).to_pylist()]
+            for part in parts(batch, at, BATCH_BYTES):
+                rows, decoded = [], []
+                for t in part.column(at).to_pylist():
+                    machine, pieces, shown = Decoder(encoder.merges), [], []
+                    for piece in encoder.encode(t):
+                        pieces.append(piece)
+                        if decode:
+                            shown.append(machine.feed(np.frombuffer(piece, dtype="<i4").tolist()))
+                    rows.append(b"".join(pieces))
+                    decoded.append("".join(shown) + machine.finish())
                 counts = np.array([len(r) // 4 for r in rows], dtype=np.int64)
                 flat = np.frombuffer(b"".join(rows), dtype="<i4")
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat))
-                columns = [*batch.slice(lo, hi - lo).columns, pa.array(counts), ids]
-                if decode:
-                    columns.append(pa.array([Decoder(encoder.merges).feed(np.frombuffer(r, dtype="<i4").tolist()) for r in rows], pa.string()))
+                columns = [*part.columns, pa.array(counts), ids, *([pa.array(decoded, pa.string())] if decode else [])]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + added)
 
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
     schema = StructType(list(kept)).add("n_tokens", LongType()).add("ids", ArrayType(IntegerType(), False))
-    return modest_batches(source).mapInArrow(run, schema.add("decoded", StringType()) if decode else schema)
+    return source.mapInArrow(released(run), schema.add("decoded", StringType()) if decode else schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import modest_batches
+from .common import parts, released
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -222,7 +222,8 @@ def extracted(pages: DataFrame, html_column: str = "html", *, text: str = "text"
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(p, model) for p in batch.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in kept), text, n_chars])
+            for part in parts(batch, len(kept)):
+                texts = [main_text(p, model) for p in part.column(len(kept)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in kept), text, n_chars])
 
-    return modest_batches(source).mapInArrow(run, StructType(list(kept)).add(text, StringType()).add(n_chars, LongType()))
+    return source.mapInArrow(released(run), StructType(list(kept)).add(text, StringType()).add(n_chars, LongType()))

@@ -16,7 +16,8 @@ it counts shared tokens by a matrix product, over prefixes, which leaves few nod
 these, recomputed from their texts. It gives the links that join its nodes, not all pairs.
 
 Cases: a null or empty text, or one without words, has the empty set and is linked with nothing; fewer words
-than n are one shingle; rows that share a doc_id are one node of the groups; rows with a null doc_id get a null
+than n are one shingle; a very long text is hashed in pieces, and long sets make blocks of fewer nodes, so that
+neither a long text nor a long word needs more than a few times its own size; rows that share a doc_id are one node of the groups; rows with a null doc_id get a null
 component; ties do not arise, as every pair at or above t is a link; an empty table gives an empty result.
 """
 
@@ -31,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import modest_batches, written
+from .common import encoded, fresh, parts, released, written
 from .components import components
-from .shingles import shingle_sets, text_blocks
+from .shingles import shingle_sets
 
-#: Nodes of a block, and the most nodes whose ids are broadcast to find their texts; more are joined by shuffle.
+#: Nodes and tokens of a block, tokens that a product of incidences takes at once, and the most nodes whose ids are broadcast to find their texts; more are joined by shuffle.
 BLOCK = 256
+BLOCK_TOKENS = 1 << 21
+PRODUCT_TOKENS = 1 << 20
 BROADCAST_ROWS = 500_000
 #: Counters of the frequency table, and the parts it is summed in.
 COUNTERS, SLICES = 1 << 20, 64
@@ -57,8 +60,8 @@ def token_counts(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            for _, _, texts in text_blocks(batch.column(0)):
-                total += np.bincount(np.concatenate(shingle_sets(texts, n)) & (COUNTERS - 1), minlength=COUNTERS)
+            for part in parts(batch, 0):
+                np.add.at(total, np.concatenate(shingle_sets(encoded(part.column(0)), n)) & (COUNTERS - 1), 1)
         yield _slices({i: total[i * width : (i + 1) * width] for i in range(SLICES)})
 
     def add(batches):
@@ -70,9 +73,9 @@ def token_counts(docs: DataFrame, n: int) -> np.ndarray:
         yield _slices(sums)
 
     kind = "slice int, counts binary"
-    parts = modest_batches(docs).select("text").mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect()
+    sums = docs.select("text").mapInArrow(released(count), kind).repartition("slice").mapInArrow(released(add), kind).collect()
     out = np.zeros(COUNTERS, dtype=np.int64)
-    for row in parts:
+    for row in sums:
         out[row["slice"] * width : (row["slice"] + 1) * width] += np.frombuffer(row["counts"], dtype=np.int64)
     return out
 
@@ -93,15 +96,15 @@ def document_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo, hi, texts in text_blocks(batch.column(1)):
-                sets = shingle_sets(texts, n)
+            for part in parts(batch, 1):
+                sets = shingle_sets(encoded(part.column(1)), n)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 cut = [ordered_tokens(s, frequency.value)[: int(prefix_length(len(s), percent) * (1 + LONGER)) + MORE] if len(s) else s for s in sets]
                 ends = np.concatenate(([0], np.cumsum([len(c) for c in cut])))
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cut)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), prefix], names=["doc_id", "key", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), prefix], names=["doc_id", "key", "size", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, size long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, key binary, size long, prefix array<long>")
 
 
 def _bounded(ids: DataFrame) -> DataFrame:
@@ -127,7 +130,8 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
     # a little wider than the ratio, so that rounding never parts similar sizes by two classes
     width = math.log(100 / percent) * (1 + 1e-6)
     classed = members.withColumn("_class", F.floor(F.log(F.col("size").cast("double")) / width).cast("int"))
-    counts = classed.groupBy(F.col("family").alias("_f"), F.col("_class").alias("_c")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    counts = classed.groupBy(F.col("family").alias("_f"), F.col("_class").alias("_c")).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_t"))
+    counts = counts.withColumn("_parts", F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_t") / BLOCK_TOKENS)).cast("int"))
     around = counts.select("_f", F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_at"), "_c", "_parts")
     near = around.groupBy("_f", "_at").agg(
         F.max(F.when(F.col("_c") == F.col("_at") - 1, F.col("_parts"))).alias("_below"),
@@ -176,9 +180,17 @@ def _runs(batches) -> Iterator[pa.Table]:
 
 
 def _shared_counts(tokens: list[np.ndarray]) -> np.ndarray:
-    """Tokens that each two rows share, by the product of their incidence over tokens that occur twice."""
+    """Tokens that each two rows share, by the product of their incidence over tokens that occur twice. Many tokens
+    are taken in turns, by remainder."""
+    turns = -(-sum(map(len, tokens)) // PRODUCT_TOKENS)
+    if turns > 1:
+        return sum(_shared_counts_once([t[t % turns == k] for t in tokens]) for k in range(turns))
+    return _shared_counts_once(tokens)
+
+
+def _shared_counts_once(tokens: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate(tokens)
-    owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    owner = np.repeat(np.arange(len(tokens), dtype=np.int32), [len(t) for t in tokens])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     new = np.concatenate(([True], flat[1:] != flat[:-1]))
@@ -285,18 +297,18 @@ def with_sets(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo, hi, texts in text_blocks(batch.column(0)):
-                sets = shingle_sets(texts, n)
-                keys = batch.column(1).slice(lo, hi - lo).to_pylist()
+            for part in parts(batch, 0):
+                sets = shingle_sets(encoded(part.column(0)), n)
+                keys = part.column(1).to_pylist()
                 own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, keys, strict=True)]
                 sets = [s for s, mine in zip(sets, own, strict=True) if mine]
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
                 tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, dtype=np.int64)])))
-                rest = [c.slice(lo, hi - lo).filter(pa.array(own)) for c in batch.columns[2:]]
+                rest = [c.filter(pa.array(own)) for c in part.columns[2:]]
                 yield pa.RecordBatch.from_arrays([*rest, tokens], names=["pair", "side", "node", "size", "tokens"])
 
     wanted = docs.select(F.col("doc_id").alias("_id"), "text").join(_bounded(rows), F.col("_id") == F.col("node"))
-    return wanted.select("text", "key", "pair", "side", "node", "size").mapInArrow(run, "pair long, side int, node long, size long, tokens array<long>")
+    return wanted.select("text", "key", "pair", "side", "node", "size").mapInArrow(released(run), "pair long, side int, node long, size long, tokens array<long>")
 
 
 def links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -325,13 +337,13 @@ def links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> tuple[DataF
     kind = "family long, node long, size long"
     met = families.join(partners.select("_f"), F.col("family") == F.col("_f"), "left_semi")
     ready = _blocks(met, percent).join(sent.drop("tokens"), F.col("node") == F.col("_node")).drop("_node")
-    possible = written(_grouped(_paired(ready, ["family", "node", "size", "demand", "last", "edge", "most"])).mapInArrow(_plausible(percent, False), kind).distinct(), "possible")
+    possible = written(_grouped(_paired(ready, ["family", "node", "size", "demand", "last", "edge", "most"])).mapInArrow(released(_plausible(percent, False)), kind).distinct(), "possible")
     ready = _blocks(possible, percent).join(sent, F.col("node") == F.col("_node")).drop("_node")
-    plausible = _grouped(_paired(ready, ["family", "node", "size", "tokens", "demand", "last", "edge"])).mapInArrow(_plausible(percent, True), kind).distinct()
+    plausible = _grouped(_paired(ready, ["family", "node", "size", "tokens", "demand", "last", "edge"])).mapInArrow(released(_plausible(percent, True)), kind).distinct()
     plausible = written(plausible, "plausible")
     # a node's sets are computed beside its text, once for each pair of blocks that wants them
     wanted = written(_paired(_blocks(plausible.join(classes, "node"), percent), ["node", "size", "key"]), "wanted")
-    return classes, written(_grouped(with_sets(docs, wanted, n)).mapInArrow(_verified(percent), "a long, b long").distinct(), "similar")
+    return classes, written(_grouped(with_sets(docs, wanted, n)).mapInArrow(released(_verified(percent)), "a long, b long").distinct(), "similar")
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -347,11 +359,12 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group, that with the least doc_id. Rows with a null doc_id stay; of rows
     that share a doc_id one stays."""
+    id, n_id = fresh(docs, "_id", "_n")
     labels = written(groups(docs, n, percent).select("doc_id", "component_id"), "groups")
-    dropped = labels.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    rest = docs.join(_bounded(dropped), F.col("doc_id") == F.col("_id"), "left_anti")
-    repeated = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
+    dropped = labels.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id)).distinct()
+    rest = docs.join(_bounded(dropped), F.col("doc_id") == F.col(id), "left_anti")
+    repeated = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(id)).agg(F.count(F.lit(1)).alias(n_id)).filter(F.col(n_id) > 1).select(id)
     if repeated.isEmpty():
         return rest
-    single = rest.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti")
-    return single.unionByName(rest.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    single = rest.join(repeated, F.col("doc_id") == F.col(id), "left_anti")
+    return single.unionByName(rest.join(repeated, F.col("doc_id") == F.col(id), "left_semi").dropDuplicates(["doc_id"]))

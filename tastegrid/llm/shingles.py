@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK_BYTES = 2 << 20
+#: Bytes that are hashed at once, in whatever text or word they lie.
+PIECE = 1 << 18
 _random = np.random.default_rng(11)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -12,7 +13,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = np.ones(1, dtype=np.uint64)
+_POWERS = np.concatenate(([np.uint64(1)], np.cumprod(np.full(PIECE, _STEP, dtype=np.uint64))))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -22,26 +23,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.concatenate(([np.uint64(1)], np.cumprod(np.full(2 * n, _STEP, dtype=np.uint64))))
-    return _powers
+def _fragments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of letters of a piece begin, and their sums of letters by powers of a step."""
+    space = _SPACE[data]
+    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    if not len(starts):
+        return starts, np.zeros(0, dtype=np.uint64)
+    lead = starts[0]
+    place = np.arange(lead, len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(data))))
+    value = _BYTE[_LOWER[data[lead:]]] * _POWERS[place]
+    value[space[lead:]] = 0
+    return starts, np.add.reduceat(value, starts - lead)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, A-Z as a-z, and the first word of each text (with the end)."""
+    """The hash of every word, A-Z as a-z, and the first word of each text (with the end). Pieces of PIECE bytes are
+    hashed one by one; a word that goes on in the next piece adds its next sum, moved by its length so far."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    space = _SPACE[data]
-    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     firsts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    if not len(starts):
+    starts, sums, begun, within = [], [], 0, False
+    for at in range(0, len(data), PIECE):
+        piece = data[at : at + PIECE]
+        found, value = _fragments(piece)
+        if within and len(found) and not found[0]:
+            moved = np.uint64(pow(int(_STEP), at - begun, 1 << 64))
+            sums[-1][-1:] += value[:1] * moved
+            found, value = found[1:], value[1:]
+        if len(found):
+            starts.append(found + at)
+            sums.append(value)
+            begun = int(found[-1]) + at
+        within = not _SPACE[piece[-1]]
+    if not starts:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
-    spans = np.diff(np.append(starts, len(data)))
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
-    letters = data[starts[0] :]
-    value = np.where(space[starts[0] :], np.uint64(0), _BYTE[_LOWER[letters]] * _power(int(spans.max()) + 1)[place])
-    return mixed(np.add.reduceat(value, starts - starts[0])), np.searchsorted(starts, firsts)
+    return mixed(np.concatenate(sums)), np.searchsorted(np.concatenate(starts), firsts)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -64,16 +79,3 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, dtype=np.int64))
     return out
-
-
-def text_blocks(column) -> list[tuple[int, int, list[bytes]]]:
-    """(first row, end, texts in UTF-8) of blocks of an Arrow column; a null text is empty."""
-    out, lo, size, texts = [], 0, 0, []
-    for i, t in enumerate(column.to_pylist()):
-        raw = (t or "").encode("utf-8", "surrogatepass")
-        if texts and size + len(raw) > BLOCK_BYTES:
-            out.append((lo, i, texts))
-            lo, size, texts = i, 0, []
-        texts.append(raw)
-        size += len(raw) + 1
-    return [*out, (lo, lo + len(texts), texts)] if texts else []

@@ -9,7 +9,7 @@ The reader takes a file from start to end: it inflates one member at a time from
 by its content length, and checks the digests and that each member holds one whole record.
 
 Cases: a null payload is empty; rows that repeat the smallest id are all responses; a null id or URL leaves its
-field out; an empty table gives no archives and no rows; extra columns are not archived.
+field out; a long payload is deflated and inflated in pieces, and held whole only as a row; an empty table gives no archives and no rows; extra columns are not archived.
 """
 
 from __future__ import annotations
@@ -27,14 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import modest_batches, shared_dir, written
+from .common import fresh, parts, released, shared_dir, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 6
 CHUNK = 1 << 16
 FILE_BYTES = 256 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
+#: Payloads that stand more than once, up to which their digests are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def base32(digest: bytes) -> str:
@@ -66,14 +68,23 @@ def member(data: bytes) -> bytes:
 
 
 def with_revisits(pages: DataFrame, *, id: str = "page_id", payload: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
-    """pages with refers_to: the smallest id with an equal payload, null on that row itself. Only payloads that
-    stand more than once are joined back, by their digest."""
+    """pages with refers_to: the smallest id with an equal payload, null on that row itself. Digests and ids are
+    shuffled, payloads stay where they are: few repeated digests go to them, many find their rows by id and digest,
+    so that copies of one page are spread by their ids."""
     data = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    keyed = pages.withColumn("_digest", F.sha1(data))
-    long_enough = keyed.filter(F.length(data) >= min_revisit_bytes)
-    firsts = long_enough.groupBy("_digest").agg(F.min(id).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("_digest").alias("_same"), "_first")
-    joined = keyed.join(firsts, F.col("_digest") == F.col("_same"), "left")
-    return joined.withColumn("refers_to", F.when(F.col("_first") < F.col(id), F.col("_first"))).drop("_digest", "_same", "_first")
+    light = pages.filter(F.length(data) >= min_revisit_bytes).select(F.col(id).alias("_id"), F.unhex(F.sha1(data)).alias("_digest"))
+    firsts = written(light.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_digest", "_first"), "repeated")
+    digest, same, first = fresh(pages, "_digest", "_same", "_first")
+    keyed = pages.withColumn(digest, F.when(F.length(data) >= min_revisit_bytes, F.unhex(F.sha1(data))))
+    if firsts.count() <= BROADCAST_ROWS:
+        joined = keyed.join(F.broadcast(firsts.toDF(same, first)), F.col(digest) == F.col(same), "left").drop(same)
+        refers = F.when(F.col(first) < F.col(id), F.col(first))
+    else:
+        (number,) = fresh(pages, "_number")
+        later = light.join(firsts, "_digest").filter(F.col("_first") < F.col("_id")).select("_id", "_digest", "_first").distinct().toDF(number, same, first)
+        joined = keyed.join(later, (F.col(id) == F.col(number)) & (F.col(digest) == F.col(same)), "left").drop(number, same)
+        refers = F.col(first)
+    return joined.withColumn("refers_to", refers).drop(digest, first)
 
 
 def write_archives(pages: DataFrame, *, id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
@@ -91,21 +102,22 @@ def write_archives(pages: DataFrame, *, id: str = "page_id", url: str = "url", p
             done.append((path, records, size))
 
         for batch in batches:
-            for page_id, uri, text, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if out is None:
-                    path, records, size = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{n:04d}.warc.gz", 0, 0
-                    out, n = store.open_output_stream(path), n + 1
-                data = member(record(page_id, uri, (text or "").encode("utf-8", "surrogatepass"), first))
-                out.write(data)
-                records, size = records + 1, size + len(data)
-                if size >= FILE_BYTES:
-                    close()
-                    out = None
+            for part in parts(batch, 2):
+                for page_id, uri, text, first in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if out is None:
+                        path, records, size = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{n:04d}.warc.gz", 0, 0
+                        out, n = store.open_output_stream(path), n + 1
+                    data = member(record(page_id, uri, (text or "").encode("utf-8", "surrogatepass"), first))
+                    out.write(data)
+                    records, size = records + 1, size + len(data)
+                    if size >= FILE_BYTES:
+                        close()
+                        out = None
         if out is not None:
             close()
         yield pa.RecordBatch.from_pydict({"path": [d[0] for d in done], "n_records": [d[1] for d in done], "n_bytes": [d[2] for d in done]}, schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
 
-    manifest = written(modest_batches(rows).mapInArrow(run, "path string, n_records long, n_bytes long"), "warc-manifest")
+    manifest = written(rows.mapInArrow(released(run), "path string, n_records long, n_bytes long"), "warc-manifest")
     return manifest.withColumn("store", F.lit(target))
 
 
@@ -220,4 +232,4 @@ def read_archives(manifest: DataFrame, *, keep_payload: bool = False) -> DataFra
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=RECORD)
 
-    return spread.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return spread.mapInArrow(released(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
