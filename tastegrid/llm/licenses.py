@@ -1,13 +1,19 @@
 """License scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-The units of a text are its lines, its paragraphs (between blank lines) and the whole text. A unit is lower
-case with runs of other than letters and digits as one space. Dice = 2 * shared / (unit + template) over sets
-of bigrams; a unit is a match from MIN_DICE on. As Dice is at most 2 * less / (less + more), only templates
+The units of a text are its lines, its paragraphs (between blank lines), the whole text, and windows of its words. A
+unit is lower case with runs of other than letters and digits as one space. Dice = 2 * shared / (unit + template)
+over sets of bigrams; a unit is a match from MIN_DICE on. As Dice is at most 2 * less / (less + more), only templates
 between size * MIN_DICE / (2 - MIN_DICE) and the inverse are compared. A match shares so many of a template's
-bigrams that it must hold one of a few key words; texts without any are settled by that. DataFrame functions only.
+bigrams that it must hold one of a few key words; texts without any are settled by that.
+
+A window finds a notice inside a longer line, or wrapped over some lines of a paragraph: wherever a template's key
+word stands in the text, as many words as the template has are laid where it would begin. Of windows that overlap
+and match, the best one counts. DataFrame functions only.
 
 Cases: a null or empty text has no matches; a unit of fewer than two words has no bigrams and never matches;
-ties in Dice go to the lesser template name; repeated rows are scanned alike; extra columns pass through.
+ties in Dice go to the lesser template name; a very long text is one row whose work grows with its length; repeated
+rows are scanned alike; an empty table gives an empty result; extra columns pass through unless they carry the name
+matches.
 """
 
 from __future__ import annotations
@@ -18,6 +24,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound, fresh
+
 MIN_DICE = 0.8
 
 #: Licence notices and texts as they stand in files and pages (fixed values).
@@ -200,28 +208,76 @@ def key_words(templates=TEMPLATES, min_dice: float = MIN_DICE) -> list[str]:
     least size that the bound lets through. Hence b - need + 1 bigrams that hold a key word suffice.
     The longest words are taken first: they are rare in prose, and any choice is sound.
     """
-    found: set[str] = set()
-    for _, text in templates:
-        grams = [set(g.split()) for g in bigrams(normal(text))]
-        least = max(1, math.ceil(len(grams) * min_dice / (2 - min_dice) - 1e-9))
-        spare = len(grams) - math.ceil(min_dice / 2 * (least + len(grams)) - 1e-9) + 1
-        by_length = iter(sorted(set(normal(text)), key=lambda w: (-len(w), w)))
-        while sum(bool(g & found) for g in grams) < spare:
-            found.add(next(by_length))
+    found = {w for _, text in templates for w in own_key_words(text, min_dice)}
     return sorted(w for w in found if not any(x != w and x in w for x in found))
 
 
+def own_key_words(text: str, min_dice: float = MIN_DICE) -> set[str]:
+    """Words of which every match of a template holds one."""
+    found: set[str] = set()
+    grams = [set(g.split()) for g in bigrams(normal(text))]
+    least = max(1, math.ceil(len(grams) * min_dice / (2 - min_dice) - 1e-9))
+    spare = len(grams) - math.ceil(min_dice / 2 * (least + len(grams)) - 1e-9) + 1
+    by_length = iter(sorted(set(normal(text)), key=lambda w: (-len(w), w)))
+    while sum(bool(g & found) for g in grams) < spare:
+        found.add(next(by_length))
+    return found
+
+
+def anchors(templates=TEMPLATES, min_dice: float = MIN_DICE) -> list[tuple[str, int, int]]:
+    """(word, template, place): where the key words of each template stand in it."""
+    out = []
+    for i, (_, text) in enumerate(templates):
+        keys = own_key_words(text, min_dice)
+        out += [(w, i, at) for at, w in enumerate(normal(text)) if w in keys]
+    return out
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda x: x != "")
+
+
+def _pairs(w: Column) -> Column:
+    """Each word with the one after it."""
+    return F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+
+
 def _unit_bigrams(unit: Column) -> Column:
     """Distinct word bigrams of a unit."""
-    w = F.filter(F.split(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " "), " "), lambda x: x != "")
-    pairs = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.element_at(F.transform(F.array(w), pairs), 1))
+    return F.array_distinct(bound(_words(unit), _pairs))
+
+
+def _negative_dice(g: Column, t: Column) -> Column:
+    return F.size(F.array_intersect(g, t)) * -2.0 / (F.size(g) + F.size(t))
+
+
+def _window_matches(w: Column, known: Column, templates, min_dice: float) -> Column:
+    """The best of the windows of words w that match and overlap: dice (negative), license, template."""
+    places: dict[str, list[tuple[int, int]]] = {}
+    for word, template, at in anchors(templates, min_dice):
+        places.setdefault(word, []).append((template, at))
+    of_word = F.create_map(*[c for word, found in sorted(places.items()) for c in (F.lit(word), F.array(*[F.struct(F.lit(t).alias("template"), F.lit(at).alias("at")) for t, at in found]))])
+    hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("i"))), lambda h: h["word"].isin(*places))
+    laid = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(of_word, h["word"]), lambda a: F.struct((h["i"] - a["at"]).alias("start"), a["template"].alias("template"))))))
+    pairs = lambda b: F.transform(laid, lambda c: rated(b, c, F.element_at(known, c["template"] + 1)))
+
+    def rated(b: Column, c: Column, t: Column) -> Column:
+        from_ = F.greatest(c["start"], F.lit(0))
+        g = F.array_distinct(F.slice(b, from_ + 1, F.greatest(c["start"] + t["words"] - 1 - from_, F.lit(0))))
+        return F.struct(_negative_dice(g, t["grams"]).alias("dice"), t["license"].alias("license"), c["template"].alias("template"), c["start"].alias("start"), (c["start"] + t["words"]).alias("end"))
+
+    def best(m: Column) -> Column:
+        beaten = lambda x: F.exists(m, lambda y: (y < x) & (y["start"] < x["end"]) & (x["start"] < y["end"]))
+        return F.transform(F.filter(m, lambda x: ~beaten(x)), lambda x: F.struct(x["dice"].alias("dice"), x["license"].alias("license"), x["template"].alias("template")))
+
+    matches = F.filter(bound(_pairs(w), pairs), lambda m: m["dice"] <= -min_dice)
+    return F.when(F.exists(w, lambda x: x.isin(*places)), bound(matches, best))
 
 
 def scanned(docs: DataFrame, templates=TEMPLATES, min_dice: float = MIN_DICE) -> DataFrame:
     """docs with matches: the best (dice, license, template) of each unit that has one, distinct, best first."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(i).alias("template"), F.array(*map(F.lit, bigrams(normal(t)))).alias("grams")) for i, (name, t) in enumerate(templates)])
+    known = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(i).alias("template"), F.lit(len(normal(t))).alias("words"), F.array(*map(F.lit, bigrams(normal(t)))).alias("grams")) for i, (name, t) in enumerate(templates)])
     sizes = [len(bigrams(normal(t))) for _, t in templates]
     low, high = min(sizes) * min_dice / (2 - min_dice), max(sizes) * (2 - min_dice) / min_dice
     lowered = F.lower(text)
@@ -229,19 +285,21 @@ def scanned(docs: DataFrame, templates=TEMPLATES, min_dice: float = MIN_DICE) ->
     for word in key_words(templates, min_dice):
         hopeful = hopeful | lowered.contains(word)
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n\s*\n"), F.array(text)))
-    bound = lambda a, b: (a >= b * (min_dice / (2 - min_dice)) - 1e-9) & (a * (min_dice / (2 - min_dice)) - 1e-9 <= b)
+    in_bounds = lambda a, b: (a >= b * (min_dice / (2 - min_dice)) - 1e-9) & (a * (min_dice / (2 - min_dice)) - 1e-9 <= b)
 
     def against(g: Column) -> Column:
-        near = F.filter(known, lambda t: bound(F.size(g), F.size(t["grams"])))
-        rated = F.transform(near, lambda t: F.struct((F.size(F.array_intersect(g, t["grams"])) * -2.0 / (F.size(g) + F.size(t["grams"]))).alias("dice"), t["license"].alias("license"), t["template"].alias("template")))
+        near = F.filter(known, lambda t: in_bounds(F.size(g), F.size(t["grams"])))
+        rated = F.transform(near, lambda t: F.struct(_negative_dice(g, t["grams"]).alias("dice"), t["license"].alias("license"), t["template"].alias("template")))
         return F.array_min(F.filter(rated, lambda r: r["dice"] <= -min_dice))
 
     kind = "array<struct<dice:double,license:string,template:int>>"
-    out = docs.withColumn("_units", F.when(hopeful, units).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("_grams", F.filter(F.transform("_units", _unit_bigrams), lambda g: F.size(g).between(low - 1e-9, high + 1e-9)))
-    found = F.array_sort(F.array_distinct(F.filter(F.transform("_grams", against), lambda m: m.isNotNull())))
+    unit, gram, window = fresh(docs, "_units", "_grams", "_windows")
+    out = docs.withColumn(unit, F.when(hopeful, units).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn(gram, F.filter(F.transform(unit, _unit_bigrams), lambda g: F.size(g).between(low - 1e-9, high + 1e-9)))
+    out = out.withColumn(window, F.coalesce(F.when(F.size(unit) > 0, bound(_words(text), lambda w: _window_matches(w, known, templates, min_dice))), F.array().cast(kind)))
+    found = F.array_sort(F.array_distinct(F.concat(F.filter(F.transform(gram, against), lambda m: m.isNotNull()), F.col(window))))
     best = F.transform(found, lambda m: F.struct((-m["dice"]).alias("dice"), m["license"].alias("license"), m["template"].alias("template")))
-    return out.withColumn("matches", F.when(F.size("_grams") > 0, best).otherwise(F.array().cast(kind))).drop("_units", "_grams")
+    return out.withColumn("matches", F.when((F.size(gram) > 0) | (F.size(window) > 0), best).otherwise(F.array().cast(kind))).drop(unit, gram, window)
 
 
 def license_report(docs: DataFrame) -> DataFrame:

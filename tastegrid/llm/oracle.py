@@ -39,6 +39,23 @@ SHARDING = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(d
   SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY {_hash48('k', "'slot'")} * 256 // 281474976710656, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM sized"""
 
 _W = list(mixing.WEIGHTS)
+_LEVELS = mixing.N_SHARDS.bit_length() - 1
+
+
+def _room(shard: str) -> str:
+    """The blocks that the shards before have, of n in all."""
+    return f"({shard} * (n // {mixing.N_SHARDS}) + least({shard}, n % {mixing.N_SHARDS}))"
+
+
+def _split(level: int) -> str:
+    """The nodes of one level of the tree of blocks, from those of the level above; N_SHARDS is a power of 2."""
+    width = mixing.N_SHARDS >> level
+    key = f"lo || '-' || (lo + {width}) || ':' || s"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY lo ORDER BY {_hash48(key, 'b')}, s, b) AS k FROM node{level}"
+    return f"node{level + 1} AS (SELECT s, b, lo + CASE WHEN k <= {_room(f'(lo + {width // 2})')} - {_room('lo')} THEN 0 ELSE {width // 2} END AS lo FROM ({ranked}), total)"
+
+
+_TREE = ", ".join(map(_split, range(_LEVELS)))
 MIXING = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {WORD})), 0) AS size, {_hash48("coalesce(doc_id::VARCHAR, '')", "'mix'")} AS h FROM documents),
   s AS (SELECT source, sum(size) AS source_size, list_extract(CAST({_W} AS DOUBLE[]), ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(_W)})::INT + 1) AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
   c AS (SELECT *, source_size * {mixing.MAX_REPEATS} AS cap, source_size * {mixing.MAX_REPEATS} / weight AS ratio, sum(source_size) OVER () AS total FROM s),
@@ -46,8 +63,15 @@ MIXING = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(t
   t AS (SELECT source, source_size::BIGINT AS source_size, coalesce(least(cap::DOUBLE, (SELECT arg_min(level, (ratio, r)) FROM l WHERE level <= ratio) * weight), 0.0) AS target FROM l),
   p AS (SELECT d.*, source_size, target, floor(target + 0.5)::BIGINT AS take, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
   q AS (SELECT *, CASE WHEN source_size > 0 THEN take // source_size ELSE 0 END AS passes FROM p),
-  x AS (SELECT *, greatest(0, least(take - passes * source_size - before, size)) AS extra FROM q)
-  SELECT doc_id, size::BIGINT AS size, source_size, target, (passes * size + extra)::BIGINT AS taken, CASE WHEN size > 0 THEN passes ELSE 0 END + (extra > 0)::BIGINT AS n_copies FROM x"""
+  x AS (SELECT *, greatest(0, least(take - passes * source_size - before, size)) AS extra FROM q),
+  n AS (SELECT greatest({mixing.BLOCK_WORDS}, coalesce(sum(floor(target + 0.5)), 0)::BIGINT // {mixing.MAX_BLOCKS} + 1) AS length FROM t),
+  b AS (SELECT r - 1 AS s, unnest(range((floor(target + 0.5)::BIGINT + length - 1) // length)) AS b FROM t JOIN s ON t.source IS NOT DISTINCT FROM s.source, n),
+  total AS (SELECT count(*) AS n FROM b), node0 AS (SELECT s, b, 0 AS lo FROM b), {_TREE},
+  firsts AS (SELECT s, list(f ORDER BY shard) AS firsts FROM (SELECT s.r - 1 AS s, shard, (SELECT count(*) FROM node{_LEVELS} m WHERE m.s = s.r - 1 AND m.lo < shard) AS f FROM s, range({mixing.N_SHARDS}) g(shard)) GROUP BY 1),
+  y AS (SELECT x.*, list_transform(list_filter(range({mixing.MAX_REPEATS + 1}), lambda c: size > 0 AND (c < passes OR c = passes AND extra > 0)), lambda c: (c * x.source_size + before)::BIGINT // length) AS blocks, firsts
+    FROM x JOIN s ON x.source IS NOT DISTINCT FROM s.source JOIN firsts ON firsts.s = s.r - 1, n)
+  SELECT doc_id, size::BIGINT AS size, source_size, target, (passes * size + extra)::BIGINT AS taken, len(blocks)::BIGINT AS n_copies, array_to_string(blocks, ',') AS blocks,
+    array_to_string(list_transform(blocks, lambda k: len(list_filter(firsts, lambda f: f <= k)) - 1), ',') AS shards FROM y"""
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {WORD}) AS w FROM documents),
@@ -67,7 +91,7 @@ QUALITY = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, tex
   dup AS (SELECT rid, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM ln WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
   clean AS (SELECT rid, doc_id, source, t, trim(regexp_replace(lower(line), {SPACE}, ' ', 'g')) AS line FROM ln WHERE trim(regexp_replace(line, {SPACE}, ' ', 'g')) <> ''),
   hosts AS (SELECT source, count(DISTINCT t) AS of_host FROM d GROUP BY 1),
-  often AS (SELECT c.source, line, min(doc_id) AS first FROM clean c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source GROUP BY c.source, line, of_host HAVING count(DISTINCT t) > {quality_rules.MIN_LINE_DOCUMENTS} AND count(DISTINCT t) > of_host * {quality_rules.LINE_DOCUMENT_SHARE}),
+  often AS (SELECT c.source, line, min(doc_id) AS first FROM clean c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source GROUP BY c.source, line, of_host HAVING count(DISTINCT t) > greatest({quality_rules.MIN_LINE_DOCUMENTS}, least({quality_rules.MOST_LINE_DOCUMENTS}, of_host * {quality_rules.LINE_DOCUMENT_SHARE}))),
   gone AS (SELECT rid, sum(len(string_split(c.line, ' ')))::BIGINT AS n FROM clean c JOIN often o ON c.source IS NOT DISTINCT FROM o.source AND c.line = o.line AND c.doc_id IS DISTINCT FROM o.first GROUP BY 1),
   x AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, {SPACE}, '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n, 0) AS n_removed_words FROM d LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid)),
@@ -84,13 +108,22 @@ HAMMING = """WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: (x >
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d) SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10"""
 
 _GRAMS = [licenses.bigrams(licenses.normal(t)) for _, t in licenses.TEMPLATES]
+_ANCHORS = licenses.anchors()
 LICENSES = f"""WITH t AS (SELECT unnest({[n for n, _ in licenses.TEMPLATES]}) AS license, unnest(range({len(_GRAMS)})) AS template, unnest({_GRAMS}) AS grams),
+  k AS (SELECT unnest(range({len(_GRAMS)})) AS template, unnest({[len(licenses.normal(x)) for _, x in licenses.TEMPLATES]}) AS words),
   u AS (SELECT rid, doc_id, unnest(list_distinct(list_concat(list_concat(string_split(x, chr(10)), regexp_split_to_array(x, '\\n\\s*\\n')), [x]))) AS u FROM (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents)),
   w AS (SELECT rid, doc_id, list_filter(string_split(regexp_replace(lower(u), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM u WHERE regexp_matches(lower(u), '{"|".join(licenses.key_words())}')),
   g AS (SELECT DISTINCT rid, doc_id, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]))) AS g FROM w WHERE len(w) > 1),
   m AS (SELECT rid, g, license, template, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM g, t),
   best AS (SELECT rid, g, arg_min((license, template, dice), (-dice, license, template)) AS b FROM m WHERE dice >= {licenses.MIN_DICE} GROUP BY 1, 2),
-  docs AS (SELECT rid, count(DISTINCT b) AS n_matches, array_to_string(list_sort(list_distinct(list(b[1]))), ',') AS licenses, arg_min(b, (-b[3], b[1], b[2])) AS top FROM best GROUP BY 1)
+  a AS (SELECT unnest({[w for w, _, _ in _ANCHORS]}) AS word, unnest({[t for _, t, _ in _ANCHORS]}) AS template, unnest({[p for _, _, p in _ANCHORS]}) AS place),
+  e AS (SELECT rid, list_filter(string_split(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM (SELECT row_number() OVER () AS rid, coalesce(text, '') AS x FROM documents)),
+  h AS (SELECT DISTINCT p.rid, p.w, template, i - 1 - place AS start FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM e) p JOIN a ON p.w[p.i] = a.word),
+  v AS (SELECT rid, h.template, license, start, start + words AS stop, grams, list_distinct(list_transform(range(greatest(start, 0) + 1, least(start + words, len(w)::BIGINT)), lambda i: w[i] || ' ' || w[i+1])) AS g FROM h JOIN t USING (template) JOIN k USING (template)),
+  z AS (SELECT rid, template, license, start, stop, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM v),
+  zz AS (SELECT * FROM z WHERE dice >= {licenses.MIN_DICE}),
+  best2 AS (SELECT rid, b FROM best UNION ALL SELECT rid, (license, template, dice) FROM zz x WHERE NOT EXISTS (SELECT 1 FROM zz y WHERE y.rid = x.rid AND (-y.dice, y.license, y.template, y.start) < (-x.dice, x.license, x.template, x.start) AND y.start < x.stop AND x.start < y.stop)),
+  docs AS (SELECT rid, count(DISTINCT b) AS n_matches, array_to_string(list_sort(list_distinct(list(b[1]))), ',') AS licenses, arg_min(b, (-b[3], b[1], b[2])) AS top FROM best2 GROUP BY 1)
   SELECT doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, top[1] AS best_license, coalesce(top[3], 0.0)::DOUBLE AS best_dice FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) LEFT JOIN docs USING (rid)"""
 
 SQL: dict[str, str] = {

@@ -20,7 +20,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = written(mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"), "sizes")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"))
+    named = lambda field: F.array_join(F.transform("copies", lambda c: c[field].cast("string")), ",")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"), named("block").alias("blocks"), named("shard").alias("shards"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
