@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tastegrid.llm import licenses, mixing, quality_rules, sharding
+from tests.llm import plain
 
 ODD = [(1, "one two three"), (2, None), (3, ""), (4, " \n\t"), (1, "one two three"), (None, "null id here"), (7, "x " * 30_000), (8, "é ü z")]
 
@@ -51,21 +52,14 @@ def test_quota_tree_is_exact():
     assert (mixing.split_quotas(quotas, 5) == shares).all()
 
 
-def _water_fill(sizes, weights, cap):
-    total, targets, open_ = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
-    left = float(total)
-    while open_:
-        w = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / w > cap * sizes[i] + 1e-9]
-        if not over:
-            for i in open_:
-                targets[i] = left * weights[i] / w
-            break
-        for i in over:
-            targets[i] = cap * sizes[i]
-            left -= targets[i]
-            open_.remove(i)
-    return targets
+def test_quota_tree_draws_at_random():
+    """A shard's blocks of a source spread as a hypergeometric draw does: mean and variance over many sources."""
+    n, each, shards = 400, 64, 16
+    shares = mixing.split_quotas(np.full(n, each), shards).astype(float)
+    p = 1 / shards
+    assert abs(shares.mean() - each * p) < 1e-9
+    want = each * p * (1 - p) * (n * each - each) / (n * each - 1)
+    assert abs(shares.var() / want - 1) < 0.1
 
 
 def test_mixing_targets_and_takes(docs):
@@ -75,7 +69,7 @@ def test_mixing_targets_and_takes(docs):
     assert len(out) == len(rows)
     names = sorted({r["source"] for r in out if r["source"]}, key=str.encode) + [None]
     sizes = [sum(r["size"] for r in out if r["source"] == n) for n in names]
-    want = _water_fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], 3)
+    want = plain.water_fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], 3)
     for n, s, t in zip(names, sizes, want, strict=True):
         mine = [r for r in out if r["source"] == n]
         assert all(r["source_size"] == s and math.isclose(r["target"], t, rel_tol=1e-9) for r in mine)
@@ -94,18 +88,37 @@ def test_mixing_whole_copies_and_empty(docs):
     assert all(r["words"] == r["size"] for r in mixing.drawn(mixing.mix(sized, cut="whole")).collect())
     assert mixing.mix(mixing.sized(docs([], extra=False))).count() == 0
     assert [r["taken"] for r in mixing.mix(mixing.sized(docs([(1, None), (2, "")], extra=False))).collect()] == [0, 0]
-    assert mixing.shuffled(mixing.mix(sized)).count() >= 60
 
 
-def _counts(text):
-    import re
-
-    t = text or ""
-    w = re.findall(r"[^\x20\x09-\x0D]+", t)
-    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-    hit = {i + k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(5)}
-    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
+def test_mixing_shards(docs):
+    """The rows bear out the tree: blocks are disjoint, shards differ by one block at most, quotas are exact, and a
+    shard's copies stand together in an order that is neither that of ids nor that of blocks."""
+    rows = [(i, "w " * (i % 5 + 1), f"s{i % 3}") for i in range(900)]
+    mixed = mixing.mix(mixing.sized(docs(rows, extra=False)), n_shards=8, block_words=6).cache()
+    blocks, takes = {}, {}
+    for r in mixed.collect():
+        takes[r["source"]] = math.floor(r["target"] + 0.5)
+        for c in r["copies"]:
+            assert blocks.setdefault((r["source"], c["block"]), c["shard"]) == c["shard"]
+    # texts are shorter than a block, so a copy begins in every block but perhaps a source's last
+    quotas = {s: -(-t // 6) for s, t in takes.items()}
+    want = mixing.split_quotas(np.array([quotas[s] for s in sorted(quotas)]), 8)
+    for k, s in enumerate(sorted(quotas)):
+        got = Counter(shard for (source, _), shard in blocks.items() if source == s)
+        assert quotas[s] - 1 <= sum(got.values()) <= quotas[s]
+        assert all(0 <= want[shard, k] - got[shard] <= 1 for shard in range(8)) and len(set(want[:, k])) > 1
+    out = [r for part in mixing.shuffled(mixed).rdd.glom().collect() for r in part]
+    assert Counter((r["doc_id"], r["copy"]) for r in out) == Counter((r["doc_id"], c["copy"]) for r in mixed.collect() for c in r["copies"])
+    assert [r["shard"] for r in out] == sorted(r["shard"] for r in out)
+    first = [(r["source"], r["block"]) for r in out if r["shard"] == 0]
+    assert first != sorted(first) and len(set(first[: len(first) // 2]) & set(first[len(first) // 2 :])) > 5
+
+
+def test_mixing_clashing_names(docs):
+    df = mixing.sized(docs([(i, "w " * 5, "ab"[i % 2]) for i in range(40)], extra=False)).withColumns({c: F.lit("own") for c in ("target", "source_size", "_take", "_plan", "_bucket", "_h", "copies", "shard", "words")})
+    out = mixing.mix(df)
+    assert out.count() == 40 and {r["_plan"] for r in out.collect()} == {"own"} and out.filter("target > 50").count() > 0
+    assert mixing.shuffled(out).count() >= 30
 
 
 def test_quality_counts(docs):
@@ -113,7 +126,7 @@ def test_quality_counts(docs):
     got = {r["doc_id"]: r for r in quality_rules.judged(docs(list(enumerate(texts)))).collect()}
     for i, t in enumerate(texts):
         r = got[i]
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == _counts(t), (i, t[:40] if t else t)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == plain.counts(t), (i, t[:40] if t else t)
         assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
         assert r["extra"] == "own"
 
@@ -129,6 +142,26 @@ def test_quality_depletion(docs):
     assert quality_rules.judged(docs([])).count() == 0
 
 
+def test_limits_by_host_size(docs):
+    """The limit is a share of the host's documents, never under the least and never over the most."""
+    rows = [(i, "\n".join(f"line {k} of the host" for k in range(i, 40)) + f"\nalone {i} " + "w " * 20, "a") for i in range(40)]
+    for least, share, most in ((3, 0.02, 1000), (3, 0.5, 1000), (3, 0.5, 9)):
+        limit = max(least, min(most, share * 40))
+        got = {r["doc_id"]: r["n_removed_words"] for r in quality_rules.judged(docs(rows), min_documents=least, share=share, most_documents=most).collect()}
+        # line k stands in documents 0 to k
+        assert got == {i: sum(5 for k in range(i, 40) if k + 1 > limit and i > 0) for i in range(40)}
+
+
+def test_rules_clashing_names(docs):
+    rows = [(i, f"shared by all of them\nown line {i} " + " ".join(f"x{i}y{k}" for k in range(12))) for i in range(20)]
+    names = ("_id", "_removed", "_words", "_key", "gone", "host", "document", "line", "n", "first", "kept")
+    df = docs(rows, extra=False).withColumns({c: F.lit("own") for c in names})
+    out = quality_rules.judged(df).collect()
+    assert len(out) == 20 and sum(r["n_removed_words"] for r in out) == 19 * 5 and {r["_removed"] for r in out} == {"own"}
+    back = quality_rules.cleaned(df)
+    assert back.columns == df.columns and {r["kept"] for r in back.collect()} == {"own"}
+
+
 def test_licenses(docs):
     rows = [(1, "Some text.\nReleased under the MIT License.\nmore"), (2, "released UNDER the mit license"), (3, None), (4, ""), (5, "under the license of nobody"), (6, "Licensed under CC BY 4.0."), (7, "Licensed under CC BY-NC 4.0."), (8, "x " * 40_000 + "\nAll rights reserved."), (9, "This work is licensed under the GNU\nGeneral Public License, version 3.\n\nend")]
     out = {r["doc_id"]: r["matches"] for r in licenses.scanned(docs(rows)).collect()}
@@ -138,6 +171,25 @@ def test_licenses(docs):
     assert licenses.scanned(docs([])).count() == 0
 
 
+def test_planted_notices(docs):
+    """Every template within a line of prose, wrapped over commented lines of a paragraph, and with a word in 25
+    changed: its licence is found in nine of ten at least. Prose alone has none."""
+    rnd = np.random.default_rng(4)
+    prose = lambda n: " ".join("".join(rnd.choice(list("etaoinshrdlu"), rnd.integers(2, 9))) for _ in range(n))
+    rows, want = [], {}
+    for name, text in licenses.TEMPLATES:
+        words = text.split()
+        noisy = [prose(1) if rnd.random() < 0.04 else w for w in words]
+        lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+        for planted in (f"{prose(30)} {text} {prose(20)}", "\n".join(f"# {x}" for x in [prose(9), *lines, prose(7)]), f"{prose(12)} {' '.join(noisy)} {prose(40)}"):
+            want[len(rows)] = name
+            rows.append((len(rows), f"{prose(60)}\n{planted}\n{prose(50)}"))
+    rows += [(10_000 + i, prose(400)) for i in range(30)]
+    out = {r["doc_id"]: {m["license"] for m in r["matches"]} for r in licenses.scanned(docs(rows)).collect()}
+    assert sum(want[i] in out[i] for i in want) >= 0.9 * len(want)
+    assert not any(out[i] for i in range(10_000, 10_030))
+
+
 def test_key_words_are_sound():
     """Whatever matches a template holds a key word: the bigrams without one are too few for the least Dice."""
     keys = licenses.key_words()

@@ -26,13 +26,16 @@ def test_every_operator_has_a_query():
 
 
 def test_rules_as_sql_above_the_limits(spark, tmp_path):
-    """Lines in more than the default limits of a host, just at them and below; documents of little else, and none."""
+    """Lines above, at and below the default limits of hosts large and small; documents of little else, and none."""
     body = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
     long = " ".join(f"b{k}" for k in range(300))
-    rows = [(i, f"Read  more\n{body(i, 20)}\n" + ("read MORE\n" if i % 2 else ""), "a") for i in range(101)]
-    rows += [(200 + i, f"At the limit\n{body(200 + i, 12)}", "a") for i in range(100)]
-    rows += [(400 + i, f"{long}\n{body(400 + i, 3 if i % 2 else 60)}", "b") for i in range(120)]
-    rows += [(600 + i, f"{body(600 + i, 15)}\nread more", "c") for i in range(50)] + [(700, None, "a"), (701, "read more", None)]
+    # host a has 204 distinct texts, so 4 documents may share a line
+    rows = [(i, f"Read  more\n{body(i, 20)}\n" + ("read MORE\n" if i % 2 else ""), "a") for i in range(5)]
+    rows += [(10 + i, f"At the limit\n{body(10 + i, 12)}", "a") for i in range(4)] + [(20 + i, body(20 + i, 12), "a") for i in range(193)]
+    rows += [(400 + i, f"{long}\n{body(400 + i, 3 if i % 2 else 200)}", "b") for i in range(120)]
+    # in a small host three documents may
+    rows += [(600 + i, f"{body(600 + i, 15)}\nread more" + ("\nonly these" if i < 3 else ""), "c") for i in range(4)] + [(700, None, "a"), (701, "read more", None)]
+    rows += [(800, rows[0][1], "a"), (0, rows[0][1], "a")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
@@ -40,5 +43,5 @@ def test_rules_as_sql_above_the_limits(spark, tmp_path):
     rel = con.sql(oracle.SQL["op4_quality_rules"])
     got = df.collect()
     compare([tuple(r) for r in got], df.columns, rel.fetchall(), list(rel.columns))
-    assert sum(r["n_removed_words"] > 0 for r in got) == 100 + 119
+    assert sum(r["n_removed_words"] > 0 for r in got) == 4 + 1 + 119 + 3
     assert sum(not r["base_failed"] and not r["kept"] for r in got) == 60

@@ -13,33 +13,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastegrid.llm import bpe, components, html_text, jaccard_join, quality_classifier, shingles, warc
+from tests.llm import plain
 from tests.llm.test_rows import ODD
 
 SF = "/root/testdata/sf0.001"
 
 
-def plain_groups(rows, n, percent):
-    """Every pair compared."""
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = []
-    for i, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
-        sets.append((i, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())))
-    root = {i: i for i, _ in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, (i, x) in enumerate(sets):
-        for j, y in sets[:a]:
-            if x and y and 100 * len(x & y) >= percent * len(x | y):
-                p, q = find(i), find(j)
-                root[max(p, q)] = min(p, q)
-    return {i: (len(x), find(i)) for i, x in sets}
-
-
 def _family(rnd, base, n, edits):
     out = []
     for _ in range(n):
@@ -62,7 +41,7 @@ def test_groups_against_all_pairs(docs, monkeypatch, n, percent, block):
     texts += ["a b", "A  b", "a", "", None, " \n", "one two three four", "é Ä"] + [" ".join(words(20_000))] * 2
     rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.groups(docs(rows), n, percent).collect()}
-    assert got == plain_groups(rows, n, percent)
+    assert got == plain.groups(rows, n, percent)
 
 
 @pytest.mark.parametrize("cheap", [1, 2, 3, 4])
@@ -77,13 +56,15 @@ def test_links_between_demands(docs, monkeypatch, cheap):
         texts += [" ".join((both if k < 4 else []) + late + [f"r{i}x{k}x{j}" for j in range(800)]) for k in range(12)]
     rows = list(enumerate(texts))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.groups(docs(rows, extra=False), 1, 85).collect()}
-    assert got == plain_groups(rows, 1, 85)
+    assert got == plain.groups(rows, 1, 85)
 
 
 def test_groups_odd_rows(docs):
     out = jaccard_join.groups(docs(ODD), 4, 85).collect()
     assert len(out) == len(ODD) and {r["component_id"] for r in out if r["doc_id"] is None} == {None}
     assert jaccard_join.groups(docs([])).count() == 0
+    left = jaccard_join.deduplicated(docs([(1, "a b c d e f"), (2, "a b c d e f")]).withColumns({c: F.lit("own") for c in ("_id", "_n", "component_id", "key")}))
+    assert [(r["doc_id"], r["_id"]) for r in left.collect()] == [(1, "own")]
     left = jaccard_join.deduplicated(docs([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, None), (None, "x y")]))
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 3, 4]
 
@@ -94,6 +75,26 @@ def test_components_of_paths_and_stars(spark):
     assert got == {i: 100 for i in range(100, 161)} | {i: 5 for i in range(5, 30)} | {200: 200, 201: 200}
 
 
+def test_shingles_of_long_words_and_texts(monkeypatch):
+    """Pieces of any length give the same sets, words that lie across them too."""
+    texts = [b"a" * 1000 + b" b c d", b"x y z " * 300, b"", b"q" * 37]
+    want = shingles.shingle_sets(texts, 4)
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(shingles, "PIECE", piece)
+        assert all((a == b).all() for a, b in zip(shingles.shingle_sets(texts, 4), want, strict=True))
+
+
+def test_products_in_turns(monkeypatch):
+    rnd = np.random.default_rng(1)
+    tokens = [np.unique(rnd.integers(-(2**62), 2**62, 40)) for _ in range(6)]
+    tokens = [np.unique(np.concatenate((t, tokens[0][: 5 * i]))) for i, t in enumerate(tokens)]
+    want = [[len(np.intersect1d(a, b)) for b in tokens] for a in tokens]
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(jaccard_join, "PRODUCT_TOKENS", most)
+        got = jaccard_join._shared_counts(tokens)
+        assert all(got[i][j] == want[i][j] for i in range(6) for j in range(6) if i != j)
+
+
 def test_shingles_do_not_depend_on_batches():
     texts = [b"A b  c d e", b"", b"a B c d e", b"x", b"a b c d"]
     together = shingles.shingle_sets(texts, 4)
@@ -198,15 +199,96 @@ def test_main_text_of_pages():
 
 def test_main_text_cases(spark):
     for page in html_text.LABELLED:
-        found = html_text.blocks(page)
-        kept = [x for x in html_text.main_text(page).split("\n") if x]
-        assert kept == [" ".join("".join(b.raw).split()) for b in found if "".join(b.raw).lstrip()[0] == "+"]
+        bare = re.sub(r"(?<=>)[+-]", "", page)
+        wanted = [b for b, marked in zip(html_text.blocks(bare), html_text.blocks(page), strict=True) if "".join(marked.raw).lstrip()[0] == "+"]
+        assert [x for x in html_text.main_text(bare).split("\n") if x] == [" ".join("".join(b.raw).split()) for b in wanted]
     cases = {None: "", "": "", "<p>": "", "<article>a<b>b</b>&amp;&nbsp; c<br>d<p>e": "ab& c d\ne", "<article><p>x<script>var a='</p>'</script>y<!-- z": "xy", "<main><p>k</p><style>p{": "k", "<article><p>a > b < c</p></article>": "a > b < c"}
     rows = spark.createDataFrame([(i, k) for i, k in enumerate(cases)] + [(99, "<article><p>" + "long " * 60_000)], "page_id long, html string").withColumn("text", F.lit("own"))
     got = {r["page_id"]: r["text"] for r in html_text.extracted(rows).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values()) and len(got[99]) == 5 * 60_000 - 1
 
 
+def test_tree_asks_for_density_and_neighbours():
+    """On pages whose elements tell nothing, main text is told by link density and by the blocks around."""
+    used = html_text.columns_used(html_text.tree())
+    assert {2, 3} <= used and used & {4, 5, 6, 7}
+    long = "The ice came early that year and the boats that had not been drawn up were caught in it and broken before the month was out."
+    page = f"<div><a>All news</a></div><div><a>Five boats that were lost in the ice of other years and the men who sailed them to the north</a></div><p>{long}</p><p>It was bitter.</p><p>{long[::-1]}</p><div><a>Next</a></div><p>Top of page</p><div><a>Help</a></div>"
+    assert html_text.main_text(page) == "\n".join((long, "It was bitter.", long[::-1]))
+    linked = page.replace(f"<p>{long}</p>", f"<p><a>{long}</a></p>")
+    assert long not in html_text.main_text(linked)
+    alone = page.replace(f"<p>{long[::-1]}</p>", "").replace(f"<p>{long}</p>", "")
+    assert html_text.main_text(alone) == ""
+    inside = "<article><header>Site</header><p>Short.</p><p><a>A linked line</a></p><nav><a>One</a></nav></article>"
+    assert html_text.main_text(inside) == "Short.\nA linked line"
+
+
+def test_many_repeated_payloads(spark, monkeypatch):
+    """Beyond the bound of a broadcast the repeats find their rows by id and digest."""
+    rows = [(i, "u", f"<p>{i % 7}" if i % 3 else None) for i in range(60)] + [(12, "u", "<p>1"), (12, "u", "<p>1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_digest", F.lit("own"))
+    few = sorted(map(str, warc.with_revisits(pages).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, warc.with_revisits(pages).collect())) == few and len(few) == 62
+
+
+def test_registered_tokens(spark, library):
+    """The registered query on its whole table, both digests."""
+    from hashlib import sha256
+
+    from tastegrid.llm import queries
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = queries.QUERIES["op5_bpe"](spark, SF).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_other_tokenizer_files(tmp_path):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check_form(spec)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "ByteLevel"}}):
+        with pytest.raises(ValueError, match="another form"):
+            bpe.check_form(spec | change)
+
+
+def test_memo_is_bounded(encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 5000)
+    memo = bpe.Memo(encoder)
+    words = [f"w{i}" for i in range(500)] + ["again"] * 5
+    assert [memo[w] for w in words] == [encoder.word_ids(w) for w in words]
+    assert len(memo) + len(memo.old) <= 2 * 5000 // bpe.ENTRY_BYTES + 2
+
+
+def test_classifier_against_all_cosines(spark):
+    """The registered query, all rows, against counts, cosines and votes done plainly."""
+    from tastegrid.llm import queries
+
+    d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.fit(d, labels.filter(~quality_classifier.held_out()))
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    out = queries.QUERIES["op10_quality_classifier"](spark, SF).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        assert abs(r["score"] - plain.vote((texts[r["doc_id"]] or "").encode(), model, quality_classifier)) < 1e-9
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.7)
+
+
+def test_classifier_ties(spark, docs):
+    """Many equal vectors with either label: a score depends on the text alone, whatever stands beside it."""
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")
+    rows = [(i, f"same words here {'x ' * (i // 45)}") for i in range(90)] + [(200 + i, f"same words here {'y ' * (i % 7)}") for i in range(60)]
+    model = quality_classifier.fit(docs(rows), labels)
+    together = {r["doc_id"]: r["score"] for r in quality_classifier.scored(docs(rows).repartition(1), model).collect()}
+    apart = {r["doc_id"]: r["score"] for r in quality_classifier.scored(docs(rows).repartition(13), model).collect()}
+    one = {r["doc_id"]: r["score"] for i in (3, 60, 205) for r in quality_classifier.scored(docs([r for r in rows if r[0] == i]), model).collect()}
+    assert together == apart and all(together[i] == s for i, s in one.items()) and len(set(together.values())) > 1
+
+
 def test_classifier_on_held_out_rows(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality_classifier.quality_scores(d, labels).join(labels, "doc_id").filter("held_out").collect()
