@@ -26,8 +26,8 @@ def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy that the mix takes; copies are whole documents."""
-    return mixing.drawn(mixing.mix(mixing.sized(docs), cut="whole")).select(*docs.columns)
+    """A row per copy that the mix takes, by output shard and shuffled there; copies are whole documents."""
+    return mixing.shuffled(mixing.mix(mixing.sized(docs), cut="whole")).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
