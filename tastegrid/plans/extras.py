@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..functions.jsmath import logistic
-from ..operators import moments, ranking
+from ..operators import ranking
 from ..registry import query
 from .base import r6, table
 
@@ -68,11 +66,6 @@ def rank_profile(spark, sf_dir):
     other = e.select((F.col("vec_id")).alias("rival"), F.get("x", 0).alias("v"))
     met = rivals.join(other, F.col("vec_id") + F.col("step") == F.col("rival"))
     won = F.get("x", 0) >= F.col("v")
-    duels = met.select(F.lit(0).alias("league"), F.when(won, F.col("vec_id")).otherwise(F.col("rival")).alias("winner"), F.when(won, F.col("rival")).otherwise(F.col("vec_id")).alias("loser"))
-    strengths = ranking.bradley_terry(duels, "league").select(F.col("id").alias("vec_id"), F.array("strength").alias("y"), F.lit("all").alias("g"))
-    m = moments.total(moments.collect(e.join(strengths, "vec_id"), "x", "y", "g"))
-    b, c = moments.ridge(m, 1.0, per_weight=False)
-    weights = F.array(*[F.lit(float(np.floor(w * 1e6 + 0.4817) / 1e6)) for w in b[:, 0]])
-    scored = e.select("vec_id", (arrays.dot(F.col("x"), weights) + float(c[0])).alias("score"))
-    norm = scored.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))
-    return scored.crossJoin(F.broadcast(norm)).select("vec_id", r6(logistic((F.col("score") - F.col("mean")) / F.col("sd"))).alias("merit"))
+    duels = met.select(F.concat_ws("-", "vec_id", "rival").alias("duel"), F.when(won, F.col("vec_id")).otherwise(F.col("rival")).alias("winner"), F.when(won, F.col("rival")).otherwise(F.col("vec_id")).alias("loser"))
+    p = ranking.rank_profile(e.select(F.col("vec_id").alias("id"), "x"), duels)
+    return e.select("vec_id", r6(p.merit(F.col("x"))).alias("merit"), p.stars(F.col("x")).alias("stars"), F.lit(p.accuracy).cast("double").alias("held_out_accuracy"))

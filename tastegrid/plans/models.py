@@ -50,22 +50,53 @@ def anchor_ls(spark, sf_dir):
     return frames(spark, sf_dir).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(up).alias("up"), F.sum(down).alias("down"), F.sum(up * up).alias("up2"), F.floor(F.sum(up * y) + 0.5).cast("double").alias("upy"))
 
 
-@query("bt_theta")
+LEAGUES = f"""{DUELS}, l AS (SELECT user_id % 4 AS league, event_id, winner, loser FROM duels),
+  ids AS (SELECT league, list_sort(list_distinct(list(id))) AS ids FROM (SELECT league, winner AS id FROM l UNION ALL SELECT league, loser FROM l) GROUP BY 1)"""
+THETA = f"""WITH RECURSIVE {LEAGUES}, pair AS (SELECT league, winner, loser, count(*) AS n FROM l GROUP BY 1, 2, 3),
+  cell AS (SELECT ids.league, i, j, coalesce(n, 0)::DOUBLE AS n FROM ids, range(1, len(ids) + 1) a(i), range(1, len(ids) + 1) b(j) LEFT JOIN pair ON pair.league = ids.league AND winner = ids[i] AND loser = ids[j]),
+  row_ AS (SELECT league, i, list(n ORDER BY j) AS won FROM cell GROUP BY 1, 2), m AS (SELECT league, list(won ORDER BY i) AS w FROM row_ GROUP BY 1),
+  met AS (SELECT league, i, sum(n) AS n FROM (SELECT league, i, n FROM cell UNION ALL SELECT league, j, n FROM cell) GROUP BY 1, 2), d AS (SELECT league, list(n ORDER BY i) AS d FROM met GROUP BY 1),
+  step AS (SELECT league, 0 AS k, list_transform(d, lambda x: 0.0::DOUBLE) AS t FROM d UNION ALL
+    SELECT league, k + 1, list_transform(list_transform(t, lambda x: x - list_avg(t)), lambda x, i: x + (list_sum(list_transform(t, lambda y, j: w[i][j] / (1 + exp(t[i] - y)) - w[j][i] / (1 + exp(y - t[i])))) - 0.01 * x) / (d[i] / 2 + 0.01)) FROM step JOIN m USING (league) JOIN d USING (league) WHERE k < 300)
+  SELECT league, ids[i] AS id, floor((t[i] - list_avg(t)) * 1e6 + 0.4817) / 1e6 AS strength, d[i]::BIGINT AS duels FROM step JOIN ids USING (league) JOIN d USING (league), range(1, 1 + len(t)) r(i) WHERE k = 300"""
+
+
+def _elo_sql(start: str) -> str:
+    """Ratings after the duels in order, a duel of every league a step; start: what each id begins with."""
+    return f"""{LEAGUES}, turn AS (SELECT league, row_number() OVER (PARTITION BY league ORDER BY event_id) AS k, list_position(ids, winner) AS w, list_position(ids, loser) AS o FROM l JOIN ids USING (league)),
+  begun AS (SELECT league, list({start} ORDER BY i) AS r FROM (SELECT league, ids[i] AS id, i FROM ids, range(1, len(ids) + 1) a(i)) GROUP BY 1),
+  play AS (SELECT league, 0::BIGINT AS k, r FROM begun UNION ALL SELECT p.league, t.k, list_transform(r, lambda x, i: x + CASE WHEN i = w THEN 1 WHEN i = o THEN -1 ELSE 0 END * 32 * (1 - 1 / (1 + pow(10, (r[o] - r[w]) / 400.0)))) FROM play p JOIN turn t ON t.league = p.league AND t.k = p.k + 1),
+  rated AS (SELECT league, ids[i] AS id, r[i] AS rating, (SELECT count(*) FROM turn t WHERE t.league = f.league AND (w = i OR o = i)) AS n FROM (SELECT league, arg_max(r, k) AS r FROM play GROUP BY 1) f JOIN ids USING (league), range(1, 1 + len(ids)) q(i))"""
+
+
+def _leagues(spark, sf_dir):
+    return duels(spark, sf_dir).withColumn("league", F.col("user_id") % 4)
+
+
+@query("bt_theta", THETA)
 def bt_theta(spark, sf_dir):
     """Bradley-Terry strengths of event types, by user group."""
-    return ranking.bradley_terry(duels(spark, sf_dir).withColumn("league", F.col("user_id") % 4), "league")
+    return ranking.bradley_terry(_leagues(spark, sf_dir), "league").withColumn("strength", r6(F.col("strength")))
 
 
-@query("elo_ratings")
+@query("elo_ratings", f"WITH RECURSIVE {_elo_sql('1500.0::DOUBLE')} SELECT league, id, floor(rating * 1e6 + 0.4817) / 1e6 AS rating, n FROM rated")
 def elo_ratings(spark, sf_dir):
-    return ranking.elo(duels(spark, sf_dir).withColumn("league", F.col("user_id") % 4), "league", "event_id")
+    return ranking.elo(_leagues(spark, sf_dir), "league", "event_id").withColumn("rating", r6(F.col("rating")))
+
+
+@query("elo_seeded", f"WITH RECURSIVE {_elo_sql('1500 + (len(id) / 10.0 - 0.5) * 400')} SELECT league, id, floor(rating * 1e6 + 0.4817) / 1e6 AS rating, n FROM rated")
+def elo_seeded(spark, sf_dir):
+    """Ratings that start from a score from 0 to 1."""
+    d = _leagues(spark, sf_dir)
+    seeds = d.select("league", F.explode(F.array("winner", "loser")).alias("id")).distinct().withColumn("score", F.length("id") / 10.0)
+    return ranking.elo(d, "league", "event_id", seeds).withColumn("rating", r6(F.col("rating")))
 
 
-@query("next_pair")
+@query("next_pair", f"""WITH RECURSIVE {_elo_sql('1500.0::DOUBLE')}, p AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY n, id) AS place, count(*) OVER (PARTITION BY league) AS of_ FROM rated),
+  a AS (SELECT league, arg_min(id, (md5(league || ':' || id || ':0'), id)) AS a, arg_min(rating, (md5(league || ':' || id || ':0'), id)) AS r FROM p WHERE place <= greatest(1, of_ // 4) GROUP BY 1)
+  SELECT league, a, arg_min(id, (abs(rating - r), id)) AS b FROM rated JOIN a USING (league) WHERE id <> a GROUP BY 1, 2""")
 def next_pair(spark, sf_dir):
-    d = duels(spark, sf_dir).withColumn("league", F.col("user_id") % 4)
-    counts = d.select("league", F.explode(F.array("winner", "loser")).alias("id")).groupBy("league", "id").agg(F.count(F.lit(1)).alias("n"))
-    return ranking.next_pair(ranking.elo(d, "league", "event_id"), counts)
+    return ranking.next_pair(ranking.elo(_leagues(spark, sf_dir), "league", "event_id"), "league")
 
 
 @query("win_rates", f"WITH {DUELS}, s AS (SELECT winner AS id, 1 AS won FROM duels UNION ALL SELECT loser, 0 FROM duels) SELECT id, count(*) AS n, floor(avg(won) * 1e6 + 0.4817) / 1e6 AS rate FROM s GROUP BY 1")

@@ -95,15 +95,90 @@ def test_ties_go_to_the_larger_penalty():
     assert evaluate.chosen({0.1: 0.5, 1.0: 0.5 - 1e-7, 10.0: 0.4}) == 1.0
 
 
-def test_strengths_order_a_line_world(spark):
+def _line_world(spark):
     """Twelve players, all pairs, the higher wins."""
     rows = [(0, a * 12 + b, f"p{max(a, b):02}", f"p{min(a, b):02}") for a in range(12) for b in range(a)]
-    duels = spark.createDataFrame(rows, "league int, event_id int, winner string, loser string")
+    return spark.createDataFrame(rows, "league int, event_id int, winner string, loser string")
+
+
+def _stepped(winners, losers, n, steps=800, rate=0.1, decay=0.01):
+    """The specified iteration, duel by duel."""
+    theta = [0.0] * n
+    for _ in range(steps):
+        g = [0.0] * n
+        for w, l in zip(winners, losers, strict=True):  # noqa: E741
+            miss = 1 - 1 / (1 + math.exp(theta[l] - theta[w]))
+            g[w] += miss
+            g[l] -= miss
+        theta = [t + rate * (d - decay * t) for t, d in zip(theta, g, strict=True)]
+    mean = sum(theta) / n
+    return [t - mean for t in theta]
+
+
+def test_strengths_of_a_line_world(spark):
+    duels = _line_world(spark)
     got = sorted(ranking.bradley_terry(duels, "league").collect(), key=lambda r: r["id"])
     strengths = [r["strength"] for r in got]
-    assert strengths == sorted(strengths) and abs(sum(strengths)) < 1e-6 and {r["duels"] for r in got} == {11}
-    ratings = ranking.elo(duels, "league", "event_id").collect()
-    assert abs(sum(r["rating"] for r in ratings) - 12 * ranking.START) < 1e-6
+    pairs = [(a, b) for a in range(12) for b in range(a)]
+    assert np.allclose(strengths, _stepped([a for a, _ in pairs], [b for _, b in pairs], 12), atol=1e-9)
+    assert abs(strengths[-1] - 9.72) < 0.005 and strengths == sorted(strengths) and {r["duels"] for r in got} == {11}
+
+
+def test_many_duels_do_not_overshoot():
+    """Where plain steps would diverge, the gradient of the penalised likelihood is 0 at the strengths."""
+    rnd = np.random.default_rng(3)
+    w, l = rnd.integers(0, 9, 40), rnd.integers(0, 9, 40)  # noqa: E741
+    keep = w != l
+    w, l, c = w[keep], l[keep], rnd.integers(1, 5000, int(keep.sum())).astype(float)  # noqa: E741
+    theta = ranking.strengths(w, l, c, 9)
+    assert np.abs(ranking.Likelihood(w, l, c, 9, ranking.DECAY).gradient(theta)).max() < 1e-4
+    few = np.ones(len(w))
+    assert np.allclose(ranking.strengths(w, l, few, 9), _stepped(w, l, 9), atol=1e-9)
+
+
+def test_ratings_in_order_with_seeds(spark):
+    duels = _line_world(spark).repartition(5)
+    seeds = spark.createDataFrame([(0, "p00", 1.0), (0, "new", None), (0, "p01", 0.25)], "league int, id string, score double")
+    rating, met = {"p00": 1700.0, "new": 1500.0, "p01": 1400.0}, {}
+    for r in sorted(duels.collect(), key=lambda r: r["event_id"]):
+        a, b = rating.get(r["winner"], 1500.0), rating.get(r["loser"], 1500.0)
+        gain = 32 * (1 - 1 / (1 + 10 ** ((b - a) / 400)))
+        rating[r["winner"]], rating[r["loser"]] = a + gain, b - gain
+        for i in (r["winner"], r["loser"]):
+            met[i] = met.get(i, 0) + 1
+    got = {r["id"]: (r["rating"], r["n"]) for r in ranking.elo(duels, "league", "event_id", seeds).collect()}
+    assert got.keys() == rating.keys() and all(abs(got[i][0] - v) < 1e-9 and got[i][1] == met.get(i, 0) for i, v in rating.items())
+    assert ranking.elo(duels.limit(0), "league", "event_id").count() == 0
+
+
+def test_next_pair_is_little_seen_and_near(spark):
+    rows = [(0, f"p{i}", 1500.0 + 10 * i, 0 if i in (2, 5) else 50) for i in range(8)] + [(1, "alone", 1500.0, 3)]
+    ratings = spark.createDataFrame(rows, "league int, id string, rating double, n long")
+    seen = set()
+    for turn in range(8):
+        (pair,) = ranking.next_pair(ratings, "league", turn).collect()
+        seen.add(pair["a"])
+        assert pair["b"] == {"p2": "p1", "p5": "p4"}[pair["a"]]
+    assert seen == {"p2", "p5"}
+
+
+def test_rank_profile(spark):
+    """Photos on a line in one direction of their vectors: held-out duels are foretold, stars follow the scores."""
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(120, 6))
+    worth = x @ np.array([2.0, -1, 0, 0, 0, 0.5])
+    photos = spark.createDataFrame([(i, x[i].tolist()) for i in range(120)], "id int, x array<double>")
+    pairs = [tuple(map(int, rnd.choice(120, 2, replace=False))) for _ in range(600)] + [(500, 1)]
+    duels = spark.createDataFrame([(k, *sorted(p, key=lambda i: -worth[i] if i < 120 else 0)) for k, p in enumerate(pairs)], "duel int, winner int, loser int")
+    p = ranking.rank_profile(photos, duels)
+    assert p.duels == 600 and p.photos <= 120 and p.accuracy > 0.9 and p.spread > 0
+    stars = {r["id"]: r["stars"] for r in photos.select("id", p.stars(F.col("x")).alias("stars")).collect()}
+    top = sorted(range(120), key=lambda i: -worth[i])
+    assert np.mean([stars[i] for i in top[:10]]) > 4.5 and np.mean([stars[i] for i in top[-10:]]) < 0.6
+    assert 8 <= sum(s == 5 for s in stars.values()) <= 16
+    assert ranking.rank_profile(photos, duels.limit(12)).accuracy is None
+    with pytest.raises(ValueError, match="a profile needs 10"):
+        ranking.rank_profile(photos, duels.limit(5))
 
 
 def test_anchor_finds_a_slope_and_rejects_noise(spark):
