@@ -1,69 +1,145 @@
-"""Anchored sliders: a dead zone about the mean and a gain on either side, kept only if held-out rows agree."""
+"""Anchored sliders: a dead zone about the mean and a gain on either side, kept only if held-out rows agree.
+
+All sums that a fit needs add up by dead zone and fold, so a pair of parameter and feature is two passes of grouped
+sums, whatever its size: the sums, then the errors of the fits that leave a fold out. Sessions are dealt to folds by
+hash, SHUFFLES times over; the figures are means over these.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from . import moments
+
+#: Fixed values of the method: fewest rows, dead zones in spreads, the tail's share, folds, deals of sessions to folds.
 MIN_ROWS = 60
 WIDTHS = (0.0, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0)
 TAIL = 0.8
-FOLDS = 5
-
-
-def design(x: np.ndarray, width: float) -> np.ndarray:
-    return np.column_stack((np.ones(len(x)), np.maximum(x - width, 0), np.minimum(x + width, 0)))
-
-
-def least_squares(x: np.ndarray, y: np.ndarray, width: float) -> np.ndarray:
-    a = design(x, width)
-    return np.linalg.solve(a.T @ a + np.eye(3) * 1e-9, a.T @ y)
-
-
-def best_width(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
-    """The widest dead zone among those with the least held-out error."""
-    errors = []
-    for width in WIDTHS:
-        held = [np.abs(y[fold == f] - design(x[fold == f], width) @ least_squares(x[fold != f], y[fold != f], width)).sum() for f in np.unique(fold)]
-        errors.append(sum(held))
-    return max(w for w, e in zip(WIDTHS, errors, strict=True) if e <= min(errors) * (1 + 1e-9))
-
-
-def fit_group(group: pd.DataFrame) -> dict | None:
-    """rows (x, y, session): gains and skills, nested so that no fold chooses its own dead zone."""
-    if len(group) < MIN_ROWS:
-        return None
-    x, y = group["x"].to_numpy(float), group["y"].to_numpy(float)
-    spread = x.std()
-    if spread < 1e-9:
-        return None
-    x = (x - x.mean()) / spread
-    session = pd.util.hash_array(group["session"].to_numpy()) % FOLDS
-    fold = session.astype(int)
-    if len(np.unique(fold)) < 2:
-        return None
-    held = np.empty(len(y))
-    for f in np.unique(fold):
-        train, test = fold != f, fold == f
-        inner = fold[train]
-        width = best_width(x[train], y[train], inner) if len(np.unique(inner)) > 1 else 0.0
-        held[test] = design(x[test], width) @ least_squares(x[train], y[train], width)
-    away = np.abs(y - y.mean())
-    tail = away >= np.sort(away)[min(int(TAIL * len(y)), len(y) - 1)]
-    skill = lambda at: 1 - np.abs(y[at] - held[at]).sum() / max(away[at].sum(), 1e-9)
-    width = best_width(x, y, fold)
-    base, above, below = least_squares(x, y, width)
-    return {"n": len(y), "width": width, "base": base, "above": above, "below": below, "mean_skill": skill(slice(None)), "tail_skill": skill(tail), "kept": bool(skill(slice(None)) > 0 and skill(tail) > 0)}
-
-
-def fits(samples: DataFrame) -> DataFrame:
-    """samples (param, feature, x, y, session): a fit for each pair that has rows enough. Pairs are independent
-    and each is bounded by the frames of a catalogue's edits."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        got = fit_group(group)
-        head = {"param": group["param"].iloc[0], "feature": group["feature"].iloc[0]}
-        return pd.DataFrame([head | got] if got else [], columns=["param", "feature", "n", "width", "base", "above", "below", "mean_skill", "tail_skill", "kept"])
-
-    return samples.groupBy("param", "feature").applyInPandas(run, "param string, feature string, n long, width double, base double, above double, below double, mean_skill double, tail_skill double, kept boolean")
+FOLDS, SHUFFLES = 5, 20
+#: How far a tail may lie off the exact share of rows, as a share of them.
+ACCURACY = 10_000
+SUMS = ("n", "up", "down", "up2", "down2", "y", "upy", "downy")
+
+
+def _sums(x: Column, y: Column, width: float) -> list[Column]:
+    """n, and sums of max(x - width, 0), min(x + width, 0), their squares, y, and their products with y."""
+    up, down = F.greatest(x - width, F.lit(0.0)), F.least(x + width, F.lit(0.0))
+    return [F.count(F.lit(1)), F.sum(up), F.sum(down), F.sum(up * up), F.sum(down * down), F.sum(y), F.sum(up * y), F.sum(down * y)]
+
+
+def sums(rows: DataFrame, keys: list[str], widths=WIDTHS) -> DataFrame:
+    """rows (keys, fold, x, y): (keys, fold, width, and SUMS). A row's part in all widths is added up at once."""
+    each = [F.struct(F.lit(w).alias("width"), *[s.alias(n) for s, n in zip(_sums(F.col("x"), F.col("y"), w), SUMS, strict=True)]) for w in widths]
+    return rows.groupBy(*keys, "fold").agg(*[e.alias(f"_w{i}") for i, e in enumerate(each)]).select(*keys, "fold", F.inline(F.array(*[f"_w{i}" for i in range(len(widths))])))
+
+
+def solved(s: np.ndarray) -> np.ndarray:
+    """(base, above, below) from SUMS; the two sides of a dead zone never meet in one row."""
+    n, up, down, up2, down2, y, upy, downy = s
+    a = np.array([[n, up, down], [up, up2, 0.0], [down, 0.0, down2]])
+    return np.linalg.solve(a + np.eye(3) * 1e-9, np.array([y, upy, downy]))
+
+
+def _chosen(errors: dict[float, float]) -> float:
+    """The widest dead zone among those with the least error."""
+    least = min(errors.values())
+    return max(w for w, e in errors.items() if e <= least * (1 + 1e-9))
+
+
+def fits(samples: DataFrame, shuffles: int = SHUFFLES) -> DataFrame:
+    """samples (param, feature, x, y, session): for each pair with rows enough and a feature that varies, its dead zone,
+    base and gains from all rows, mean and tail skill over held-out sessions, and whether it is kept. The dead zone is
+    chosen within the training folds, so no fold chooses its own. Pairs are few: a catalogue's parameters by features."""
+    keys = ["param", "feature"]
+    at = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("x").alias("_mx"), F.stddev_pop("x").alias("_sx"), F.avg("y").alias("_my"))
+    at = at.filter((F.col("_n") >= MIN_ROWS) & (F.col("_sx") >= 1e-9))
+    away = samples.join(F.broadcast(at), keys).withColumn("x", (F.col("x") - F.col("_mx")) / F.col("_sx")).withColumn("_off", F.abs(F.col("y") - F.col("_my")))
+    tails = away.groupBy(*keys).agg(F.percentile_approx("_off", TAIL, ACCURACY).alias("_cut"))
+    deals = F.array(*[F.pmod(F.xxhash64(F.col("session"), F.lit(k)), F.lit(FOLDS)).cast("int") for k in range(shuffles)])
+    rows = away.join(F.broadcast(tails), keys).withColumn("_folds", deals)
+    dealt = rows.select(*keys, F.posexplode("_folds").alias("shuffle", "fold"), "x", "y")
+    cells: dict[tuple, dict] = {}
+    for r in sums(dealt, [*keys, "shuffle"]).collect():
+        cells.setdefault((r["param"], r["feature"]), {})[r["shuffle"], r["fold"], r["width"]] = np.array([r[n] for n in SUMS], dtype=float)
+    pairs = sorted(cells)
+    z = F.concat(F.array("x", "y", "_off", (F.col("_off") >= F.col("_cut")).cast("double")), F.col("_folds").cast("array<double>"))
+    named = F.concat_ws("\u0001", *keys)
+    table = rows.select(named.alias("key"), z.alias("z"), F.lit(1.0).alias("w"))
+    name = lambda pair: "\u0001".join(pair)
+    inner = {k: v.reshape(shuffles, FOLDS + 1, len(WIDTHS)) for k, (_, v) in moments.sums_by_key(table, 4 + shuffles, _inner_errors(samples, {name(p): _left_out(cells[p], shuffles) for p in pairs})).items()}
+    held = {name(p): _held_fits(cells[p], inner[name(p)], shuffles) for p in pairs}
+    rated = {k: v for k, (_, v) in moments.sums_by_key(table, 4 + shuffles, _held_errors(samples, held)).items()}
+    out = []
+    for pair in pairs:
+        at_all = inner[name(pair)][:, FOLDS].sum(axis=0)
+        width = _chosen(dict(zip(WIDTHS, at_all.tolist(), strict=True)))
+        total = reduce(np.add, [v for (s, _, w), v in cells[pair].items() if s == 0 and w == width])
+        off, tail, *each = rated[name(pair)]
+        skill = lambda e, base: float(np.mean(1 - e / max(base, 1e-9)))
+        figures = skill(np.array(each[:shuffles]), off), skill(np.array(each[shuffles:]), tail)
+        out.append((*pair, int(total[0]), width, *map(float, solved(total)), *figures, min(figures) > 0))
+    return samples.sparkSession.createDataFrame(out, "param string, feature string, n long, width double, base double, above double, below double, mean_skill double, tail_skill double, kept boolean")
+
+
+def _left_out(cells: dict, shuffles: int) -> np.ndarray:
+    """(shuffle, left, fold, width, 3): fits without the row's own fold and the one that is left out beside it, the last
+    place leaving out none; not a number where too few folds are left."""
+    out = np.full((shuffles, FOLDS + 1, FOLDS, len(WIDTHS), 3), np.nan)
+    for s in range(shuffles):
+        for i, w in enumerate(WIDTHS):
+            by = {f: v for (k, f, x), v in cells.items() if k == s and x == w}
+            whole = reduce(np.add, by.values())
+            for left in (*by, FOLDS):
+                rest = set(by) - {left}
+                for g in rest if len(rest) > 1 else ():
+                    out[s, left, g, i] = solved(whole - by[g] - by.get(left, 0))
+    return out
+
+
+def _held_fits(cells: dict, inner: np.ndarray, shuffles: int) -> np.ndarray:
+    """(shuffle, fold, 4): the dead zone that a fold's training rows choose, and the fit to them."""
+    out = np.full((shuffles, FOLDS, 4), np.nan)
+    for s in range(shuffles):
+        used = {f for k, f, _ in cells if k == s}
+        for f in used if len(used) > 1 else ():
+            w = _chosen(dict(zip(WIDTHS, inner[s, f].tolist(), strict=True))) if len(used) > 2 else 0.0
+            whole = reduce(np.add, [v for (k, _, x), v in cells.items() if k == s and x == w])
+            out[s, f] = (w, *solved(whole - cells[s, f, w]))
+    return out
+
+
+def _inner_errors(df: DataFrame, fits_: dict[str, np.ndarray]):
+    shared = df.sparkSession.sparkContext.broadcast(fits_)
+
+    def add(key: str, z: np.ndarray, _: np.ndarray) -> np.ndarray:
+        table, x, y = shared.value[key], z[:, 0], z[:, 1]
+        shape = np.stack([np.column_stack((np.ones(len(x)), np.maximum(x - w, 0), np.minimum(x + w, 0))) for w in WIDTHS], axis=1)
+        out = []
+        for s in range(len(table)):
+            said = np.einsum("lnwk,nwk->lnw", table[s][:, z[:, 4 + s].astype(int)], shape)
+            out.append(np.nan_to_num(np.abs(y[:, None] - said)).sum(axis=1))
+        return np.array(out).ravel()
+
+    return add
+
+
+def _held_errors(df: DataFrame, fits_: dict[str, np.ndarray]):
+    """Sums of the distances from the mean of all rows and of the tail, then of the held-out errors of either by deal."""
+    shared = df.sparkSession.sparkContext.broadcast(fits_)
+
+    def add(key: str, z: np.ndarray, _: np.ndarray) -> np.ndarray:
+        table, x, y, off, tail = shared.value[key], z[:, 0], z[:, 1], z[:, 2], z[:, 3]
+        out, far = [off.sum(), (off * tail).sum()], []
+        for s in range(len(table)):
+            w, base, above, below = table[s][z[:, 4 + s].astype(int)].T
+            missed = np.abs(y - base - above * np.maximum(x - w, 0) - below * np.minimum(x + w, 0))
+            missed = np.where(np.isnan(missed), off, missed)
+            out.append(missed.sum())
+            far.append((missed * tail).sum())
+        return np.array(out + far)
+
+    return add

@@ -2,26 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Sessions are balanced one after the other on the driver: (session, size) rows only.
-MAX_SESSIONS = 1_000_000
+#: Units that are balanced one after the other on the driver: sessions, or beyond as many hash buckets of sessions.
+MAX_SESSIONS, BUCKETS = 1_000_000, 65_536
+#: Sessions up to which their folds are broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def _greedy(rows: list, k: int) -> list[tuple]:
+    """rows (unit, n), the largest first: each goes into the lightest fold, the lowest number on ties."""
+    weight, out = [0] * k, []
+    for unit, n in rows:
+        fold = weight.index(min(weight))
+        weight[fold] += n
+        out.append((unit, n, fold))
+    return out
 
 
 def balanced(frames: DataFrame, session: str, k: int) -> DataFrame:
     """(session, n, fold): the largest session first, each into the lightest fold, the lowest number on ties."""
-    rows = frames.groupBy(session).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), session).limit(MAX_SESSIONS + 1).collect()
-    if len(rows) > MAX_SESSIONS:
-        raise ValueError(f"folds are balanced over {MAX_SESSIONS} sessions at most")
-    weight, dealt = [0] * k, []
-    for row in rows:
-        fold = weight.index(min(weight))
-        weight[fold] += row["n"]
-        dealt.append((row[session], row["n"], fold))
+    counts = frames.groupBy(session).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.orderBy(F.col("n").desc(), session).limit(MAX_SESSIONS + 1).collect()
     kind = frames.schema[session].dataType.simpleString()
-    return frames.sparkSession.createDataFrame(dealt, f"{session} {kind}, n long, fold int")
+    if len(rows) <= MAX_SESSIONS:
+        return frames.sparkSession.createDataFrame(_greedy([(r[session], r["n"]) for r in rows], k), f"{session} {kind}, n long, fold int")
+    return counts.join(F.broadcast(_buckets(counts, session, k)), _bucket(session) == F.col("_b")).select(session, "n", "fold")
+
+
+def _bucket(session: str) -> Column:
+    return F.pmod(F.xxhash64(session), F.lit(BUCKETS)).cast("int")
+
+
+def _buckets(counts: DataFrame, session: str, k: int) -> DataFrame:
+    """(_b, fold): hash buckets of sessions balanced in their stead."""
+    rows = counts.groupBy(_bucket(session).alias("_b")).agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "_b").collect()
+    return counts.sparkSession.createDataFrame([(b, fold) for b, _, fold in _greedy([(r["_b"], r["n"]) for r in rows], k)], "_b int, fold int")
+
+
+def dealt(df: DataFrame, session: str, k: int) -> DataFrame:
+    """df with fold, by session. Few sessions' folds are broadcast; many go by their hash bucket, whose folds are."""
+    counts = df.groupBy(session).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.orderBy(F.col("n").desc(), session).limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return df.withColumn("_b0", _bucket(session)).join(F.broadcast(_buckets(counts, session, k)), F.col("_b0") == F.col("_b")).drop("_b0", "_b")
+    kind = df.schema[session].dataType.simpleString()
+    table = df.sparkSession.createDataFrame([(s, f) for s, _, f in _greedy([(r[session], r["n"]) for r in rows], k)], f"_s {kind}, fold int")
+    return df.join(F.broadcast(table), F.col(session).eqNullSafe(F.col("_s"))).drop("_s")
 
 
 def round_robin(df: DataFrame, key: str, k: int, buckets: int = 64) -> DataFrame:

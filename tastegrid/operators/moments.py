@@ -6,16 +6,22 @@ Spark job serves every fold, penalty and target. Sums are shifted by a common ce
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Groups whose moments are brought to the driver, and columns of a row: both bound what is collected.
-MAX_GROUPS, MAX_COLUMNS = 10_000, 1_000
+#: Columns of a row, and bytes of all groups' moments: what a task holds and what is brought to the driver.
+MAX_COLUMNS, MAX_BYTES = 1_000, 256 << 20
+#: Rows that the common centre is taken from; any centre gives the same fits, a near one keeps digits.
+CENTRE_ROWS = 1_000
 FLOOR = 1e-12
+#: A column's spread counts as this at least.
+LEAST_SPREAD = 1e-6
 
 
 @dataclass
@@ -48,45 +54,85 @@ class Moments:
         return self.gram[1:, 1:] - np.outer(s, s) / max(self.weight, FLOOR)
 
 
-def collect(df: DataFrame, x: str, y: str, group: str, weight: str | None = None) -> dict[object, Moments]:
-    """Moments by group of array columns x and y. Each task keeps one matrix a group it meets; Spark adds them."""
-    centre_row = df.agg(F.first(F.size(x)).alias("d"), F.first(F.size(y)).alias("m"), F.count_distinct(group).alias("g")).first()
-    if not centre_row["d"]:
-        return {}
-    d, m = centre_row["d"], centre_row["m"]
-    if centre_row["g"] > MAX_GROUPS or d + m > MAX_COLUMNS:
-        raise ValueError(f"at most {MAX_GROUPS} groups and {MAX_COLUMNS} columns")
-    cells = df.select(F.posexplode(F.concat(x, y)).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v")).collect()
-    centre = np.zeros(d + m)
-    for r in cells:
-        centre[r["i"]] = r["v"]
-    side = d + m + 1
+    def picked(self, x: slice, y: slice) -> Moments:
+        """The moments of some of the columns, places in x and in y."""
+        at = np.concatenate((np.arange(self.dim)[x], self.dim + np.arange(len(self.centre) - self.dim)[y]))
+        rows = np.concatenate(([0], at + 1))
+        return Moments(self.n, self.gram[np.ix_(rows, rows)], self.centre[at], len(np.arange(self.dim)[x]))
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """An Arrow column of lists as rows of numbers; lists of another length raise, nulls are NaN."""
+    flat = column.flatten()
+    if len(flat) != len(column) * width or (len(column) and pa.compute.min(pa.compute.list_value_length(column)).as_py() != width):
+        raise ValueError(f"a vector has not {width} numbers")
+    return np.asarray(flat.cast(pa.float64()), dtype=float).reshape(-1, width)
+
+
+def sums_by_key(rows: DataFrame, width: int, add: Callable[[object, np.ndarray, np.ndarray], np.ndarray]) -> dict[str, tuple[int, np.ndarray]]:
+    """rows (key, z, w): per key the row count and what add makes of its rows, summed. Each task keeps one array a key
+    that it meets; keys meet again after a shuffle of these."""
+    kind = pa.schema([("key", pa.string()), ("n", pa.int64()), ("sums", pa.binary())])
+
+    def told(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"key": list(held), "n": [n for n, _ in held.values()], "sums": [v.tobytes() for _, v in held.values()]}, schema=kind)
 
     def partial(batches):
-        sums: dict[object, tuple[int, np.ndarray]] = {}
+        held: dict[str, tuple[int, np.ndarray]] = {}
         for batch in batches:
-            keys = np.array(batch.column(0).to_pylist(), dtype=object)
-            z = np.column_stack((np.ones(len(keys)), np.array(batch.column(1).to_pylist(), dtype=float).reshape(len(keys), -1) - centre))
-            w = np.asarray(batch.column(2), dtype=float)
-            for key in set(keys.tolist()):
-                at = keys == key
-                n, gram = sums.get(key, (0, np.zeros((side, side))))
-                sums[key] = (n + int(at.sum()), gram + (z[at] * w[at, None]).T @ z[at])
-        yield pa.RecordBatch.from_pydict({"key": [str(k) for k in sums], "n": [n for n, _ in sums.values()], "gram": [g.tobytes() for _, g in sums.values()]}, schema=pa.schema([("key", pa.string()), ("n", pa.int64()), ("gram", pa.binary())]))
+            codes = batch.column(0).cast(pa.string()).dictionary_encode()
+            z, w, place = matrix(batch.column(1), width), np.asarray(batch.column(2), dtype=float), np.asarray(codes.indices)
+            for i, key in enumerate(codes.dictionary.to_pylist()):
+                at = place == i
+                n, sums = held.get(key, (0, 0.0))
+                held[key] = (n + int(at.sum()), sums + add(key, z[at], w[at]))
+        yield told(held)
 
     def added(batches):
-        sums: dict[str, list] = {}
+        held: dict[str, tuple[int, np.ndarray]] = {}
         for batch in batches:
             for key, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held = sums.setdefault(key, [0, np.zeros(side * side)])
-                held[0] += n
-                held[1] = held[1] + np.frombuffer(raw)
-        yield pa.RecordBatch.from_pydict({"key": list(sums), "n": [v[0] for v in sums.values()], "gram": [v[1].tobytes() for v in sums.values()]}, schema=pa.schema([("key", pa.string()), ("n", pa.int64()), ("gram", pa.binary())]))
+                before = held.get(key, (0, 0.0))
+                held[key] = (before[0] + n, before[1] + np.frombuffer(raw))
+        yield told(held)
+
+    text = "key string, n long, sums binary"
+    return {r["key"]: (r["n"], np.frombuffer(r["sums"])) for r in rows.mapInArrow(partial, text).repartition("key").mapInArrow(added, text).collect()}
+
+
+def collect(df: DataFrame, x: str, y: str, group: str, weight: str | None = None) -> dict[str, Moments]:
+    """Moments by group of array columns x and y."""
+    first = df.select(F.concat(x, y).alias("z"), F.size(x).alias("d")).limit(CENTRE_ROWS).collect()
+    if not first:
+        return {}
+    d, width = first[0]["d"], len(first[0]["z"])
+    centre = np.nan_to_num(np.array([r["z"] for r in first if len(r["z"]) == width], dtype=float).mean(axis=0))
+    side = len(centre) + 1
+    groups = df.select(group).distinct().count()
+    if side - 1 > MAX_COLUMNS or groups * side * side * 8 > MAX_BYTES:
+        raise ValueError(f"at most {MAX_COLUMNS} columns, and {MAX_BYTES} bytes of moments: {groups} groups of {side} by {side} are more")
 
-    rows = df.select(group, F.concat(x, y).alias("_z"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
-    kind = "key string, n long, gram binary"
-    parts = rows.mapInArrow(partial, kind).repartition("key").mapInArrow(added, kind).collect()
-    return {r["key"]: Moments(r["n"], np.frombuffer(r["gram"]).reshape(side, side).copy(), centre, d) for r in parts}
+    def products(key: object, z: np.ndarray, w: np.ndarray) -> np.ndarray:
+        one = np.column_stack((np.ones(len(z)), z - centre))
+        return ((one * w[:, None]).T @ one).ravel()
+
+    rows = df.select(F.col(group), F.concat(x, y).alias("_z"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
+    return {key: Moments(n, gram.reshape(side, side).copy(), centre, d) for key, (n, gram) in sums_by_key(rows, side - 1, products).items()}
+
+
+def errors(df: DataFrame, x: str, truth: str, models: dict[str, tuple[np.ndarray, np.ndarray]], group: str) -> dict[str, tuple[int, np.ndarray]]:
+    """Per group the row count and the sums of absolute errors of its models, in one pass. models: group ->
+    (coefficients, intercepts), a column a model; they score the targets of truth in turn."""
+    d = len(next(iter(models.values()))[0])
+    width = d + len(df.select(truth).limit(1).collect()[0][0])
+    shared = df.sparkSession.sparkContext.broadcast(models)
+
+    def off(key: object, z: np.ndarray, w: np.ndarray) -> np.ndarray:
+        b, c = shared.value[key]
+        said = (z[:, :d] @ b + c).reshape(len(z), -1, width - d)
+        return np.abs(said - z[:, None, d:]).sum(axis=0).ravel()
+
+    return sums_by_key(df.select(F.col(group), F.concat(x, truth).alias("_z"), F.lit(1.0).alias("_w")), width, off)
 
 
 def total(parts: dict[object, Moments]) -> Moments:
@@ -97,11 +143,15 @@ def total(parts: dict[object, Moments]) -> Moments:
     return out
 
 
-def ridge(m: Moments, penalty: float, per_weight: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(coefficients, intercepts). The penalty adds to the scatter as it is, or times the total weight."""
-    s = m.covariance
-    a = s[: m.dim, : m.dim] + np.eye(m.dim) * max(penalty * (m.weight if per_weight else 1.0), FLOOR)
-    b = np.linalg.solve(a, s[: m.dim, m.dim :])
+def ridge(m: Moments, penalty: float, per_weight: bool, standardised: bool = False, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, intercepts), a column a target. The penalty adds to the scatter as it is, or times the total
+    weight; standardised: to that of columns over their spreads. A column that is not allowed has no part."""
+    s = m.covariance[: m.dim, :]
+    scale = np.maximum(np.sqrt(np.maximum(np.diag(s), 0) / max(m.weight, FLOOR)), LEAST_SPREAD) if standardised else np.ones(m.dim)
+    if allowed is not None:
+        scale = np.where(allowed, scale, np.inf)
+    a = s[:, : m.dim] / scale / scale[:, None] + np.eye(m.dim) * max(penalty * (m.weight if per_weight else 1.0), FLOOR)
+    b = np.linalg.solve(a, s[:, m.dim :] / scale[:, None]) / scale[:, None]
     return b, m.mean[m.dim :] - m.mean[: m.dim] @ b
 
 
@@ -111,24 +161,3 @@ def principal(m: Moments, k: int) -> tuple[np.ndarray, np.ndarray]:
     values, axes = values[::-1][:k], axes[:, ::-1][:, :k]
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])])
     return axes, values / max(float(np.trace(m.covariance[: m.dim, : m.dim])), FLOOR)
-
-
-def predicted(df: DataFrame, x: str, fits: dict[str, tuple[np.ndarray, np.ndarray]], group: str) -> DataFrame:
-    """df with prediction, by the fit of each row's group; fits are small and go to every task."""
-    shared = df.sparkSession.sparkContext.broadcast(fits)
-    names = df.columns
-
-    def run(batches):
-        for batch in batches:
-            keys = [str(k) for k in batch.column(names.index(group)).to_pylist()]
-            rows = np.array(batch.column(names.index(x)).to_pylist(), dtype=float)
-            out = np.empty((len(keys), next(iter(shared.value.values()))[0].shape[1]))
-            for key in set(keys):
-                at = np.array([k == key for k in keys])
-                b, c = shared.value[key]
-                out[at] = rows[at] @ b + c
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.tolist(), pa.list_(pa.float64()))], names=[*names, "prediction"])
-
-    from pyspark.sql.types import ArrayType, DoubleType, StructType
-
-    return df.mapInArrow(run, StructType(list(df.schema.fields)).add("prediction", ArrayType(DoubleType())))

@@ -2,22 +2,64 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .moments import matrix
+
 #: A spread counts as this at least; below DEGENERATE a column says nothing.
 LEAST_SPREAD = 1e-6
 DEGENERATE = 1e-9
 
 
-def means(frames: DataFrame, session: str, vector: str) -> DataFrame:
-    """(session, mean): element-wise mean of the vectors that are as long as the session's first (by file)."""
-    first = Window.partitionBy(session)
-    same = frames.withColumn("_width", F.min_by(F.size(vector), "file").over(first)).filter(F.size(vector) == F.col("_width"))
-    cells = same.select(session, F.posexplode(vector).alias("pos", "value"))
-    by_place = cells.groupBy(session, "pos").agg(F.avg("value").alias("mean"))
-    return by_place.groupBy(session).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("mean"))
+#: Sessions whose sums a task holds before it passes them on.
+HELD = 20_000
+
+
+def means(frames: DataFrame, session: str, vector: str, file: str = "file") -> DataFrame:
+    """(session, mean): element-wise mean of the vectors that are as long as the session's first (by file). Tasks sum
+    by session and length; only these sums are shuffled, so a hot session is as many rows as there are tasks. A null
+    vector is left out."""
+    kind = pa.schema([("key", pa.string()), ("file", pa.string()), ("n", pa.int64()), ("sum", pa.list_(pa.float64()))])
+
+    def told(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.string()), pa.array([v[0] for v in held.values()], pa.string()), pa.array([v[1] for v in held.values()], pa.int64()), pa.array([v[2].tolist() for v in held.values()], pa.list_(pa.float64()))], schema=kind)
+
+    def summed(batches):
+        held: dict[tuple[str, int], tuple[str, int, np.ndarray]] = {}
+        for batch in batches:
+            names, lengths = batch.column(0).dictionary_encode(), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(3)), -1))
+            place, counts, files = np.asarray(names.indices), np.asarray(batch.column(2)), batch.column(1)
+            for width in np.unique(lengths[lengths >= 0]).tolist():
+                rows = np.flatnonzero(lengths == width)
+                z = matrix(batch.column(3).take(pa.array(rows)), width) if width else np.zeros((len(rows), 0))
+                order = np.argsort(place[rows], kind="stable")
+                rows, z, of = rows[order], z[order], place[rows][order]
+                starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                total, n = np.add.reduceat(z, starts, axis=0), np.add.reduceat(counts[rows], starts)
+                for i, lo in enumerate(starts.tolist()):
+                    hi = starts[i + 1] if i + 1 < len(starts) else len(rows)
+                    key, first = (names.dictionary[int(of[lo])].as_py(), width), pa.compute.min(files.take(pa.array(rows[lo:hi]))).as_py()
+                    had = held.get(key)
+                    held[key] = (first, int(n[i]), total[i]) if had is None else (min(first, had[0]), had[1] + int(n[i]), had[2] + total[i])
+            if len(held) >= HELD:
+                yield told(held)
+                held = {}
+        yield told(held)
+
+    source = frames.filter(F.col(vector).isNotNull()).select(F.col(session).cast("string").alias("key"), F.coalesce(F.col(file).cast("string"), F.lit("")).alias("file"), F.lit(1).cast("long").alias("n"), F.col(vector).cast("array<double>").alias("sum"))
+    text = "key string, file string, n long, sum array<double>"
+    known = source.filter(F.col("key").isNotNull())
+    sums = known.mapInArrow(summed, text).repartition("key").sortWithinPartitions("key").mapInArrow(summed, text)
+    # a session that stands at a border of what a task held comes in parts of one task; they meet here without a shuffle
+    first = sums.groupBy("key", F.size("sum").alias("_width")).agg(F.min("file").alias("file"), F.sum("n").alias("n"), F.collect_list("sum").alias("parts"))
+    whole = first.withColumn("sum", F.reduce(F.slice("parts", 2, 1 << 20), F.get("parts", 0), lambda a, b: F.zip_with(a, b, lambda u, v: u + v)))
+    best = whole.groupBy("key").agg(F.min_by(F.struct("sum", "n"), F.col("file")).alias("_best"))
+    return best.select(F.col("key").cast(frames.schema[session].dataType).alias(session), F.transform(F.col("_best")["sum"], lambda v: v / F.col("_best")["n"]).alias("mean"))
 
 
 def with_context(frames: DataFrame, session: str, vector: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import arrays
 from ..functions.jsmath import logistic
-from ..operators import anchors, evaluate, moments, ranking, tone
+from ..operators import anchors, develop, evaluate, moments, ranking, tone
 from ..registry import query
 from ..sources import jsonl
 from .base import DUELS, FRAMES, duels, frames, r6, table
@@ -34,20 +34,37 @@ def gram_matrix(spark, sf_dir):
     return spark.createDataFrame(rows, "l_returnflag string, n long, xx double, xz double, zz double")
 
 
-@query("weighted_gram", f"WITH {FRAMES} SELECT l_returnflag, floor(sum(l_quantity * l_quantity * l_quantity) * 10 + 0.5) / 10 AS wxx, floor(sum(l_quantity * l_quantity * l_extendedprice) * 10 + 0.5) / 10 AS wxy FROM frames GROUP BY 1")
+@query("weighted_gram", f"WITH {FRAMES} SELECT l_returnflag, floor(sum(l_quantity * l_quantity * l_quantity) * 10 + 0.4817) / 10 AS wxx, floor(sum(l_quantity * l_quantity * l_tax * 100) * 10 + 0.4817) / 10 AS wxz FROM frames GROUP BY 1")
 def weighted_gram(spark, sf_dir):
-    """The same with weights, in plain SQL sums."""
-    f = frames(spark, sf_dir)
-    w, x, y = F.col("l_quantity"), F.col("l_quantity"), F.col("l_extendedprice")
-    return f.groupBy("l_returnflag").agg((F.floor(F.sum(w * x * x) * 10 + 0.5) / 10).alias("wxx"), (F.floor(F.sum(w * x * y) * 10 + 0.5) / 10).alias("wxy"))
+    """Weighted sums of products, from the moments that weighted fits use."""
+    parts = moments.collect(_regression(spark, sf_dir).withColumn("w", F.get("x", 0)), "x", "y", "l_returnflag", "w")
+    rows = []
+    for key, m in sorted(parts.items()):
+        mean = m.mean[:2]
+        raw = m.covariance[:2, :2] + m.weight * np.outer(mean, mean)
+        rows.append((key, *[float(np.floor(v * 10 + 0.4817) / 10) for v in (raw[0, 0], raw[0, 1])]))
+    return spark.createDataFrame(rows, "l_returnflag string, wxx double, wxz double")
+
+
+# a line through centred points: slope = cov / (var + penalty), all sums by group
+@query("ridge_line", f"""WITH {FRAMES}, s AS (SELECT l_returnflag, count(*) AS n, covar_pop(l_quantity, l_extendedprice / 1000) AS xy, var_pop(l_quantity) AS xx, avg(l_quantity) AS x, avg(l_extendedprice / 1000) AS y FROM frames GROUP BY 1),
+  f AS (SELECT *, xy / (xx * 1.1) AS b FROM s) SELECT l_returnflag, n, floor(b * 1e6 + 0.4817) / 1e6 AS slope, floor((y - b * x) * 1e6 + 0.4817) / 1e6 AS intercept FROM f""")
+def ridge_line(spark, sf_dir):
+    """Ridge on one standardised column: the penalty is a tenth of its spread."""
+    df = _regression(spark, sf_dir).select("l_returnflag", F.slice("x", 1, 1).alias("x"), F.slice("y", 1, 1).alias("y"))
+    rows = []
+    for key, m in sorted(moments.collect(df, "x", "y", "l_returnflag").items()):
+        b, c = moments.ridge(m, 0.1, per_weight=True, standardised=True)
+        rows.append((key, m.n, *[float(np.floor(v * 1e6 + 0.4817) / 1e6) for v in (b[0, 0], c[0])]))
+    return spark.createDataFrame(rows, "l_returnflag string, n long, slope double, intercept double")
 
 
 @query("anchor_ls", f"WITH {FRAMES}, c AS (SELECT l_returnflag, l_quantity - 25 AS x, l_discount * 100 AS y FROM frames) SELECT l_returnflag, count(*) AS n, sum(greatest(x, 0)) AS up, sum(least(x, 0)) AS down, sum(greatest(x, 0) * greatest(x, 0)) AS up2, floor(sum(greatest(x, 0) * y) + 0.5) AS upy FROM c GROUP BY 1")
 def anchor_ls(spark, sf_dir):
     """The sums behind an anchored slider without a dead zone."""
-    x, y = F.col("l_quantity") - 25, F.col("l_discount") * 100
-    up, down = F.greatest(x, F.lit(0.0)), F.least(x, F.lit(0.0))
-    return frames(spark, sf_dir).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(up).alias("up"), F.sum(down).alias("down"), F.sum(up * up).alias("up2"), F.floor(F.sum(up * y) + 0.5).cast("double").alias("upy"))
+    rows = frames(spark, sf_dir).select("l_returnflag", (F.col("l_quantity") - 25).alias("x"), (F.col("l_discount") * 100).alias("y"))
+    out = anchors.sums(rows.withColumn("fold", F.lit(0)), ["l_returnflag"], widths=(0.0,))
+    return out.select("l_returnflag", "n", "up", "down", "up2", F.floor(F.col("upy") + 0.5).cast("double").alias("upy"))
 
 
 LEAGUES = f"""{DUELS}, l AS (SELECT user_id % 4 AS league, event_id, winner, loser FROM duels),
@@ -118,14 +135,25 @@ def rank_scores(spark, sf_dir):
     return s.crossJoin(F.broadcast(norm)).withColumn("merit", merit).groupBy("label", stars.alias("stars")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("predict_linear", f"WITH {FRAMES}, m AS (SELECT file, l_quantity, avg(l_quantity) OVER (PARTITION BY session) AS c FROM frames) SELECT file, floor(least(greatest(1.5 + 0.8 * c + 0.25 * (l_quantity - c), 0), 60) * 1e4 + 0.4817) / 1e4 AS value FROM m")
+def _fixed_profile() -> develop.Profile:
+    """A profile with plain figures: two parameters, two features and a rendering; the second's frame head is gated."""
+    one = np.ones(2)
+    head = lambda w, c, constant, gated: develop.Head(np.array(w), np.array(c), np.array(constant), np.array([1.5, 1.0]), np.array(gated), one, one, one, one)
+    level = head([[0.513731, 0.0], [0.0, 2.017913], [3.0, 0.0], [-1.0, 0.25]], [1.000137, 0.500171], [10.0, 0.0], [False, False])
+    frame = head([[0.251739, 0.0], [0.0, 1.0]], [0.0, 0.0], [0.0, 0.0], [False, True])
+    return develop.Profile(["exposure", "tint"], level, frame, ["A", "R"], "A", offsets={"exposure": 0.75}, bounds={"exposure": (0.0, 30.0)}, guards={"schema": develop.SCHEMA, "dim": 2})
+
+
+# a, b are the session's means; the level head stretches by 1.5 about 10, so does the frame head about 0
+@query("predict_linear", f"""WITH {FRAMES}, m AS (SELECT file, l_quantity AS q, l_tax AS x, l_returnflag AS f, avg(l_quantity) OVER w AS a, avg(l_tax) OVER w AS b FROM frames WINDOW w AS (PARTITION BY session))
+  SELECT file, floor(least(greatest(CASE WHEN q = 50 THEN 12.5 ELSE 10 + 1.5 * (0.513731 * a + CASE WHEN f = 'R' THEN -1 ELSE 3 END + 1.000137 - 10) + 1.5 * 0.251739 * (q - a) END + 0.75, 0), 30) * 1e4 + 0.5) / 1e4 AS exposure,
+    floor((2.017913 * b + CASE WHEN f = 'R' THEN 0.25 ELSE 0 END + 0.500171) * 1e4 + 0.5) / 1e4 AS tint FROM m""")
 def predict_linear(spark, sf_dir):
-    """A fixed profile: a level from the session's mean and a move from the frame's deviation, clamped."""
-    w = Window.partitionBy("session")
-    c = F.avg("l_quantity").over(w)
-    f = frames(spark, sf_dir).withColumn("c", c)
-    raw = F.col("c") * 0.8 + 1.5 + (F.col("l_quantity") - F.col("c")) * 0.25
-    return f.select("file", (F.floor(F.least(F.greatest(raw, F.lit(0.0)), F.lit(60.0)) * 1e4 + 0.4817) / 1e4).alias("value"))
+    """The predictor with a fixed profile: levels, deviations, a gate, an unknown rendering, an anchor, an offset, bounds."""
+    f = frames(spark, sf_dir).select("file", "session", F.array("l_quantity", "l_tax").alias("x"), "l_returnflag", "l_quantity")
+    anchor = {"exposure": F.when(F.col("l_quantity") == 50, 12.5)}
+    out = develop.predicted(f, _fixed_profile(), "session", "x", facts={"schema": develop.SCHEMA, "dim": 2}, render="l_returnflag", anchors=anchor)
+    return out.select("file", "exposure", "tint")
 
 
 @query("cv_skill")
@@ -136,8 +164,9 @@ def cv_skill(spark, sf_dir):
 
 @query("develop_profile")
 def develop_profile(spark, sf_dir):
-    """A gated profile: what held-out sessions do not support is a constant."""
-    return evaluate.profile(_regression(spark, sf_dir), "session", "x", "y")
+    """A level head and a frame head: what held-out sessions do not support is a constant."""
+    profile = develop.train(_regression(spark, sf_dir), "session", "x", "y", ["price", "discount"], render="l_returnflag")
+    return spark.createDataFrame(profile.rows(), develop.ROWS)
 
 
 @query("pca_explained")
@@ -206,13 +235,8 @@ def meet_constraints(spark, sf_dir):
 @query("diagnose")
 def diagnose(spark, sf_dir):
     """Skill of one model over all rows against one a treatment."""
-    d = _regression(spark, sf_dir)
-    pooled = evaluate.skills(evaluate.with_folds(d, "session", 5), "x", "y").withColumn("model", F.lit("pooled"))
-    out = pooled
-    for flag in ("A", "N", "R"):
-        part = evaluate.with_folds(d.filter(F.col("l_returnflag") == flag), "session", 5)
-        out = out.unionByName(evaluate.skills(part, "x", "y").withColumn("model", F.lit(flag)))
-    return out.groupBy("model", "target").agg(F.max("skill").alias("skill"))
+    d = evaluate.with_folds(_regression(spark, sf_dir), "session", 5)
+    return evaluate.by_group(d, "x", "y", "l_returnflag")
 
 
 @query("scan_listing")

@@ -4,13 +4,12 @@ import json
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from tastegrid.functions import arrays, color, jsmath, raster, text
-from tastegrid.operators import anchors, evaluate, folds, keyed, moments, ranking, tone
+from tastegrid.operators import anchors, develop, evaluate, folds, keyed, moments, ranking, sessions, tone
 from tastegrid.sources import jsonl
 from tastegrid.streaming import online
 
@@ -85,10 +84,141 @@ def test_moments_solve_like_numpy(spark):
     assert np.allclose(axes.T @ axes, np.eye(3), atol=1e-9) and math.isclose(share.sum(), 1, rel_tol=1e-9)
 
 
-def test_signal_is_found_and_noise_is_gated(spark):
-    p = {r["target"]: r for r in evaluate.profile(_planted(spark, 0.1), "session", "x", "y", floor=0.02).collect()}
-    assert p[0]["skill"] > 0.9 and not p[0]["gated"] and np.allclose(p[0]["weights"], [2, -1, 0], atol=0.1)
-    assert p[1]["gated"] and p[1]["weights"] == [0.0, 0.0, 0.0]
+def _plain_skill(rows, fold, k, penalty, standard=True):
+    """Held-out predictions of a standardised ridge, fold by fold, and of the training mean."""
+    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
+    said, mean = np.zeros_like(y), np.zeros_like(y)
+    for f in range(k):
+        t, v = fold != f, fold == f
+        mx, sx, my = x[t].mean(axis=0), x[t].std(axis=0), y[t].mean(axis=0)
+        z = (x[t] - mx) / sx
+        b = np.linalg.solve(z.T @ z + penalty * t.sum() * np.eye(3), z.T @ (y[t] - my))
+        said[v], mean[v] = ((x[v] - mx) / sx) @ b + my, my
+    return y, said, mean
+
+
+def test_skills_like_plain_folds(spark):
+    df = evaluate.with_folds(_planted(spark, 0.5), "session", 5).cache()
+    rows = df.collect()
+    fold = np.array([r["fold"] for r in rows])
+    got = {(r["penalty"], r["target"]): r for r in evaluate.skills(df, "x", "y").collect()}
+    for penalty in (0.1, 3.0):
+        y, said, mean = _plain_skill(rows, fold, 5, penalty)
+        for t in (0, 1):
+            r, c, d = got[penalty, t], (said - mean)[:, t], (y - mean)[:, t]
+            assert math.isclose(r["mae"], np.abs(y - said)[:, t].mean(), rel_tol=1e-9) and math.isclose(r["baseline"], np.abs(y - mean)[:, t].mean(), rel_tol=1e-9)
+            slope = np.clip(((c * d).mean() - c.mean() * d.mean()) / c.var(), 0, evaluate.MAX_RESPONSE)
+            assert math.isclose(r["response"], slope, rel_tol=1e-6, abs_tol=1e-9)
+            shipped = 1 - np.abs(y[:, t] - mean[:, t] - slope * c).mean() / r["baseline"]
+            assert math.isclose(r["shipped"], shipped, rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_nested_skill_never_sees_its_fold(spark):
+    """The skill of the whole procedure: each fold's penalty is chosen by the other folds among themselves."""
+    df = evaluate.with_folds(_planted(spark, 3.0, seed=6), "session", 4).cache()
+    rows = df.collect()
+    fold, y = np.array([r["fold"] for r in rows]), np.array([r["y"] for r in rows])
+    found = evaluate.judged(df, "x", "y")
+    missed, base = np.zeros(2), np.zeros(2)
+    for f in range(4):
+        train = [r for r in rows if r["fold"] != f]
+        inner = np.array([r["fold"] for r in train])
+        order = [g for g in range(4) if g != f]
+        compact = np.array([order.index(g) for g in inner])
+        for t in (0, 1):
+            told = {}
+            for p in evaluate.PENALTIES:
+                yy, said, mean = _plain_skill(train, compact, 3, p)
+                c, d = (said - mean)[:, t], (yy - mean)[:, t]
+                slope = np.clip(((c * d).mean() - c.mean() * d.mean()) / c.var(), 0, evaluate.MAX_RESPONSE)
+                told[p] = 1 - np.abs(d - slope * c).sum() / np.abs(d).sum()
+            _, said, mean = _plain_skill(rows, fold, 4, evaluate.chosen(told))
+            at = fold == f
+            missed[t] += np.abs(y - said)[at, t].sum()
+            base[t] += np.abs(y - mean)[at, t].sum()
+    assert np.allclose(found.skill, 1 - missed / base, atol=1e-9)
+
+
+def _two_heads(spark, noise=0.1):
+    """Sessions whose level follows their mean, frames that follow their deviation, a target of noise, one that is fixed."""
+    rnd = np.random.default_rng(2)
+    rows = []
+    for s in range(40):
+        centre, look = rnd.normal(size=2) * 2, "AB"[s % 2]
+        dev = rnd.normal(size=(15, 2))
+        dev -= dev.mean(axis=0)
+        for i in range(15):
+            x = centre + dev[i]
+            level = 3 * centre[0] + (5 if look == "B" else 0)
+            rows.append((f"{s:03}/{i}", s, x.tolist(), [float(level - 2 * dev[i][1] + noise * rnd.normal()), float(rnd.normal()), 7.0], look))
+    return spark.createDataFrame(rows, "file string, session int, x array<double>, y array<double>, look string")
+
+
+def test_two_heads(spark):
+    df = _two_heads(spark).cache()
+    p = develop.train(df, "session", "x", "y", ["a", "b", "c"], render="look")
+    assert p.renders == ["A", "B"] and list(p.level.gated) == [False, True, True] and list(p.frame.gated) == [False, True, True]
+    assert p.skill[0] > 0.8 and p.skill_random[0] > 0.8 and p.level.skill[0] > 0.6 and p.frame.skill[0] > 0.6
+    assert p.reasons["c"] == "degenerate" and p.reasons["b"] in ("below the bar", "worse than the constant")
+    b, _ = p.level.linear()
+    f, _ = p.frame.linear()
+    assert abs(b[0, 0] - 3) < 0.5 and abs((b[3, 0] - b[2, 0]) - 5) < 1.5 and abs(f[1, 0] + 2) < 0.3 and abs(f[0, 0]) < 0.3
+    out = {r["file"]: r for r in develop.predicted(df, p, "session", "x", facts=p.guards, render="look").collect()}
+    truth = {r["file"]: r["y"] for r in df.collect()}
+    assert len(out) == 600 and np.mean([abs(out[k]["a"] - v[0]) for k, v in truth.items()]) < 1.5
+    assert {r["c"] for r in out.values()} == {7.0} and len({r["b"] for r in out.values()}) == 1
+    bold = develop.train(df, "session", "x", "y", ["a", "b", "c"], boldness=1.0)
+    assert not bold.renders and bold.skill[1] >= 0
+    assert len(spark.createDataFrame(p.rows(), develop.ROWS).collect()) == 6
+
+
+def test_masks_keep_columns_out(spark):
+    df = _two_heads(spark)
+    deaf = np.array([[True, True], [True, False], [True, True]])
+    p = develop.train(df, "session", "x", "y", ["a", "b", "c"], masks=(deaf, np.array([[True, False]] * 3)))
+    assert p.level.weights[1, 1] == 0 and not p.frame.weights[1].any() and p.frame.gated[0]
+
+
+def test_predictor_guards_and_fallbacks(spark):
+    df = _two_heads(spark).filter("session < 4")
+    p = develop.Profile(["a"], *[develop.Head(np.array([[1.0], [0.0], *([[2.0], [4.0]] if i == 0 else [])]), np.array([1.0]), np.array([0.0]), np.ones(1), np.array([False]), *[np.ones(1)] * 4) for i in (0, 1)], ["A", "B"], "B", guards={"schema": 1, "dim": 2}, offsets={"a": 0.5})
+    for facts in ({"schema": 1}, {"schema": 2, "dim": 2}, {"schema": 1, "dim": 3}):
+        with pytest.raises(develop.NotApplicable):
+            develop.predicted(df, p, "session", "x", facts=facts)
+    facts = {"schema": 1, "dim": 2}
+    plain = {r["file"]: (r["a"], r["x"][0]) for r in develop.predicted(df, p, "session", "x", facts=facts).collect()}
+    # level 1 + mean + 4 by the default rendering, frame 1 + the rest, offset
+    assert all(abs(a - (x + 1 + 4 + 1 + 0.5)) < 1e-3 for a, x in plain.values())
+    aimed = {r["file"]: r["a"] for r in develop.predicted(df, p, "session", "x", facts=facts, render="look", override="A").collect()}
+    assert all(abs(aimed[k] - plain[k][0] + 2) < 1e-3 for k in aimed)
+    lone = develop.predicted(df.limit(1), p, "session", "x", facts=facts, anchors={"a": F.lit(9.0)}).first()
+    assert lone["a"] == 9.5
+    assert develop.branch({"bw": p}, "color") == "bw" and develop.branch({"bw": p, "color": p}, None) == "color"
+    with pytest.raises(develop.NotApplicable):
+        develop.branch({}, "color")
+
+
+def test_session_means(spark):
+    rows = [("b", 1, [1.0, 2.0]), ("a", 1, [3.0, 4.0]), ("c", 1, [9.0]), ("d", 2, [5.0]), ("e", 2, None), ("f", 3, None), ("g", None, [1.0])]
+    df = spark.createDataFrame(rows, "file string, session int, x array<double>").repartition(3)
+    got = {r["session"]: r["mean"] for r in sessions.means(df, "session", "x").collect()}
+    assert got == {1: [2.0, 3.0], 2: [5.0]}
+    ctx = {r["file"]: r["context"] for r in sessions.with_context(df, "session", "x").collect()}
+    assert ctx["c"] == [9.0] and ctx["a"] == [2.0, 3.0] and ctx["g"] == [1.0] and ctx["f"] is None
+
+
+def test_many_sessions_go_by_bucket(spark, monkeypatch):
+    df = spark.createDataFrame([(s, i) for s in range(300) for i in range(s % 5 + 1)], "session int, i int")
+    few = {r["session"]: r["fold"] for r in folds.dealt(df, "session", 4).collect()}
+    monkeypatch.setattr(folds, "BROADCAST_ROWS", 10)
+    many = folds.dealt(df, "session", 4).groupBy("session").agg(F.count_distinct("fold").alias("n"), F.first("fold").alias("fold")).collect()
+    assert len(few) == len(many) == 300 and {r["n"] for r in many} == {1} and {r["fold"] for r in many} == {0, 1, 2, 3}
+
+
+def test_ragged_vectors_raise(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], [1.0]), (1, [1.0], [1.0])], "g int, x array<double>, y array<double>")
+    with pytest.raises(Exception, match="has not 3 numbers"):
+        moments.collect(df, "x", "y", "g")
 
 
 def test_ties_go_to_the_larger_penalty():
@@ -183,13 +313,24 @@ def test_rank_profile(spark):
 
 def test_anchor_finds_a_slope_and_rejects_noise(spark):
     rnd = np.random.default_rng(4)
-    frame = lambda y: pd.DataFrame({"x": x, "y": y, "session": [f"s{i % 12}" for i in range(len(x))]})
     x = rnd.normal(size=400)
     z = (x - x.mean()) / x.std()
-    fit = anchors.fit_group(frame(np.maximum(z - 0.5, 0) * 4 + rnd.normal(size=400) * 0.05))
-    assert fit["kept"] and abs(fit["above"] - 4) < 0.4 and abs(fit["width"] - 0.5) <= 0.15
-    assert not anchors.fit_group(frame(rnd.normal(size=400)))["kept"]
-    assert anchors.fit_group(frame(rnd.normal(size=400))[:50]) is None
+    slope, noise = np.maximum(z - 0.5, 0) * 4 + rnd.normal(size=400) * 0.05, rnd.normal(size=400)
+    rows = [(p, "f", float(a), float(b), f"s{i % 12}") for p, y in (("slope", slope), ("noise", noise)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    rows += [("few", "f", 1.0 * i, 1.0 * i, f"s{i}") for i in range(50)] + [("flat", "f", 1.0, 1.0 * i, f"s{i % 9}") for i in range(90)]
+    got = {r["param"]: r for r in anchors.fits(spark.createDataFrame(rows, "param string, feature string, x double, y double, session string"), shuffles=4).collect()}
+    assert set(got) == {"slope", "noise"}
+    fit = got["slope"]
+    assert fit["n"] == 400 and fit["kept"] and abs(fit["above"] - 4) < 0.4 and abs(fit["width"] - 0.5) <= 0.15 and fit["mean_skill"] > 0.8
+    assert not got["noise"]["kept"]
+
+
+def test_anchor_sums_solve_like_least_squares():
+    rnd = np.random.default_rng(5)
+    x, y = rnd.normal(size=80), rnd.normal(size=80)
+    up, down = np.maximum(x - 0.2, 0), np.minimum(x + 0.2, 0)
+    s = np.array([80, up.sum(), down.sum(), (up * up).sum(), (down * down).sum(), y.sum(), (up * y).sum(), (down * y).sum()])
+    assert np.allclose(anchors.solved(s), np.linalg.lstsq(np.column_stack((np.ones(80), up, down)), y, rcond=None)[0], atol=1e-6)
 
 
 def test_tone_meets_a_known_look():
