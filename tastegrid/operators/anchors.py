@@ -61,15 +61,16 @@ def fits(samples: DataFrame, shuffles: int = SHUFFLES) -> DataFrame:
     tails = away.groupBy(*keys).agg(F.percentile_approx("_off", TAIL, ACCURACY).alias("_cut"))
     deals = F.array(*[F.pmod(F.xxhash64(F.col("session"), F.lit(k)), F.lit(FOLDS)).cast("int") for k in range(shuffles)])
     rows = away.join(F.broadcast(tails), keys).withColumn("_folds", deals)
-    dealt = rows.select(*keys, F.posexplode("_folds").alias("shuffle", "fold"), "x", "y")
-    cells: dict[tuple, dict] = {}
-    for r in sums(dealt, [*keys, "shuffle"]).collect():
-        cells.setdefault((r["param"], r["feature"]), {})[r["shuffle"], r["fold"], r["width"]] = np.array([r[n] for n in SUMS], dtype=float)
-    pairs = sorted(cells)
     z = F.concat(F.array("x", "y", "_off", (F.col("_off") >= F.col("_cut")).cast("double")), F.col("_folds").cast("array<double>"))
     named = F.concat_ws("\u0001", *keys)
     table = rows.select(named.alias("key"), z.alias("z"), F.lit(1.0).alias("w"))
     name = lambda pair: "\u0001".join(pair)
+    cells: dict[tuple, dict] = {}
+    for key, (_, v) in moments.sums_by_key(table, 4 + shuffles, _fold_sums).items():
+        for (s, f, w), part in np.ndenumerate(v.reshape(shuffles, FOLDS, len(WIDTHS), len(SUMS))[..., 0]):
+            if part:
+                cells.setdefault(tuple(key.split("\u0001")), {})[s, f, WIDTHS[w]] = v.reshape(shuffles, FOLDS, len(WIDTHS), len(SUMS))[s, f, w]
+    pairs = sorted(cells)
     inner = {k: v.reshape(shuffles, FOLDS + 1, len(WIDTHS)) for k, (_, v) in moments.sums_by_key(table, 4 + shuffles, _inner_errors(samples, {name(p): _left_out(cells[p], shuffles) for p in pairs})).items()}
     held = {name(p): _held_fits(cells[p], inner[name(p)], shuffles) for p in pairs}
     rated = {k: v for k, (_, v) in moments.sums_by_key(table, 4 + shuffles, _held_errors(samples, held)).items()}
@@ -85,6 +86,14 @@ def fits(samples: DataFrame, shuffles: int = SHUFFLES) -> DataFrame:
     return samples.sparkSession.createDataFrame(out, "param string, feature string, n long, width double, base double, above double, below double, mean_skill double, tail_skill double, kept boolean")
 
 
+def _fold_sums(key: str, z: np.ndarray, _: np.ndarray) -> np.ndarray:
+    """(shuffle, fold, width, SUMS) of rows (x, y, ..., folds)."""
+    x, y, one = z[:, :1], z[:, 1:2], np.ones((len(z), 1))
+    up, down = np.maximum(x - np.array(WIDTHS), 0), np.minimum(x + np.array(WIDTHS), 0)
+    each = np.stack([np.broadcast_to(v, up.shape) for v in (one, up, down, up * up, down * down, y, up * y, down * y)], axis=2).reshape(len(z), -1)
+    return np.concatenate([(z[:, 4 + s] == f) @ each for s in range(z.shape[1] - 4) for f in range(FOLDS)])
+
+
 def _left_out(cells: dict, shuffles: int) -> np.ndarray:
     """(shuffle, left, fold, width, 3): fits without the row's own fold and the one that is left out beside it, the last
     place leaving out none; not a number where too few folds are left."""

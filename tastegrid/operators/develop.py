@@ -127,7 +127,7 @@ def train(frames: DataFrame, session: str, x: str, y: str, params: list[str], *,
     counts = frames.groupBy(render).count().filter(F.col(render).isNotNull()).orderBy(F.col("count").desc(), render).limit(64).collect() if render else []
     renders = sorted(r[render] for r in counts if r["count"] >= min_renders)
     seen = folds.round_robin(folds.dealt(views(frames, session, x, y, renders, render), session, k).withColumnRenamed("fold", "_by_session"), key, k).withColumnsRenamed({"fold": "_by_frame", "_by_session": "fold"})
-    seen = seen.withColumn("_x", F.concat("_level", "_frame")).withColumn("_y", F.concat("_yl", "_yf"))
+    seen = seen.select("fold", "_by_frame", "_level", "_frame", "_yl", "_yf", "_truth", F.concat("_level", "_frame").alias("_x"), F.concat("_yl", "_yf").alias("_y")).persist()
     parts = moments.collect(seen, "_x", "_y", "fold")
     whole, p = moments.total(parts), len(params)
     d_level = whole.dim - len(frames.select(x).limit(1).collect()[0][0])
@@ -158,6 +158,7 @@ def train(frames: DataFrame, session: str, x: str, y: str, params: list[str], *,
     profile.skill_random = np.where(worse, 0.0, profile.skill_random)
     for t, q in enumerate(params):
         reasons.setdefault(q, "worse than the constant" if worse[t] else "below the bar")
+    seen.unpersist()
     for h in (level, frame):
         h.response = np.where(h.gated, 1.0, h.response)
         h.shipped = np.where(h.gated, 0.0, h.shipped)

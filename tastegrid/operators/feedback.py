@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.jsmath import clamp
+from .ordered import median
 
 TOLERANCE = 0.5
 MIN_SESSIONS, MIN_SIGMA, SHRINK = 4, 2.0, 0.5
@@ -21,8 +23,9 @@ def correction_weights(observed: DataFrame, spreads: DataFrame) -> DataFrame:
     """observed (file, param, predicted, actual), spreads (param, spread): (file, z, weight). z is the mean
     correction in spreads; the weight is z over the median z, between 1/4 and 3."""
     z = observed.join(spreads, "param").groupBy("file").agg(F.avg(F.abs(F.col("actual") - F.col("predicted")) / F.col("spread")).alias("z"))
-    middle = z.agg(F.median("z").alias("_median"))
-    return z.crossJoin(F.broadcast(middle)).select("file", "z", clamp(F.col("z") / F.col("_median"), 0.25, 3.0).alias("weight"))
+    z = z.persist()  # read some times over for the exact median
+    middle = median(z, "z")
+    return z.select("file", "z", clamp(F.col("z") / F.lit(middle), 0.25, 3.0).alias("weight"))
 
 
 def summary(observed: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -56,3 +59,12 @@ def style(residuals: DataFrame) -> DataFrame:
     agg = by_session.groupBy("param").agg(F.count(F.lit(1)).alias("n_sessions"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd")).join(frames, "param")
     se = F.when(F.col("n_sessions") >= 3, F.col("sd")).otherwise(F.col("frame_sd")) / F.sqrt("n_sessions")
     return agg.withColumn("se", se).withColumn("shrink", F.when(F.col("mean") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("se") * F.col("se") / (F.col("mean") * F.col("mean"))))).select("param", "n_sessions", "mean", "se", "shrink", (F.col("mean") * F.col("shrink")).alias("offset"))
+
+
+def weighted_percentile(df: DataFrame, group: str, value: str, weight: Column, p: float) -> DataFrame:
+    """(group, percentile): the first value, in order, at which the weights so far reach p of the group's. Weights are
+    summed by value before a group is ordered, so a group is as many rows as it has values."""
+    sums = df.groupBy(group, value).agg(F.sum(weight).alias("_w"))
+    whole = Window.partitionBy(group)
+    seen = sums.withColumn("_seen", F.sum("_w").over(whole.orderBy(value))).withColumn("_all", F.sum("_w").over(whole))
+    return seen.filter(F.col("_seen") >= F.col("_all") * p).groupBy(group).agg(F.min(value).alias("percentile"))

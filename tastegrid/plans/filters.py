@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.text import version_key
+from ..operators import library
 from ..operators.feedback import in_sample
 from ..registry import query
 from .base import FRAMES, PARAMS, frames, params, table
@@ -46,8 +47,7 @@ def training_rows(spark, sf_dir):
 def is_edited(spark, sf_dir):
     """Whether any parameter is off its neutral value, or the treatment or white balance was set."""
     values = F.create_map(F.lit("discount"), F.col("l_discount"), F.lit("tax"), F.col("l_tax"))
-    off = F.exists(F.map_entries(values), lambda e: e["value"] != 0)
-    return frames(spark, sf_dir).select("file", (off | (F.col("l_returnflag") != "N")).alias("edited"))
+    return frames(spark, sf_dir).select("file", library.edited(values, {}, treatment=F.col("l_returnflag") != "N").alias("edited"))
 
 
 @query("treatment", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'bw' WHEN event_id % 5 = 1 THEN 'color' WHEN (json_extract(props, '$.k'))::INT >= 50 THEN 'bw' ELSE 'color' END AS treatment FROM events""")
@@ -57,7 +57,7 @@ def treatment(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("int")
     keys = F.map_keys(F.when(k >= 50, F.create_map(F.lit("mixer_red"), k)).otherwise(F.create_map(F.lit("exposure"), k)))
     flag = F.when(F.col("event_id") % 5 == 0, "bw").when(F.col("event_id") % 5 == 1, "color")
-    return e.select("event_id", F.coalesce(flag, F.when(F.exists(keys, lambda x: x.startswith("mixer_")), "bw"), F.lit("color")).alias("treatment"))
+    return e.select("event_id", library.treatment(flag, keys, ("mixer_",)).alias("treatment"))
 
 
 @query("never_seen", f"WITH {PARAMS}, dims AS (SELECT unnest(['quantity','price','discount','tax','tint','hue']) AS param) SELECT param FROM dims WHERE param NOT IN (SELECT DISTINCT param FROM params)")
@@ -67,22 +67,9 @@ def never_seen(spark, sf_dir):
     return dims.join(params(spark, sf_dir).select("param").distinct(), "param", "left_anti")
 
 
-def focus_verdict(score, peak, threshold: float = 100.0, rescue: float = 250.0):
-    """soft below the threshold; a soft frame whose peak reaches the rescue level is kept."""
-    return F.when(score >= threshold, "sharp").when(peak >= rescue, "rescued").otherwise("soft")
-
-
 @query("cull_verdict", f"WITH {FRAMES} SELECT file, CASE WHEN l_quantity * 4 >= 100 THEN 'sharp' WHEN l_extendedprice / 100 >= 250 THEN 'rescued' ELSE 'soft' END AS verdict FROM frames")
 def cull_verdict(spark, sf_dir):
-    return frames(spark, sf_dir).select("file", focus_verdict(F.col("l_quantity") * 4, F.col("l_extendedprice") / 100).alias("verdict"))
-
-
-def stars(merit, focus, cuts, reject: float, soft: float, soft_cap: int):
-    """The stars of the first cut-off that merit reaches; 0 below the reject focus, at most soft_cap below soft."""
-    by_merit = F.lit(0)
-    for least, n in sorted(cuts):
-        by_merit = F.when(merit >= least, n).otherwise(by_merit)
-    return F.when(focus < reject, 0).when(focus < soft, F.least(by_merit, F.lit(soft_cap))).otherwise(by_merit)
+    return frames(spark, sf_dir).select("file", library.verdict(F.col("l_quantity") * 4, F.col("l_extendedprice") / 100).alias("verdict"))
 
 
 @query("star_rating", f"""WITH {FRAMES}, m AS (SELECT file, l_quantity / 50 AS merit, l_extendedprice / 1000 AS focus FROM frames),
@@ -90,7 +77,7 @@ def stars(merit, focus, cuts, reject: float, soft: float, soft_cap: int):
   SELECT file, CASE WHEN focus < 5 THEN 0 WHEN focus < 20 THEN least(by_merit, 3) ELSE by_merit END AS stars FROM s""")
 def star_rating(spark, sf_dir):
     cuts = ((0.9, 5), (0.7, 4), (0.5, 3), (0.3, 2), (0.1, 1))
-    return frames(spark, sf_dir).select("file", stars(F.col("l_quantity") / 50, F.col("l_extendedprice") / 1000, cuts, 5, 20, 3).alias("stars"))
+    return frames(spark, sf_dir).select("file", library.stars(F.col("l_quantity") / 50, F.col("l_extendedprice") / 1000, cuts, 5, 20, 3).alias("stars"))
 
 
 @query("library_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND NOT (o_totalprice < 1000) AND o_orderpriority IN ('1-URGENT','2-HIGH')")

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import arrays
-from ..operators import keyed, sessions
+from ..operators import keyed, keywords, library, sessions
 from ..registry import query
 from .base import DUELS, FRAMES, OBSERVED, PARAMS, duels, frames, observed, params, r6, table
 
@@ -27,8 +26,8 @@ def library_merge(spark, sf_dir):
 def valid_results(spark, sf_dir):
     """Stored results that still fit the file: key and identity must match."""
     part = table(spark, sf_dir, "part")
-    r = part.select(F.col("p_partkey").alias("k"), (F.col("p_size") + F.col("p_partkey") % 2).alias("size"), F.col("p_brand").alias("verdict"))
-    return part.join(r, (F.col("p_partkey") == F.col("k")) & (F.col("p_size") == F.col("size")), "left").select("p_partkey", "verdict")
+    r = part.select("p_partkey", (F.col("p_size") + F.col("p_partkey") % 2).alias("p_size"), F.col("p_brand").alias("verdict"))
+    return library.valid_results(part, r, "p_partkey", ["p_size"], ["verdict"]).select("p_partkey", "verdict")
 
 
 @query("duel_pairs", f"""WITH {DUELS}, photos AS (SELECT event_type AS id, avg(value) AS v FROM events WHERE event_type <> 'error' GROUP BY 1)
@@ -83,18 +82,16 @@ def fold_shoot(spark, sf_dir):
 
 
 @query("keyword_topk", """WITH v AS (SELECT label, list(s ORDER BY i) AS c FROM (SELECT label, i, avg(x::DOUBLE) AS s FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
-  s AS (SELECT vec_id, v.label, list_sum(list_transform(list_zip(e.embedding, v.c), lambda z: z[1]::DOUBLE * z[2])) AS score FROM embeddings e, v),
+  s AS (SELECT vec_id, v.label, list_sum(list_transform(list_zip(e.embedding, v.c), lambda z: z[1]::DOUBLE * z[2])) / sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(v.c, lambda x: x * x))) AS score FROM embeddings e, v),
   k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY floor(score * 1e6 + 0.4817) DESC, label) AS rank FROM s)
-  SELECT vec_id, rank, label, floor(score * 1e6 + 0.4817) / 1e6 AS score FROM k WHERE rank <= 6 AND floor(score * 1e6 + 0.4817) / 1e6 >= 0.2""")
+  SELECT vec_id, rank, label, floor(score * 1e6 + 0.4817) / 1e6 AS score FROM k WHERE rank <= 6 AND floor(score * 1e6 + 0.4817) / 1e6 >= 0.05""")
 def keyword_topk(spark, sf_dir):
     """The six best terms of a small vocabulary, of which those at the floor or above count: limit, then filter."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", arrays.doubles(F.col("embedding")).alias("x"))
     cells = e.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v"))
-    vocabulary = cells.groupBy(F.col("label").alias("term")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("c"))
-    # a vocabulary is a handful of terms; every frame meets all of them
-    scored = e.select("vec_id", "x").crossJoin(F.broadcast(vocabulary)).select("vec_id", F.col("term").alias("label"), r6(arrays.dot(F.col("x"), F.col("c"))).alias("score"))
-    w = Window.partitionBy("vec_id").orderBy(F.col("score").desc(), "label")
-    return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 6").filter("score >= 0.2").select("vec_id", "rank", "label", "score")
+    vocabulary = cells.groupBy(F.col("label").alias("term")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("vector"))
+    unit = lambda c: arrays.l2_normal(F.col(c)).alias(c)
+    return keywords.top(e.select("vec_id", unit("x")), vocabulary.select("term", unit("vector")), "vec_id", "x", floor=0.05)
 
 
 @query("worn_objects", """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_quantity AS x0, l_quantity + 10 AS x1 FROM lineitem)
@@ -149,7 +146,7 @@ def refine_due(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("session"))
     was = supplier.filter("session % 3 <> 0").join(now, "session", "left").select("session", F.when(F.col("session") % 4 == 0, 0).otherwise(F.col("print")).alias("was_print"))
     j = supplier.join(now, "session", "left").join(was, "session", "left")
-    reason = F.when(F.col("session") % 7 == 0, "incomplete").when(F.col("n").isNull(), "gone").when(F.col("n") < 3, "empty").when(F.col("was_print") == F.col("print"), "unchanged").otherwise("due")
+    reason = library.refine_verdict(complete=F.col("session") % 7 != 0, there=F.col("n").isNotNull(), n=F.col("n"), least=3, print_now=F.col("print"), print_then=F.col("was_print"))
     return j.select("session", reason.alias("verdict"))
 
 
@@ -167,11 +164,11 @@ def catalog_index(spark, sf_dir):
     return pages.join(index, F.lower(F.upper("url")) == F.col("k"), "left").select("page_id", "found")
 
 
-@query("path_list", """WITH wanted AS (SELECT DISTINCT trim(line) AS path FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations WHERE conv_id % 10 = 0) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#'))
+@query("path_list", """WITH wanted AS (SELECT DISTINCT trim(line) AS path FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#'))
   SELECT path, CASE WHEN EXISTS (SELECT 1 FROM documents d WHERE d.text = path) THEN 'found' ELSE 'missing' END AS status FROM wanted""")
 def path_list(spark, sf_dir):
     """An explicit list: blank lines and comments dropped, duplicates once, missing entries reported."""
-    lines = table(spark, sf_dir, "conversations").filter("conv_id % 10 = 0").select(F.explode(F.split("text", "\n")).alias("line"))
+    lines = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "\n")).alias("line"))
     wanted = lines.select(F.trim("line").alias("path")).filter((F.col("path") != "") & ~F.col("path").startswith("#")).distinct()
     known = table(spark, sf_dir, "documents").select(F.col("text").alias("path"), F.lit("found").alias("status")).distinct()
     return wanted.join(known, "path", "left").select("path", F.coalesce("status", F.lit("missing")).alias("status"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays, color, raster, text
-from ..functions.jsmath import clamp, logistic, round_half_up, weighted_low
+from ..functions import arrays, color, language, raster, text
+from ..functions.jsmath import clamp, logistic, round_half_up
+from ..operators import feedback
 from ..registry import query
 from .base import r6, table
 
@@ -32,28 +33,71 @@ def clauses(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.filter(parts, lambda c: c != "").alias("clauses"))
 
 
-#: Our own lexicon of looks: intent and the words of which one must stand in a clause.
-LEXICON = (("brighter", "bright light lighter open"), ("darker", "dark darker moody"), ("warmer", "warm warmer golden"), ("calmer", "soft calm muted"))
+#: What photographers ask for in the queries below, one line a conversation in turn.
+REQUESTS = (
+    "Keep the highlights, and open the shadows", "Punchy contrast!", "Don't blow the sky", "soft contrast but deep shadows", "Lift the subject's face", "never lose the highlights: expose it right", "Recover the sky; protect highlights",
+    "no lifted shadows", "Plus de lumière", "open shadows, deep shadows", "strong, soft contrast", "",
+)
 
 
-@query("intent_parse", f"""WITH c AS (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[.,;!?\\n]+')) AS clause FROM conversations), l AS (SELECT unnest({[n for n, _ in LEXICON]}) AS intent, unnest({[w for _, w in LEXICON]}) AS words),
-  w AS (SELECT conv_id, turn, clause, intent, list_has_any(string_split(trim(clause), ' '), string_split(words, ' ')) AS hit, list_has_any(string_split(trim(clause), ' '), ['not', 'less', 'no']) AS negated FROM c, l)
-  SELECT conv_id, turn, intent, bool_or(NOT negated) AS wanted FROM w WHERE hit GROUP BY 1, 2, 3""")
+def _texts(values) -> str:
+    """A list of texts in SQL."""
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_CLAUSES = f"""r AS (SELECT conv_id, turn, clause, k, regexp_matches(clause, '{language.NEGATION}') AS negated FROM (SELECT conv_id, turn, trim(list_extract(parts, k)) AS clause, k FROM
+    (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT conv_id, turn, regexp_split_to_array(regexp_replace(regexp_replace(strip_accents(lower({_texts(REQUESTS)}[(conv_id % {len(REQUESTS)})::INT + 1] || chr(10) || text)), '[’''`]', ' ', 'g'), '[ \t\r\x0b\f]+', ' ', 'g'), '{language.CLAUSE_END.replace("(and", "(?:and")}') AS parts FROM conversations))) WHERE clause <> '')"""
+
+
+def _rule_sql(rules, negated: bool) -> str:
+    """A row per clause and rule whose patterns all match."""
+    return " UNION ALL ".join(f"SELECT conv_id, turn, k, clause, {i} AS place, '{name}' AS intent FROM r WHERE {'' if negated else 'NOT '}negated AND " + " AND ".join(f"regexp_matches(clause, '{p}')" for p in patterns) for i, (name, patterns) in enumerate(rules))
+
+
+@query("intent_parse", f"""WITH {_CLAUSES}, f AS ({_rule_sql(language.RULES, False)} UNION ALL {_rule_sql(language.NEGATED_RULES, True)}),
+  has AS (SELECT conv_id, turn, k, list(intent) AS all_ FROM f GROUP BY 1, 2, 3),
+  kept AS (SELECT f.* FROM f JOIN has USING (conv_id, turn, k) WHERE NOT (intent = 'preserve-highlights' AND list_contains(all_, 'save-the-sky')) AND NOT (intent = 'open-shadows' AND list_contains(all_, 'keep-shadows-deep') AND regexp_matches(clause, '\b(deep|dense|crush)'))
+    AND NOT (intent = 'keep-shadows-deep' AND list_contains(all_, 'open-shadows') AND NOT regexp_matches(clause, '\b(deep|dense|crush)')) AND NOT (intent = 'punchy-contrast' AND list_contains(all_, 'soft-contrast'))),
+  first AS (SELECT conv_id, turn, intent, min(k * 100 + place) AS nth FROM kept GROUP BY 1, 2, 3), i AS (SELECT conv_id, turn, string_agg(intent, ',' ORDER BY nth) AS intents FROM first GROUP BY 1, 2),
+  u AS (SELECT conv_id, turn, count(*) AS n FROM r WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.conv_id = r.conv_id AND kept.turn = r.turn AND kept.k = r.k) GROUP BY 1, 2)
+  SELECT conv_id, turn, coalesce(intents, '') AS intents, coalesce(n, 0) AS n_unmatched FROM conversations LEFT JOIN i USING (conv_id, turn) LEFT JOIN u USING (conv_id, turn)""")
 def intent_parse(spark, sf_dir):
-    """Intents that the clauses of a text name, unless negated."""
-    lexicon = spark.createDataFrame([(n, w.split()) for n, w in LEXICON], "intent string, words array<string>")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.split(F.lower("text"), r"[.,;!?\n]+")).alias("clause")).withColumn("said", F.split(F.trim("clause"), " "))
-    hits = c.join(F.broadcast(lexicon), F.arrays_overlap("said", "words"))
-    negated = F.arrays_overlap("said", F.array(F.lit("not"), F.lit("less"), F.lit("no")))
-    return hits.groupBy("conv_id", "turn", "intent").agg(F.bool_or(~negated).alias("wanted"))
+    """Intents that the clauses of a text name, unless negated, and how many clauses say nothing known."""
+    asked = F.get(F.array(*map(F.lit, REQUESTS)), (F.col("conv_id") % len(REQUESTS)).cast("int"))
+    c = table(spark, sf_dir, "conversations").withColumn("_r", language.requested(F.concat(asked, F.lit("\n"), "text")))
+    return c.select("conv_id", "turn", F.array_join(F.col("_r")["intents"], ",").alias("intents"), F.size(F.col("_r")["unmatched"]).cast("long").alias("n_unmatched"))
+
+
+#: Captions and what is seen in the queries below, in turn: label and box.
+CAPTIONS = ("A bride and groom in a room", "A portrait of a man outside, trees and sky", "A dog on the beach at sunset", "A table in a kitchen with a cake, a window and a wall", "a dress with flowers on it", "")
+SEEN = ((("Person", 0.1, 0.1, 0.7, 0.9), ("fancy dress", 0.2, 0.3, 0.6, 0.8)), (("man", 0.4, 0.4, 0.5, 0.5), ("human face", 0.4, 0.4, 0.6, 0.6)), (("Dog", 0.5, 0.5, 0.9, 0.9), ("watercraft", 0.0, 0.0, 0.1, 0.1)), (("cake", 0.1, 0.1, 0.4, 0.4), ("flower", 0.5, 0.5, 0.8, 0.8)), (("woman", 0.0, 0.0, 0.9, 0.9), ("flower", 0.2, 0.2, 0.4, 0.4)))
+
+
+def _seen_sql() -> str:
+    boxes = ", ".join("[" + ", ".join(f"{{'label': '{o[0].lower()}', 'x0': {o[1]}::DOUBLE, 'y0': {o[2]}::DOUBLE, 'x1': {o[3]}::DOUBLE, 'y1': {o[4]}::DOUBLE}}" for o in frame) + "]" for frame in SEEN)
+    return f"[{boxes}]"
+
+
+_INSIDE = "(greatest(0, least(o.x1, p.x1) - greatest(o.x0, p.x0)) * greatest(0, least(o.y1, p.y1) - greatest(o.y0, p.y0))) / ((o.x1 - o.x0) * (o.y1 - o.y0))"
+_SCENES = " ".join(f"CASE WHEN regexp_matches(caption, '{p}') {'AND flower' if n == 'flower' else ''} THEN '{n}' END," for n, p in language.SCENES)
+_RENAMED = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in language.RENAMED)
 
 
-@query("scene_keywords", "SELECT doc_id, CASE WHEN len(regexp_extract_all(lower(text), '\\b(the|and|of)\\b')) > len(regexp_extract_all(lower(text), '\\b(der|die|das)\\b')) THEN 'indoor' ELSE 'outdoor' END AS scene FROM documents")
+@query("scene_keywords", f"""WITH c AS (SELECT doc_id, regexp_replace(lower({_texts(CAPTIONS)}[(doc_id % {len(CAPTIONS)})::INT + 1] || ' ' || coalesce(text, '')), '[^\x01-\x7F]', 'x', 'g') AS caption, {_seen_sql()}[(doc_id % {len(SEEN)})::INT + 1] AS seen FROM documents),
+  o AS (SELECT doc_id, k, seen, seen[k] AS o FROM (SELECT doc_id, seen, unnest(range(1, len(seen) + 1)) AS k FROM c)),
+  w AS (SELECT doc_id, k, o.o AS o, o.o.label IN {language.PERSONS} AS person, (o.o.x1 - o.o.x0) * (o.o.y1 - o.o.y0) AS area, len(list_filter(seen, lambda p: p.label IN {language.PERSONS} AND p <> o.o AND {_INSIDE.replace('o.x', 'o.o.x').replace('o.y', 'o.o.y')} > {language.WORN})) > 0 AS worn FROM o),
+  f AS (SELECT doc_id, bool_or(person) AS people, bool_or(person AND area > {language.LARGE_PERSON}) OR bool_or(o.label = 'human face' AND area > {language.LARGE_FACE}) AS big, bool_or(o.label = 'flower' AND NOT worn) AS flower,
+    coalesce(list(CASE o.label {_RENAMED} ELSE o.label END ORDER BY k) FILTER (o.label NOT IN {language.PARTS} AND area >= {language.LEAST_AREA} AND (person OR NOT worn)), []) AS shown FROM w GROUP BY 1),
+  n AS (SELECT c.doc_id, len(regexp_extract_all(caption, '{language.INDOOR}')) AS i, len(regexp_extract_all(caption, '{language.OUTDOOR}')) AS u, caption, people, big, flower, shown FROM c JOIN f USING (doc_id)),
+  a AS (SELECT doc_id, list_concat(list_filter([CASE WHEN people AND (regexp_matches(caption, '{language.PORTRAIT}') OR big) THEN 'portrait' END, {_SCENES} CASE WHEN i > u THEN 'indoor' WHEN u > i THEN 'outdoor' END], lambda x: x IS NOT NULL), shown) AS k FROM n)
+  SELECT doc_id, array_to_string(list_filter(k, lambda x, j: list_position(k, x) = j)[1:{language.MAX_KEYWORDS}], ',') AS keywords FROM a""")
 def scene_keywords(spark, sf_dir):
-    """One of two scenes, by which words a caption has more of."""
-    n = lambda p: F.regexp_count(F.lower("text"), F.lit(p))
-    scene = F.when(n(r"\b(the|and|of)\b") > n(r"\b(der|die|das)\b"), "indoor").otherwise("outdoor")
-    return table(spark, sf_dir, "documents").select("doc_id", scene.alias("scene"))
+    """Keywords of a frame from its caption and what is seen in it."""
+    pick = lambda values, n: F.get(F.array(*values), (F.col("doc_id") % n).cast("int"))
+    box = lambda o: F.struct(F.lit(o[0]).alias("label"), *[F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), o[1:], strict=True)])
+    caption = F.concat(pick(map(F.lit, CAPTIONS), len(CAPTIONS)), F.lit(" "), F.coalesce("text", F.lit("")))
+    seen = pick([F.array(*map(box, frame)) for frame in SEEN], len(SEEN))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(language.keywords(caption, seen), ",").alias("keywords"))
 
 
 @query("loc_boxes", "SELECT l_orderkey, l_linenumber, l_partkey, count(*) AS n, (max(l_quantity) + 0.5) / 1000 * 48 AS x FROM lineitem GROUP BY 1, 2, 3")
@@ -85,9 +129,10 @@ def checksum(spark, sf_dir):
 
 @query("common_folder", "SELECT s_nationkey, CASE WHEN count(DISTINCT s_suppkey % 3) = 1 THEN '/a/b' || min(s_suppkey % 3) ELSE '/a' END AS folder FROM supplier GROUP BY 1")
 def common_folder(spark, sf_dir):
-    """The longest folder that all files of a group are under. Folders, not files, are what a group collects."""
-    s = table(spark, sf_dir, "supplier").select("s_nationkey", F.concat(F.lit("/a/b"), F.col("s_suppkey") % 3, F.lit("/x")).alias("p")).distinct()
-    return s.groupBy("s_nationkey").agg(text.common_folder(F.collect_list("p")).alias("folder"))
+    """The longest folder that all files of a group are under."""
+    path = F.concat(F.lit("/a/b"), F.col("s_suppkey") % 3, F.lit("/x"))
+    # what the first and the last path in order share, all between them share
+    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(text.common_folder(F.array(F.min(path), F.max(path))).alias("folder"))
 
 
 @query("render_key", "SELECT DISTINCT p_brand || ' + ' || p_type AS key, p_brand AS profile, p_type AS look FROM part")
@@ -332,8 +377,7 @@ def box_overlap(spark, sf_dir):
 @query("look_percentile", "WITH v AS (SELECT user_id, value, sum(value) OVER (PARTITION BY user_id ORDER BY value, event_id) AS seen, sum(value) OVER (PARTITION BY user_id) AS total FROM events) SELECT user_id, min(value) AS p50 FROM v WHERE seen >= 0.5 * total GROUP BY 1")
 def look_percentile(spark, sf_dir):
     """The weighted lower percentile of a look."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    return e.select("user_id", weighted_low(F.col("v"), F.col("v"), 0.5).alias("p50"))
+    return feedback.weighted_percentile(table(spark, sf_dir, "events"), "user_id", "value", F.col("value"), 0.5).withColumnRenamed("percentile", "p50")
 
 
 @query("violation", "SELECT p_partkey, greatest(0, 10 - p_size) + greatest(0, p_size - 40) AS violation FROM part")
@@ -342,11 +386,11 @@ def violation(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", (F.greatest(F.lit(0), 10 - F.col("p_size")) + F.greatest(F.lit(0), F.col("p_size") - 40)).alias("violation"))
 
 
-@query("anchor_ramp", "SELECT p_partkey, (s * 0.5)::DOUBLE AS scale, (p_size * s * 0.5)::DOUBLE AS value FROM part, range(0, 7) r(s) WHERE p_partkey <= 200")
+@query("anchor_ramp", "SELECT p_partkey, s / 20.0::DOUBLE AS scale, p_size * s / 20.0::DOUBLE AS value FROM part, range(0, 61) r(s)")
 def anchor_ramp(spark, sf_dir):
-    """A parameter at a range of strengths."""
-    p = table(spark, sf_dir, "part").filter("p_partkey <= 200")
-    return p.select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("s")).select("p_partkey", (F.col("s") * 0.5).alias("scale"), (F.col("p_size") * F.col("s") * 0.5).alias("value"))
+    """A parameter at 61 strengths from 0 to 3."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("s")).select("p_partkey", (F.col("s") / 20).alias("scale"), (F.col("p_size") * F.col("s") / 20).alias("value"))
 
 
 @query("luma_hist", "WITH c AS (SELECT label, floor(log2(greatest(x::DOUBLE * x::DOUBLE, 1e-9)) * 16)::BIGINT AS bin FROM (SELECT label, unnest(embedding) AS x FROM embeddings)) SELECT label, bin, count(*) AS n FROM c GROUP BY 1, 2")

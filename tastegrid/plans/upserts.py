@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import keyed
+from ..operators import keyed, library, ordered
 from ..registry import query
 from .base import table
 
@@ -67,19 +67,17 @@ def params_for(spark, sf_dir):
 def cache_hits(spark, sf_dir):
     """Cached values count only where key, size and time are the file's."""
     part = table(spark, sf_dir, "part")
-    stored = part.select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_size")).otherwise(F.col("p_size") + 1).alias("size"), F.col("p_brand").alias("cached"))
-    return part.join(stored, (F.col("p_partkey") == F.col("k")) & (F.col("p_size") == F.col("size")), "left").select("p_partkey", "cached")
+    stored = part.select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, F.col("p_size")).otherwise(F.col("p_size") + 1).alias("p_size"), F.col("p_brand").alias("cached"))
+    return library.valid_results(part, stored, "p_partkey", ["p_size"], ["cached"]).select("p_partkey", "cached")
 
 
 @query("outbox_enqueue", "WITH a AS (SELECT max(o_orderkey) AS top FROM orders) SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_custkey % 5 <> 0 UNION ALL SELECT top + row_number() OVER (ORDER BY o_custkey) AS id, o_custkey FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 5 = 0), a")
 def outbox_enqueue(spark, sf_dir):
     """A new entry replaces the earlier ones of its key, under a fresh id."""
-    from pyspark.sql.window import Window
-
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
     fresh = o.filter("o_custkey % 5 = 0").select("o_custkey").distinct()
     top = o.agg(F.max("id").alias("top"))
-    numbered = fresh.crossJoin(F.broadcast(top)).select((F.col("top") + F.row_number().over(Window.orderBy("o_custkey"))).alias("id"), "o_custkey")
+    numbered = ordered.numbered(fresh, [F.col("o_custkey")], "n").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("n")).alias("id"), "o_custkey")
     return o.join(fresh, "o_custkey", "left_anti").select("id", "o_custkey").unionByName(numbered)
 
 
@@ -101,26 +99,24 @@ def reset_parts(spark, sf_dir):
 @query("tag_merge", "SELECT p_partkey, list_sort(list_distinct(['user:' || lower(p_brand), 'color:red', 'user:kept'])) AS tags FROM part")
 def tag_merge(spark, sf_dir):
     """The single colour tag is replaced, missing keywords are added in lower case."""
-    old = F.array(F.lit("color:blue"), F.lit("user:kept"))
-    without = F.filter(old, lambda t: ~t.startswith("color:"))
-    new = F.array(F.concat(F.lit("user:"), F.lower("p_brand")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_sort(F.array_union(F.array_append(without, F.lit("color:red")), new)).alias("tags"))
+    tags = library.merged_tags(F.array(F.lit("color:blue"), F.lit("user:kept")), {"color:": F.lit("red")}, F.array(F.concat(F.lit("user:"), F.col("p_brand"))))
+    return table(spark, sf_dir, "part").select("p_partkey", tags.alias("tags"))
 
 
 @query("preserve_tags", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'default' END AS label, p_type AS title FROM part")
 def preserve_tags(spark, sf_dir):
     """Annotations read back before a rewrite win over the template's."""
     kept = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("label"), F.col("p_brand"), F.lit("title"), F.col("p_type"))).otherwise(F.create_map(F.lit("title"), F.col("p_type")))
-    merged = F.map_concat(F.map_filter(F.create_map(F.lit("label"), F.lit("default"), F.lit("title"), F.lit("none")), lambda k, v: ~F.map_contains_key(kept, k)), kept)
+    merged = library.preserved(F.create_map(F.lit("label"), F.lit("default"), F.lit("title"), F.lit("none")), kept)
     return table(spark, sf_dir, "part").select("p_partkey", merged["label"].alias("label"), merged["title"].alias("title"))
 
 
 @query("sync_reconcile", """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey WHEN c_custkey % 3 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS stars, c_custkey % 5 <> 0 AND c_custkey % 3 = 0 AS changed FROM customer""")
 def sync_reconcile(spark, sf_dir):
     """Two-way sync by field: the later change wins, an echo of what was sent is ignored."""
-    c = table(spark, sf_dir, "customer").withColumn("sent", F.when(F.col("c_custkey") % 5 == 0, F.col("c_nationkey") + 100)).withColumn("reported", F.when((F.col("c_custkey") % 3 == 0) | (F.col("c_custkey") % 5 == 0), F.col("c_nationkey") + 100))
-    taken = F.col("reported").isNotNull() & ~F.col("reported").eqNullSafe(F.col("sent"))
-    return c.select("c_custkey", F.when(taken, F.col("reported")).otherwise(F.col("c_nationkey")).alias("stars"), taken.alias("changed"))
+    c, k, told = table(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("c_nationkey") + 100
+    reports = c.filter((k % 3 == 0) | (k % 5 == 0)).select("c_custkey", told.alias("stars"), F.when(k % 5 == 0, told).alias("sent_stars"))
+    return library.reconciled(c.select("c_custkey", F.col("c_nationkey").alias("stars")), reports, "c_custkey", ["stars"])
 
 
 @query("send_status", "SELECT o_orderkey, CASE WHEN l.l_orderkey IS NULL THEN 'missing' WHEN o_orderstatus = 'O' THEN 'pending' WHEN n > 4 THEN 'changed' ELSE 'applied' END AS status FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON o_orderkey = l.l_orderkey")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import arrays
 from ..functions.text import rendered
-from ..operators import folds, keyed
+from ..operators import folds, keyed, library, ordered
 from ..registry import query
 from .base import FRAMES, PARAMS, frames, params, table
 
@@ -33,8 +33,7 @@ def naming_plan(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("cam", F.col("o_custkey") % 40)
     seq = F.row_number().over(Window.partitionBy("cam").orderBy("o_orderdate", "o_orderkey"))
     named = o.withColumn("seq", seq).withColumn("stem", rendered("cam{camera}_{seq:4}", {"camera": F.col("cam"), "seq": F.floor(F.col("seq") / 2)}, {"camera": "nocamera"}))
-    nth = F.row_number().over(Window.partitionBy(F.lower("stem")).orderBy("seq"))
-    return named.withColumn("nth", nth).select("o_orderkey", F.concat("stem", F.when(F.col("nth") > 1, F.concat(F.lit("_"), "nth")).otherwise(""), F.lit(".raw")).alias("name"))
+    return library.unique_names(named, "stem", [F.col("seq")], ".raw").select("o_orderkey", F.col("stem").alias("name"))
 
 
 @query("cache_evict", """WITH p AS (SELECT source, min(doc_id) AS used, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY 1), r AS (SELECT *, sum(bytes) OVER (ORDER BY used DESC) AS newer FROM p)
@@ -85,11 +84,9 @@ def elo_pool(spark, sf_dir):
 @query("closest_elo", "SELECT a.s_suppkey AS id, (SELECT b.s_suppkey FROM supplier b WHERE b.s_suppkey <> a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey LIMIT 1) AS opponent FROM supplier a")
 def closest_elo(spark, sf_dir):
     """The opponent with the nearest rating: in the order of ratings it stands right before or after."""
-    w = Window.orderBy("s_acctbal", "s_suppkey")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
-    near = s.select("s_suppkey", "s_acctbal", *[f(F.struct(F.col("s_acctbal").alias("v"), F.col("s_suppkey").alias("id")), 1).over(w).alias(n) for f, n in ((F.lag, "a"), (F.lead, "b"))])
+    near = ordered.neighbours(table(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal")
     option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("s_acctbal") - F.col(c)["v"]).alias("d"), F.col(c)["id"].alias("id")))
-    return near.select(F.col("s_suppkey").alias("id"), F.least(option("a"), option("b"))["id"].alias("opponent"))
+    return near.select(F.col("s_suppkey").alias("id"), F.least(option("below"), option("above"))["id"].alias("opponent"))
 
 
 @query("tail_rows", f"WITH {PARAMS}, d AS (SELECT file, param, abs(value - avg(value) OVER (PARTITION BY param)) AS off FROM params), r AS (SELECT *, row_number() OVER (PARTITION BY param ORDER BY off) AS rn, count(*) OVER (PARTITION BY param) AS n FROM d), c AS (SELECT param, floor(off * 1e6) AS cut FROM r WHERE rn = least(floor(0.8 * n), n - 1) + 1) SELECT param, count(*) AS n FROM d JOIN c USING (param) WHERE floor(off * 1e6) >= cut GROUP BY 1")
@@ -109,12 +106,12 @@ def mode_pick(spark, sf_dir):
     return c.groupBy("user_id").agg(F.min_by("event_type", F.struct((-F.col("n")).alias("n"), F.col("first"))).alias("event_type"))
 
 
-@query("library_sort", "SELECT p_partkey, row_number() OVER (ORDER BY coalesce(CASE WHEN p_size % 7 <> 0 THEN p_size % 6 END, -1) DESC, p_partkey) AS place FROM part ORDER BY place LIMIT 50")
+@query("library_sort", "SELECT p_partkey, row_number() OVER (ORDER BY coalesce(CASE WHEN p_size % 7 <> 0 THEN p_size % 6 END, -1) DESC, p_partkey) AS place FROM part")
 def library_sort(spark, sf_dir):
-    """By stars, unrated last, else as they stand; the first page."""
+    """By stars, unrated last, else as they stand."""
     stars = F.coalesce(F.when(F.col("p_size") % 7 != 0, F.col("p_size") % 6), F.lit(-1))
-    top = table(spark, sf_dir, "part").select("p_partkey", stars.alias("stars")).orderBy(F.col("stars").desc(), "p_partkey").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("stars").desc(), "p_partkey"))).select("p_partkey", "place")
+    rated = table(spark, sf_dir, "part").select("p_partkey", stars.alias("stars"))
+    return ordered.numbered(rated, [-F.col("stars"), F.col("p_partkey")]).select("p_partkey", "place")
 
 
 @query("outbox_pending", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 500")

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from tastegrid.functions import arrays, color, jsmath, raster, text
-from tastegrid.operators import anchors, develop, evaluate, folds, keyed, moments, ranking, sessions, tone
+from tastegrid.functions import arrays, color, jsmath, language, raster, text
+from tastegrid.operators import anchors, develop, evaluate, feedback, folds, keyed, keywords, library, moments, ordered, ranking, sessions, tone
 from tastegrid.sources import jsonl
 from tastegrid.streaming import online
 
@@ -409,3 +409,94 @@ def test_plans_tell_all_mistakes(spark):
     plan = steps.resolved({"version": 2, "vars": {"n": 3}, "defaults": {"keep": {"least": 1}}, "steps": [{"run": "keep"}, {"run": "keep", "with": {"least": "${n}"}}, {"run": "fail", "continue_on_error": True}, {"run": "keep", "with": {"least": 9}, "enabled": False}]}, ops)
     df, told = steps.run(spark.range(5), plan, ops)
     assert df.count() == 2 and told["step4"] == "skipped" and told["step3"].startswith("AnalysisException")
+
+
+def test_requests(spark):
+    """Own phrases: negation, precedence, contradictions, what is not understood."""
+    cases = {
+        "Keep the highlights, and open the shadows": (["preserve-highlights", "open-shadows"], []),
+        "Don't blow the sky": (["save-the-sky"], []),
+        "no punchy contrast": ([], ["no punchy contrast"]),
+        "RECOVER the sky; hold highlights": (["save-the-sky", "preserve-highlights"], []),
+        "recover the highlights of the sky": (["save-the-sky"], []),
+        "open the deep shadows": (["keep-shadows-deep"], []),
+        "more, but soft contrast": (["soft-contrast"], ["more"]),
+        "Plus de lumière": ([], ["plus de lumiere"]),
+        "": ([], []),
+        None: ([], []),
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").select("i", language.requested(F.col("t")).alias("r")).collect()
+    got = {r["i"]: (r["r"]["intents"], r["r"]["unmatched"]) for r in rows}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    assert one(spark, language.contradicted(F.array(F.lit("soft-contrast"), F.lit("punchy-contrast")))) and not one(spark, language.contradicted(F.array(F.lit("soft-contrast"))))
+
+
+def test_keywords_of_scenes(spark):
+    rows = [
+        (0, "A bride in a room", [("Person", 0.1, 0.1, 0.7, 0.9), ("fancy dress", 0.2, 0.3, 0.6, 0.8)]),
+        (1, "a dress with flowers", [("woman", 0.0, 0.0, 0.9, 0.9), ("flower", 0.2, 0.2, 0.4, 0.4)]),
+        (2, "flowers on grass", [("flower", 0.2, 0.2, 0.4, 0.4), ("bee", 0.2, 0.2, 0.21, 0.21), ("Watercraft", 0.0, 0.0, 0.5, 0.5)]),
+        (3, None, None),
+    ]
+    df = spark.createDataFrame(rows, "i int, c string, o array<struct<label:string,x0:double,y0:double,x1:double,y1:double>>")
+    got = {r["i"]: r["k"] for r in df.select("i", language.keywords(F.col("c"), F.col("o")).alias("k")).collect()}
+    assert got == {0: ["portrait", "wedding", "indoor", "person"], 1: ["portrait", "woman"], 2: ["flower", "outdoor", "boat"], 3: []}
+
+
+def test_library_judgements(spark):
+    df = spark.createDataFrame([(1, {"tint": 0.0, "temp": 5500.0}, None, ["mixer_red"]), (2, {"tint": 3.0}, "color", ["mixer_red"]), (3, {"temp": 5600.0, "x": None}, None, ["exposure"]), (4, None, "bw", None)], "i int, v map<string,double>, f string, k array<string>")
+    got = {r["i"]: (r["e"], r["t"]) for r in df.select("i", library.edited(F.col("v"), {"temp": 5500.0}).alias("e"), library.treatment(F.col("f"), F.col("k"), ("mixer_",)).alias("t")).collect()}
+    assert got == {1: (False, "bw"), 2: (True, "color"), 3: (True, "color"), 4: (False, "bw")}
+    assert [one(spark, library.verdict(F.lit(a), F.lit(b), 10, 20)) for a, b in ((10, 0), (9, 20), (9, 19))] == ["sharp", "rescued", "soft"]
+    cuts = ((0.2, 1), (0.5, 3), (0.8, 5))
+    assert [one(spark, library.stars(F.lit(m), F.lit(f), cuts, 1, 2, 2)) for m, f in ((0.9, 9), (0.5, 9), (0.1, 9), (0.9, 1.5), (0.9, 0.5))] == [5, 3, 0, 2, 0]
+
+
+def test_library_merges(spark):
+    tags = F.array(F.lit("color:blue"), F.lit("user:a"))
+    assert one(spark, library.merged_tags(tags, {"color:": F.lit("red")}, F.array(F.lit("USER:B"), F.lit("user:a")))) == ["color:red", "user:a", "user:b"]
+    assert one(spark, library.merged_tags(tags, {"color:": F.lit(None).cast("string")}, F.lit(None).cast("array<string>"))) == ["user:a"]
+    template, kept = F.create_map(F.lit("a"), F.lit("t"), F.lit("b"), F.lit("t")), F.create_map(F.lit("a"), F.lit("mine"), F.lit("b"), F.lit(None).cast("string"), F.lit("c"), F.lit("x"))
+    assert one(spark, library.preserved(template, kept)) == {"a": "mine", "b": "t", "c": "x"}
+    base = spark.createDataFrame([(1, 3, "x"), (2, 4, "y"), (3, 5, "z")], "k int, stars int, label string")
+    reports = spark.createDataFrame([(1, 5, None, "x", None), (2, 4, 4, "new", "y")], "k int, stars int, sent_stars int, label string, sent_label string")
+    assert sorted(map(tuple, library.reconciled(base, reports, "k", ["stars", "label"]).collect())) == [(1, 5, "x", True), (2, 4, "new", True), (3, 5, "z", False)]
+    files = spark.createDataFrame([(1, 10, 5), (2, 20, 5)], "f int, size int, mtime int")
+    results = spark.createDataFrame([(1, 10, 5, "ok"), (2, 20, 6, "old")], "f int, size int, mtime int, v string")
+    assert sorted((r["f"], r["v"]) for r in library.valid_results(files, results, "f", ["size", "mtime"], ["v"]).collect()) == [(1, "ok"), (2, None)]
+
+
+def test_unique_names(spark):
+    files = spark.createDataFrame([(1, "x"), (2, "X"), (3, "x"), (4, "x_2"), (5, "y"), (6, "x_2"), (7, "z")], "i int, name string")
+    got = {r["i"]: r["name"] for r in library.unique_names(files, "name", [F.col("i")], ".raw").collect()}
+    assert got == {1: "x.raw", 2: "X_3.raw", 3: "x_4.raw", 4: "x_2.raw", 5: "y.raw", 6: "x_2_2.raw", 7: "z.raw"} and len({v.lower() for v in got.values()}) == 7
+    taken = spark.createDataFrame([("y.raw",), ("Z_2.RAW",), ("z.raw",)], "name string")
+    got = {r["i"]: r["name"] for r in library.unique_names(files, "name", [F.col("i")], ".raw", taken).collect()}
+    assert got[5] == "y_2.raw" and got[7] == "z_3.raw"
+
+
+def test_numbering_neighbours_and_medians(spark, monkeypatch):
+    rnd = np.random.default_rng(9)
+    v = np.concatenate((rnd.normal(size=900), np.zeros(100)))
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double").repartition(7)
+    order = sorted(range(1000), key=lambda i: (v[i], i))
+    got = {r["i"]: r["place"] for r in ordered.numbered(df, [F.col("v"), F.col("i")]).collect()}
+    assert [got[i] for i in order] == list(range(1, 1001))
+    near = {r["i"]: (r["below"] and r["below"]["id"], r["above"] and r["above"]["id"]) for r in ordered.neighbours(df, "i", "v").collect()}
+    assert all(near[i] == (order[k - 1] if k else None, order[k + 1] if k < 999 else None) for k, i in enumerate(order))
+    for rows in (50_000, 20):
+        monkeypatch.setattr(ordered, "BRACKET_ROWS", rows)
+        assert ordered.median(df, "v") == float(np.median(v)) and ordered.median(df.filter("i < 899"), "v") == float(np.median(v[:899]))
+    assert ordered.median(df.limit(0), "v") is None and ordered.numbered(df.limit(0), [F.col("i")]).count() == 0
+
+
+def test_top_keywords(spark):
+    frames = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, -1.0])], "i int, v array<double>")
+    terms = spark.createDataFrame([("b", [0.5, 0.0]), ("a", [0.5, 0.0]), ("c", [0.9, 0.1]), ("d", [0.0, 1.0])], "term string, vector array<double>")
+    assert [(r["i"], r["rank"], r["label"], r["score"]) for r in keywords.top(frames, terms, "i", "v", k=2).orderBy("i", "rank").collect()] == [(1, 1, "c", 0.9), (1, 2, "a", 0.5)]
+    assert keywords.top(frames, terms.limit(0), "i", "v").count() == 0
+
+
+def test_weighted_percentiles(spark):
+    df = spark.createDataFrame([(1, 1.0, 1.0), (1, 5.0, 1.0), (1, 9.0, 3.0), (2, 4.0, 2.0)], "g int, v double, w double")
+    assert {r["g"]: r["percentile"] for r in feedback.weighted_percentile(df, "g", "v", F.col("w"), 0.4).collect()} == {1: 5.0, 2: 4.0}
