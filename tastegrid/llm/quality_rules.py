@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, bound, fresh, words, written
 
 #: Characters that count as symbols, and ASCII white space (fixed values).
-SYMBOLS, BLANK = "#*$%&|<>", " \t\n\x0b\f\r"
+SYMBOL, BLANK = r"[#*$%&|<>]", r"[\x20\x09-\x0D]"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -63,8 +63,8 @@ def text_counts(docs: DataFrame) -> DataFrame:
     as_counted = F.monotonically_increasing_id() >= 0
     out = out.withColumns({
         "n_words": F.when(as_counted, F.size(w)).cast("long"),
-        "word_chars": F.length(F.translate(text, BLANK, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": (F.length(text) - F.regexp_count(text, F.lit(BLANK))).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": repeats.cast("long"),
     }).drop(w, grams, lines)

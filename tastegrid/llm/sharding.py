@@ -6,7 +6,7 @@ the rows. When a weight changes, only rows whose winner at that node changes mov
 weight grew, or out of the one whose weight shrank.
 
 Cases: a null key hashes as the empty string; rows with equal keys land in one shard; an empty table gives an
-empty result; a node whose weight is 0 is never drawn. Extra columns pass through, but columns that carry an
+empty result; a very long text is one row, of which its size and checksum are taken; a node whose weight is 0 is never drawn. Extra columns pass through, but columns that carry an
 output name are replaced.
 """
 
@@ -30,7 +30,10 @@ class Leaf:
     weight: float = 1.0
 
 
-def even_tree(n_shards: int, racks: int = 2, per_rack: int = 4) -> list[Leaf]:
+RACKS, PER_RACK = 2, 4
+
+
+def even_tree(n_shards: int, racks: int = RACKS, per_rack: int = PER_RACK) -> list[Leaf]:
     """Shards 0 to n_shards - 1 in order: per_rack to a rack, racks to a region. A shard that opens a new
     region shares no subtree with the others, so it takes rows only into itself."""
     per_region = racks * per_rack
@@ -69,9 +72,15 @@ def descend(key: Column, leaves: list[Leaf]) -> Column:
     return F.substring(_draw(key, F.element_at(below(shards), rack)), 2, 12).cast("int")
 
 
-def with_slots(df: DataFrame, shard: str, key: str, buckets: int = 256) -> DataFrame:
+#: Hash buckets of a shard: at least, at most, and rows of the table for each more.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 256, 16_384, 2_000_000
+
+
+def with_slots(df: DataFrame, shard: str, key: str, buckets: int | None = None) -> DataFrame:
     """Adds slot, gapless from 0 within each shard. Rows are numbered within (shard, hash bucket) and moved up by
-    the counts of the buckets before, so no shard is sorted in one task; the offsets are shards x buckets rows."""
+    the counts of the buckets before, so no shard is sorted in one task; the offsets are shards x buckets rows.
+    Buckets grow with the table, of which they are a 2,000,000th, within bounds."""
+    buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, df.count() // BUCKET_ROWS))
     bucketed = df.withColumn("_bucket", (hash48(F.col(key), "slot") / F.lit(float(2**48)) * buckets).cast("int"))
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -90,7 +99,10 @@ def shard_rows(df: DataFrame, key: str, leaves: list[Leaf], grown: list[Leaf] |
 
 
 def sharded_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:
-    """One row per document: its size, checksum, shard, slot, and the shard it has with one shard more."""
+    """One row per document: its size, checksum, shard, slot, and the shard it has with one shard more. The law, one
+    more shard takes rows only into itself, holds where that shard opens a region: for full regions of shards."""
+    if n_shards % (RACKS * PER_RACK):
+        raise ValueError(f"the law key needs a multiple of {RACKS * PER_RACK} shards, not {n_shards}")
     text = F.coalesce(F.col("text"), F.lit(""))
     light = docs.select(
         "doc_id",

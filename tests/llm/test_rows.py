@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tastegrid.llm import licenses, mixing, quality_rules, sharding
@@ -29,6 +30,13 @@ def test_sharding_empty(docs):
     assert sharding.sharded_documents(docs([])).count() == 0
 
 
+def test_law_for_whole_regions_only(docs):
+    for n in (8, 16):
+        assert all(r["grown_shard"] in (r["shard"], n) for r in sharding.sharded_documents(docs([(i, "x") for i in range(300)]), n).collect())
+    with pytest.raises(ValueError, match="multiple of 8"):
+        sharding.sharded_documents(docs([(1, "x")]), 25)
+
+
 def test_sharding_shares_and_movement(spark):
     """Shares follow weights; a change of one weight moves rows only into or out of its subtree."""
     tree = [sharding.Leaf(f"g{i // 4}", f"k{i // 2}", i, 1.0 + i % 3) for i in range(8)]
