@@ -255,7 +255,13 @@ def rr_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", *[out(n).alias(n) for n in ("exposure", "texture", "clarity")], (F.abs(F.col("p_size") - out("texture") / gears["texture"]) < 1e-6).alias("same"))
 
 
-@query("wb_gains")
+_KELVIN = """t AS (SELECT p_partkey, least(greatest(p_retailprice * 4, 1667.0), 25000.0) AS t FROM part),
+  x AS (SELECT *, CASE WHEN t <= 4000 THEN -0.2661239e9 / (t * t * t) - 0.2343589e6 / (t * t) + 0.8776956e3 / t + 0.179910 ELSE -3.0258469e9 / (t * t * t) + 2.1070379e6 / (t * t) + 0.2226347e3 / t + 0.240390 END AS x FROM t),
+  y AS (SELECT *, CASE WHEN t <= 2222 THEN x * x * x * -1.1063814 - x * x * 1.34811020 + x * 2.18555832 - 0.20219683 WHEN t <= 4000 THEN x * x * x * -0.9549476 - x * x * 1.37418593 + x * 2.09137015 - 0.16748867 ELSE x * x * x * 3.0817580 - x * x * 5.87338670 + x * 3.75112997 - 0.37001483 END AS y FROM x),
+  c AS (SELECT p_partkey, 1 / greatest(x / y * 3.2406 - 1.5372 - (1 - x - y) / y * 0.4986, 1e-6) AS r, 1 / greatest(x / y * -0.9689 + 1.8758 + (1 - x - y) / y * 0.0415, 1e-6) AS g, 1 / greatest(x / y * 0.0557 - 0.2040 + (1 - x - y) / y * 1.0570, 1e-6) AS b FROM y)"""
+
+
+@query("wb_gains", f"WITH {_KELVIN}, l AS (SELECT *, r * 0.2126 + g * 0.7152 + b * 0.0722 AS l FROM c) SELECT p_partkey, floor(r / l * 1e6 + 0.4817) / 1e6 AS r, floor(g / l * 1e6 + 0.4817) / 1e6 AS g, floor(b / l * 1e6 + 0.4817) / 1e6 AS b FROM l".replace("0.2661239e9", "266123900.0::DOUBLE").replace("0.2343589e6", "234358.9::DOUBLE").replace("0.8776956e3", "877.6956::DOUBLE").replace("3.0258469e9", "3025846900.0::DOUBLE").replace("2.1070379e6", "2107037.9::DOUBLE").replace("0.2226347e3", "222.6347::DOUBLE"))
 def wb_gains(spark, sf_dir):
     """Channel gains for a black body's light; at unit luminance."""
     gains = color.balance_gains(F.col("p_retailprice") * 4)
@@ -401,11 +407,14 @@ def luma_hist(spark, sf_dir):
     return x.groupBy("label", bin.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("laplacian")
+@query("laplacian", """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 127 + 128)::BIGINT) AS p FROM embeddings),
+  l AS (SELECT vec_id, list_transform(range(36), lambda k: p[(k // 6 + 1) * 8 + k % 6 + 1] + p[(k // 6 + 1) * 8 + k % 6 + 3] + p[(k // 6) * 8 + k % 6 + 2] + p[(k // 6 + 2) * 8 + k % 6 + 2] - 4 * p[(k // 6 + 1) * 8 + k % 6 + 2]) AS l FROM p)
+  SELECT vec_id, floor((list_sum(list_transform(l, lambda x: x * x)) / 36.0::DOUBLE - pow(list_sum(l) / 36.0::DOUBLE, 2)) * 1e3 + 0.4817) / 1e3 AS score, 1 AS n_tiles, floor((list_sum(list_transform(l, lambda x: x * x)) / 36.0::DOUBLE - pow(list_sum(l) / 36.0::DOUBLE, 2)) * 1e3 + 0.4817) / 1e3 AS peak FROM l""")
 def laplacian(spark, sf_dir):
-    """Focus of 8 x 8 rasters: variance of the Laplacian, by tile and its peak."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 127 + 128).cast("int")).alias("pixels"), F.lit(8).alias("width"), F.lit(8).alias("height"))
-    return raster.focus(e)
+    """Focus of 8 x 8 rasters: variance of the Laplacian, by tile and its peak; a raster so small is one tile."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 127 + 128).cast("int")).alias("pixels"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    r3 = lambda c: (F.floor(F.col(c) * 1e3 + 0.4817) / 1e3).alias(c)
+    return raster.focus(e).select("vec_id", r3("score"), F.size("tiles").alias("n_tiles"), r3("peak"))
 
 
 @query("color_features")
@@ -415,14 +424,17 @@ def color_features(spark, sf_dir):
     return raster.photometry(table(spark, sf_dir, "embeddings").select("vec_id", px(0).alias("r"), px(20).alias("g"), px(-20).alias("b")))
 
 
-@query("polygon_mask")
+# a triangle; a pixel's centre is inside if a ray to the right crosses its edges an odd number of times
+@query("polygon_mask", """WITH t AS (SELECT p_partkey, p_size / 50.0::DOUBLE * 44 + 2 AS w FROM part), e AS (SELECT p_partkey, unnest([2.0, w, 24.0]) AS ax, unnest([2.0, 2.0, 46.0]) AS ay, unnest([w, 24.0, 2.0]) AS bx, unnest([2.0, 46.0, 2.0]) AS by_ FROM t),
+  c AS (SELECT p_partkey, i, j, count(*) AS n FROM e, range(48) a(i), range(48) b(j) WHERE (ay > i + 0.5) <> (by_ > i + 0.5) AND j + 0.5 < (bx - ax) * (i + 0.5 - ay) / (by_ - ay) + ax GROUP BY 1, 2, 3)
+  SELECT p_partkey, coalesce(n, 0) / 2304.0::DOUBLE AS share FROM part LEFT JOIN (SELECT p_partkey, count(*) AS n FROM c WHERE n % 2 = 1 GROUP BY 1) USING (p_partkey)""")
 def polygon_mask(spark, sf_dir):
     """Polygons as masks by the even-odd rule, and the share they cover."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.array(*[F.col("p_size") * 0.0 + v for v in (2.0, 2.0)], F.col("p_size") / 50.0 * 44 + 2, F.lit(2.0), F.lit(24.0), F.lit(46.0)).alias("points"))
     return raster.polygon_share(p, 48)
 
 
-@query("codec_roundtrip")
+@query("codec_roundtrip", "SELECT vec_id, 4 * len(embedding) AS n_bytes, len(embedding) = 64 AS same FROM embeddings")
 def codec_roundtrip(spark, sf_dir):
     """Vectors to little-endian bytes and back; the length is checked."""
-    return raster.codec(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 64)
+    return raster.codec(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 64).select("vec_id", F.octet_length("bytes").cast("long").alias("n_bytes"), "same")

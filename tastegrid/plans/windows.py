@@ -126,7 +126,10 @@ def focus_peak(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", (F.floor(peak * 1e6 + 0.4817) / 1e6).alias("peak"))
 
 
-@query("fold_assign")
+@query("fold_assign", f"""WITH RECURSIVE {FRAMES}, s AS (SELECT session, count(*) AS n FROM frames GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, session) AS k FROM s),
+  d AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS w, NULL::BIGINT AS session, 0::BIGINT AS n, 0 AS fold
+    UNION ALL SELECT o.k, list_transform(w, lambda x, i: x + CASE WHEN i = list_position(w, list_min(w)) THEN o.n ELSE 0 END), o.session, o.n, list_position(w, list_min(w)) - 1 FROM d JOIN o ON o.k = d.k + 1)
+  SELECT session, n, fold FROM d WHERE k > 0""")
 def fold_assign(spark, sf_dir):
     """Sessions dealt to folds, the largest first into the lightest."""
     return folds.balanced(frames(spark, sf_dir), "session", 5)
