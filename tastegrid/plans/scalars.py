@@ -421,7 +421,7 @@ def laplacian(spark, sf_dir):
 def color_features(spark, sf_dir):
     """Photometric figures of 8 x 8 rasters in three channels."""
     px = lambda k: F.transform("embedding", lambda x: F.abs(F.floor(x * (100 + k) + 128).cast("int")) % 256)
-    return raster.photometry(table(spark, sf_dir, "embeddings").select("vec_id", px(0).alias("r"), px(20).alias("g"), px(-20).alias("b")))
+    return raster.photometry(table(spark, sf_dir, "embeddings").select("vec_id", px(0).alias("r"), px(20).alias("g"), px(-20).alias("b"), F.lit(8).alias("width"), F.lit(8).alias("height")))
 
 
 # a triangle; a pixel's centre is inside if a ray to the right crosses its edges an odd number of times

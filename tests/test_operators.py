@@ -500,3 +500,37 @@ def test_top_keywords(spark):
 def test_weighted_percentiles(spark):
     df = spark.createDataFrame([(1, 1.0, 1.0), (1, 5.0, 1.0), (1, 9.0, 3.0), (2, 4.0, 2.0)], "g int, v double, w double")
     assert {r["g"]: r["percentile"] for r in feedback.weighted_percentile(df, "g", "v", F.col("w"), 0.4).collect()} == {1: 5.0, 2: 4.0}
+
+
+def test_photometric_figures():
+    """Each figure against its definition, pixel by pixel."""
+    import colorsys
+
+    rnd = np.random.default_rng(11)
+    image = rnd.integers(0, 256, (9, 11, 3))
+    image[:2] = [[[252, 251, 255]], [[1, 2, 0]]]
+    got = dict(zip(raster.FEATURES, raster.photometric(image), strict=True))
+    assert len(raster.FEATURES) == 50
+    pixels = [tuple(map(int, p)) for p in image.reshape(-1, 3)]
+    n, luma = len(pixels), [0.2126 * r + 0.7152 * g + 0.0722 * b for r, g, b in (tuple(map(int, p)) for p in image.reshape(-1, 3))]
+    levels = [min(255, int(v)) for v in luma]
+    hsv = [colorsys.rgb_to_hsv(*(c / 255 for c in p)) for p in pixels]
+    rank = lambda values, q: next(i for i in range(256) if sum(v <= i for v in values) >= len(values) * q)
+    plane = np.array(luma).reshape(9, 11)
+    coarse = [[plane[2 * y : 2 * y + 2, 2 * x : 2 * x + 2].mean() for x in range(5)] for y in range(4)]
+    lap = lambda p: np.mean([abs(4 * p[y][x] - p[y - 1][x] - p[y + 1][x] - p[y][x - 1] - p[y][x + 1]) for y in range(1, len(p) - 1) for x in range(1, len(p[0]) - 1)]) / 1020
+    want = {
+        "luma_mean": np.mean(levels) / 255, "luma_median": rank(levels, 0.5) / 255, "luma_std": np.std(levels) / 255, "luma_hist_3": sum(48 <= v < 64 for v in levels) / n, "clip_high": sum(min(p) >= 250 for p in pixels) / n,
+        "clip_low": sum(max(p) <= 4 for p in pixels) / n, "green_mean": np.mean([p[1] for p in pixels]) / 255, "blue_std": np.std([p[2] for p in pixels]) / 255, "red_green": sum(p[0] for p in pixels) / sum(p[1] for p in pixels),
+        "saturation_mean": np.mean([s for _, s, _ in hsv]), "saturation_std": np.std([s for _, s, _ in hsv]), "value_mean": np.mean([v for *_, v in hsv]), "hue_hist_5": sum(s for h, s, _ in hsv if int(h * 12) == 5) / n,
+        "luma_p01": rank(levels, 0.01) / 255, "luma_p99": rank(levels, 0.99) / 255, "shadow_floor": rank([int(v) for row in coarse for v in row], 0.05) / 255, "detail_fine": lap(plane.tolist()), "detail_coarse": lap(coarse), "dark_channel": np.mean([min(p) for p in pixels]) / 255,
+    }
+    assert all(abs(got[k] - v) < 2e-6 for k, v in want.items()), {k: (got[k], v) for k, v in want.items() if abs(got[k] - v) >= 2e-6}
+    assert raster.photometric(np.zeros((1, 1, 3), dtype=int))[0] == 0
+
+
+def test_regional_figures():
+    pixels = np.full((16, 16), 100)
+    pixels[:8, :8] = 255
+    got = raster.regional(pixels, np.array([[9.0, 1.0], [4.0, 0.0]]))
+    assert got["subject_mean"] == 255 and got["subject_high"] == 1 and got["whole_high"] == 0.25 and got["whole_p05"] == 100
