@@ -9,7 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 Transform = Callable[..., DataFrame]
-VARIABLE = re.compile(r"\$\{(\w+)\}")
+#: ${name}, ${env:NAME}, and $${...}, which stands for the text ${...}.
+VARIABLE = re.compile(r"\$?\$\{(env:)?(\w+)\}")
 
 
 class BadPlan(ValueError):
@@ -25,20 +26,32 @@ class Step:
     continue_on_error: bool = False
 
 
-def resolved(config: dict, transforms: dict[str, Transform]) -> list[Step]:
-    """The steps of a config (version 2: vars, defaults, steps) with defaults merged and ${variables} put in."""
+def resolved(config: dict, transforms: dict[str, Transform], overrides: dict | None = None, environment: dict[str, str] | None = None) -> list[Step]:
+    """The steps of a config (version 2: vars, defaults, steps) with defaults merged and variables put in. A variable
+    may name those before it; overrides win over the config's; ${env:NAME} reads the environment that is given."""
     errors, steps, names = [], [], set()
     if config.get("version") != 2:
         errors.append("version must be 2")
-    variables = config.get("vars", {})
+    variables: dict[str, object] = {}
 
     def filled(value, where: str):
         if not isinstance(value, str):
             return value
-        for name in VARIABLE.findall(value):
-            if name not in variables:
-                errors.append(f"{where}: unknown variable {name}")
-        return VARIABLE.sub(lambda m: str(variables.get(m[1], "")), value)
+
+        def put(m: re.Match) -> str:
+            if m[0].startswith("$$"):
+                return m[0][1:]
+            source, kind = ((environment or {}), "environment variable") if m[1] else (variables, "variable")
+            if m[2] not in source:
+                errors.append(f"{where}: unknown {kind} {m[2]}")
+            return str(source.get(m[2], ""))
+
+        return VARIABLE.sub(put, value)
+
+    for name, value in config.get("vars", {}).items():
+        variables[name] = (overrides or {}).get(name, filled(value, f"vars.{name}"))
+    for name in (overrides or {}).keys() - variables.keys():
+        errors.append(f"overrides: unknown variable {name}")
 
     for i, raw in enumerate(config.get("steps", [])):
         name, run = raw.get("id", f"step{i + 1}"), raw.get("run")

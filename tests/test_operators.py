@@ -409,6 +409,13 @@ def test_plans_tell_all_mistakes(spark):
     plan = steps.resolved({"version": 2, "vars": {"n": 3}, "defaults": {"keep": {"least": 1}}, "steps": [{"run": "keep"}, {"run": "keep", "with": {"least": "${n}"}}, {"run": "fail", "continue_on_error": True}, {"run": "keep", "with": {"least": 9}, "enabled": False}]}, ops)
     df, told = steps.run(spark.range(5), plan, ops)
     assert df.count() == 2 and told["step4"] == "skipped" and told["step3"].startswith("AnalysisException")
+    config = {"version": 2, "vars": {"a": "x", "b": "${a}y"}, "steps": [{"run": "keep", "with": {"p": "${b}/${env:HOME_DIR}", "q": "$${b}", "r": 5}}]}
+    assert steps.resolved(config, ops, environment={"HOME_DIR": "h"})[0].options == {"p": "xy/h", "q": "${b}", "r": 5}
+    assert steps.resolved(config, ops, {"a": "z"}, {"HOME_DIR": "h"})[0].options["p"] == "zy/h"
+    with pytest.raises(steps.BadPlan, match="unknown environment variable HOME_DIR"):
+        steps.resolved(config, ops)
+    with pytest.raises(steps.BadPlan, match="overrides: unknown variable c"):
+        steps.resolved(config, ops, {"c": 1}, {"HOME_DIR": "h"})
 
 
 def test_requests(spark):
