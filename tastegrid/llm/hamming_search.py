@@ -10,7 +10,7 @@ distance so far are dropped in the lookup itself. The last step covers every cod
 Equal codes are one entry that holds the k least of their ids: no other copy can be among the k nearest.
 
 Cases: a null or empty vector has no code and neither searches nor is found; shorter vectors count as filled up
-with unset bits, longer ones count by their first 64; NaN is an unset bit; ties in distance go to the lesser id;
+with unset bits, longer ones raise; NaN is an unset bit; ties in distance go to the lesser id;
 a row finds itself; fewer than k rows give as many results; rows that repeat an id count once; an empty table
 gives an empty result.
 """
@@ -18,7 +18,6 @@ gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,22 +34,13 @@ SALTS = 64
 
 
 def binary_codes(df: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, code): a bit per component, set where it is above 0."""
-
-    def run(batches):
-        for batch in batches:
-            ids, codes = [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not v or i is None:
-                    continue
-                bits = np.zeros(BITS, dtype=np.uint8)
-                head = np.array([x if x is not None else 0.0 for x in v[:BITS]], dtype=np.float64)
-                bits[: len(head)] = head > 0
-                ids.append(i)
-                codes.append(int(np.packbits(bits).view(">i8")[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.int64())], names=["id", "code"])
-
-    return df.select(F.col(id).cast("long"), vector).mapInArrow(run, "id long, code long").distinct()
+    """(id, code): a bit per component, set where it is above 0, the first component's the highest."""
+    v = F.col(vector)
+    bit = lambda x: F.when((x > 0) & ~F.isnan(x), 1).otherwise(0).cast("long")
+    packed = F.aggregate(v, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(bit(x)))
+    code = F.when(F.size(v) > BITS, F.raise_error(F.lit(f"a vector has more than {BITS} components"))).otherwise(F.expr(f"shiftleft(_packed, {BITS} - size(`{vector}`))"))
+    rows = df.select(F.col(id).cast("long").alias("_id"), F.col(vector)).filter(F.col("_id").isNotNull() & (F.size(v) > 0))
+    return rows.withColumn("_packed", packed).select(F.col("_id").alias("id"), code.cast("long").alias("code")).distinct()
 
 
 def _least(rows: DataFrame, by: list[str], order: list[Column], k: int, salt: Column | None = None) -> DataFrame:

@@ -36,6 +36,17 @@ def test_search(spark, monkeypatch, wide_from):
     assert got == _expected(codes, queries, 5)
 
 
+def test_codes_of_vectors(spark):
+    rnd = np.random.default_rng(6)
+    vectors = [rnd.normal(size=n).tolist() for n in (64, 64, 63, 1)] + [[None, 1.0], [-0.0, 0.0, 5.0]]
+    got = {r["id"]: r["code"] for r in hamming_search.binary_codes(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")).collect()}
+    for i, v in enumerate(vectors):
+        bits = "".join("1" if x is not None and x > 0 else "0" for x in v).ljust(64, "0")
+        assert got[i] % 2**64 == int(bits, 2)
+    with pytest.raises(Exception, match="more than 64 components"):
+        hamming_search.binary_codes(spark.createDataFrame([(1, [1.0] * 65)], "vec_id long, embedding array<float>")).collect()
+
+
 def test_search_odd_rows(spark):
     rows = [(1, [1.0] * 64), (2, None), (3, []), (None, [1.0]), (4, [float("nan"), 1.0]), (1, [1.0] * 64)]
     codes = hamming_search.binary_codes(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
