@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.keyed import latest
-from ..operators.ranking import K_FACTOR, START, expected
+from ..operators.ranking import K_FACTOR, expected, seeded
 
 
 def _play(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rating = dict(zip(*state.get, strict=True)) if state.exists else {}
     touched: set[str] = set()
-    for w, l in pd.concat(list(batches)).sort_values("event_id")[["winner", "loser"]].itertuples(index=False):  # noqa: E741
-        a, b = rating.get(w, START), rating.get(l, START)
+    for duel in pd.concat(list(batches)).sort_values("event_id").itertuples(index=False):
+        w, l = duel.winner, duel.loser  # noqa: E741
+        a, b = rating.get(w, seeded(getattr(duel, "winner_score", None))), rating.get(l, seeded(getattr(duel, "loser_score", None)))
         gain = K_FACTOR * (1 - expected(a, b))
         rating[w], rating[l] = a + gain, b - gain
         touched |= {w, l}
@@ -27,7 +28,8 @@ def _play(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 def elo_stream(duels: DataFrame) -> DataFrame:
     """Ratings that a stream of duels (league, event_id, winner, loser) changes, a row per player and batch. The
-    two sides of a duel share their league's state."""
+    two sides of a duel share their league's state. Players that are new start from winner_score and loser_score, from
+    0 to 1, where the stream has them."""
     return duels.groupBy("league").applyInPandasWithState(_play, "league long, id string, rating double", "ids array<string>, ratings array<double>", "update", GroupStateTimeout.NoTimeout)
 
 

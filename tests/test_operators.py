@@ -541,3 +541,22 @@ def test_regional_figures():
     pixels[:8, :8] = 255
     got = raster.regional(pixels, np.array([[9.0, 1.0], [4.0, 0.0]]))
     assert got["subject_mean"] == 255 and got["subject_high"] == 1 and got["whole_high"] == 0.25 and got["whole_p05"] == 100
+
+
+def test_online_ratings_start_from_scores():
+    """The state function alone: seeds for new players, the state's ratings for known ones."""
+    import pandas as pd
+
+    class State:
+        exists, get = True, (["old"], [1800.0])
+
+        def update(self, value):
+            self.value = value
+
+    state = State()
+    duels = pd.DataFrame({"event_id": [2, 1], "winner": ["new", "old"], "loser": ["old", "new"], "winner_score": [0.0, 0.9], "loser_score": [0.0, 1.0]})
+    (out,) = online._play((7,), iter([duels]), state)
+    first = 32 * (1 - ranking.expected(1800.0, 1700.0))
+    old, new = 1800 + first, 1700 - first
+    second = 32 * (1 - ranking.expected(new, old))
+    assert dict(zip(out["id"], out["rating"], strict=True)) == {"new": new + second, "old": old - second} == dict(zip(*state.value, strict=True))
