@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality_rules
+from . import conversation_trie, licenses, mixing, quality_rules
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 SPACE = r"'[\x20\x09-\x0D]+'"
@@ -126,6 +126,38 @@ LICENSES = f"""WITH t AS (SELECT unnest({[n for n, _ in licenses.TEMPLATES]}) AS
   docs AS (SELECT rid, count(DISTINCT b) AS n_matches, array_to_string(list_sort(list_distinct(list(b[1]))), ',') AS licenses, arg_min(b, (-b[3], b[1], b[2])) AS top FROM best2 GROUP BY 1)
   SELECT doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, top[1] AS best_license, coalesce(top[3], 0.0)::DOUBLE AS best_dice FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) LEFT JOIN docs USING (rid)"""
 
+def _crc32(text: str) -> str:
+    """CRC-32 of a text of ASCII characters."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all({text}, '.'), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, list_extract(CAST({_crc_table()} AS BIGINT[]), (xor(a, b) & 255) + 1))), 4294967295)"
+
+
+TRIE = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS m FROM conversations WHERE conv_id IS NOT NULL),
+  c AS (SELECT conv_id, list(m ORDER BY i) AS own FROM t GROUP BY 1), h AS (SELECT *, {_crc32("conv_id::VARCHAR")} % {conversation_trie.OPENINGS} AS h FROM c),
+  b AS (SELECT h.conv_id, list_concat(coalesce(base.own[1:h], []), h.own[h + 1:]) AS m FROM h LEFT JOIN c base ON base.conv_id = h.conv_id - h.conv_id % {conversation_trie.FAMILY}),
+  p AS (SELECT conv_id, d AS depth, m[1:d] AS k, d = len(m) AS at_end FROM (SELECT conv_id, m, unnest(range(len(m) + 1)) AS d FROM b)),
+  n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (at_end), '')) AS ends_sha256, (count(*) - 1) * coalesce(length(k[depth].text), 0) AS saved FROM p GROUP BY k, depth),
+  kids AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+  f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+  s AS (SELECT k[1:d] AS k, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT k, n_children, saved, unnest(range(depth + 1)) AS d FROM f) GROUP BY 1)
+  SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, f.ends_sha256 FROM f JOIN s USING (k) LEFT JOIN n up ON up.k = f.k[1:f.depth - 1] AND f.depth > 0"""
+
+_DISTANCE = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _clusters(rounds: int) -> str:
+    """a{r} and c{r}: nearest centroids and centroids after r rounds."""
+    found = lambda r: f"a{r} AS MATERIALIZED (SELECT rid, vec_id, v, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT rid, vec_id, v, k, {_DISTANCE} AS d FROM x, c{r}) GROUP BY 1, 2, 3)"
+    floor = "(s - ((s % n) + n) % n) // n"
+    mean = lambda r: f"""m{r} AS (SELECT k, list({floor} ORDER BY i) AS c FROM (SELECT k, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM (SELECT k, v, unnest(range(1, 65)) AS i FROM a{r - 1}) GROUP BY 1, 2) GROUP BY 1),
+  c{r} AS MATERIALIZED (SELECT k, coalesce(m{r}.c, c{r - 1}.c) AS c FROM c{r - 1} LEFT JOIN m{r} USING (k))"""
+    return ",\n  ".join([found(0), *(f"{mean(r)}, {found(r)}" for r in range(1, rounds + 1))])
+
+
+CLUSTERS = f"""WITH x AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+  c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), embedding) - 1 AS k, v AS c FROM x QUALIFY k < 40),
+  {_clusters(5)}
+  SELECT vec_id, k::INT AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a5 JOIN c5 USING (k)"""
+
 SQL: dict[str, str] = {
     "op1_sharding": SHARDING,
     "op2_mixing": MIXING,
@@ -134,4 +166,6 @@ SQL: dict[str, str] = {
     "op6_warc": WARC,
     "op7_hamming_search": HAMMING,
     "op9_license_scans": LICENSES,
+    "op11_conversation_trie": TRIE,
+    "op12_centroid_clusters": CLUSTERS,
 }

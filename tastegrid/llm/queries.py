@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming_search, html_text, jaccard_join, licenses, mixing, quality_classifier, quality_rules, sharding, warc
+from . import bpe, conversation_trie, hamming_search, html_text, jaccard_join, kd_clusters, licenses, mixing, quality_classifier, quality_rules, sharding, warc
 from .common import table, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -63,6 +63,14 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_clusters.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -74,4 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_license_scans": op9_license_scans,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
