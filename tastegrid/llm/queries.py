@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_trie, hamming_search, html_text, jaccard_join, kd_clusters, licenses, mixing, quality_classifier, quality_rules, sharding, warc
+from . import bpe, conversation_trie, hamming_search, html_text, jaccard_join, kd_clusters, language_id, licenses, mixing, quality_classifier, quality_rules, sharding, warc
 from .common import table, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,6 +71,11 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_clusters.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.languages(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -84,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_language_id": op13_language_id,
 }
