@@ -33,7 +33,7 @@ def top(frames: DataFrame, vocabulary: DataFrame, id: str, vector: str, *, k: in
                 part = batch.slice(lo, ROWS)
                 found = [[] for _ in range(part.num_rows)]
                 if names:
-                    places = np.floor(matrix(part.column(1), shared.value.shape[1]) @ shared.value.T * 1e6 + 0.4817).astype(np.int64)
+                    places = np.floor(matrix(part.column(1), shared.value.shape[1]) @ shared.value.T * 1e6 + 0.5).astype(np.int64)
                     # terms are in order, so the place breaks ties
                     order = places * len(names) + np.arange(len(names) - 1, -1, -1)
                     best = -np.sort(-np.partition(order, max(0, len(names) - k), axis=1)[:, -k:], axis=1)

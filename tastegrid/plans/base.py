@@ -61,6 +61,7 @@ OBSERVED = """kept AS (SELECT l_orderkey, floor(sum(l_extendedprice * (1 - l_dis
 
 
 def r6(x):
-    """A double at six decimals, as floor in both engines. The offset is off the half: means of decimals often lie on
-    halves, where the last bit of a sum, and with it the order of rows, would decide."""
-    return F.floor(x * 1e6 + 0.4817) / 1e6
+    """A double at six decimals, halves up, as floor in both engines. Means of decimals often lie on a half: a thousandth
+    of the last place below it counts as the half, so that the last bits of a sum, and with them the order of rows, do
+    not decide."""
+    return F.floor(x * 1e6 + 0.501) / 1e6

@@ -46,10 +46,10 @@ def told(df: DataFrame, tolerance: float = feedback.TOLERANCE) -> DataFrame:
     return ordered.numbered(feedback.summary(df, float(tolerance)), [F.col("journey"), F.col("param")])
 
 
-def asked(df: DataFrame, text: str) -> DataFrame:
+def asked(df: DataFrame, text: str, lexicon: language.Lexicon = language.PRINTS) -> DataFrame:
     """df with intents, what its text asks for, and whether two of them contradict each other."""
-    out = df.withColumn("intents", language.requested(F.col(text))["intents"])
-    return out.withColumn("contradicted", language.contradicted(F.col("intents")))
+    out = df.withColumn("intents", language.requested(F.col(text), lexicon)["intents"])
+    return out.withColumn("contradicted", language.contradicted(F.col("intents"), lexicon))
 
 
 TRANSFORMS: dict[str, steps.Transform] = {"cull": cull, "rate": rate, "sort": sort, "rename": rename, "journal": journal, "feedback": told, "intents": asked}
@@ -79,7 +79,7 @@ def steps_plan(spark, sf_dir):
 
 
 @query("feedback_worst", f"""WITH {OBSERVED}, s AS (SELECT param, count(*) AS compared, 1 - sum(abs(actual - predicted)) / sum(abs(actual - neutral)) AS journey FROM observed GROUP BY 1)
-  SELECT row_number() OVER (ORDER BY journey, param) AS place, param, compared, floor(journey * 1e6 + 0.4817) / 1e6 AS journey FROM s""")
+  SELECT row_number() OVER (ORDER BY journey, param) AS place, param, compared, floor(journey * 1e6 + 0.501) / 1e6 AS journey FROM s""")
 def feedback_worst(spark, sf_dir):
     """Parameters by how far predictions fall short of what was kept, the worst first."""
     return told(observed(spark, sf_dir), 20000.0).select("place", "param", "compared", r6(F.col("journey")).alias("journey"))

@@ -34,7 +34,7 @@ def gram_matrix(spark, sf_dir):
     return spark.createDataFrame(rows, "l_returnflag string, n long, xx double, xz double, zz double")
 
 
-@query("weighted_gram", f"WITH {FRAMES} SELECT l_returnflag, floor(sum(l_quantity * l_quantity * l_quantity) * 10 + 0.4817) / 10 AS wxx, floor(sum(l_quantity * l_quantity * l_tax * 100) * 10 + 0.4817) / 10 AS wxz FROM frames GROUP BY 1")
+@query("weighted_gram", f"WITH {FRAMES} SELECT l_returnflag, floor(sum(l_quantity * l_quantity * l_quantity) * 10 + 0.501) / 10 AS wxx, floor(sum(l_quantity * l_quantity * l_tax * 100) * 10 + 0.501) / 10 AS wxz FROM frames GROUP BY 1")
 def weighted_gram(spark, sf_dir):
     """Weighted sums of products, from the moments that weighted fits use."""
     parts = moments.collect(_regression(spark, sf_dir).withColumn("w", F.get("x", 0)), "x", "y", "l_returnflag", "w")
@@ -42,20 +42,20 @@ def weighted_gram(spark, sf_dir):
     for key, m in sorted(parts.items()):
         mean = m.mean[:2]
         raw = m.covariance[:2, :2] + m.weight * np.outer(mean, mean)
-        rows.append((key, *[float(np.floor(v * 10 + 0.4817) / 10) for v in (raw[0, 0], raw[0, 1])]))
+        rows.append((key, *[float(np.floor(v * 10 + 0.501) / 10) for v in (raw[0, 0], raw[0, 1])]))
     return spark.createDataFrame(rows, "l_returnflag string, wxx double, wxz double")
 
 
 # a line through centred points: slope = cov / (var + penalty), all sums by group
 @query("ridge_line", f"""WITH {FRAMES}, s AS (SELECT l_returnflag, count(*) AS n, covar_pop(l_quantity, l_extendedprice / 1000) AS xy, var_pop(l_quantity) AS xx, avg(l_quantity) AS x, avg(l_extendedprice / 1000) AS y FROM frames GROUP BY 1),
-  f AS (SELECT *, xy / (xx * 1.1) AS b FROM s) SELECT l_returnflag, n, floor(b * 1e6 + 0.4817) / 1e6 AS slope, floor((y - b * x) * 1e6 + 0.4817) / 1e6 AS intercept FROM f""")
+  f AS (SELECT *, xy / (xx * 1.1) AS b FROM s) SELECT l_returnflag, n, floor(b * 1e6 + 0.501) / 1e6 AS slope, floor((y - b * x) * 1e6 + 0.501) / 1e6 AS intercept FROM f""")
 def ridge_line(spark, sf_dir):
     """Ridge on one standardised column: the penalty is a tenth of its spread."""
     df = _regression(spark, sf_dir).select("l_returnflag", F.slice("x", 1, 1).alias("x"), F.slice("y", 1, 1).alias("y"))
     rows = []
     for key, m in sorted(moments.collect(df, "x", "y", "l_returnflag").items()):
         b, c = moments.ridge(m, 0.1, per_weight=True, standardised=True)
-        rows.append((key, m.n, *[float(np.floor(v * 1e6 + 0.4817) / 1e6) for v in (b[0, 0], c[0])]))
+        rows.append((key, m.n, *[float(np.floor(v * 1e6 + 0.501) / 1e6) for v in (b[0, 0], c[0])]))
     return spark.createDataFrame(rows, "l_returnflag string, n long, slope double, intercept double")
 
 
@@ -75,7 +75,7 @@ THETA = f"""WITH RECURSIVE {LEAGUES}, pair AS (SELECT league, winner, loser, cou
   met AS (SELECT league, i, sum(n) AS n FROM (SELECT league, i, n FROM cell UNION ALL SELECT league, j, n FROM cell) GROUP BY 1, 2), d AS (SELECT league, list(n ORDER BY i) AS d FROM met GROUP BY 1),
   step AS (SELECT league, 0 AS k, list_transform(d, lambda x: 0.0::DOUBLE) AS t FROM d UNION ALL
     SELECT league, k + 1, list_transform(list_transform(t, lambda x: x - list_avg(t)), lambda x, i: x + (list_sum(list_transform(t, lambda y, j: w[i][j] / (1 + exp(t[i] - y)) - w[j][i] / (1 + exp(y - t[i])))) - 0.01 * x) / (d[i] / 2 + 0.01)) FROM step JOIN m USING (league) JOIN d USING (league) WHERE k < 300)
-  SELECT league, ids[i] AS id, floor((t[i] - list_avg(t)) * 1e6 + 0.4817) / 1e6 AS strength, d[i]::BIGINT AS duels FROM step JOIN ids USING (league) JOIN d USING (league), range(1, 1 + len(t)) r(i) WHERE k = 300"""
+  SELECT league, ids[i] AS id, floor((t[i] - list_avg(t)) * 1e6 + 0.501) / 1e6 AS strength, d[i]::BIGINT AS duels FROM step JOIN ids USING (league) JOIN d USING (league), range(1, 1 + len(t)) r(i) WHERE k = 300"""
 
 
 def _elo_sql(start: str) -> str:
@@ -96,12 +96,12 @@ def bt_theta(spark, sf_dir):
     return ranking.bradley_terry(_leagues(spark, sf_dir), "league").withColumn("strength", r6(F.col("strength")))
 
 
-@query("elo_ratings", f"WITH RECURSIVE {_elo_sql('1500.0::DOUBLE')} SELECT league, id, floor(rating * 1e6 + 0.4817) / 1e6 AS rating, n FROM rated")
+@query("elo_ratings", f"WITH RECURSIVE {_elo_sql('1500.0::DOUBLE')} SELECT league, id, floor(rating * 1e6 + 0.501) / 1e6 AS rating, n FROM rated")
 def elo_ratings(spark, sf_dir):
     return ranking.elo(_leagues(spark, sf_dir), "league", "event_id").withColumn("rating", r6(F.col("rating")))
 
 
-@query("elo_seeded", f"WITH RECURSIVE {_elo_sql('1500 + (len(id) / 10.0 - 0.5) * 400')} SELECT league, id, floor(rating * 1e6 + 0.4817) / 1e6 AS rating, n FROM rated")
+@query("elo_seeded", f"WITH RECURSIVE {_elo_sql('1500 + (len(id) / 10.0 - 0.5) * 400')} SELECT league, id, floor(rating * 1e6 + 0.501) / 1e6 AS rating, n FROM rated")
 def elo_seeded(spark, sf_dir):
     """Ratings that start from a score from 0 to 1."""
     d = _leagues(spark, sf_dir)
@@ -116,7 +116,7 @@ def next_pair(spark, sf_dir):
     return ranking.next_pair(ranking.elo(_leagues(spark, sf_dir), "league", "event_id"), "league")
 
 
-@query("win_rates", f"WITH {DUELS}, s AS (SELECT winner AS id, 1 AS won FROM duels UNION ALL SELECT loser, 0 FROM duels) SELECT id, count(*) AS n, floor(avg(won) * 1e6 + 0.4817) / 1e6 AS rate FROM s GROUP BY 1")
+@query("win_rates", f"WITH {DUELS}, s AS (SELECT winner AS id, 1 AS won FROM duels UNION ALL SELECT loser, 0 FROM duels) SELECT id, count(*) AS n, floor(avg(won) * 1e6 + 0.501) / 1e6 AS rate FROM s GROUP BY 1")
 def win_rates(spark, sf_dir):
     sides = duels(spark, sf_dir).select(F.explode(F.array(F.struct(F.col("winner").alias("id"), F.lit(1).alias("won")), F.struct(F.col("loser").alias("id"), F.lit(0).alias("won")))).alias("s")).select("s.*")
     return sides.groupBy("id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("won")).alias("rate"))

@@ -12,7 +12,7 @@ from .base import r6, table
 
 
 def r4(x):
-    return F.floor(x * 1e4 + 0.4817) / 1e4
+    return F.floor(x * 1e4 + 0.501) / 1e4
 
 
 @query("template_render", "SELECT p_partkey, 'cam-' || coalesce(nullif(regexp_replace(p_brand, '#', '-'), ''), 'nocamera') || '_' || lpad(p_size::VARCHAR, 4, '0') || '.dng' AS name FROM part")
@@ -33,11 +33,13 @@ def clauses(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.filter(parts, lambda c: c != "").alias("clauses"))
 
 
-#: What photographers ask for in the queries below, one line a conversation in turn.
+#: What the queries below add to a text, in turn: requests, captions, and what is seen (label and box).
 REQUESTS = (
-    "Keep the highlights, and open the shadows", "Punchy contrast!", "Don't blow the sky", "soft contrast but deep shadows", "Lift the subject's face", "never lose the highlights: expose it right", "Recover the sky; protect highlights",
-    "no lifted shadows", "Plus de lumière", "open shadows, deep shadows", "strong, soft contrast", "",
+    "Heavier paper, and a wider border", "No gloss!", "cream stock plus cold ink", "bigger copy; thinner sheet", "not more paper", "a warm print however no white edge", "glossy? more sheen", "narrower margin, wider margin",
+    "wider and narrower border wider margin narrower", "Une belle image", "hardly any shine and cut down the format", "",
 )
+CAPTIONS = ("Workers at the anvil in a smithy, cellar and attic", "a clerk posing in the street, the yard behind", "the train at the station", "a bell in a hall", "Pupils in class, school yard", "")
+SEEN = ((("Worker", 0.1, 0.1, 0.7, 0.9), ("worker's cap", 0.2, 0.3, 0.6, 0.8), ("anvil", 0.6, 0.5, 0.99, 0.9)), (("clerk", 0.4, 0.4, 0.5, 0.5), ("face", 0.4, 0.4, 0.6, 0.6)), (("Steam Engine", 0.5, 0.5, 0.9, 0.9), ("tender", 0.0, 0.0, 0.3, 0.3), ("lamp", 0.0, 0.0, 0.1, 0.1)), (("pupil", 0.0, 0.0, 0.9, 0.9), ("bell", 0.2, 0.2, 0.4, 0.4)), (("bell", 0.2, 0.2, 0.4, 0.4), ("pupil", 0.5, 0.5, 0.9, 0.9)))
 
 
 def _texts(values) -> str:
@@ -45,59 +47,57 @@ def _texts(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-_CLAUSES = f"""r AS (SELECT conv_id, turn, clause, k, regexp_matches(clause, '{language.NEGATION}') AS negated FROM (SELECT conv_id, turn, trim(list_extract(parts, k)) AS clause, k FROM
-    (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT conv_id, turn, regexp_split_to_array(regexp_replace(regexp_replace(strip_accents(lower({_texts(REQUESTS)}[(conv_id % {len(REQUESTS)})::INT + 1] || chr(10) || text)), '[’''`]', ' ', 'g'), '[ \t\r\x0b\f]+', ' ', 'g'), '{language.CLAUSE_END.replace("(and", "(?:and")}') AS parts FROM conversations))) WHERE clause <> '')"""
+def _rows(values) -> str:
+    """Rows of a table in SQL."""
+    plain = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "VALUES " + ", ".join("(" + ", ".join(plain(v) for v in row) + ")" for row in values)
 
 
-def _rule_sql(rules, negated: bool) -> str:
-    """A row per clause and rule whose patterns all match."""
-    return " UNION ALL ".join(f"SELECT conv_id, turn, k, clause, {i} AS place, '{name}' AS intent FROM r WHERE {'' if negated else 'NOT '}negated AND " + " AND ".join(f"regexp_matches(clause, '{p}')" for p in patterns) for i, (name, patterns) in enumerate(rules))
-
-
-@query("intent_parse", f"""WITH {_CLAUSES}, f AS ({_rule_sql(language.RULES, False)} UNION ALL {_rule_sql(language.NEGATED_RULES, True)}),
-  has AS (SELECT conv_id, turn, k, list(intent) AS all_ FROM f GROUP BY 1, 2, 3),
-  kept AS (SELECT f.* FROM f JOIN has USING (conv_id, turn, k) WHERE NOT (intent = 'preserve-highlights' AND list_contains(all_, 'save-the-sky')) AND NOT (intent = 'open-shadows' AND list_contains(all_, 'keep-shadows-deep') AND regexp_matches(clause, '\b(deep|dense|crush)'))
-    AND NOT (intent = 'keep-shadows-deep' AND list_contains(all_, 'open-shadows') AND NOT regexp_matches(clause, '\b(deep|dense|crush)')) AND NOT (intent = 'punchy-contrast' AND list_contains(all_, 'soft-contrast'))),
-  first AS (SELECT conv_id, turn, intent, min(k * 100 + place) AS nth FROM kept GROUP BY 1, 2, 3), i AS (SELECT conv_id, turn, string_agg(intent, ',' ORDER BY nth) AS intents FROM first GROUP BY 1, 2),
-  u AS (SELECT conv_id, turn, count(*) AS n FROM r WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.conv_id = r.conv_id AND kept.turn = r.turn AND kept.k = r.k) GROUP BY 1, 2)
-  SELECT conv_id, turn, coalesce(intents, '') AS intents, coalesce(n, 0) AS n_unmatched FROM conversations LEFT JOIN i USING (conv_id, turn) LEFT JOIN u USING (conv_id, turn)""")
+@query("intent_parse", f"""WITH t(term, kind, name) AS ({_rows((t, *x) for t, x in language.PRINTS.terms.items())}), rules(place, object, act, negated, intent, control, priority) AS ({_rows((i, r.object, r.act, int(r.negated), r.intent, r.control, r.priority) for i, r in enumerate(language.PRINTS.rules))}),
+  c AS (SELECT conv_id, turn, k, trim(parts[k]) AS clause FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT conv_id, turn, regexp_split_to_array(regexp_replace(regexp_replace(strip_accents(lower({_texts(REQUESTS)}[(conv_id % {len(REQUESTS)})::INT + 1] || chr(10) || text)), '[’''`]', ' ', 'g'), '[ \t\r\x0b\f]+', ' ', 'g'), '[.,;:!?\n]+| (?:{"|".join(language.PRINTS.breaks)})\\b') AS parts FROM conversations)) WHERE trim(parts[k]) <> ''),
+  w AS (SELECT *, ' ' || array_to_string(regexp_extract_all(clause, '[a-z0-9]+'), ' ') || ' ' AS words FROM c), x AS (SELECT conv_id, turn, k, kind, name FROM w JOIN t ON contains(words, ' ' || term || ' ')),
+  n AS (SELECT conv_id, turn, k, max((kind = 'negation')::INT) AS negated FROM x GROUP BY 1, 2, 3),
+  hit AS (SELECT DISTINCT o.conv_id, o.turn, o.k, r.place, r.intent, r.control, r.priority FROM x o JOIN n USING (conv_id, turn, k) JOIN rules r ON o.kind = 'object' AND o.name = r.object AND n.negated = r.negated LEFT JOIN x a ON a.conv_id = o.conv_id AND a.turn = o.turn AND a.k = o.k AND a.kind = 'act' AND a.name = r.act WHERE r.act IS NULL OR a.name IS NOT NULL),
+  kept AS (SELECT * FROM (SELECT *, max(priority) OVER (PARTITION BY conv_id, turn, k, control) AS top FROM hit) WHERE priority = top),
+  first AS (SELECT conv_id, turn, intent, min(k * 1000 + place) AS nth FROM kept GROUP BY 1, 2, 3), i AS (SELECT conv_id, turn, string_agg(intent, ',' ORDER BY nth) AS intents FROM first GROUP BY 1, 2),
+  two AS (SELECT DISTINCT a.conv_id, a.turn FROM kept a JOIN kept b USING (conv_id, turn) JOIN (SELECT unnest({_texts(a for a, _ in language.PRINTS.conflicts)}) AS up, unnest({_texts(b for _, b in language.PRINTS.conflicts)}) AS down) ON a.intent = up AND b.intent = down),
+  u AS (SELECT conv_id, turn, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.conv_id = c.conv_id AND kept.turn = c.turn AND kept.k = c.k) GROUP BY 1, 2)
+  SELECT conv_id, turn, coalesce(intents, '') AS intents, two.conv_id IS NOT NULL AS contradicted, coalesce(n, 0) AS n_unmatched FROM conversations LEFT JOIN i USING (conv_id, turn) LEFT JOIN two USING (conv_id, turn) LEFT JOIN u USING (conv_id, turn)""")
 def intent_parse(spark, sf_dir):
-    """Intents that the clauses of a text name, unless negated, and how many clauses say nothing known."""
-    asked = F.get(F.array(*map(F.lit, REQUESTS)), (F.col("conv_id") % len(REQUESTS)).cast("int"))
-    c = table(spark, sf_dir, "conversations").withColumn("_r", language.requested(F.concat(asked, F.lit("\n"), "text")))
-    return c.select("conv_id", "turn", F.array_join(F.col("_r")["intents"], ",").alias("intents"), F.size(F.col("_r")["unmatched"]).cast("long").alias("n_unmatched"))
-
-
-#: Captions and what is seen in the queries below, in turn: label and box.
-CAPTIONS = ("A bride and groom in a room", "A portrait of a man outside, trees and sky", "A dog on the beach at sunset", "A table in a kitchen with a cake, a window and a wall", "a dress with flowers on it", "")
-SEEN = ((("Person", 0.1, 0.1, 0.7, 0.9), ("fancy dress", 0.2, 0.3, 0.6, 0.8)), (("man", 0.4, 0.4, 0.5, 0.5), ("human face", 0.4, 0.4, 0.6, 0.6)), (("Dog", 0.5, 0.5, 0.9, 0.9), ("watercraft", 0.0, 0.0, 0.1, 0.1)), (("cake", 0.1, 0.1, 0.4, 0.4), ("flower", 0.5, 0.5, 0.8, 0.8)), (("woman", 0.0, 0.0, 0.9, 0.9), ("flower", 0.2, 0.2, 0.4, 0.4)))
+    """Intents that the clauses of a text ask for by a lexicon, whether they contradict each other, and how many clauses
+    say nothing known."""
+    said = F.get(F.array(*map(F.lit, REQUESTS)), (F.col("conv_id") % len(REQUESTS)).cast("int"))
+    c = table(spark, sf_dir, "conversations").withColumn("_r", language.requested(F.concat(said, F.lit("\n"), "text"), language.PRINTS))
+    return c.select("conv_id", "turn", F.array_join(F.col("_r")["intents"], ",").alias("intents"), language.contradicted(F.col("_r")["intents"], language.PRINTS).alias("contradicted"), F.size(F.col("_r")["unmatched"]).cast("long").alias("n_unmatched"))
 
 
 def _seen_sql() -> str:
-    boxes = ", ".join("[" + ", ".join(f"{{'label': '{o[0].lower()}', 'x0': {o[1]}::DOUBLE, 'y0': {o[2]}::DOUBLE, 'x1': {o[3]}::DOUBLE, 'y1': {o[4]}::DOUBLE}}" for o in frame) + "]" for frame in SEEN)
+    label = lambda o: o[0].lower().replace("'", "''")
+    boxes = ", ".join("[" + ", ".join(f"{{'label': '{label(o)}', 'x0': {o[1]}::DOUBLE, 'y0': {o[2]}::DOUBLE, 'x1': {o[3]}::DOUBLE, 'y1': {o[4]}::DOUBLE}}" for o in frame) + "]" for frame in SEEN)
     return f"[{boxes}]"
 
 
-_INSIDE = "(greatest(0, least(o.x1, p.x1) - greatest(o.x0, p.x0)) * greatest(0, least(o.y1, p.y1) - greatest(o.y0, p.y0))) / ((o.x1 - o.x0) * (o.y1 - o.y0))"
-_SCENES = " ".join(f"CASE WHEN regexp_matches(caption, '{p}') {'AND flower' if n == 'flower' else ''} THEN '{n}' END," for n, p in language.SCENES)
-_RENAMED = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in language.RENAMED)
+_INSIDE = "(greatest(0, least(o.o.x1, p.x1) - greatest(o.o.x0, p.x0)) * greatest(0, least(o.o.y1, p.y1) - greatest(o.o.y0, p.y0))) / ((o.o.x1 - o.o.x0) * (o.o.y1 - o.o.y0))"
+_A = language.ARCHIVE
+_COUNT = lambda terms: f"len(list_filter(said, lambda x: list_contains({_texts(sorted(terms))}, x)))"
+_PLACES = list(_A.places)
 
 
-@query("scene_keywords", f"""WITH c AS (SELECT doc_id, regexp_replace(lower({_texts(CAPTIONS)}[(doc_id % {len(CAPTIONS)})::INT + 1] || ' ' || coalesce(text, '')), '[^\x01-\x7F]', 'x', 'g') AS caption, {_seen_sql()}[(doc_id % {len(SEEN)})::INT + 1] AS seen FROM documents),
+@query("scene_keywords", f"""WITH c AS (SELECT doc_id, regexp_extract_all(strip_accents(lower({_texts(CAPTIONS)}[(doc_id % {len(CAPTIONS)})::INT + 1] || ' ' || coalesce(text, ''))), '[a-z0-9]+') AS said, {_seen_sql()}[(doc_id % {len(SEEN)})::INT + 1] AS seen FROM documents),
   o AS (SELECT doc_id, k, seen, seen[k] AS o FROM (SELECT doc_id, seen, unnest(range(1, len(seen) + 1)) AS k FROM c)),
-  w AS (SELECT doc_id, k, o.o AS o, o.o.label IN {language.PERSONS} AS person, (o.o.x1 - o.o.x0) * (o.o.y1 - o.o.y0) AS area, len(list_filter(seen, lambda p: p.label IN {language.PERSONS} AND p <> o.o AND {_INSIDE.replace('o.x', 'o.o.x').replace('o.y', 'o.o.y')} > {language.WORN})) > 0 AS worn FROM o),
-  f AS (SELECT doc_id, bool_or(person) AS people, bool_or(person AND area > {language.LARGE_PERSON}) OR bool_or(o.label = 'human face' AND area > {language.LARGE_FACE}) AS big, bool_or(o.label = 'flower' AND NOT worn) AS flower,
-    coalesce(list(CASE o.label {_RENAMED} ELSE o.label END ORDER BY k) FILTER (o.label NOT IN {language.PARTS} AND area >= {language.LEAST_AREA} AND (person OR NOT worn)), []) AS shown FROM w GROUP BY 1),
-  n AS (SELECT c.doc_id, len(regexp_extract_all(caption, '{language.INDOOR}')) AS i, len(regexp_extract_all(caption, '{language.OUTDOOR}')) AS u, caption, people, big, flower, shown FROM c JOIN f USING (doc_id)),
-  a AS (SELECT doc_id, list_concat(list_filter([CASE WHEN people AND (regexp_matches(caption, '{language.PORTRAIT}') OR big) THEN 'portrait' END, {_SCENES} CASE WHEN i > u THEN 'indoor' WHEN u > i THEN 'outdoor' END], lambda x: x IS NOT NULL), shown) AS k FROM n)
+  w AS (SELECT doc_id, k, o.o AS o, list_contains({_texts(_A.persons)}, o.o.label) AS person, (o.o.x1 - o.o.x0) * (o.o.y1 - o.o.y0) AS area, len(list_filter(seen, lambda p: list_contains({_texts(_A.persons)}, p.label) AND p <> o.o AND {_INSIDE} > {language.WORN})) > 0 AS worn FROM o),
+  f AS (SELECT doc_id, bool_or(person) AS people, bool_or(person AND area > {language.LARGE_PERSON}) OR bool_or(o.label = '{_A.face}' AND area > {language.LARGE_FACE}) AS big, coalesce(list(o.label) FILTER (worn), []) AS worn, coalesce(list(o.label) FILTER (NOT worn), []) AS free,
+    coalesce(list(CASE o.label {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _A.renamed)} ELSE o.label END ORDER BY k) FILTER (NOT list_contains({_texts(_A.parts)}, o.label) AND area >= {language.LEAST_AREA} AND (person OR NOT worn)), []) AS shown FROM w GROUP BY 1),
+  n AS (SELECT *, {_COUNT(_A.places[_PLACES[0]])} AS p0, {_COUNT(_A.places[_PLACES[1]])} AS p1 FROM c JOIN f USING (doc_id)),
+  a AS (SELECT doc_id, list_concat(list_filter([CASE WHEN people AND ({_COUNT(_A.portrait)} > 0 OR big) THEN 'portrait' END, {"".join(f"CASE WHEN {_COUNT(t)} > 0 AND NOT (list_contains(worn, '{n}') AND NOT list_contains(free, '{n}')) THEN '{n}' END, " for n, t in _A.scenes.items())} CASE WHEN p0 > p1 THEN '{_PLACES[0]}' WHEN p1 > p0 THEN '{_PLACES[1]}' END], lambda x: x IS NOT NULL), shown) AS k FROM n)
   SELECT doc_id, array_to_string(list_filter(k, lambda x, j: list_position(k, x) = j)[1:{language.MAX_KEYWORDS}], ',') AS keywords FROM a""")
 def scene_keywords(spark, sf_dir):
-    """Keywords of a frame from its caption and what is seen in it."""
+    """Keywords of a frame from its caption and what is seen in it, by a table of scenes."""
     pick = lambda values, n: F.get(F.array(*values), (F.col("doc_id") % n).cast("int"))
     box = lambda o: F.struct(F.lit(o[0]).alias("label"), *[F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), o[1:], strict=True)])
     caption = F.concat(pick(map(F.lit, CAPTIONS), len(CAPTIONS)), F.lit(" "), F.coalesce("text", F.lit("")))
     seen = pick([F.array(*map(box, frame)) for frame in SEEN], len(SEEN))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(language.keywords(caption, seen), ",").alias("keywords"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(language.keywords(caption, seen, language.ARCHIVE), ",").alias("keywords"))
 
 
 @query("loc_boxes", "SELECT l_orderkey, l_linenumber, l_partkey, count(*) AS n, (max(l_quantity) + 0.5) / 1000 * 48 AS x FROM lineitem GROUP BY 1, 2, 3")
@@ -167,7 +167,7 @@ def capture_hour(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.regexp_extract(said, r" (\d{2}):", 1).try_cast("int").alias("hour"))
 
 
-@query("asshot_features", "WITH h AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN hour(ts) END AS h FROM events) SELECT event_id, floor(coalesce(sin(2 * pi() * h / 24), 0) * 1e6 + 0.4817) / 1e6 AS s, floor(coalesce(cos(2 * pi() * h / 24), 0) * 1e6 + 0.4817) / 1e6 AS c FROM h")
+@query("asshot_features", "WITH h AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN hour(ts) END AS h FROM events) SELECT event_id, floor(coalesce(sin(2 * pi() * h / 24), 0) * 1e6 + 0.501) / 1e6 AS s, floor(coalesce(cos(2 * pi() * h / 24), 0) * 1e6 + 0.501) / 1e6 AS c FROM h")
 def asshot_features(spark, sf_dir):
     """The hour on a circle; an unknown hour is its centre."""
     angle = F.when(F.col("event_id") % 5 != 0, F.hour("ts")) * F.lit(2.0) * F.pi() / 24
@@ -193,7 +193,7 @@ def decoded(delta, reference, low: float, high: float, log_scale: bool):
     return clamp(raw, low, high)
 
 
-@query("delta_roundtrip", "SELECT o_orderkey, floor(ln(o_totalprice / 5000) * 1e6 + 0.4817) / 1e6 AS delta, floor(least(greatest(o_totalprice, 2000), 50000) * 100 + 0.5) / 100 AS back FROM orders WHERE o_totalprice >= 1")
+@query("delta_roundtrip", "SELECT o_orderkey, floor(ln(o_totalprice / 5000) * 1e6 + 0.501) / 1e6 AS delta, floor(least(greatest(o_totalprice, 2000), 50000) * 100 + 0.5) / 100 AS back FROM orders WHERE o_totalprice >= 1")
 def delta_roundtrip(spark, sf_dir):
     delta = encoded(F.col("o_totalprice"), F.lit(5000.0), True)
     back = decoded(delta, F.lit(5000.0), 2000.0, 50000.0, True)
@@ -207,14 +207,14 @@ def apply_offset(spark, sf_dir):
     return li.select("l_orderkey", "l_partkey", "l_linenumber", "n", decoded(F.col("q") + 2.5, F.lit(0.0), 0.0, 50.0, False).alias("value"))
 
 
-@query("linear_merit", "SELECT vec_id, floor(1 / (1 + exp(-(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * (i % 3)))))) * 1e6 + 0.4817) / 1e6 AS merit FROM embeddings")
+@query("linear_merit", "SELECT vec_id, floor(1 / (1 + exp(-(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * (i % 3)))))) * 1e6 + 0.501) / 1e6 AS merit FROM embeddings")
 def linear_merit(spark, sf_dir):
     """The logistic of a linear head."""
     weights = F.array(*[F.lit(float(i % 3)) for i in range(1, 65)])
     return table(spark, sf_dir, "embeddings").select("vec_id", r6(logistic(arrays.dot(arrays.doubles(F.col("embedding")), weights))).alias("merit"))
 
 
-@query("heuristic_merit", "SELECT p_partkey, floor(least(1, greatest(0, 0.5 * (1 - abs(p_size / 50.0 - 0.5) * 2) + 0.3 * least(1, p_retailprice / 2000) + 0.2 * (p_partkey % 10) / 10.0)) * 1e6 + 0.4817) / 1e6 AS merit FROM part")
+@query("heuristic_merit", "SELECT p_partkey, floor(least(1, greatest(0, 0.5 * (1 - abs(p_size / 50.0 - 0.5) * 2) + 0.3 * least(1, p_retailprice / 2000) + 0.2 * (p_partkey % 10) / 10.0)) * 1e6 + 0.501) / 1e6 AS merit FROM part")
 def heuristic_merit(spark, sf_dir):
     """A rough merit of brightness, contrast and colour."""
     bright = 1 - F.abs(F.col("p_size") / 50.0 - 0.5) * 2
@@ -227,7 +227,7 @@ def focus_score(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / (F.col("p_retailprice") + 250)).alias("focus"))
 
 
-@query("anchor_apply", "WITH x AS (SELECT o_orderkey, log2(o_totalprice / 20000) AS x FROM orders WHERE o_totalprice > 0) SELECT o_orderkey, floor((CASE WHEN x > 0.5 THEN (x - 0.5) * 2 WHEN x < -0.5 THEN (x + 0.5) * 3 ELSE 0 END) * 1e6 + 0.4817) / 1e6 AS y FROM x")
+@query("anchor_apply", "WITH x AS (SELECT o_orderkey, log2(o_totalprice / 20000) AS x FROM orders WHERE o_totalprice > 0) SELECT o_orderkey, floor((CASE WHEN x > 0.5 THEN (x - 0.5) * 2 WHEN x < -0.5 THEN (x + 0.5) * 3 ELSE 0 END) * 1e6 + 0.501) / 1e6 AS y FROM x")
 def anchor_apply(spark, sf_dir):
     """A dead zone, and a gain on either side of it."""
     x = F.log2(F.col("o_totalprice") / 20000)
@@ -242,7 +242,7 @@ def response_clamp(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(F.isnan(raw), 1.0).otherwise(clamp(raw, 0.0, 3.0)).alias("response"))
 
 
-@query("mired", "SELECT p_partkey, floor((1e6 / (p_retailprice * 3) - 1e6 / 5500) * 1e4 + 0.4817) / 1e4 AS shift FROM part")
+@query("mired", "SELECT p_partkey, floor((1e6 / (p_retailprice * 3) - 1e6 / 5500) * 1e4 + 0.501) / 1e4 AS shift FROM part")
 def mired(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r4(color.mired(F.col("p_retailprice") * 3) - color.mired(F.lit(5500.0))).alias("shift"))
 
@@ -261,28 +261,28 @@ _KELVIN = """t AS (SELECT p_partkey, least(greatest(p_retailprice * 4, 1667.0),
   c AS (SELECT p_partkey, 1 / greatest(x / y * 3.2406 - 1.5372 - (1 - x - y) / y * 0.4986, 1e-6) AS r, 1 / greatest(x / y * -0.9689 + 1.8758 + (1 - x - y) / y * 0.0415, 1e-6) AS g, 1 / greatest(x / y * 0.0557 - 0.2040 + (1 - x - y) / y * 1.0570, 1e-6) AS b FROM y)"""
 
 
-@query("wb_gains", f"WITH {_KELVIN}, l AS (SELECT *, r * 0.2126 + g * 0.7152 + b * 0.0722 AS l FROM c) SELECT p_partkey, floor(r / l * 1e6 + 0.4817) / 1e6 AS r, floor(g / l * 1e6 + 0.4817) / 1e6 AS g, floor(b / l * 1e6 + 0.4817) / 1e6 AS b FROM l".replace("0.2661239e9", "266123900.0::DOUBLE").replace("0.2343589e6", "234358.9::DOUBLE").replace("0.8776956e3", "877.6956::DOUBLE").replace("3.0258469e9", "3025846900.0::DOUBLE").replace("2.1070379e6", "2107037.9::DOUBLE").replace("0.2226347e3", "222.6347::DOUBLE"))
+@query("wb_gains", f"WITH {_KELVIN}, l AS (SELECT *, r * 0.2126 + g * 0.7152 + b * 0.0722 AS l FROM c) SELECT p_partkey, floor(r / l * 1e6 + 0.501) / 1e6 AS r, floor(g / l * 1e6 + 0.501) / 1e6 AS g, floor(b / l * 1e6 + 0.501) / 1e6 AS b FROM l".replace("0.2661239e9", "266123900.0::DOUBLE").replace("0.2343589e6", "234358.9::DOUBLE").replace("0.8776956e3", "877.6956::DOUBLE").replace("3.0258469e9", "3025846900.0::DOUBLE").replace("2.1070379e6", "2107037.9::DOUBLE").replace("0.2226347e3", "222.6347::DOUBLE"))
 def wb_gains(spark, sf_dir):
     """Channel gains for a black body's light; at unit luminance."""
     gains = color.balance_gains(F.col("p_retailprice") * 4)
     return table(spark, sf_dir, "part").select("p_partkey", *[r6(F.get(gains, i)).alias(c) for i, c in enumerate("rgb")])
 
 
-@query("srgb", "SELECT p_partkey, floor((CASE WHEN p_size / 50.0 <= 0.0031308 THEN p_size / 50.0 * 12.92 ELSE pow(p_size / 50.0, 1 / 2.4) * 1.055 - 0.055 END) * 1e6 + 0.4817) / 1e6 AS v FROM part")
+@query("srgb", "SELECT p_partkey, floor((CASE WHEN p_size / 50.0 <= 0.0031308 THEN p_size / 50.0 * 12.92 ELSE pow(p_size / 50.0, 1 / 2.4) * 1.055 - 0.055 END) * 1e6 + 0.501) / 1e6 AS v FROM part")
 def srgb(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r6(color.srgb_encoded(F.col("p_size") / 50.0)).alias("v"))
 
 
 @query("rgb_hsv", """WITH c AS (SELECT p_partkey, p_size / 50.0 AS r, p_partkey % 7 / 7.0 AS g, p_partkey % 11 / 11.0 AS b FROM part), m AS (SELECT *, greatest(r, g, b) AS mx, greatest(r, g, b) - least(r, g, b) AS d FROM c),
   h AS (SELECT p_partkey, mx, d, CASE WHEN d = 0 THEN 0 WHEN mx = r THEN (g - b) / d WHEN mx = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END * 60 AS h FROM m)
-  SELECT p_partkey, floor((CASE WHEN h < 0 THEN h + 360 ELSE h END) * 1e4 + 0.4817) / 1e4 AS hue, floor((CASE WHEN mx = 0 THEN 0 ELSE d / mx END) * 1e4 + 0.4817) / 1e4 AS saturation FROM h""")
+  SELECT p_partkey, floor((CASE WHEN h < 0 THEN h + 360 ELSE h END) * 1e4 + 0.501) / 1e4 AS hue, floor((CASE WHEN mx = 0 THEN 0 ELSE d / mx END) * 1e4 + 0.501) / 1e4 AS saturation FROM h""")
 def rgb_hsv(spark, sf_dir):
     v = color.hsv(F.col("p_size") / 50.0, F.col("p_partkey") % 7 / 7.0, F.col("p_partkey") % 11 / 11.0)
     return table(spark, sf_dir, "part").select("p_partkey", v.alias("v")).select("p_partkey", r4(F.col("v.hue")).alias("hue"), r4(F.col("v.saturation")).alias("saturation"))
 
 
 @query("shape_log", """WITH s AS (SELECT p_partkey, (p_size / 5.0 - 5 + 0.25) * 1.2 AS s FROM part), t AS (SELECT *, least(1, greatest(0, s / 4)) AS a, least(1, greatest(0, (s + 4) / 4)) AS b FROM s)
-  SELECT p_partkey, floor((s - 0.5 * (a * a * (3 - 2 * a)) + 0.4 * (1 - b * b * (3 - 2 * b))) * 1e6 + 0.4817) / 1e6 AS v FROM t""")
+  SELECT p_partkey, floor((s - 0.5 * (a * a * (3 - 2 * a)) + 0.4 * (1 - b * b * (3 - 2 * b))) * 1e6 + 0.501) / 1e6 AS v FROM t""")
 def shape_log(spark, sf_dir):
     v = color.shaped_log(F.col("p_size") / 5.0 - 5, F.lit(0.25), F.lit(0.2), F.lit(-0.5), F.lit(0.4))
     return table(spark, sf_dir, "part").select("p_partkey", r6(v).alias("v"))
@@ -308,33 +308,33 @@ def format_value(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.format_string("%+.2f", v).alias("exposure"), round_half_up(v).cast("long").cast("string").alias("other"))
 
 
-@query("elo_expected", "SELECT s_suppkey, floor(1 / (1 + pow(10, (1500 - (1500 + (s_acctbal / 10000 - 0.5) * 400)) / 400)) * 1e6 + 0.4817) / 1e6 AS expected FROM supplier")
+@query("elo_expected", "SELECT s_suppkey, floor(1 / (1 + pow(10, (1500 - (1500 + (s_acctbal / 10000 - 0.5) * 400)) / 400)) * 1e6 + 0.501) / 1e6 AS expected FROM supplier")
 def elo_expected(spark, sf_dir):
     seed = (F.col("s_acctbal") / 10000 - 0.5) * 400 + 1500
     return table(spark, sf_dir, "supplier").select("s_suppkey", r6(1 / (1 + F.pow(F.lit(10.0), (1500 - seed) / 400))).alias("expected"))
 
 
-@query("l2norm", "SELECT vec_id, floor(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))) * 1e6 + 0.4817) / 1e6 AS total FROM embeddings")
+@query("l2norm", "SELECT vec_id, floor(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))) * 1e6 + 0.501) / 1e6 AS total FROM embeddings")
 def l2norm(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", arrays.doubles(F.col("embedding")).alias("x")).withColumn("n", arrays.norm(F.col("x")))
     return e.select("vec_id", r6(arrays.total(F.transform("x", lambda v: v / F.col("n")))).alias("total"))
 
 
-@query("cosine", "SELECT a.vec_id, floor(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) * 1e6 + 0.4817) / 1e6 AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("cosine", "SELECT a.vec_id, floor(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) * 1e6 + 0.501) / 1e6 AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", arrays.doubles(F.col("embedding")).alias("x"))
     other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
     return e.join(other, "vec_id").select("vec_id", r6(arrays.dot(F.col("x"), F.col("y"))).alias("dot"))
 
 
-@query("aspect_merit", "WITH s AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END)) AS d FROM embeddings) SELECT vec_id, floor(1 / (1 + exp(-100 * d / 64)) * 1e6 + 0.4817) / 1e6 AS merit FROM s")
+@query("aspect_merit", "WITH s AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END)) AS d FROM embeddings) SELECT vec_id, floor(1 / (1 + exp(-100 * d / 64)) * 1e6 + 0.501) / 1e6 AS merit FROM s")
 def aspect_merit(spark, sf_dir):
     """The logistic of the gap between a positive and a negative prompt."""
     signs = F.array(*[F.lit(1.0 if i % 2 == 0 else -1.0) for i in range(64)])
     return table(spark, sf_dir, "embeddings").select("vec_id", r6(logistic(arrays.dot(arrays.doubles(F.col("embedding")), signs) * 100 / 64)).alias("merit"))
 
 
-@query("curve_sample", "SELECT p_partkey, floor((p_size / 2.0 + (100 - p_size / 2.0) * (64 - 32) / 160.0) * 1e6 + 0.4817) / 1e6 AS at64, (p_size / 2.0)::DOUBLE AS at0, 100.0::DOUBLE AS at255 FROM part")
+@query("curve_sample", "SELECT p_partkey, floor((p_size / 2.0 + (100 - p_size / 2.0) * (64 - 32) / 160.0) * 1e6 + 0.501) / 1e6 AS at64, (p_size / 2.0)::DOUBLE AS at0, 100.0::DOUBLE AS at255 FROM part")
 def curve_sample(spark, sf_dir):
     """A tone curve through (192, 100) and (32, size / 2) at three knots."""
     point = lambda x, y: F.struct(F.lit(float(x)).alias("x"), y.cast("double").alias("y"))
@@ -348,7 +348,7 @@ def one_hot(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.get(hot, 0).alias("f"), F.get(hot, 1).alias("o"))
 
 
-@query("heat_levels", "SELECT vec_id, floor(list_sum(list_transform(embedding, lambda x: sqrt(greatest(x::DOUBLE, 0) / list_max(embedding)::DOUBLE))) * 1e6 + 0.4817) / 1e6 AS heat FROM embeddings WHERE list_max(embedding) > 0")
+@query("heat_levels", "SELECT vec_id, floor(list_sum(list_transform(embedding, lambda x: sqrt(greatest(x::DOUBLE, 0) / list_max(embedding)::DOUBLE))) * 1e6 + 0.501) / 1e6 AS heat FROM embeddings WHERE list_max(embedding) > 0")
 def heat_levels(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").filter(F.array_max("embedding") > 0)
     return e.select("vec_id", r6(arrays.total(arrays.heat(arrays.doubles(F.col("embedding"))))).alias("heat"))
@@ -409,11 +409,11 @@ def luma_hist(spark, sf_dir):
 
 @query("laplacian", """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 127 + 128)::BIGINT) AS p FROM embeddings),
   l AS (SELECT vec_id, list_transform(range(36), lambda k: p[(k // 6 + 1) * 8 + k % 6 + 1] + p[(k // 6 + 1) * 8 + k % 6 + 3] + p[(k // 6) * 8 + k % 6 + 2] + p[(k // 6 + 2) * 8 + k % 6 + 2] - 4 * p[(k // 6 + 1) * 8 + k % 6 + 2]) AS l FROM p)
-  SELECT vec_id, floor((list_sum(list_transform(l, lambda x: x * x)) / 36.0::DOUBLE - pow(list_sum(l) / 36.0::DOUBLE, 2)) * 1e3 + 0.4817) / 1e3 AS score, 1 AS n_tiles, floor((list_sum(list_transform(l, lambda x: x * x)) / 36.0::DOUBLE - pow(list_sum(l) / 36.0::DOUBLE, 2)) * 1e3 + 0.4817) / 1e3 AS peak FROM l""")
+  SELECT vec_id, floor((list_sum(list_transform(l, lambda x: x * x)) / 36.0::DOUBLE - pow(list_sum(l) / 36.0::DOUBLE, 2)) * 1e3 + 0.501) / 1e3 AS score, 1 AS n_tiles, floor((list_sum(list_transform(l, lambda x: x * x)) / 36.0::DOUBLE - pow(list_sum(l) / 36.0::DOUBLE, 2)) * 1e3 + 0.501) / 1e3 AS peak FROM l""")
 def laplacian(spark, sf_dir):
     """Focus of 8 x 8 rasters: variance of the Laplacian, by tile and its peak; a raster so small is one tile."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 127 + 128).cast("int")).alias("pixels"), F.lit(8).alias("width"), F.lit(8).alias("height"))
-    r3 = lambda c: (F.floor(F.col(c) * 1e3 + 0.4817) / 1e3).alias(c)
+    r3 = lambda c: (F.floor(F.col(c) * 1e3 + 0.501) / 1e3).alias(c)
     return raster.focus(e).select("vec_id", r3("score"), F.size("tiles").alias("n_tiles"), r3("peak"))
 
 

@@ -119,11 +119,11 @@ def outbox_pending(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select("o_orderkey").orderBy("o_orderkey").limit(500)
 
 
-@query("focus_peak", "WITH e AS (SELECT vec_id, list_reverse_sort(list_transform(embedding, lambda x: x::DOUBLE)) AS s FROM embeddings) SELECT vec_id, floor(list_avg(s[1:greatest(1, floor(len(s) * 0.05 + 0.5))::INT]) * 1e6 + 0.4817) / 1e6 AS peak FROM e")
+@query("focus_peak", "WITH e AS (SELECT vec_id, list_reverse_sort(list_transform(embedding, lambda x: x::DOUBLE)) AS s FROM embeddings) SELECT vec_id, floor(list_avg(s[1:greatest(1, floor(len(s) * 0.05 + 0.5))::INT]) * 1e6 + 0.501) / 1e6 AS peak FROM e")
 def focus_peak(spark, sf_dir):
     """The mean of the sharpest twentieth of the tiles."""
     peak = arrays.top_mean(arrays.doubles(F.col("embedding")), 0.05)
-    return table(spark, sf_dir, "embeddings").select("vec_id", (F.floor(peak * 1e6 + 0.4817) / 1e6).alias("peak"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.floor(peak * 1e6 + 0.501) / 1e6).alias("peak"))
 
 
 @query("fold_assign", f"""WITH RECURSIVE {FRAMES}, s AS (SELECT session, count(*) AS n FROM frames GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, session) AS k FROM s),

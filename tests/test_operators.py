@@ -418,36 +418,50 @@ def test_plans_tell_all_mistakes(spark):
         steps.resolved(config, ops, {"c": 1}, {"HOME_DIR": "h"})
 
 
-def test_requests(spark):
-    """Own phrases: negation, precedence, contradictions, what is not understood."""
+GARDEN = language.Lexicon(
+    terms={"hedge": ("object", "hedge"), "hedges": ("object", "hedge"), "rose bed": ("object", "bed"), "bed": ("object", "bed"), "trim": ("act", "cut"), "cut back": ("act", "cut"), "let grow": ("act", "grow"), "don t": ("negation", "no"), "never": ("negation", "no")},
+    rules=(language.Rule("hedge", "cut", "low-hedge", "hedge", -1), language.Rule("hedge", "grow", "tall-hedge", "hedge", 1, priority=1), language.Rule("hedge", "cut", "tall-hedge", "hedge", 1, negated=True), language.Rule("bed", None, "weed-bed", "bed", 1)),
+    breaks=("then",),
+)
+
+
+def test_requests_by_a_lexicon_of_the_callers(spark):
     cases = {
-        "Keep the highlights, and open the shadows": (["preserve-highlights", "open-shadows"], []),
-        "Don't blow the sky": (["save-the-sky"], []),
-        "no punchy contrast": ([], ["no punchy contrast"]),
-        "RECOVER the sky; hold highlights": (["save-the-sky", "preserve-highlights"], []),
-        "recover the highlights of the sky": (["save-the-sky"], []),
-        "open the deep shadows": (["keep-shadows-deep"], []),
-        "more, but soft contrast": (["soft-contrast"], ["more"]),
+        "Trim the hedge, rose bed": (["low-hedge", "weed-bed"], []),
+        "Don't trim the hedges": (["tall-hedge"], []),
+        "never the bed": ([], ["never the bed"]),
+        "let grow or trim the hedge": (["tall-hedge"], []),
+        "cut the hedge back": ([], ["cut the hedge back"]),
+        "let the hedge be then cut back hedges": (["low-hedge"], ["let the hedge be"]),
+        "trim the hedge; let grow the hedge": (["low-hedge", "tall-hedge"], []),
         "Plus de lumière": ([], ["plus de lumiere"]),
+        "thenhedge trim": ([], ["thenhedge trim"]),
         "": ([], []),
         None: ([], []),
     }
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").select("i", language.requested(F.col("t")).alias("r")).collect()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").withColumn("r", language.requested(F.col("t"), GARDEN))
+    rows = df.select("i", "r", language.contradicted(F.col("r")["intents"], GARDEN).alias("bad")).collect()
     got = {r["i"]: (r["r"]["intents"], r["r"]["unmatched"]) for r in rows}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
-    assert one(spark, language.contradicted(F.array(F.lit("soft-contrast"), F.lit("punchy-contrast")))) and not one(spark, language.contradicted(F.array(F.lit("soft-contrast"))))
+    assert GARDEN.conflicts == [("tall-hedge", "low-hedge")] and [r["i"] for r in rows if r["bad"]] == [6]
+    with pytest.raises(ValueError, match="no term names"):
+        language.Lexicon({}, (language.Rule("x", None, "y", "z", 1),))
+    with pytest.raises(ValueError, match="two ways"):
+        language.Lexicon({"x": ("object", "x")}, (language.Rule("x", None, "y", "z", 1), language.Rule("x", "a", "y", "z", -1)))
 
 
 def test_keywords_of_scenes(spark):
+    zoo = language.Scenes({"pond": frozenset(("pond", "ducks")), "feather": frozenset(("feather",))}, {"inside": frozenset(("cage",)), "outside": frozenset(("lawn", "path"))}, frozenset(("keeper",)), frozenset(("beak",)), frozenset(("posing",)), "face", (("mallard", "duck"),))
     rows = [
-        (0, "A bride in a room", [("Person", 0.1, 0.1, 0.7, 0.9), ("fancy dress", 0.2, 0.3, 0.6, 0.8)]),
-        (1, "a dress with flowers", [("woman", 0.0, 0.0, 0.9, 0.9), ("flower", 0.2, 0.2, 0.4, 0.4)]),
-        (2, "flowers on grass", [("flower", 0.2, 0.2, 0.4, 0.4), ("bee", 0.2, 0.2, 0.21, 0.21), ("Watercraft", 0.0, 0.0, 0.5, 0.5)]),
+        (0, "Ducks on the pond, a lawn and a cage", [("Keeper", 0.1, 0.1, 0.7, 0.9), ("beak", 0.2, 0.3, 0.6, 0.8)]),
+        (1, "a hat with a feather", [("keeper", 0.0, 0.0, 0.9, 0.9), ("feather", 0.2, 0.2, 0.4, 0.4)]),
+        (2, "feather on the path", [("feather", 0.2, 0.2, 0.4, 0.4), ("bee", 0.2, 0.2, 0.21, 0.21), ("Mallard", 0.0, 0.0, 0.5, 0.5)]),
         (3, None, None),
+        (4, "keeper, posing", [("keeper", 0.0, 0.0, 0.2, 0.2), ("face", 0.5, 0.5, 0.6, 0.6)]),
     ]
     df = spark.createDataFrame(rows, "i int, c string, o array<struct<label:string,x0:double,y0:double,x1:double,y1:double>>")
-    got = {r["i"]: r["k"] for r in df.select("i", language.keywords(F.col("c"), F.col("o")).alias("k")).collect()}
-    assert got == {0: ["portrait", "wedding", "indoor", "person"], 1: ["portrait", "woman"], 2: ["flower", "outdoor", "boat"], 3: []}
+    got = {r["i"]: r["k"] for r in df.select("i", language.keywords(F.col("c"), F.col("o"), zoo).alias("k")).collect()}
+    assert got == {0: ["portrait", "pond", "keeper"], 1: ["portrait", "keeper"], 2: ["feather", "outside", "duck"], 3: [], 4: ["portrait", "keeper"]}
 
 
 def test_library_judgements(spark):
