@@ -21,6 +21,8 @@ from . import evaluate, folds, moments, sessions
 SCHEMA = 1
 #: Below this spread a target does not vary, and its heads stay constant.
 DEGENERATE = 1e-9
+#: Renderings that a profile may tell apart.
+MAX_RENDERS = 256
 
 
 @dataclass(frozen=True)
@@ -120,12 +122,22 @@ def _fitted(plan: evaluate.Plan, found: evaluate.Judged, b: Brakes, spread: np.n
     return Head(weights, intercept, constant, found.response.copy(), spread < DEGENERATE, found.penalty, found.skill, found.spread, found.shipped.copy())
 
 
+def _renders(frames: DataFrame, render: str, least: int) -> tuple[list[str], str | None]:
+    """The values of at least so many frames, each of which is a column of the level head, and the most frequent value."""
+    counts = frames.filter(F.col(render).isNotNull()).groupBy(F.col(render).alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    usual = counts.orderBy(F.col("_n").desc(), "_r").first()
+    told = [r["_r"] for r in counts.filter(F.col("_n") >= least).limit(MAX_RENDERS + 1).collect()]
+    if len(told) > MAX_RENDERS:
+        raise ValueError(f"more than {MAX_RENDERS} renderings have {least} frames, and each is a column: raise min_renders")
+    return sorted(told), usual["_r"] if usual else None
+
+
 def train(frames: DataFrame, session: str, x: str, y: str, params: list[str], *, k: int = 5, boldness: float = 0.0, render: str | None = None, min_renders: int = 3, key: str = "file", masks: tuple[np.ndarray, np.ndarray] | None = None, guards: dict | None = None) -> Profile:
     """frames (file, session, x, y, ...): a profile. masks: for either head, which of its columns each target may
-    read. render: a column whose values of at least min_renders frames are told apart by the level head."""
+    read. render: a column whose values of at least min_renders frames are told apart by the level head, at most
+    MAX_RENDERS of them (more raise)."""
     careful = brakes(boldness)
-    counts = frames.groupBy(render).count().filter(F.col(render).isNotNull()).orderBy(F.col("count").desc(), render).limit(64).collect() if render else []
-    renders = sorted(r[render] for r in counts if r["count"] >= min_renders)
+    renders, usual = _renders(frames, render, min_renders) if render else ([], None)
     seen = folds.round_robin(folds.dealt(views(frames, session, x, y, renders, render), session, k).withColumnRenamed("fold", "_by_session"), key, k).withColumnsRenamed({"fold": "_by_frame", "_by_session": "fold"})
     seen = seen.select("fold", "_by_frame", "_level", "_frame", "_yl", "_yf", "_truth", F.concat("_level", "_frame").alias("_x"), F.concat("_yl", "_yf").alias("_y")).persist()
     parts = moments.collect(seen, "_x", "_y", "fold")
@@ -146,7 +158,7 @@ def train(frames: DataFrame, session: str, x: str, y: str, params: list[str], *,
     reasons = {q: "degenerate" for q, g in zip(params, level.gated & frame.gated, strict=True) if g}
     level.gated |= ~np.full(p, never) & (np.minimum(level.skill, level.shipped) <= bar(level))
     frame.gated |= ~np.full(p, never) & ((frame.skill <= bar(frame)) | (frame.shipped < -careful.frame_allowance))
-    profile = Profile(params, level, frame, renders, counts[0][render] if counts else None, guards={"schema": SCHEMA, **(guards or {})}, reasons=reasons)
+    profile = Profile(params, level, frame, renders, usual, guards={"schema": SCHEMA, **(guards or {})}, reasons=reasons)
     profile.skill, profile.mae, profile.baseline = _together(seen, parts, "fold", profile, plans, d_level)
     random = moments.collect(seen, "_x", "_y", "_by_frame")
     profile.skill_random = _together(seen, random, "_by_frame", profile, plans, d_level)[0]

@@ -62,11 +62,14 @@ class Moments:
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """An Arrow column of lists as rows of numbers; lists of another length raise, nulls are NaN."""
+    """An Arrow column of lists as rows of numbers; lists of another length and null or NaN numbers raise."""
     flat = column.flatten()
     if len(flat) != len(column) * width or (len(column) and pa.compute.min(pa.compute.list_value_length(column)).as_py() != width):
         raise ValueError(f"a vector has not {width} numbers")
-    return np.asarray(flat.cast(pa.float64()), dtype=float).reshape(-1, width)
+    out = np.asarray(flat.cast(pa.float64()), dtype=float).reshape(-1, width)
+    if np.isnan(out).any():
+        raise ValueError("a vector has a null or NaN number: leave such rows out, or fill them")
+    return out
 
 
 def sums_by_key(rows: DataFrame, width: int, add: Callable[[object, np.ndarray, np.ndarray], np.ndarray]) -> dict[str, tuple[int, np.ndarray]]:

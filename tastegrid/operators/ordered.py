@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.names import fresh
+
 #: Ranges that a table is cut into, and the rows that the cuts are taken from.
 RANGES, SAMPLE_ROWS = 256, 20_000
 #: Rows that a median is picked from at last, and the most rounds that narrow its bracket.
@@ -18,31 +20,41 @@ def _ranged(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     keys = df.select(key.alias("k"))
     sample = keys.orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS)
-    cuts = sample.select(F.array_sort(F.collect_set("k")).alias("c")).select(F.filter("c", lambda _, i: i % F.greatest(F.lit(1), F.floor(F.size("c") / RANGES)) == 0).alias("_cuts"))
+    held = fresh(df, "_cuts")[0]
+    cuts = sample.select(F.array_sort(F.collect_set("k")).alias("c")).select(F.filter("c", lambda _, i: i % F.greatest(F.lit(1), F.floor(F.size("c") / RANGES)) == 0).alias(held))
     # one row of RANGES keys or so
     placed = df.crossJoin(F.broadcast(cuts))
     low = lambda c: F.size(F.filter(c, lambda x: x <= key))
-    return placed.withColumn(name, low(F.col("_cuts"))).drop("_cuts")
+    return placed.withColumn(name, low(F.col(held))).drop(held)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """df with name: 1, 2, ... in ascending order, which must not tie. Rows are numbered within ranges, which move up by
-    the counts of the ranges before."""
-    ranged = _ranged(df, order, "_range")
-    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row per range
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    joined = ranged.join(F.broadcast(starts), F.col("_range") == F.col("_r"))
-    return joined.withColumn(name, (F.col("_start") + within).cast("long")).drop("_range", "_r", "_start")
+    """df with name (in the stead of a column of that name that the order does not need): 1, 2, ... in ascending order,
+    which must not tie. Rows are numbered within ranges, which move up by the counts of the ranges before."""
+    in_range, at, n, start = fresh(df, "_range", "_r", "_n", "_start")
+    ranged = _ranged(df, order, in_range)
+    before = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(F.col(in_range).alias(at)).agg(F.count(F.lit(1)).alias(n))
+    starts = counts.select(at, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))  # a row per range
+    within = F.row_number().over(Window.partitionBy(in_range).orderBy(*order))
+    joined = ranged.join(F.broadcast(starts), F.col(in_range) == F.col(at))
+    return joined.withColumn(name, (F.col(start) + within).cast("long")).drop(in_range, at, start)
 
 
 def neighbours(df: DataFrame, id: str, value: str) -> DataFrame:
-    """(id, value, below, above): structs (v, id) of the rows right before and after in the order of value and id."""
-    n = numbered(df.select(id, value), [F.col(value), F.col(id)], "_n")
-    near = n.select(F.col("_n").alias("_at"), F.struct(F.col(value).alias("v"), F.col(id).alias("id")).alias("_row"))
-    side = lambda step, name: near.select((F.col("_at") + step).alias("_n"), F.col("_row").alias(name))
-    return n.join(side(1, "below"), "_n", "left").join(side(-1, "above"), "_n", "left").drop("_n")
+    """(id, value, below, level, above): structs (v, id) of the least id with the next lower, the same and the next higher
+    value, which `level` has from another row. A row without a value has none of them."""
+    # of a value's ids the two least are enough, as whoever asks is not both; each task passes on no more of a value
+    rows = df.select(F.col(id).alias("_i"), F.col(value).alias("_v")).filter("_v IS NOT NULL").distinct()
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_v").orderBy("_i"))).filter("_k <= 2")
+    two = ranked.groupBy("_v").agg(F.min("_i").alias("_a"), F.max("_i").alias("_b")).withColumn("_b", F.nullif("_b", "_a"))
+    values = numbered(two, [F.col("_v")], "_n")
+    side = lambda step, name: values.select((F.col("_n") + step).alias("_n"), F.struct(F.col("_v").alias("v"), F.col("_a").alias("id")).alias(name))
+    near = values.join(side(1, "below"), "_n", "left").join(side(-1, "above"), "_n", "left").drop("_n")
+    other = F.when(F.col("_i") == F.col("_a"), F.col("_b")).otherwise(F.col("_a"))
+    level = F.when(other.isNotNull(), F.struct(F.col("_v").alias("v"), other.alias("id")))
+    asking = df.select(F.col(id).alias("_i"), F.col(value).alias("_w"))
+    return asking.join(near, F.col("_w") == F.col("_v"), "left").select(F.col("_i").alias(id), F.col("_w").alias(value), "below", level.alias("level"), "above")
 
 
 def median(df: DataFrame, column: str) -> float | None:

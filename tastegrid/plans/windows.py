@@ -83,10 +83,11 @@ def elo_pool(spark, sf_dir):
 
 @query("closest_elo", "SELECT a.s_suppkey AS id, (SELECT b.s_suppkey FROM supplier b WHERE b.s_suppkey <> a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey LIMIT 1) AS opponent FROM supplier a")
 def closest_elo(spark, sf_dir):
-    """The opponent with the nearest rating: in the order of ratings it stands right before or after."""
+    """The opponent with the nearest rating, of equally near ones the least: it has the same rating, or the next one
+    below or above."""
     near = ordered.neighbours(table(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal")
     option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("s_acctbal") - F.col(c)["v"]).alias("d"), F.col(c)["id"].alias("id")))
-    return near.select(F.col("s_suppkey").alias("id"), F.least(option("below"), option("above"))["id"].alias("opponent"))
+    return near.select(F.col("s_suppkey").alias("id"), F.least(option("below"), option("level"), option("above"))["id"].alias("opponent"))
 
 
 @query("tail_rows", f"WITH {PARAMS}, d AS (SELECT file, param, abs(value - avg(value) OVER (PARTITION BY param)) AS off FROM params), r AS (SELECT *, row_number() OVER (PARTITION BY param ORDER BY off) AS rn, count(*) OVER (PARTITION BY param) AS n FROM d), c AS (SELECT param, floor(off * 1e6) AS cut FROM r WHERE rn = least(floor(0.8 * n), n - 1) + 1) SELECT param, count(*) AS n FROM d JOIN c USING (param) WHERE floor(off * 1e6) >= cut GROUP BY 1")

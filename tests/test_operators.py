@@ -207,18 +207,55 @@ def test_session_means(spark):
     assert ctx["c"] == [9.0] and ctx["a"] == [2.0, 3.0] and ctx["g"] == [1.0] and ctx["f"] is None
 
 
-def test_many_sessions_go_by_bucket(spark, monkeypatch):
-    df = spark.createDataFrame([(s, i) for s in range(300) for i in range(s % 5 + 1)], "session int, i int")
+def test_many_sessions_get_the_folds_of_few(spark, monkeypatch):
+    """The same folds on either side of the bound, by both functions, with sessions of equal size, null, and hot ones."""
+    sizes = [(s, s % 5 + 1 + (400 if s == 7 else 0)) for s in range(300)]
+    df = spark.createDataFrame([(s or None, i) for s, n in sizes for i in range(n)], "session int, i int").withColumns({c: F.lit(1) for c in ("fold", "_s", "_salt", "_n")})
     few = {r["session"]: r["fold"] for r in folds.dealt(df, "session", 4).collect()}
+    assert few == {r["session"]: r["fold"] for r in folds.balanced(df, "session", 4).collect()}
     monkeypatch.setattr(folds, "BROADCAST_ROWS", 10)
-    many = folds.dealt(df, "session", 4).groupBy("session").agg(F.count_distinct("fold").alias("n"), F.first("fold").alias("fold")).collect()
-    assert len(few) == len(many) == 300 and {r["n"] for r in many} == {1} and {r["fold"] for r in many} == {0, 1, 2, 3}
+    many = folds.dealt(df, "session", 4)
+    assert many.count() == df.count() and set(many.columns) == set(df.columns)
+    got = many.groupBy("session").agg(F.count_distinct("fold").alias("n"), F.first("fold").alias("fold")).collect()
+    assert {r["session"]: r["fold"] for r in got} == few and {r["n"] for r in got} == {1}
+    assert {r["session"]: r["fold"] for r in folds.balanced(df, "session", 4).collect()} == few
+
+
+def test_cycles_are_the_greedy_choice():
+    rnd = np.random.default_rng(4)
+    for _ in range(300):
+        k = int(rnd.integers(1, 7))
+        sizes = [(int(n), int(rnd.integers(1, 20))) for n in sorted(set(rnd.integers(1, rnd.choice([4, 30, 900]), 6)), reverse=True)]
+        units = [n for n, m in sizes for _ in range(m)]
+        cycles, want = folds._cycles(sizes, k), [f for *_, f in folds._greedy(list(enumerate(units)), k)]
+        own = [[c for c in cycles if c[0] == n and c[1] <= at][-1] for at, n in enumerate(units)]
+        assert [c[2][(at - c[1]) % len(c[2])] for at, c in enumerate(own)] == want
+
+
+def test_every_rendering_of_enough_frames_counts(spark, monkeypatch):
+    df = spark.createDataFrame([(f"r{i % 90}",) for i in range(270)] + [("rare",), (None,)] + [("r5",)] * 3, "look string")
+    told, usual = develop._renders(df, "look", 3)
+    assert len(told) == 90 and usual == "r5"
+    monkeypatch.setattr(develop, "MAX_RENDERS", 89)
+    with pytest.raises(ValueError, match="min_renders"):
+        develop._renders(df, "look", 3)
+
+
+def test_clashing_names_pass_through(spark):
+    names = ("_cuts", "_r", "_start", "_range", "_n", "_b", "_bucket", "_hash", "fold")
+    df = spark.createDataFrame([(i, i % 3) for i in range(30)], "i int, session int").withColumns({c: F.lit("own") for c in names})
+    for out in (ordered.numbered(df, [F.col("i")]), folds.round_robin(df, "i", 3), folds.dealt(df, "session", 2)):
+        rows = out.collect()
+        assert len(rows) == 30 and all(r["_cuts"] == r["_start"] == r["_hash"] == "own" for r in rows)
 
 
 def test_ragged_vectors_raise(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], [1.0]), (1, [1.0], [1.0])], "g int, x array<double>, y array<double>")
     with pytest.raises(Exception, match="has not 3 numbers"):
         moments.collect(df, "x", "y", "g")
+    df = spark.createDataFrame([(1, [1.0, 2.0], [1.0]), (1, [1.0, None], [1.0])], df.schema)
+    with pytest.raises(Exception, match="null or NaN number"):
+        moments.collect(df, "x", "y", "g")
 
 
 def test_ties_go_to_the_larger_penalty():
@@ -503,8 +540,14 @@ def test_numbering_neighbours_and_medians(spark, monkeypatch):
     order = sorted(range(1000), key=lambda i: (v[i], i))
     got = {r["i"]: r["place"] for r in ordered.numbered(df, [F.col("v"), F.col("i")]).collect()}
     assert [got[i] for i in order] == list(range(1, 1001))
-    near = {r["i"]: (r["below"] and r["below"]["id"], r["above"] and r["above"]["id"]) for r in ordered.neighbours(df, "i", "v").collect()}
-    assert all(near[i] == (order[k - 1] if k else None, order[k + 1] if k < 999 else None) for k, i in enumerate(order))
+    near = {r["i"]: [r[k] and r[k]["id"] for k in ("below", "level", "above")] for r in ordered.neighbours(df, "i", "v").collect()}
+    values = sorted({x: 0 for x in v})
+    of = {x: [i for i in range(1000) if v[i] == x] for x in values}
+    for i in range(1000):
+        at = values.index(v[i])
+        assert near[i] == [of[values[at - 1]][0] if at else None, next((j for j in of[v[i]] if j != i), None), of[values[at + 1]][0] if at + 1 < len(values) else None]
+    tied = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 5.0), (4, 9.0), (5, None)], "i int, v double")
+    assert [[r[k] and r[k]["id"] for k in ("below", "level", "above")] for r in ordered.neighbours(tied, "i", "v").orderBy("i").collect()] == [[None, 2, 4], [None, 1, 4], [None, 1, 4], [1, None, None], [None] * 3]
     for rows in (50_000, 20):
         monkeypatch.setattr(ordered, "BRACKET_ROWS", rows)
         assert ordered.median(df, "v") == float(np.median(v)) and ordered.median(df.filter("i < 899"), "v") == float(np.median(v[:899]))
