@@ -258,7 +258,9 @@ def _window_matches(w: Column, known: Column, templates, min_dice: float) -> Col
         places.setdefault(word, []).append((template, at))
     of_word = F.create_map(*[c for word, found in sorted(places.items()) for c in (F.lit(word), F.array(*[F.struct(F.lit(t).alias("template"), F.lit(at).alias("at")) for t, at in found]))])
     hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("i"))), lambda h: h["word"].isin(*places))
-    laid = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(of_word, h["word"]), lambda a: F.struct((h["i"] - a["at"]).alias("start"), a["template"].alias("template"))))))
+    # a number for a place and a template: array_distinct hashes numbers, but compares structs one with the other
+    laid = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(of_word, h["word"]), lambda a: (h["i"] - a["at"]).cast("long") * len(templates) + a["template"]))))
+    laid = F.transform(laid, lambda n: F.struct(F.floor(n / len(templates)).cast("int").alias("start"), F.pmod(n, F.lit(len(templates))).cast("int").alias("template")))
     pairs = lambda b: F.transform(laid, lambda c: rated(b, c, F.element_at(known, c["template"] + 1)))
 
     def rated(b: Column, c: Column, t: Column) -> Column:
@@ -266,9 +268,32 @@ def _window_matches(w: Column, known: Column, templates, min_dice: float) -> Col
         g = F.array_distinct(F.slice(b, from_ + 1, F.greatest(c["start"] + t["words"] - 1 - from_, F.lit(0))))
         return F.struct(_negative_dice(g, t["grams"]).alias("dice"), t["license"].alias("license"), c["template"].alias("template"), c["start"].alias("start"), (c["start"] + t["words"]).alias("end"))
 
+    width = max(len(normal(t)) for _, t in templates)
+    stretch = lambda x: F.floor((x["start"] + width) / width)
+
     def best(m: Column) -> Column:
-        beaten = lambda x: F.exists(m, lambda y: (y < x) & (y["start"] < x["end"]) & (x["start"] < y["end"]))
-        return F.transform(F.filter(m, lambda x: ~beaten(x)), lambda x: F.struct(x["dice"].alias("dice"), x["license"].alias("license"), x["template"].alias("template")))
+        """In order of starts, a window meets only those that begin in its own stretch of `width` words, the one before or
+        the one after."""
+        by_start = F.array_sort(F.transform(m, lambda x: F.struct(*[x[k].alias(k) for k in ("start", "end", "dice", "license", "template")])))
+        return bound(by_start, lambda s: bound(firsts(s), lambda f: bound(dense(f), lambda d: kept(s, d))))
+
+    def firsts(s: Column) -> Column:
+        """(stretch, place of its first window)"""
+        at = F.transform(s, lambda x, i: F.struct(stretch(x).alias("stretch"), i.alias("i")))
+        return F.filter(at, lambda x: (x["i"] == 0) | (stretch(F.get(s, x["i"] - 1)) != x["stretch"]))
+
+    def dense(f: Column) -> Column:
+        """By stretch, from 0 on, the place of the first window in it or after."""
+        return F.flatten(F.transform(f, lambda x, k: F.array_repeat(x["i"], (x["stretch"] - F.coalesce(F.get(f, k - 1)["stretch"], F.lit(-1))).cast("int"))))
+
+    def kept(s: Column, d: Column) -> Column:
+        def beaten(x: Column) -> Column:
+            low = F.coalesce(F.get(d, (stretch(x) - 1).cast("int")), F.lit(0))
+            high = F.coalesce(F.get(d, (stretch(x) + 2).cast("int")), F.size(s))
+            order = lambda y: F.struct(y["dice"], y["license"], y["template"], y["start"])
+            return F.exists(F.slice(s, low + 1, high - low), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (order(y) < order(x)))
+
+        return F.transform(F.filter(s, lambda x: ~beaten(x)), lambda x: F.struct(x["dice"].alias("dice"), x["license"].alias("license"), x["template"].alias("template")))
 
     matches = F.filter(bound(_pairs(w), pairs), lambda m: m["dice"] <= -min_dice)
     return F.when(F.exists(w, lambda x: x.isin(*places)), bound(matches, best))

@@ -260,3 +260,15 @@ the Free Software Foundation, either version 3 of the License, or
     assert {i: got[:1] for i, got in out.items()} == {1: ["MIT"], 2: ["MIT"], 3: ["Apache-2.0"], 4: ["Apache-2.0"], 5: ["GPL-3.0"], 6: []}
     whole = {t: licenses.bigrams(licenses.normal(text)) for t, (_, text) in enumerate(licenses.TEMPLATES)}
     assert max(map(len, whole.values())) > 100
+
+
+def test_many_notices_in_one_text(spark):
+    """A hundred thousand notices one after the other: windows are held against their neighbours only."""
+    import time
+
+    line = "All rights reserved.\n"
+    df = spark.createDataFrame([(1, line * 100_000), (2, line), (3, "plain text")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in licenses.license_report(df).collect()}
+    assert time.time() - began < 60
+    assert got[1]["licenses"] == got[2]["licenses"] != "" and got[1]["best_dice"] == 1.0 and got[3]["n_matches"] == 0
