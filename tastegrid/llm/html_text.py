@@ -1,13 +1,15 @@
 """Main text of HTML pages from flat text blocks and a decision tree.
 
-A page is cut into flat blocks of text: block-level tags end a block, inline tags do not, <br> is white space.
+A page is cut into flat blocks of text: block-level tags end a block, inline tags do not, <br> is white space; a link
+goes on through the blocks that it holds.
 Each block has its word count and link density, those of its two neighbours, and marks of the elements around
 it. A decision tree, trained on a small labelled table of blocks, says which blocks are main text. Their
 character references are decoded, white space becomes one space, and they are joined in page order.
 
 Cases: null or empty HTML, and a page without main text, give the empty string; unclosed and misnested tags
 close at the next tag that ends their block; a very long page is one row and its blocks are held once; an unclosed script, style or comment takes the rest of the page;
-repeated rows are read alike; an empty table gives an empty result; extra columns pass through.
+repeated rows are read alike; an empty table gives an empty result; extra columns pass through, but the HTML and columns
+named as the two outputs, which go.
 """
 
 from __future__ import annotations
@@ -75,6 +77,7 @@ def blocks(page: str) -> list[Block]:
     # frames of open elements: tag, furniture by tag, furniture by name, inside main text, heading, list item
     frames: list[tuple[str, bool, bool, bool, bool, bool]] = [("", False, False, False, False, False)]
     out: list[Block] = []
+    # links: how many elements were open where the open link began, 0 for none; it ends with </a> or with the last of them
     now, links, at = Block(), 0, 0
 
     def flush():
@@ -109,7 +112,7 @@ def blocks(page: str) -> list[Block]:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
         elif tag == "a":
-            links = 0 if close else 1
+            links = 0 if close else len(frames)
         elif tag == "br":
             now.raw.append("\n")
         elif tag in INLINE:
@@ -121,11 +124,12 @@ def blocks(page: str) -> list[Block]:
             if any(f[0] == tag for f in frames):
                 while frames.pop()[0] != tag:
                     pass
-                links = 0
+                links = links if links <= len(frames) else 0
         else:
             flush()
             if tag in SELF_CLOSING and frames[-1][0] in ("p", tag):
                 frames.pop()
+                links = links if links <= len(frames) else 0
             if tag == "body":
                 frames = frames[:1]
             _, by_tag, by_name, inside, _, item = frames[-1]
@@ -133,7 +137,6 @@ def blocks(page: str) -> list[Block]:
                 frames.append((tag, by_tag, _marks(attributes), True, False, False))
             else:
                 frames.append((tag, by_tag or tag in CHROME_TAGS, by_name or _marks(attributes), inside, tag in HEADINGS, item or tag == "li"))
-            links = 0
     flush()
     return out
 
@@ -178,6 +181,15 @@ LABELLED = (
     "<p>+Salt was carried over the pass on mules, forty to a train, and each driver had the care of seven of them from the mines down to the lake.</p><p>+Seven, never eight.</p><p>+A driver who lost a load had to make it good, so they walked beside the last beast with a hand on the rope and did not talk much on the narrow parts.</p>"
     "<div><a>-Next page</a> <a>-Last page</a></div><p>-You are reading the free part of our paper and there are two more pieces that you can read in this month without paying</p><div><a>-Sign in</a></div>",
     "<div><a>-Towns</a></div><p>+The hill was bare when the first of them came, and they brought the trees on their backs from the far side.</p><p>+Ten lived.</p><p>+From those ten all the others have been cut, so that the whole wood is in truth no more than a few old trees.</p><div><a>-Maps</a></div><div><a>-Rivers</a></div><p>-Find us here</p><div><a>-Hills</a></div><p>+Three kinds of apple grow on the north side of the hill and none of them is sold, as they do not keep for more than a week.</p><p>+They are eaten there.</p><p>+What is left goes into the press, and the cider is drunk before the new year by all who helped with the picking.</p><div><a>-Woods</a></div><p>-Site map</p><div><a>-Lakes</a></div>",
+    # pages of nothing but <div>: a line after the links and the last line are no part of the text, short ones within it are
+    "<div><a>-Home</a></div><div><a>-Weather</a></div><div><a>-Tides</a></div><div>-Rooms with a view of the bay from now on.</div><div>+The lighthouse keeper</div><div>+He kept the light.</div><div>+For thirty years he climbed the stair each evening with a can of oil, and each morning he came down again and slept until noon.</div><div>+Then came the wire.</div><div>+Oil</div><div>+It was brought twice a year by a boat that could land only when the sea was flat, so that in bad years he had to burn the lamp low.</div><div>+No one saw it.</div><div>-Printed at the harbour office with all rights kept.</div>",
+    "<div><a>-A</a></div><div><a>-B</a></div><div>-Try our bread.</div><div>+Grain</div><div>+Grain</div><div>+The mill takes rye in the first week of the month and wheat in all of the others, as long as the water lasts and the stones are sharp.</div><div>+Barley.</div><div>+Those who bring less than a sack are asked to wait until there is enough for a full turn of the wheel.</div><div>-Mill lane two</div>",
+    "<div><a>-One</a></div><div><a>-Two words</a></div><div><a>-Three</a></div><div>-Winter coats at half the price until the end of this very month.</div><div>+What the river took and what it gave back to the people of the lower town</div><div>+First the bridge went.</div><div>+After it the tannery, two barns and the wall of the old churchyard were carried off in one night of March.</div><div>+Fish.</div><div>+There were so many of them in the fields when the water fell that they were gathered in baskets and salted.</div><div>+Nobody went hungry that spring.</div><div>+So it is told.</div><div>-Letters to the office by the gate are read on each first Monday</div>",
+    "<div><a>-Index</a></div><div><a>-Names</a></div><div>-Now with pictures in colour on each page.</div><div>+A short life of the bell founder, by one who knew him</div><div>+Born here.</div><div>+Apprenticed there.</div><div>+He cast his first bell at nineteen.</div><div>+It cracked.</div><div>+The second hung for sixty years in the tower of the hospital, where it was rung for every birth and for no death.</div><div>+His third he gave away.</div><div>-Found in a drawer</div>",
+    "<div><a>-Start</a></div><div><a>-All songs of the valley</a></div><div>-Hear them at home.</div><div>+Songs</div><div>+They are sung in the evening.</div><div>+One begins, and the others come in at the second line; whoever is last has to begin the next one, so that no one falls asleep before the lamp is out.</div><div>+Some are very old.</div><div>+Others were made last year.</div><div>+Both kinds are liked.</div><div>-Do not copy these pages without a word to us</div>",
+    "<div><a>-Shop</a></div><div><a>-Map</a></div><div>-Boots for all.</div><div>+On foot over the pass in the last days of the year, with a dog</div><div>+On foot over the pass in the last days of the year, with a dog</div><div>+We left late.</div><div>+The snow held until noon and then we sank to the knee at every step, so that the hut was reached only after dark.</div><div>+It was shut, and so we broke the lock and left a coin for it on the table under the bread.</div><div>+The dog slept by the door.</div><div>+Morning.</div><div>+From the top one sees both seas, or so they say; we saw the inside of a cloud and each other.</div><div>-Walkers of the north since long ago</div>",
+    "<div><a>-Up</a></div><div><a>-Down</a></div><div>-A new clock for your wall costs less than you think at our shop in the square.</div><div>+Clocks</div><div>+Nine of them stand in the hall.</div><div>+None tells the hour.</div><div>+The tallest was made for a duke who wanted the moon and the tides on it but could not read, and so its face has pictures.</div><div>+A fish, for one.</div><div>+It shows low water.</div><div>+The smallest was a gift to his wife and has no hands at all, since she did not wish to be told.</div><div>-Open in summer</div>",
+    "<a><div>-The card of a story that one can read on another page</div><div>-With a line below that tells what it is about and by whom</div></a><a><div>-A second card</div></a><div>+The tower was built by the weavers in the year after the fire, and it was meant to be seen from the sea.</div><div>+It leans.</div><div>+Nobody knows whether it did so from the first day or whether the ground gave way when the moat was drained and filled with sand.</div><div>-Stairs are closed</div>",
 )
 
 

@@ -5,6 +5,7 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -223,6 +224,45 @@ def test_tree_asks_for_density_and_neighbours():
     assert html_text.main_text(inside) == "Short.\nA linked line"
 
 
+def _stripped(page):
+    """A page whose elements tell nothing: block tags are <div>, without attributes, scripts and title."""
+    page = re.sub(r"<(script|style|title)\b.*?</\1>", "", page, flags=re.S)
+    return re.sub(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>", lambda m: f"<{m[1]}{m[2] if m[2].lower() in ('a', 'b', 'br', 'html', 'head', 'body', 'meta') else 'div'}>", page)
+
+
+def _on_stripped_pages(model, columns=()):
+    """(blocks of articles, those lost, blocks wrongly taken) with some features set to 0."""
+    total = lost = wrong = 0
+    for (page,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        article = page.split("<article>")[1].split("</article>")[0]
+        want = Counter(t for p in re.split(r"</?(?:p|h1)>", article) if (t := " ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", p))).split())))
+        found = html_text.blocks(_stripped(page))
+        rows = html_text.features(found)
+        rows[:, list(columns)] = 0
+        got = Counter(" ".join("".join(b.raw).split()) for b, row in zip(found, rows.tolist(), strict=True) if html_text.is_main(model, row))
+        total, lost, wrong = total + want.total(), lost + (want - got).total(), wrong + (got - want).total()
+    return total, lost, wrong
+
+
+def test_pages_whose_elements_tell_nothing():
+    """Words, link density and neighbours alone find the articles; without density and neighbours they are not found."""
+    total, lost, wrong = _on_stripped_pages(html_text.tree())
+    assert total > 2000 and lost <= 0.05 * total and wrong <= 0.02 * total
+    table = [(html_text.features(html_text.blocks(re.sub(r"(?<=>)[+-]", "", p))), ["".join(b.raw).lstrip()[0] == "+" for b in html_text.blocks(p)]) for p in html_text.LABELLED]
+    x, y = np.concatenate([f for f, _ in table]), np.array([v for _, f in table for v in f], dtype=float)
+    x[:, 3:8] = 0
+    total, lost, wrong = _on_stripped_pages(html_text.grow(x, y), range(3, 8))
+    assert lost + wrong > 0.2 * total
+
+
+def test_links_around_blocks():
+    """A link that holds blocks links them all, up to its end or that of the element that it began in."""
+    density = lambda page: [(b.words, b.linked) for b in html_text.blocks(page)]
+    assert density("<a href=x><div>one two</div><p>three</p></a><p>four</p>") == [(2, 2), (1, 1), (1, 0)]
+    assert density("<div><a><h3>one</h3><p>two three</div><p>four</p>") == [(1, 1), (2, 2), (1, 0)]
+    assert density("<li><a>one<li>two</li><p>a <a>b <br>c</a> d</p>") == [(1, 1), (1, 0), (4, 2)]
+
+
 def test_many_repeated_payloads(spark, monkeypatch):
     """Beyond the bound of a broadcast the repeats find their rows by id and digest."""
     rows = [(i, "u", f"<p>{i % 7}" if i % 3 else None) for i in range(60)] + [(12, "u", "<p>1"), (12, "u", "<p>1")]
