@@ -12,7 +12,7 @@ Equal codes are one entry that holds the k least of their ids: no other copy can
 Cases: a null or empty vector has no code and neither searches nor is found; shorter vectors count as filled up
 with unset bits, longer ones raise; NaN is an unset bit; ties in distance go to the lesser id;
 a row finds itself; fewer than k rows give as many results; rows that repeat an id count once; an empty table
-gives an empty result.
+gives an empty result; columns other than id and vector, or id and code, are left out.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ the rows. When a weight changes, only rows whose winner at that node changes mov
 weight grew, or out of the one whose weight shrank.
 
 Cases: a null key hashes as the empty string; rows with equal keys land in one shard; an empty table gives an
-empty result; a very long text is one row, of which its size and checksum are taken; a node whose weight is 0 is never drawn. Extra columns pass through, but columns that carry an
-output name are replaced.
+empty result; a very long text is one row, of which its size and checksum are taken; a node whose weight is 0 is never drawn. In `shard_rows` and
+`with_slots` extra columns pass through, but those named as an output are replaced; `sharded_documents` leaves them out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hash48
+from .common import fresh, hash48
 
 
 @dataclass(frozen=True)
@@ -81,15 +81,16 @@ def with_slots(df: DataFrame, shard: str, key: str, buckets: int | None = None)
     the counts of the buckets before, so no shard is sorted in one task; the offsets are shards x buckets rows.
     Buckets grow with the table, of which they are a 2,000,000th, within bounds."""
     buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, df.count() // BUCKET_ROWS))
-    bucketed = df.withColumn("_bucket", (hash48(F.col(key), "slot") / F.lit(float(2**48)) * buckets).cast("int"))
-    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bucket, of, at, n, offset = fresh(df, "_bucket", "_s", "_b", "_n", "_offset")
+    bucketed = df.withColumn(bucket, (hash48(F.col(key), "slot") / F.lit(float(2**48)) * buckets).cast("int"))
+    before = Window.partitionBy(of).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy(F.col(shard).alias("_s"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-        .select("_s", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        bucketed.groupBy(F.col(shard).alias(of), F.col(bucket).alias(at)).agg(F.count(F.lit(1)).alias(n))
+        .select(of, at, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
     )
-    order = Window.partitionBy(shard, "_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in df.columns if c != shard])
-    joined = bucketed.join(F.broadcast(offsets), (F.col(shard) == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    return joined.withColumn("slot", (F.col("_offset") + F.row_number().over(order) - 1).cast("long")).drop("_bucket", "_s", "_b", "_n", "_offset")
+    order = Window.partitionBy(shard, bucket).orderBy(*[F.col(c).asc_nulls_first() for c in df.columns if c != shard])
+    joined = bucketed.join(F.broadcast(offsets), (F.col(shard) == F.col(of)) & (F.col(bucket) == F.col(at)))
+    return joined.withColumn("slot", (F.col(offset) + F.row_number().over(order) - 1).cast("long")).drop(bucket, of, at, offset)
 
 
 def shard_rows(df: DataFrame, key: str, leaves: list[Leaf], grown: list[Leaf] | None = None) -> DataFrame:

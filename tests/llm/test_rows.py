@@ -26,6 +26,13 @@ def test_sharding_odd_rows(docs):
     assert next(r for r in rows if r["doc_id"] == 8)["text_crc32"] == zlib.crc32("é ü z".encode())
 
 
+def test_slots_beside_clashing_names(docs):
+    names = ("_offset", "_s", "_b", "_n", "_bucket", "slot")
+    df = docs(ODD).withColumns({c: F.lit("own") for c in names}).withColumn("shard", F.lit(3))
+    rows = sharding.with_slots(df, "shard", "doc_id").collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(ODD))) and {r["_offset"] + r["_s"] + r["_bucket"] for r in rows} == {"ownownown"}
+
+
 def test_sharding_empty(docs):
     assert sharding.sharded_documents(docs([])).count() == 0
 
