@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..registry import QUERIES
-from . import aggregates, commands, extras, filters, joins, models, scalars, upserts, windows
+from . import aggregates, commands, extras, filters, joins, models, scalars, sidecars, upserts, windows
 
-MODULES = (aggregates, commands, extras, filters, joins, models, scalars, upserts, windows)
+MODULES = (aggregates, commands, extras, filters, joins, models, scalars, sidecars, upserts, windows)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

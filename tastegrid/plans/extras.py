@@ -10,17 +10,6 @@ from ..registry import query
 from .base import r6, table
 
 
-@query("ingest_tags", "SELECT event_id, (json_extract(props, '$.k'))::DOUBLE AS \"Exposure\", CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS \"HasLook\", 5500.0::DOUBLE AS \"ColorTemperature\" FROM events")
-def ingest_tags(spark, sf_dir):
-    """Tags as they are written to numbers: True and False to 1 and 0, one name under its alias."""
-    tags = F.create_map(F.lit("Exposure"), F.get_json_object("props", "$.k"), F.lit("HasLook"), F.when(F.col("event_id") % 2 == 0, "True").otherwise("False"), F.lit("Temperature"), F.lit("5500"), F.lit("Note"), F.lit("none"))
-    alias = F.create_map(F.lit("Temperature"), F.lit("ColorTemperature"))
-    number = lambda v: F.when(v == "True", 1.0).when(v == "False", 0.0).otherwise(v.try_cast("double"))
-    entries = F.transform(F.map_entries(tags), lambda e: F.struct(F.coalesce(alias[e["key"]], e["key"]).alias("key"), number(e["value"]).alias("value")))
-    read = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-    return table(spark, sf_dir, "events").select("event_id", read.alias("m")).select("event_id", *[F.col("m")[k].alias(k) for k in ("Exposure", "HasLook", "ColorTemperature")])
-
-
 @query("triage_store", "SELECT sha256(regexp_replace(url, '/[^/]*$', ''))[1:8] AS store, count(*) AS n FROM pages WHERE page_id % 3 <> 0 GROUP BY 1")
 def triage_store(spark, sf_dir):
     """Marks by the store that their folder's digest names."""
@@ -41,13 +30,6 @@ def dataset_load(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k double", {"mode": "FAILFAST"})["k"].alias("k")).filter("k IS NOT NULL")
 
 
-@query("emit_settings", "SELECT p_partkey, 'crs:Exposure2012=\"' || printf('%+.2f', (p_size - 25) / 10.0) || '\" name=\"' || replace(replace(p_name, '&', '&amp;'), '\"', '&quot;') || '\"' AS line FROM part")
-def emit_settings(spark, sf_dir):
-    """Settings as attributes of a sidecar, escaped."""
-    name = F.replace(F.replace("p_name", F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.format_string('crs:Exposure2012="%+.2f" name="', (F.col("p_size") - 25) / 10.0), name, F.lit('"')).alias("line"))
-
-
 @query("apply_intents", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0.0 ELSE 0.5 * (1 + p_size % 3) END::DOUBLE AS exposure, CASE WHEN p_partkey % 2 = 0 THEN 0.25 * (1 + p_size % 3) ELSE 0.0 END::DOUBLE AS contrast FROM part")
 def apply_intents(spark, sf_dir):
     """Intents with a strength as moves of controls; two that contradict each other cancel."""

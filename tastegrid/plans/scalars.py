@@ -247,14 +247,6 @@ def mired(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r4(color.mired(F.col("p_retailprice") * 3) - color.mired(F.lit(5500.0))).alias("shift"))
 
 
-@query("rr_roundtrip", "SELECT p_partkey, p_size::DOUBLE AS exposure, (p_size * 1.5)::DOUBLE AS texture, (p_size * 0.75)::DOUBLE AS clarity, abs(p_size - p_size * 1.5 / 1.5) < 1e-6 AS same FROM part")
-def rr_roundtrip(spark, sf_dir):
-    """Slider units of another editor, there and back."""
-    gears = F.create_map(*[F.lit(x) for x in ("exposure", 1.0, "texture", 1.5, "clarity", 0.75)])
-    out = lambda name: (F.col("p_size") * gears[name])
-    return table(spark, sf_dir, "part").select("p_partkey", *[out(n).alias(n) for n in ("exposure", "texture", "clarity")], (F.abs(F.col("p_size") - out("texture") / gears["texture"]) < 1e-6).alias("same"))
-
-
 _KELVIN = """t AS (SELECT p_partkey, least(greatest(p_retailprice * 4, 1667.0), 25000.0) AS t FROM part),
   x AS (SELECT *, CASE WHEN t <= 4000 THEN -0.2661239e9 / (t * t * t) - 0.2343589e6 / (t * t) + 0.8776956e3 / t + 0.179910 ELSE -3.0258469e9 / (t * t * t) + 2.1070379e6 / (t * t) + 0.2226347e3 / t + 0.240390 END AS x FROM t),
   y AS (SELECT *, CASE WHEN t <= 2222 THEN x * x * x * -1.1063814 - x * x * 1.34811020 + x * 2.18555832 - 0.20219683 WHEN t <= 4000 THEN x * x * x * -0.9549476 - x * x * 1.37418593 + x * 2.09137015 - 0.16748867 ELSE x * x * x * 3.0817580 - x * x * 5.87338670 + x * 3.75112997 - 0.37001483 END AS y FROM x),
