@@ -11,8 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from . import folds, moments
 
@@ -166,6 +168,50 @@ def skills(df: DataFrame, x: str, y: str, penalties=PENALTIES, weight: str | Non
     return df.sparkSession.createDataFrame(judged(df, x, y, penalties, weight).table, "penalty double, target int, mae double, baseline double, skill double, response double, shipped double")
 
 
+def held_out_deltas(df: DataFrame, key: str, x: str, y: str, penalties: float | list[float], *, responses: list[float] | None = None, weight: str | None = None) -> DataFrame:
+    """df (key, fold, x, y): a row per frame with what a model of the other folds says of it: predicted, truth, and
+    constant, the other folds' mean. Penalties are fixed, one for all targets or one each; responses stretch the answers
+    about that mean. One pass collects moments, one scores. A fold whose others have fewer than two rows gets zeros, as
+    there is nothing to fit."""
+    parts = moments.collect(df, x, y, "fold", weight)
+    schema = StructType([df.schema[key], df.schema["fold"], *(StructField(n, ArrayType(DoubleType())) for n in ("predicted", "truth", "constant"))])
+    if not parts:
+        return df.sparkSession.createDataFrame([], schema)
+    whole = moments.total(parts)
+    d, t = whole.dim, len(whole.centre) - whole.dim
+    each = np.broadcast_to(np.array(penalties, dtype=float), (t,))
+    models = {}
+    for g, part in parts.items():
+        rest = whole - part
+        b, c, mean = np.zeros((d, t)), np.zeros(t), np.zeros(t)
+        if rest.n >= 2:
+            mean = rest.mean[d:]
+            for p in np.unique(each):
+                at = each == p
+                w, i = moments.ridge(rest, float(p), per_weight=True, standardised=True)
+                b[:, at], c[at] = w[:, at], i[at]
+            if responses is not None:
+                b, c = Plan.stretched((b, c), mean, np.array(responses, dtype=float))
+        models[g] = b, c, mean
+    shared = df.sparkSession.sparkContext.broadcast(models)
+
+    def lists(rows: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * t, pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
+
+    def scored(batches):
+        for batch in batches:
+            fold = batch.column(1).cast(pa.string()).dictionary_encode()
+            z, truth, place = moments.matrix(batch.column(2), d), moments.matrix(batch.column(3), t), np.asarray(fold.indices)
+            said, constant = np.empty((len(z), t)), np.empty((len(z), t))
+            for i, g in enumerate(fold.dictionary.to_pylist()):
+                b, c, mean = shared.value[g]
+                at = place == i
+                said[at], constant[at] = z[at] @ b + c, mean
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(said), lists(truth), lists(constant)], names=schema.names)
+
+    return df.select(key, "fold", F.col(x).cast("array<double>"), F.col(y).cast("array<double>")).mapInArrow(scored, schema)
+
+
 def by_group(df: DataFrame, x: str, y: str, group: str, penalties=PENALTIES) -> DataFrame:
     """df (fold, group, x, y): the best skill by target of one model over all rows, and of a model each group, from one
     pass of moments by group and fold and one of errors. Groups are few, as each has a model."""

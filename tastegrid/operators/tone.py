@@ -1,16 +1,33 @@
-"""Tone solving: controls that give a histogram the percentiles asked for, or move it within bounds."""
+"""Tone solving: controls that give a frame the look asked for, or that keep its look within bounds; intents as bounds.
+
+A frame is a histogram: `stops` with `weights`, its white `anchor`, and, for bounds on parts of it, `regions`, a map of
+names to the weights of that part on the same stops. Searches run in the tasks, a frame at a time in numpy, on whole
+arrays of trials; batches are cut so that a task holds few frames at once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-CONTROLS = ("exposure", "contrast", "highlights", "shadows")
-LIMIT = {"exposure": 3.0, "contrast": 0.8, "highlights": 2.0, "shadows": 2.0}
-QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-STIFFNESS = 0.02
-LEAST_STEP = 1 / 256
+from ..functions import look as L
+
+#: How far each control may go, in the order of look.CONTROLS (fixed values).
+LIMIT = np.array([3.0, 1.0, 1.0, 1.0, 1.0, 1.0])
+#: What a full move of a control costs, in squared code values: towards a look, and within bounds (fixed values).
+STIFFNESS, BOUND_STIFFNESS = 4.0, 25.0
+#: Places of a control in the coarse sweep, sweeps that are followed up, and steps of the search.
+SWEEP, FOLLOWED = 9, 8
+COARSE, FINE, LAST = 0.25, 0.03, 1e-3
+#: A bound counts as met within so many squared code values.
+MET = 1e-6
+#: Frames that a task turns into arrays at once.
+FRAMES = 256
 
 
 def _smooth(x: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -18,75 +35,258 @@ def _smooth(x: np.ndarray, low: float, high: float) -> np.ndarray:
     return t * t * (3 - 2 * t)
 
 
-def shaped(stops: np.ndarray, c: np.ndarray) -> np.ndarray:
-    s = (stops + c[0]) * (1 + c[1])
-    return s + c[2] * _smooth(s, 0, 4) + c[3] * (1 - _smooth(s, -4, 0))
-
-
-def look(stops: np.ndarray, weights: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Weighted lower percentiles of the shaped values."""
-    v = shaped(stops, c)
-    order = np.argsort(v, kind="stable")
-    seen = np.cumsum(weights[order])
-    return v[order][np.searchsorted(seen, np.array(QUANTILES) * seen[-1] - 1e-12)]
-
-
-def minimised(cost, start: np.ndarray) -> np.ndarray:
-    """A coarse sweep of each control, then compass steps that halve when none helps."""
-    best, at = cost(start), start.copy()
-    for i, name in enumerate(CONTROLS):
-        for v in np.linspace(-LIMIT[name], LIMIT[name], 9):
-            trial = at.copy()
-            trial[i] = v
-            if (c := cost(trial)) < best - 1e-12:
-                best, at = c, trial
-    step = 0.5
-    while step >= LEAST_STEP:
-        moved = False
-        for i, name in enumerate(CONTROLS):
-            for sign in (1, -1):
-                trial = at.copy()
-                trial[i] = np.clip(trial[i] + sign * step, -LIMIT[name], LIMIT[name])
-                if (c := cost(trial)) < best - 1e-12:
-                    best, at, moved = c, trial, True
-        step = step if moved else step / 2
-    return at
-
-
-def _solved(rows: DataFrame, solve) -> DataFrame:
-    def run(batches):
+def displayed(stops: np.ndarray, anchor: float, trials: np.ndarray) -> np.ndarray:
+    """(trials, stops): display values after each trial's controls."""
+    exposure, contrast, highlights, shadows, whites, blacks = (c[:, None] for c in trials.T)
+    lifted, white = stops + exposure, anchor + exposure
+    moved = highlights * L.HIGHLIGHT_RANGE * np.clip(lifted - (white + L.HIGHLIGHT_PIVOT), 0, L.MOST_STOPS)
+    moved = moved + shadows * L.SHADOW_RANGE * np.clip(white + L.SHADOW_PIVOT - lifted, 0, L.MOST_STOPS)
+    moved = moved + whites * L.WHITE_STOPS * _smooth(lifted - white, *L.WHITES) + blacks * L.BLACK_STOPS * (1 - _smooth(lifted - white, *L.BLACKS))
+    grey = white + L.GREY
+    y = np.minimum(1.0, np.exp2(grey + (lifted + moved - grey) * (1 + contrast * L.CONTRAST_RANGE)))
+    e = np.where(y <= 0.0031308, y * 12.92, np.power(y, 1 / 2.4) * 1.055 - 0.055)
+    return e + (e * e * (3 - 2 * e) - e) * L.DISPLAY_CONTRAST
+
+
+def looks(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(trials, percentiles): weighted lower percentiles of each trial's values."""
+    held = weights > 0
+    values, weights = values[:, held], weights[held]
+    order = np.argsort(values, axis=1, kind="stable")
+    upto = np.cumsum(weights[order], axis=1)
+    out = np.empty((len(values), len(L.PERCENTILES)))
+    rows = np.arange(len(values))
+    for i, p in enumerate(L.PERCENTILES):
+        place = np.minimum((upto < upto[:, -1:] * p - 1e-12).sum(axis=1), values.shape[1] - 1)
+        out[:, i] = values[rows, order[rows, place]]
+    return out
+
+
+def _searched(cost: Callable[[np.ndarray], np.ndarray], prior: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """The trial of least cost that moves only the free controls. Every free control is swept from the prior, as a local
+    search alone stops where clipped values do not change; the best sweeps are followed by compass steps, then the best
+    of these by finer ones."""
+    swept = [prior]
+    for c in np.flatnonzero(free):
+        for v in np.linspace(-LIMIT[c], LIMIT[c], SWEEP):
+            trial = prior.copy()
+            trial[c] = v
+            swept.append(trial)
+    trials = np.array(swept)
+    at = np.argsort(cost(trials), kind="stable")[:FOLLOWED]
+    found, left = _compass(cost, trials[np.union1d(at, [0])], COARSE, FINE, free)
+    best, _ = _compass(cost, found[[int(left.argmin())]], FINE, LAST, free)
+    return best[0]
+
+
+def _compass(cost: Callable[[np.ndarray], np.ndarray], starts: np.ndarray, step: float, last: float, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every start moved along single controls while that helps, each time by its best move, with steps that halve."""
+    at, best = starts.copy(), cost(starts)
+    moves = np.concatenate((np.diag(LIMIT)[free], -np.diag(LIMIT)[free]))
+    while step > last:
+        trials = np.clip(at[:, None, :] + step * moves, -LIMIT, LIMIT)
+        costs = cost(trials.reshape(-1, len(LIMIT))).reshape(len(at), len(moves))
+        pick = costs.argmin(axis=1)
+        rows = np.arange(len(at))
+        better = costs[rows, pick] < best - 1e-12
+        at[better], best[better] = trials[rows, pick][better], costs[rows, pick][better]
+        if not better.any():
+            step /= 2
+    return at, best
+
+
+def _penalty(trials: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    return np.square((trials - prior) / LIMIT).sum(axis=1)
+
+
+def solve(stops: np.ndarray, weights: np.ndarray, anchor: float, wanted: np.ndarray, prior: np.ndarray, stiffness: float = STIFFNESS, at: np.ndarray | None = None) -> np.ndarray:
+    """Controls whose look comes near the wanted one; at: weights of the percentiles, 0 leaves one free."""
+
+    def cost(trials: np.ndarray) -> np.ndarray:
+        off = (looks(displayed(stops, anchor, trials), weights) - wanted) * 255
+        far = np.abs(off).mean(axis=1) ** 2 if at is None else (np.square(off) * at).sum(axis=1)
+        return far + stiffness * _penalty(trials, prior)
+
+    return _searched(cost, prior, np.ones(len(LIMIT), dtype=bool))
+
+
+@dataclass(frozen=True)
+class Limit:
+    """A bound on one figure of a look: a percentile's place, or None for the spread from the 10th to the 90th."""
+
+    region: str | None
+    place: int | None
+    low: float | None
+    high: float | None
+
+
+def _figure(look: np.ndarray, place: int | None) -> np.ndarray:
+    return look[:, L.PERCENTILES.index(0.9)] - look[:, L.PERCENTILES.index(0.1)] if place is None else look[:, place]
+
+
+def violation(look: np.ndarray, regions: dict[str, np.ndarray], limits: list[Limit]) -> np.ndarray:
+    """How far looks are outside of their bounds, in squared code values. Bounds on a region that is not there hold."""
+    out = np.zeros(len(look))
+    for b in limits:
+        source = look if b.region is None else regions.get(b.region)
+        if source is not None:
+            x = _figure(source, b.place)
+            over = np.maximum(0, x - b.high) if b.high is not None else 0.0
+            under = np.maximum(0, b.low - x) if b.low is not None else 0.0
+            out += np.square(over * 255) + np.square(under * 255)
+    return out
+
+
+def meet(stops: np.ndarray, weights: np.ndarray, anchor: float, regions: dict[str, np.ndarray], limits: list[Limit], prior: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, float]:
+    """The controls nearest to the prior that keep the look within bounds, and what is left of the violation. Where the
+    prior is within them, or no control is free, it comes back as it is."""
+
+    def off(trials: np.ndarray) -> np.ndarray:
+        values = displayed(stops, anchor, trials)
+        return violation(looks(values, weights), {k: looks(values, w) for k, w in regions.items() if (w > 0).any()}, limits)
+
+    before = float(off(prior[None])[0])
+    if before <= MET or not free.any():
+        return prior, before
+    at = _searched(lambda t: off(t) + BOUND_STIFFNESS * _penalty(t, prior), prior, free)
+    return at, float(off(at[None])[0])
+
+
+KIND = "struct<" + ",".join(f"{c}:double" for c in L.CONTROLS) + ">"
+LIMITS = "array<struct<region:string,place:int,low:double,high:double>>"
+_TONE = pa.struct([(c, pa.float64()) for c in L.CONTROLS])
+
+
+def _each(rows: DataFrame, columns: list[str], run: Callable[..., tuple]) -> DataFrame:
+    """rows with tone and left: what run makes of a frame's columns."""
+    kept = rows.schema.fields
+    at = [rows.columns.index(c) for c in columns]
+
+    def solved(batches):
         for batch in batches:
-            out = []
-            for key, stops, weights, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                c, left = solve(np.array(stops), np.array(weights), np.array(wanted))
-                out.append({"id": key, **dict(zip(CONTROLS, map(float, c), strict=True)), "cost": float(left)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", pa.int64()), *((n, pa.float64()) for n in CONTROLS), ("cost", pa.float64())]))
+            for lo in range(0, batch.num_rows, FRAMES):
+                part = batch.slice(lo, FRAMES)
+                found = [run(*frame) for frame in zip(*(part.column(i).to_pylist() for i in at), strict=True)]
+                tones = pa.array([dict(zip(L.CONTROLS, map(float, t), strict=True)) if t is not None else None for t, _ in found], _TONE)
+                yield pa.RecordBatch.from_arrays([*part.columns, tones, pa.array([x for _, x in found], pa.float64())], names=[*(f.name for f in kept), "tone", "left"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return rows.mapInArrow(solved, f"{schema}, tone {KIND}, left double")
+
 
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"{n} double" for n in CONTROLS) + ", cost double")
+def _array(tone: dict | None) -> np.ndarray:
+    return np.array([(tone or {}).get(c) or 0.0 for c in L.CONTROLS])
 
 
-def solved(rows: DataFrame) -> DataFrame:
-    """rows (id, stops, weights, wanted percentiles): the controls that come nearest, little used ones preferred."""
+def solved(rows: DataFrame, *, stiffness: float = STIFFNESS) -> DataFrame:
+    """rows (stops, weights, anchor, prior, wanted look, ...) with tone, the controls that come nearest to the look, and
+    left, how far it still is in code values. A null prior is neutral; a frame without weight keeps its prior."""
 
-    def solve(stops, weights, wanted):
-        cost = lambda c: float(((look(stops, weights, c) - wanted) ** 2).mean() + STIFFNESS * (c * c).sum())
-        at = minimised(cost, np.zeros(len(CONTROLS)))
-        return at, cost(at)
+    def run(stops, weights, anchor, prior, wanted):
+        start, s, w = _array(prior), np.array(stops or [], dtype=float), np.array(weights or [], dtype=float)
+        if wanted is None or anchor is None or not (w > 0).any():
+            return start, None
+        found = solve(s, w, anchor, np.array(wanted), start, stiffness)
+        return found, float(np.abs(looks(displayed(s, anchor, found[None]), w)[0] - wanted).mean() * 255)
 
-    return _solved(rows, solve)
+    return _each(rows, ["stops", "weights", "anchor", "prior", "wanted"], run)
 
 
 def bounded(rows: DataFrame) -> DataFrame:
-    """rows (id, stops, weights, (low, high) of the median): the least controls that bring the median within its
-    bounds; a row that is within them is left as it is."""
-
-    def solve(stops, weights, limits):
-        middle = QUANTILES.index(0.5)
-        out_by = lambda c: max(0.0, limits[0] - look(stops, weights, c)[middle], look(stops, weights, c)[middle] - limits[1])
-        zero = np.zeros(len(CONTROLS))
-        if out_by(zero) == 0:
-            return zero, 0.0
-        at = minimised(lambda c: 100 * out_by(c) ** 2 + STIFFNESS * (c * c).sum(), zero)
-        return at, out_by(at)
-
-    return _solved(rows, solve)
+    """rows (stops, weights, anchor, prior, regions, limits, free, ...) with tone, the controls nearest to the prior that
+    keep the look within its limits while only the free ones move (null: all may), and left, the violation that remains:
+    above 0 where the bounds cannot be met."""
+
+    def run(stops, weights, anchor, prior, regions, limits, free):
+        start, s, w = _array(prior), np.array(stops or [], dtype=float), np.array(weights or [], dtype=float)
+        if anchor is None or not limits or not (w > 0).any():
+            return start, 0.0
+        parts = {k: np.array(v, dtype=float) for k, v in (regions or []) if v is not None}
+        named = np.array([free is None or c in free for c in L.CONTROLS])
+        return meet(s, w, anchor, parts, [Limit(b["region"], b["place"], b["low"], b["high"]) for b in limits], start, named)
+
+    return _each(rows, ["stops", "weights", "anchor", "prior", "regions", "limits", "free"], run)
+
+
+@dataclass(frozen=True)
+class Intent:
+    """What a photographer asks for: the controls that may move, and a figure of a look that has to stay at or above
+    (`low`) or at or below (`high`) a threshold. A threshold is a name, then the figure as it is counts where it is
+    better already, or a factor on the figure as it is."""
+
+    name: str
+    controls: tuple[str, ...]
+    place: int | None
+    low: str | float | None = None
+    high: str | float | None = None
+    region: str | None = None
+    band: bool = False
+
+
+def _at(p: float) -> int:
+    return L.PERCENTILES.index(p)
+
+
+#: Intents by name: controls, figure, side, threshold (fixed values). A band is met anywhere between its ends.
+INTENTS = (
+    Intent("expose-correctly", ("exposure",), _at(0.5), low="mid_low", high="mid_high", band=True),
+    Intent("preserve-highlights", ("highlights", "whites"), _at(0.99), high="highlight_cap"),
+    Intent("open-shadows", ("shadows", "blacks"), _at(0.05), low="shadow_floor"),
+    Intent("keep-shadows-deep", ("shadows", "blacks"), _at(0.05), high="deep_shadow_cap"),
+    Intent("soft-contrast", ("contrast",), None, high=0.9),
+    Intent("punchy-contrast", ("contrast",), None, low=1.1),
+    Intent("save-the-sky", ("highlights", "whites"), _at(0.95), high="highlight_cap", region="sky"),
+    Intent("lift-the-subject", ("shadows", "exposure"), _at(0.5), low="mid_low", region="subject"),
+)
+
+
+def conflicts(intents: tuple[Intent, ...] = INTENTS) -> list[tuple[str, str]]:
+    """Pairs that bound one figure from opposite sides."""
+    return [(a.name, b.name) for i, a in enumerate(intents) for b in intents[i + 1 :] if (a.region, a.place) == (b.region, b.place) and (a.low is None) != (b.low is None)]
+
+
+def resolved(names: list[str], intents: tuple[Intent, ...] = INTENTS) -> list[Intent]:
+    """The intents of these names, each once, in their own order; unknown names and conflicts raise."""
+    wanted = {n.strip().lower() for n in names} - {""}
+    if unknown := sorted(wanted - {i.name for i in intents}):
+        raise ValueError(f"unknown intents: {unknown}")
+    for a, b in conflicts(intents):
+        if {a, b} <= wanted:
+            raise ValueError(f"{a} and {b} ask for opposite things")
+    return [i for i in intents if i.name in wanted]
+
+
+def _limits(asked: list[Intent], thresholds: dict[str, float]) -> Column:
+    """The bounds of the intents, given `_look` and `_looks` (by region) under the prior."""
+
+    def one(i: Intent) -> Column:
+        look = F.try_element_at("_looks", F.lit(i.region)) if i.region else F.col("_look")
+        now = F.get(look, _at(0.9)) - F.get(look, _at(0.1)) if i.place is None else F.get(look, i.place)
+        side = lambda t, pick: F.lit(None).cast("double") if t is None else now * t if isinstance(t, float) else F.lit(thresholds[t]) if i.band else pick(now, F.lit(thresholds[t]))
+        bound = F.struct(F.lit(i.region).cast("string").alias("region"), F.lit(i.place).cast("int").alias("place"), side(i.low, F.greatest).alias("low"), side(i.high, F.least).alias("high"))
+        return F.when(now.isNotNull(), bound)
+
+    return F.array_compact(F.array(*map(one, asked))).cast(LIMITS)
+
+
+def intended(frames: DataFrame, settings: str, names: list[str], thresholds: dict[str, float], *, strength: float = 1.0, intents: tuple[Intent, ...] = INTENTS) -> DataFrame:
+    """frames (stops, weights, anchor, regions, settings as a map of sliders, ...) with the settings that meet the
+    intents, strength of the way; left is the violation at the whole way. Only sliders that move by half a step or more
+    are written, in whole steps: hundredths of a stop, units of the others."""
+    asked = resolved(names, intents)
+    if not asked or strength <= 0:
+        return frames.withColumn("left", F.lit(0.0))
+    prior = L.tone_of(F.col(settings))
+    free = F.array(*[F.lit(c) for c in dict.fromkeys(c for i in asked for c in i.controls)])
+    read = frames.withColumn("prior", prior).withColumn("_look", L.look_of(F.col("stops"), F.col("weights"), F.col("anchor"), F.col("prior")))
+    read = read.withColumn("_looks", F.transform_values("regions", lambda _, w: L.look_of(F.col("stops"), w, F.col("anchor"), F.col("prior"))))
+    found = bounded(read.withColumns({"limits": _limits(asked, thresholds), "free": free}))
+    changed = []
+    for c, (name, unit) in L.SLIDERS.items():
+        was = F.col("prior")[c] * unit
+        to = was + (F.col("tone")[c] * unit - was) * strength
+        steps = 100.0 if c == "exposure" else 1.0
+        changed.append(F.struct(F.lit(name).alias("key"), F.when(F.abs(to - was) * steps >= 0.5, F.floor(to * steps + 0.5) / steps).alias("value")))
+    moves = F.map_from_entries(F.filter(F.array(*changed), lambda e: e["value"].isNotNull()))
+    kept = F.map_filter(settings, lambda k, _: ~F.array_contains(F.map_keys(moves), k))
+    return found.withColumn(settings, F.map_concat(kept, moves)).drop("prior", "_look", "_looks", "limits", "free", "tone")

@@ -30,16 +30,6 @@ def dataset_load(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k double", {"mode": "FAILFAST"})["k"].alias("k")).filter("k IS NOT NULL")
 
 
-@query("apply_intents", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0.0 ELSE 0.5 * (1 + p_size % 3) END::DOUBLE AS exposure, CASE WHEN p_partkey % 2 = 0 THEN 0.25 * (1 + p_size % 3) ELSE 0.0 END::DOUBLE AS contrast FROM part")
-def apply_intents(spark, sf_dir):
-    """Intents with a strength as moves of controls; two that contradict each other cancel."""
-    k, strength = F.col("p_partkey"), 1 + F.col("p_size") % 3
-    asked = F.array_compact(F.array(F.lit("brighter"), F.when(k % 3 == 0, "darker"), F.when(k % 2 == 0, "punchier")))
-    has = lambda i: F.array_contains(asked, i)
-    exposure = F.when(has("brighter") & has("darker"), 0.0).when(has("brighter"), strength * 0.5).otherwise(0.0)
-    return table(spark, sf_dir, "part").select("p_partkey", exposure.alias("exposure"), F.when(has("punchier"), strength * 0.25).otherwise(0.0).alias("contrast"))
-
-
 @query("rank_profile")
 def rank_profile(spark, sf_dir):
     """From duels to stars: strengths of the duelled, a linear head on their vectors, cut-offs, stars of all."""

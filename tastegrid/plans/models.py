@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import arrays
 from ..functions.jsmath import logistic
-from ..operators import anchors, develop, evaluate, moments, ranking, tone
+from ..operators import anchors, develop, evaluate, moments, ranking
 from ..registry import query
 from ..sources import jsonl
 from .base import DUELS, FRAMES, duels, frames, r6, table
@@ -215,23 +215,6 @@ def anchor_fit(spark, sf_dir):
     return anchors.fits(samples)
 
 
-def _histograms(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * 10).alias("stops"), F.transform("embedding", lambda x: F.lit(1.0)).alias("weights"))
-
-
-@query("solve_tone")
-def solve_tone(spark, sf_dir):
-    """Controls that bring each histogram to a common look."""
-    return tone.solved(_histograms(spark, sf_dir).withColumn("wanted", F.array(*[F.lit(v) for v in (-3.0, -2.0, -0.8, 0.1, 1.0, 2.2, 3.2)])))
-
-
-@query("meet_constraints")
-def meet_constraints(spark, sf_dir):
-    """The least controls that bring each median within bounds."""
-    return tone.bounded(_histograms(spark, sf_dir).withColumn("wanted", F.array(F.lit(-0.05), F.lit(0.3))))
-
-
 @query("diagnose")
 def diagnose(spark, sf_dir):
     """Skill of one model over all rows against one a treatment."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from tastegrid.functions import arrays, color, jsmath, language, raster, text
-from tastegrid.operators import anchors, develop, evaluate, feedback, folds, keyed, keywords, library, moments, ordered, ranking, sessions, tone
+from tastegrid.operators import anchors, develop, evaluate, feedback, folds, keyed, keywords, library, moments, ordered, ranking, sessions
 from tastegrid.sources import jsonl
 from tastegrid.streaming import online
 
@@ -370,19 +370,6 @@ def test_anchor_sums_solve_like_least_squares():
     assert np.allclose(anchors.solved(s), np.linalg.lstsq(np.column_stack((np.ones(80), up, down)), y, rcond=None)[0], atol=1e-6)
 
 
-def test_tone_meets_a_known_look():
-    stops, weights = np.linspace(-4, 4, 100), np.ones(100)
-    want = tone.look(stops, weights, np.array([0.5, 0.1, 0.0, 0.0]))
-    cost = lambda c: float(((tone.look(stops, weights, c) - want) ** 2).mean())
-    assert cost(tone.minimised(cost, np.zeros(4))) < 1e-3
-
-
-def test_bounds_that_hold_change_nothing(spark):
-    rows = spark.createDataFrame([(1, [0.0, 0.1, 0.2], [1.0] * 3, [-1.0, 1.0]), (2, [3.0, 3.1, 3.2], [1.0] * 3, [-1.0, 1.0])], "id long, stops array<double>, weights array<double>, wanted array<double>")
-    out = {r["id"]: r for r in tone.bounded(rows).collect()}
-    assert [out[1][c] for c in tone.CONTROLS] == [0.0] * 4 and out[2]["cost"] < 0.2 and any(out[2][c] for c in tone.CONTROLS)
-
-
 def test_rasters():
     flat, board = np.full((32, 32), 9), np.indices((32, 32)).sum(axis=0) % 2 * 255
     assert raster.laplacian_variance(flat) == 0 and raster.laplacian_variance(board) > 1e5

@@ -57,11 +57,13 @@ CHECKS = {
     "develop_profile": lambda rows: len(rows) == 4 and {r["head"] for r in rows} == {"level", "frame"} and all(len(r["weights"]) == (6 if r["head"] == "level" else 3) for r in rows),
     "diagnose": lambda rows: len(rows) == 8 and {r["model"] for r in rows} == {"pooled", "A", "N", "R"} and all(r["skill"] < 0.1 for r in rows),
     "kmeans_inertia": lambda rows: [r["k"] for r in rows] == [1, 2, 3, 4] and all(a["inertia"] >= b["inertia"] for a, b in zip(rows, rows[1:], strict=False)),
-    "meet_constraints": lambda rows: all(r["cost"] < 0.05 for r in rows),
+    "meet_constraints": lambda rows: len(rows) == 500 and sum(r["left"] <= 1.0 for r in rows) > 400,
+    "apply_intents": lambda rows: len(rows) == 500 and all(r["Vibrance"] == 12 and r["Shadows2012"] is None for r in rows) and sum(r["left"] <= 1.0 for r in rows) > 400,
+    "look_regression": lambda rows: len(rows) == 500 and all(a <= b for r in rows for a, b in zip(r["foretold"], r["foretold"][1:], strict=False)) and sum(r["off"] for r in rows) < 0.8 * sum(r["off_constant"] for r in rows),
     "pca_explained": lambda rows: all(a["share"] >= b["share"] for a, b in zip(rows, rows[1:], strict=False)) and all(abs(sum(v * v for v in r["direction"]) - 1) < 1e-9 for r in rows),
     "rank_profile": lambda rows: all(0 <= r["merit"] <= 1 and 0 <= r["stars"] <= 5 for r in rows) and rows[0]["held_out_accuracy"] > 0.8,
     "scan_listing": lambda rows: {r["name"] for r in rows} >= {f"{t}.parquet" for t in TABLES} and all(r["size"] > 0 for r in rows),
-    "solve_tone": lambda rows: all(0 <= r["cost"] < 5 for r in rows),
+    "solve_tone": lambda rows: len(rows) == 500 and sum(r["left"] < 6 for r in rows) > 400,
 }
 
 
