@@ -212,6 +212,11 @@ def key_words(templates=TEMPLATES, min_dice: float = MIN_DICE) -> list[str]:
     return sorted(w for w in found if not any(x != w and x in w for x in found))
 
 
+def whole_key_words(templates=TEMPLATES, min_dice: float = MIN_DICE) -> list[str]:
+    """The same where words are looked up whole, not in other words too."""
+    return sorted({w for _, text in templates for w in own_key_words(text, min_dice)})
+
+
 def own_key_words(text: str, min_dice: float = MIN_DICE) -> set[str]:
     """Words of which every match of a template holds one."""
     found: set[str] = set()
@@ -242,16 +247,11 @@ def _pairs(w: Column) -> Column:
     return F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
 
 
-def _unit_bigrams(unit: Column) -> Column:
-    """Distinct word bigrams of a unit."""
-    return F.array_distinct(bound(_words(unit), _pairs))
-
-
 def _negative_dice(g: Column, t: Column) -> Column:
     return F.size(F.array_intersect(g, t)) * -2.0 / (F.size(g) + F.size(t))
 
 
-def _window_matches(w: Column, known: Column, templates, min_dice: float) -> Column:
+def _window_matches(w: Column, pairs_of_w: Column, known: Column, templates, min_dice: float) -> Column:
     """The best of the windows of words w that match and overlap: dice (negative), license, template."""
     places: dict[str, list[tuple[int, int]]] = {}
     for word, template, at in anchors(templates, min_dice):
@@ -295,7 +295,7 @@ def _window_matches(w: Column, known: Column, templates, min_dice: float) -> Col
 
         return F.transform(F.filter(s, lambda x: ~beaten(x)), lambda x: F.struct(x["dice"].alias("dice"), x["license"].alias("license"), x["template"].alias("template")))
 
-    matches = F.filter(bound(_pairs(w), pairs), lambda m: m["dice"] <= -min_dice)
+    matches = F.filter(pairs(pairs_of_w), lambda m: m["dice"] <= -min_dice)
     return F.when(F.exists(w, lambda x: x.isin(*places)), bound(matches, best))
 
 
@@ -305,11 +305,10 @@ def scanned(docs: DataFrame, templates=TEMPLATES, min_dice: float = MIN_DICE) ->
     known = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(i).alias("template"), F.lit(len(normal(t))).alias("words"), F.array(*map(F.lit, bigrams(normal(t)))).alias("grams")) for i, (name, t) in enumerate(templates)])
     sizes = [len(bigrams(normal(t))) for _, t in templates]
     low, high = min(sizes) * min_dice / (2 - min_dice), max(sizes) * (2 - min_dice) / min_dice
-    lowered = F.lower(text)
-    hopeful = F.lit(False)
-    for word in key_words(templates, min_dice):
-        hopeful = hopeful | lowered.contains(word)
-    units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n\s*\n"), F.array(text)))
+    # every match holds a key word, as a word of its own
+    hopeful = lambda w: F.exists(w, lambda x: x.isin(*whole_key_words(templates, min_dice)))
+    # lines and paragraphs; the whole text is read from its words, which the windows need too
+    units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n\s*\n")))
     in_bounds = lambda a, b: (a >= b * (min_dice / (2 - min_dice)) - 1e-9) & (a * (min_dice / (2 - min_dice)) - 1e-9 <= b)
 
     def against(g: Column) -> Column:
@@ -318,13 +317,17 @@ def scanned(docs: DataFrame, templates=TEMPLATES, min_dice: float = MIN_DICE) ->
         return F.array_min(F.filter(rated, lambda r: r["dice"] <= -min_dice))
 
     kind = "array<struct<dice:double,license:string,template:int>>"
-    unit, gram, window = fresh(docs, "_units", "_grams", "_windows")
-    out = docs.withColumn(unit, F.when(hopeful, units).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn(gram, F.filter(F.transform(unit, _unit_bigrams), lambda g: F.size(g).between(low - 1e-9, high + 1e-9)))
-    out = out.withColumn(window, F.coalesce(F.when(F.size(unit) > 0, bound(_words(text), lambda w: _window_matches(w, known, templates, min_dice))), F.array().cast(kind)))
+    none = F.array().cast("array<string>")
+    word, pair, gram, window = fresh(docs, "_words", "_pairs", "_grams", "_windows")
+    out = docs.withColumn(word, bound(_words(text), lambda w: F.when(hopeful(w), w).otherwise(none)))
+    out = out.withColumn(pair, _pairs(F.col(word)))
+    held = F.transform(F.filter(F.transform(units, _words), hopeful), lambda w: F.array_distinct(_pairs(w)))
+    parts = F.when(F.size(word) > 0, F.concat(held, F.array(F.array_distinct(pair)))).otherwise(F.array().cast("array<array<string>>"))
+    out = out.withColumn(gram, F.filter(parts, lambda g: F.size(g).between(low - 1e-9, high + 1e-9)))
+    out = out.withColumn(window, F.coalesce(F.when(F.size(word) > 0, _window_matches(F.col(word), F.col(pair), known, templates, min_dice)), F.array().cast(kind)))
     found = F.array_sort(F.array_distinct(F.concat(F.filter(F.transform(gram, against), lambda m: m.isNotNull()), F.col(window))))
     best = F.transform(found, lambda m: F.struct((-m["dice"]).alias("dice"), m["license"].alias("license"), m["template"].alias("template")))
-    return out.withColumn("matches", F.when((F.size(gram) > 0) | (F.size(window) > 0), best).otherwise(F.array().cast(kind))).drop(unit, gram, window)
+    return out.withColumn("matches", F.when((F.size(gram) > 0) | (F.size(window) > 0), best).otherwise(F.array().cast(kind))).drop(word, pair, gram, window)
 
 
 def license_report(docs: DataFrame) -> DataFrame:
