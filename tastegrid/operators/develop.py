@@ -177,6 +177,61 @@ def train(frames: DataFrame, session: str, x: str, y: str, params: list[str], *,
     return profile
 
 
+#: Frames that a branch needs, and for each fold of an evaluation; the penalty of a branch that is not evaluated (fixed
+#: values).
+LEAST_FRAMES, LEAST_BRANCH, FRAMES_PER_FOLD, PLAIN_PENALTY = 2, 5, 4, 1.0
+
+
+def plain(frames: DataFrame, session: str, x: str, y: str, params: list[str], *, render: str | None = None, min_renders: int = 3, guards: dict | None = None, penalty: float = PLAIN_PENALTY) -> Profile:
+    """A profile of too few frames to hold any out: both heads at one penalty, no skills, nothing gated but targets that
+    do not vary."""
+    renders, usual = _renders(frames, render, min_renders) if render else ([], None)
+    seen = views(frames, session, x, y, renders, render).select(F.lit("all").alias("g"), F.concat("_level", "_frame").alias("_x"), F.concat("_yl", "_yf").alias("_y"), F.size("_level").alias("_d"))
+    whole, p = moments.total(moments.collect(seen, "_x", "_y", "g")), len(params)
+    d_level = seen.select("_d").first()["_d"]
+    heads = []
+    for at_x, at_y in ((slice(0, d_level), slice(0, p)), (slice(d_level, None), slice(p, None))):
+        m = whole.picked(at_x, at_y)
+        weights, intercept = moments.ridge(m, penalty, per_weight=True, standardised=True)
+        spread = np.sqrt(np.maximum(np.diag(m.covariance)[m.dim :], 0) / max(m.weight, 1.0))
+        none = np.full(p, np.nan)
+        heads.append(Head(weights, intercept, m.mean[m.dim :], np.ones(p), spread < DEGENERATE, np.full(p, penalty), none, none, none))
+    reasons = {q: "degenerate" for q, g in zip(params, heads[0].gated & heads[1].gated, strict=True) if g}
+    return Profile(params, *heads, renders, usual, guards={"schema": SCHEMA, **(guards or {})}, reasons=reasons)
+
+
+@dataclass
+class Branched:
+    """A profile for each treatment of enough frames; what was left out, and what was trained but not evaluated, with the
+    reason."""
+
+    branches: dict[str, Profile]
+    left_out: dict[str, str]
+    unevaluated: dict[str, str]
+
+
+def train_dataset(frames: DataFrame, treatment: str, session: str, x: str, y: str, params: list[str], *, k: int = 5, **options) -> Branched:
+    """A profile per treatment (null counts as none). A dataset of fewer than LEAST_FRAMES frames, or without a branch of
+    LEAST_BRANCH, raises; a branch is evaluated from FRAMES_PER_FOLD * k frames on, and else fitted plainly."""
+    counts = {r["t"]: r["n"] for r in frames.groupBy(F.col(treatment).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(counts.values()) < LEAST_FRAMES:
+        raise ValueError(f"{sum(counts.values())} edited frames are too few")
+    out = Branched({}, {}, {})
+    for name, n in sorted((str(t), n) for t, n in counts.items() if t is not None):
+        if n < LEAST_BRANCH:
+            out.left_out[name] = f"{n} frames, of {LEAST_BRANCH} that a branch needs"
+            continue
+        own = frames.filter(F.col(treatment) == name)
+        if n < FRAMES_PER_FOLD * k:
+            out.unevaluated[name] = f"{n} frames, of {FRAMES_PER_FOLD * k} that {k} folds need"
+            out.branches[name] = plain(own, session, x, y, params, **{o: v for o, v in options.items() if o in ("render", "min_renders", "guards")})
+        else:
+            out.branches[name] = train(own, session, x, y, params, k=k, **options)
+    if not out.branches:
+        raise ValueError(f"no treatment has enough edited frames: {out.left_out}")
+    return out
+
+
 def _together(seen: DataFrame, parts: dict[str, moments.Moments], group: str, profile: Profile, plans: dict[str, evaluate.Plan], d_level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(skill, mae, baseline) of both heads added up as they go out, each fold by heads that have not seen it, against
     the mean edit."""

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import arrays
 from ..functions.jsmath import logistic
-from ..operators import anchors, develop, evaluate, moments, ranking
+from ..operators import anchors, develop, evaluate, mixture, moments, ranking
 from ..registry import query
 from ..sources import jsonl
 from .base import DUELS, FRAMES, duels, frames, r6, table
@@ -217,11 +217,27 @@ def anchor_fit(spark, sf_dir):
 
 @query("diagnose")
 def diagnose(spark, sf_dir):
+    """Skill of one model over all rows and of a model for each of 2 to 4 clusters of edits; the clusters' sizes."""
+    found = mixture.diagnosed(_regression(spark, sf_dir), "session", "x", "y", "y", [2.0, 1.5])
+    sizes = {c: [n for of, _, n, _, _ in found.clusters if of == c] for c, _ in found.skills}
+    return spark.createDataFrame([(c, s, sizes[c]) for c, s in found.skills], "clusters int, skill double, sizes array<long>")
+
+
+@query("skill_by_treatment")
+def skill_by_treatment(spark, sf_dir):
     """Skill of one model over all rows against one a treatment."""
     d = evaluate.with_folds(_regression(spark, sf_dir), "session", 5)
     return evaluate.by_group(d, "x", "y", "l_returnflag")
 
 
+@query("held_out_deltas")
+def held_out_deltas(spark, sf_dir):
+    """Every frame's edit as foretold by sessions other than its own."""
+    d = evaluate.with_folds(_regression(spark, sf_dir), "session", 5)
+    told = evaluate.held_out_deltas(d, "file", "x", "y", [0.1, 10.0], responses=[1.0, 0.5])
+    return told.select("file", "fold", *[r6(F.get(c, i)).alias(f"{c}_{name}") for c in ("predicted", "truth") for i, name in enumerate(("price", "discount"))])
+
+
 @query("scan_listing")
 def scan_listing(spark, sf_dir):
     """The files of the data folder, by kind."""
