@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 from pyspark.sql.window import Window
 
 from ..functions import arrays
 from ..functions.jsmath import logistic
-from ..operators import anchors, develop, evaluate, mixture, moments, ranking
+from ..operators import anchors, develop, evaluate, isolated, keyed, mixture, moments, ranking
 from ..registry import query
-from ..sources import jsonl
+from ..sources import jsonl, packs
+from ..sources.shared import shared_dir
 from .base import DUELS, FRAMES, duels, frames, r6, table
 
 
@@ -244,8 +249,30 @@ def scan_listing(spark, sf_dir):
     return jsonl.listing(spark, sf_dir).select("name", "ext", "size")
 
 
-@query("safe_map", "SELECT p_partkey, CASE WHEN p_size % 10 <> 0 THEN 100 // (p_size % 10) END AS value, CASE WHEN p_size % 10 = 0 THEN 'failed' END AS error FROM part")
+def _hundred_over(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """100 over the last digit of a size, which fails on 0."""
+    return pa.RecordBatch.from_pydict({"value": pa.array([100 // (size % 10) for size in batch.column(1).to_pylist()], pa.int64())})
+
+
+@query("safe_map", "SELECT p_partkey, CASE WHEN p_size % 10 <> 0 THEN 100 // (p_size % 10) END AS value, CASE WHEN p_size % 10 = 0 THEN 'ZeroDivisionError: integer division or modulo by zero' END AS error FROM part")
 def safe_map(spark, sf_dir):
-    """A failing row gives an error, not a failed job."""
-    value = F.try_divide(F.lit(100), F.col("p_size") % 10)
-    return table(spark, sf_dir, "part").select("p_partkey", F.floor(value).alias("value"), F.when(value.isNull(), "failed").alias("error"))
+    """A function that fails on some rows: they give an error, not a failed job."""
+    found = isolated.mapped(table(spark, sf_dir, "part").select("p_partkey", "p_size"), _hundred_over, StructType().add("value", LongType()))
+    return found.drop("p_size")
+
+
+CACHED = StructType().add("user_id", "long").add("event_type", "string").add("event_id", "long").add("value", "double")
+
+
+@query("cache_compacted", "SELECT user_id, event_type, event_id, value FROM (SELECT * FROM events WHERE event_id % 5 <> 4 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 4 DESC, event_id DESC) = 1) WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 97 = 0)")
+def cache_compacted(spark, sf_dir):
+    """A log that is appended in four packs, compacted after two and again at the end, with keys that are deleted last."""
+    e = table(spark, sf_dir, "events").select(*CACHED.fieldNames())
+    log = packs.Log(spark, f"{shared_dir(spark)}/packs-{uuid.uuid4().hex}", ["user_id", "event_type"], CACHED)
+    for k in range(4):
+        log.append(keyed.latest(e.filter((F.col("event_id") % 5 != 4) & (F.col("event_id") % 4 == k)), log.key, [F.col("event_id").desc()]))
+        if k == 1:
+            log.compact()
+    log.append(e.filter("event_id % 97 = 0").dropDuplicates(log.key), deletes=True)
+    log.compact()
+    return log.read()

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.keyed import latest
 from ..operators.ranking import K_FACTOR, expected, seeded
+from ..sources.packs import Log
 
 
 def _play(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -49,6 +50,16 @@ def upserted(spark: SparkSession, target: str, key: list[str], order: list[str])
     return latest(spark.read.option("basePath", target).parquet(f"{target}/batch=*"), key, [*[F.col(c).desc() for c in order], F.col("batch").desc()])
 
 
+def append_batches(stream: DataFrame, log: Log, order: list[str], checkpoint: str):
+    """Starts a query that appends each batch's newest row of every key to a log of packs; a batch that runs again is not
+    appended again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        log.append(latest(batch, log.key, [F.col(c).desc() for c in order]), batch=f"{log.store.root.rsplit('/', 1)[-1]}-{number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", length: str = "1 hour") -> DataFrame:
     """Counts and sums by time window and type; rows later than the watermark allows are left out."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
