@@ -7,8 +7,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions.names import fresh
 from .moments import matrix
 
 #: A spread counts as this at least; below DEGENERATE a column says nothing.
@@ -62,17 +62,55 @@ def means(frames: DataFrame, session: str, vector: str, file: str = "file") -> D
     return best.select(F.col("key").cast(frames.schema[session].dataType).alias(session), F.transform(F.col("_best")["sum"], lambda v: v / F.col("_best")["n"]).alias("mean"))
 
 
-def with_context(frames: DataFrame, session: str, vector: str) -> DataFrame:
-    """frames with context: the session's mean, or the frame's own vector where that is missing or differs in length."""
-    joined = frames.join(means(frames, session, vector), session, "left")
-    fits = F.col("mean").isNotNull() & (F.size("mean") == F.size(vector))
-    return joined.withColumn("context", F.when(fits, F.col("mean")).otherwise(F.col(vector))).drop("mean")
+#: Columns up to which means are plain averages by column; numbers of all means that are broadcast; copies of a mean for a
+#: join beyond that.
+PLAIN_COLUMNS, BROADCAST_NUMBERS, SALT = 64, 4 << 20, 8
+
+
+def _plain_means(frames: DataFrame, session: str, vector: str, file: str, width: int) -> DataFrame:
+    """(session, mean), the same as `means` of vectors of up to width numbers: averages by column, no Python."""
+    name = F.coalesce(F.col(file).cast("string"), F.lit(""))
+    known = frames.filter(F.col(vector).isNotNull() & F.col(session).isNotNull()).select(F.col(session).alias("_s"), name.alias("_f"), F.col(vector).cast("array<double>").alias("_v"))
+    sums = known.groupBy("_s", F.size("_v").alias("_n")).agg(F.min("_f").alias("_f"), *[F.avg(F.get("_v", i)).alias(f"_m{i}") for i in range(width)])
+    mean = F.slice(F.array(*[F.col(f"_m{i}") for i in range(width)]).cast("array<double>"), F.lit(1), F.col("_n"))
+    return sums.select("_s", "_f", mean.alias("_mean")).groupBy("_s").agg(F.min_by("_mean", "_f").alias("mean")).withColumnRenamed("_s", session)
+
+
+def with_context(frames: DataFrame, session: str, vector: str, file: str = "file") -> DataFrame:
+    """frames with context: the session's mean, or the frame's own vector where that is missing or differs in length.
+    Means are broadcast while they are few; else they are joined on the session and a salt, so that a hot session is not
+    one task. A vector with a null number raises."""
+    facts = frames.agg(F.max(F.size(vector)).alias("width"), F.count_distinct(session).alias("sessions"), F.coalesce(F.bool_or(F.exists(F.col(vector).cast("array<double>"), lambda x: x.isNull() | F.isnan(x))), F.lit(False)).alias("holes")).first()
+    if facts["holes"]:
+        raise ValueError("a vector has a null or NaN number: leave such rows out, or fill them")
+    width = max(facts["width"] or 0, 0)
+    found = _plain_means(frames, session, vector, file, width) if width <= PLAIN_COLUMNS else means(frames, session, vector, file)
+    of, mean, salt, own = fresh(frames, "_session", "_mean", "_salt", "_own")
+    found = found.select(F.col(session).alias(of), F.col("mean").alias(mean))
+    if facts["sessions"] * max(width, 1) <= BROADCAST_NUMBERS:
+        joined = frames.join(F.broadcast(found), F.col(session) == F.col(of), "left")
+    else:
+        copies = found.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+        salted = frames.withColumn(own, F.pmod(F.xxhash64(file, vector), F.lit(SALT)))
+        joined = salted.join(copies, (F.col(session) == F.col(of)) & (F.col(own) == F.col(salt)), "left").drop(salt, own)
+    fits = F.col(mean).isNotNull() & (F.size(mean) == F.size(vector))
+    return joined.withColumn("context", F.when(fits, F.col(mean)).otherwise(F.col(vector))).drop(of, mean)
 
 
 def levels(long: DataFrame, session: str, param: str, value: str) -> DataFrame:
-    """long with level, the mean of its session and parameter, and residual."""
-    w = Window.partitionBy(session, param)
-    return long.withColumn("level", F.avg(value).over(w)).withColumn("residual", F.col(value) - F.col("level"))
+    """long with level, the mean of its session and parameter, and residual. The means are partial sums, joined back with a
+    salt unless they are few, so no task holds all rows of a session."""
+    of, which, mean = fresh(long, "_session", "_param", "_mean")
+    found = long.groupBy(F.col(session).alias(of), F.col(param).alias(which)).agg(F.avg(value).alias(mean))
+    few = found.limit(BROADCAST_NUMBERS // 8 + 1).count() <= BROADCAST_NUMBERS // 8
+    same = F.col(session).eqNullSafe(F.col(of)) & F.col(param).eqNullSafe(F.col(which))
+    if few:
+        joined = long.join(F.broadcast(found), same)
+    else:
+        salt, own = fresh(long, "_salt", "_own")
+        copies = found.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+        joined = long.withColumn(own, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in long.columns]), F.lit(SALT))).join(copies, same & (F.col(own) == F.col(salt))).drop(salt, own)
+    return joined.withColumn("level", F.col(mean)).withColumn("residual", F.col(value) - F.col("level")).drop(of, which, mean)
 
 
 def spreads(long: DataFrame, param: str, value: str) -> DataFrame:

@@ -207,6 +207,25 @@ def test_session_means(spark):
     assert ctx["c"] == [9.0] and ctx["a"] == [2.0, 3.0] and ctx["g"] == [1.0] and ctx["f"] is None
 
 
+def test_context_is_the_same_however_it_is_joined(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    rows = [(f"f{i:03d}", i % 7 if i % 50 else None, rnd.normal(size=3 if i % 31 else 2).tolist() if i % 23 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "file string, session int, x array<double>").withColumns({c: F.lit("own") for c in ("_session", "_mean", "_salt", "mean")})
+    state = lambda: {r["file"]: r["context"] for r in sessions.with_context(df, "session", "x").collect()}
+    plain = state()
+    assert len(plain) == 300 and sessions.with_context(df.limit(0), "session", "x").count() == 0
+    for name, value in (("BROADCAST_NUMBERS", 0), ("PLAIN_COLUMNS", 1)):
+        monkeypatch.setattr(sessions, name, value)
+        other = state()
+        assert all((a is None) == (other[k] is None) and (a is None or np.allclose(a, other[k])) for k, a in plain.items())
+    long = spark.createDataFrame([(i, i % 5 or None, "pq"[i % 2], float(i)) for i in range(100)], "i int, session int, param string, value double")
+    got = {r["i"]: (r["level"], r["residual"]) for r in sessions.levels(long, "session", "param", "value").collect()}
+    monkeypatch.setattr(sessions, "BROADCAST_NUMBERS", 4 << 20)
+    assert got == {r["i"]: (r["level"], r["residual"]) for r in sessions.levels(long, "session", "param", "value").collect()} and len(got) == 100
+    with pytest.raises(ValueError, match="null or NaN"):
+        sessions.with_context(spark.createDataFrame([("a", 1, [1.0, None])], "file string, session int, x array<double>"), "session", "x")
+
+
 def test_many_sessions_get_the_folds_of_few(spark, monkeypatch):
     """The same folds on either side of the bound, by both functions, with sessions of equal size, null, and hot ones."""
     sizes = [(s, s % 5 + 1 + (400 if s == 7 else 0)) for s in range(300)]
