@@ -99,11 +99,11 @@ class Profile:
 ROWS = "param string, head string, penalty double, skill double, spread double, response double, shipped double, gated boolean, reason string, end_skill double, end_skill_random double, weights array<double>, intercept double"
 
 
-def views(frames: DataFrame, session: str, x: str, y: str, renders: list[str], render: str | None) -> DataFrame:
+def views(frames: DataFrame, session: str, x: str, y: str, renders: list[str], render: str | None, source: DataFrame | None = None) -> DataFrame:
     """frames with _level, the session's mean of x and the rendering as one-hot; _frame, x less that mean; _yl and _yf,
     the session's mean of y and the rest; _truth, y."""
-    both = frames.withColumn("_z", F.concat(x, y))
-    joined = sessions.with_context(both, session, "_z")
+    both = lambda df: df.withColumn("_z", F.concat(x, y))
+    joined = sessions.with_context(both(frames), session, "_z", source=both(frames if source is None else source))
     mean = lambda at, n: F.slice("context", at, n)
     shown = arrays.one_hot(F.col(render), renders) if render and renders else F.array().cast("array<double>")
     level = mean(F.lit(1), F.size(x))
@@ -138,8 +138,11 @@ def train(frames: DataFrame, session: str, x: str, y: str, params: list[str], *,
     MAX_RENDERS of them (more raise)."""
     careful = brakes(boldness)
     renders, usual = _renders(frames, render, min_renders) if render else ([], None)
-    seen = folds.round_robin(folds.dealt(views(frames, session, x, y, renders, render), session, k).withColumnRenamed("fold", "_by_session"), key, k).withColumnsRenamed({"fold": "_by_frame", "_by_session": "fold"})
-    seen = seen.select("fold", "_by_frame", "_level", "_frame", "_yl", "_yf", "_truth", F.concat("_level", "_frame").alias("_x"), F.concat("_yl", "_yf").alias("_y")).persist()
+    # rows are numbered while they are narrow; what can be made from the two views again is not held
+    frames = frames.select(*dict.fromkeys(c for c in (key, "file", session, x, y, render) if c in frames.columns))
+    narrow = folds.round_robin(frames, key, k).withColumnRenamed("fold", "_by_frame")
+    held = folds.dealt(views(narrow, session, x, y, renders, render, frames), session, k, frames).select("fold", "_by_frame", "_level", "_frame", "_yl", "_yf", "_truth").persist()
+    seen = held.withColumns({"_x": F.concat("_level", "_frame"), "_y": F.concat("_yl", "_yf")})
     parts = moments.collect(seen, "_x", "_y", "fold")
     whole, p = moments.total(parts), len(params)
     d_level = whole.dim - len(frames.select(x).limit(1).collect()[0][0])
@@ -170,7 +173,7 @@ def train(frames: DataFrame, session: str, x: str, y: str, params: list[str], *,
     profile.skill_random = np.where(worse, 0.0, profile.skill_random)
     for t, q in enumerate(params):
         reasons.setdefault(q, "worse than the constant" if worse[t] else "below the bar")
-    seen.unpersist()
+    held.unpersist()
     for h in (level, frame):
         h.response = np.where(h.gated, 1.0, h.response)
         h.shipped = np.where(h.gated, 0.0, h.shipped)

@@ -84,11 +84,12 @@ def balanced(frames: DataFrame, session: str, k: int) -> DataFrame:
     return (_many(counts, k) if found is None else found).select(F.col("_s").alias(session), F.col("_m").alias("n"), "fold")
 
 
-def dealt(df: DataFrame, session: str, k: int) -> DataFrame:
+def dealt(df: DataFrame, session: str, k: int, source: DataFrame | None = None) -> DataFrame:
     """df with fold (in the stead of one that it has), by session, as `balanced` deals them. Few sessions' folds are
-    broadcast; those of many are joined on the session and a salt, so a hot session is not one task."""
+    broadcast; those of many are joined on the session and a salt, so a hot session is not one task. source: the same rows with less
+    work behind them, to count sessions in."""
     df = df.drop("fold")
-    counts = _counts(df, session)
+    counts = _counts(df if source is None else source, session)
     of, salt, own_salt = fresh(df, "_session", "_salt", "_own_salt")
     found = _few(counts, k)
     if found is not None:

@@ -76,15 +76,16 @@ def _plain_means(frames: DataFrame, session: str, vector: str, file: str, width:
     return sums.select("_s", "_f", mean.alias("_mean")).groupBy("_s").agg(F.min_by("_mean", "_f").alias("mean")).withColumnRenamed("_s", session)
 
 
-def with_context(frames: DataFrame, session: str, vector: str, file: str = "file") -> DataFrame:
+def with_context(frames: DataFrame, session: str, vector: str, file: str = "file", source: DataFrame | None = None) -> DataFrame:
     """frames with context: the session's mean, or the frame's own vector where that is missing or differs in length.
     Means are broadcast while they are few; else they are joined on the session and a salt, so that a hot session is not
-    one task. A vector with a null number raises."""
-    facts = frames.agg(F.max(F.size(vector)).alias("width"), F.count_distinct(session).alias("sessions"), F.coalesce(F.bool_or(F.exists(F.col(vector).cast("array<double>"), lambda x: x.isNull() | F.isnan(x))), F.lit(False)).alias("holes")).first()
+    one task. A vector with a null number raises. source: the same frames with less work behind them, to take means from."""
+    source = frames if source is None else source
+    facts = source.agg(F.max(F.size(vector)).alias("width"), F.count_distinct(session).alias("sessions"), F.coalesce(F.bool_or(F.exists(F.col(vector).cast("array<double>"), lambda x: x.isNull() | F.isnan(x))), F.lit(False)).alias("holes")).first()
     if facts["holes"]:
         raise ValueError("a vector has a null or NaN number: leave such rows out, or fill them")
     width = max(facts["width"] or 0, 0)
-    found = _plain_means(frames, session, vector, file, width) if width <= PLAIN_COLUMNS else means(frames, session, vector, file)
+    found = _plain_means(source, session, vector, file, width) if width <= PLAIN_COLUMNS else means(source, session, vector, file)
     of, mean, salt, own = fresh(frames, "_session", "_mean", "_salt", "_own")
     found = found.select(F.col(session).alias(of), F.col("mean").alias(mean))
     if facts["sessions"] * max(width, 1) <= BROADCAST_NUMBERS:

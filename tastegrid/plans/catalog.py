@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..registry import QUERIES
-from . import aggregates, chain, commands, extras, filters, joins, looks, models, scalars, sidecars, upserts, windows
+from . import aggregates, chain, commands, extras, filters, joins, looks, models, probes, scalars, sidecars, upserts, windows
 
-MODULES = (aggregates, chain, commands, extras, filters, joins, looks, models, scalars, sidecars, upserts, windows)
+MODULES = (aggregates, chain, commands, extras, filters, joins, looks, models, probes, scalars, sidecars, upserts, windows)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,7 @@ CHECKS = {
     "develop_profile": lambda rows: len(rows) == 4 and {r["head"] for r in rows} == {"level", "frame"} and all(len(r["weights"]) == (6 if r["head"] == "level" else 3) for r in rows),
     "diagnose": lambda rows: [r["clusters"] for r in rows] == [1, 2, 3, 4] and len({sum(r["sizes"]) for r in rows}) == 1 and all(len(r["sizes"]) == r["clusters"] for r in rows),
     "skill_by_treatment": lambda rows: len(rows) == 8 and {r["model"] for r in rows} == {"pooled", "A", "N", "R"} and all(r["skill"] < 0.1 for r in rows),
+    "treatment_transfer": lambda rows: len(rows) == 24 and {r["trained_on"] for r in rows} == {"A", "N", "R", "pooled"} and all(r["skill"] < 0.95 for r in rows),
     "held_out_deltas": lambda rows: len(rows) > 5000 and {r["fold"] for r in rows} == {0, 1, 2, 3, 4} and all(r["predicted_price"] is not None for r in rows),
     "kmeans_inertia": lambda rows: [r["k"] for r in rows] == [1, 2, 3, 4] and all(a["inertia"] >= b["inertia"] for a, b in zip(rows, rows[1:], strict=False)),
     "meet_constraints": lambda rows: len(rows) == 500 and sum(r["left"] <= 1.0 for r in rows) > 400,
