@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,14 +15,16 @@ from pyspark.sql.window import Window
 
 from ..functions import arrays
 from ..functions.jsmath import logistic
-from . import moments
+from ..sources.shared import shared_dir
+from . import moments, ordered
 
 #: Elo (fixed values): the gain of a sure surprise, the middle rating, the spread of a rating and of the seeds.
 K_FACTOR, START, SPREAD, SEED_SPREAD = 32.0, 1500.0, 400.0, 400.0
 #: Bradley-Terry (fixed values): full-batch steps, their length, and the pull towards 0.
 STEPS, RATE, DECAY = 800, 0.1, 0.01
-#: Distinct (winner, loser) pairs of one league that a single task fits.
-MAX_PAIRS = 10_000_000
+#: Distinct (winner, loser) pairs of one league that a single task fits; larger leagues are fitted by joins and sums, in
+#: at most so many steps, until no strength moves further than this.
+MAX_PAIRS, SPREAD_STEPS, SETTLED = 1_000_000, 400, 1e-5
 #: Rank profiles (fixed values): shares of the scores below which the stars from 5 down begin; duels that a profile
 #: needs; share of the duels held out; fewest duels that an accuracy is told for, held out and trained on.
 STAR_SHARES = ((0.9, 5), (0.75, 4), (0.5, 3), (0.3, 2), (0.1, 1))
@@ -102,13 +105,14 @@ def strengths(winners: np.ndarray, losers: np.ndarray, counts: np.ndarray, n: in
 
 
 def bradley_terry(duels: DataFrame, league: str) -> DataFrame:
-    """duels (league, winner, loser): (league, id, strength, duels). Duels are collapsed to pair counts before a
-    league meets in one task; a league has at most MAX_PAIRS of them."""
+    """duels (league, winner, loser): (league, id, strength, duels). Duels are collapsed to pair counts first. A league of
+    up to MAX_PAIRS of them meets in one task; a larger one is fitted by steps over all tasks, to the maximum that the
+    specified steps look for."""
     pairs = duels.groupBy(league, "winner", "loser").agg(F.count(F.lit(1)).alias("n"))
+    sizes = pairs.groupBy(league).agg(F.count(F.lit(1)).alias("_pairs"))
+    large = [r[league] for r in sizes.filter(F.col("_pairs") > MAX_PAIRS).select(league).collect()]
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > MAX_PAIRS:
-            raise ValueError(f"a league has at most {MAX_PAIRS} distinct pairs")
         ids = np.unique(np.concatenate((group["winner"], group["loser"])))
         w, l = np.searchsorted(ids, group["winner"]), np.searchsorted(ids, group["loser"])  # noqa: E741
         n = group["n"].to_numpy(dtype=float)
@@ -116,7 +120,40 @@ def bradley_terry(duels: DataFrame, league: str) -> DataFrame:
         return pd.DataFrame({league: group[league].iloc[0], "id": ids, "strength": strengths(w, l, n, len(ids)), "duels": met.astype(np.int64)})
 
     kind = duels.schema
-    return pairs.groupBy(league).applyInPandas(fit, f"{league} {kind[league].dataType.simpleString()}, id {kind['winner'].dataType.simpleString()}, strength double, duels long")
+    schema = f"{league} {kind[league].dataType.simpleString()}, id {kind['winner'].dataType.simpleString()}, strength double, duels long"
+    if not large:
+        return pairs.groupBy(league).applyInPandas(fit, schema)
+    in_large = F.coalesce(F.col(league).isin(*large), F.lit(False))
+    return pairs.filter(~in_large).groupBy(league).applyInPandas(fit, schema).unionByName(spread_strengths(pairs.filter(in_large), league))
+
+
+def spread_strengths(pairs: DataFrame, league: str, decay: float = DECAY) -> DataFrame:
+    """pairs (league, winner, loser, n): (league, id, strength, duels), the maximum of the penalised likelihood by
+    accelerated steps whose lengths are bounds on each id's curvature. A step is two joins of pair counts with strengths
+    and a sum by id; strengths go to the shared folder after each, so lineage does not grow and lost executors cost a
+    step."""
+    spark, folder = pairs.sparkSession, f"{shared_dir(pairs.sparkSession)}/strengths-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    side = lambda a, b, won: pairs.select(F.col(league).alias("g"), F.col(a).alias("a"), F.col(b).alias("b"), F.when(F.lit(won), F.col("n")).otherwise(0).alias("won"), "n")
+    both = side("winner", "loser", True).unionByName(side("loser", "winner", False))
+    edges = kept(both.groupBy("g", "a", "b").agg(F.sum("won").alias("won"), F.sum("n").alias("n")), "pairs")
+    # the curvature of a pair is a quarter at most, and that of the whole at most twice its diagonal
+    nodes = edges.groupBy("g", "a").agg((F.sum("n") / 2 + decay).alias("bound"), F.sum("n").alias("met"))
+    state = kept(nodes.select("g", "a", "bound", "met", F.lit(0.0).alias("theta"), F.lit(0.0).alias("ahead")), "0")
+    for step in range(1, SPREAD_STEPS + 1):
+        mine, other = state.select("g", "a", F.col("ahead").alias("ya")), state.select("g", F.col("a").alias("b"), F.col("ahead").alias("yb"))
+        pull = edges.join(mine, ["g", "a"]).join(other, ["g", "b"]).groupBy("g", "a").agg(F.sum(F.col("won") - F.col("n") * logistic(F.col("ya") - F.col("yb"))).alias("pull"))
+        theta = F.col("ahead") + (F.col("pull") - decay * F.col("ahead")) / F.col("bound")
+        moved = state.join(pull, ["g", "a"]).withColumn("new", theta)
+        state = kept(moved.select("g", "a", "bound", "met", F.col("new").alias("theta"), (F.col("new") + (step - 1) / (step + 2) * (F.col("new") - F.col("theta"))).alias("ahead"), F.abs(F.col("new") - F.col("theta")).alias("far")), str(step))
+        if (state.agg(F.max("far")).first()[0] or 0.0) < SETTLED:
+            break
+    means = state.groupBy("g").agg(F.avg("theta").alias("mean"))
+    return state.join(F.broadcast(means), "g").select(F.col("g").alias(league), F.col("a").alias("id"), (F.col("theta") - F.col("mean")).alias("strength"), F.col("met").cast("long").alias("duels"))
 
 
 def elo(duels: DataFrame, league: str, order: str, seeds: DataFrame | None = None) -> DataFrame:
@@ -159,11 +196,19 @@ def elo(duels: DataFrame, league: str, order: str, seeds: DataFrame | None = Non
 def next_pair(ratings: DataFrame, league: str, turn: int = 0) -> DataFrame:
     """ratings (league, id, rating, n): per league the pair (a, b) to ask for next. a: one of the quarter with the
     fewest duels, drawn by hash; b: the id with the nearest rating. Leagues with one id have no pair."""
-    whole = Window.partitionBy(league)
-    ranked = ratings.withColumn("_place", F.row_number().over(whole.orderBy(F.coalesce("n", F.lit(0)), "id"))).withColumn("_of", F.count(F.lit(1)).over(whole))
-    pool = ranked.filter(F.col("_place") <= F.greatest(F.lit(1), F.floor(F.col("_of") / 4)))
+    # the quarter's border from counts by number of duels, then places only among those at the border
+    met = F.coalesce("n", F.lit(0))
+    counts = ratings.groupBy(F.col(league).alias("_l"), met.alias("_met")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy("_l").orderBy("_met")
+    seen = counts.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_size", F.greatest(F.lit(1), F.floor(F.sum("_c").over(Window.partitionBy("_l")) / 4)))
+    border = seen.filter(F.col("_upto") >= F.col("_size")).groupBy("_l").agg(F.min("_met").alias("_border"), F.min_by(F.col("_size") - F.col("_upto") + F.col("_c"), "_met").alias("_more"))
+    near = ratings.join(border, F.col(league) == F.col("_l")).filter(met <= F.col("_border"))
+    tied = ordered.numbered(near.filter(met == F.col("_border")), [F.col(league), F.col("id")], "_at")
+    starts = tied.groupBy(F.col(league).alias("_m")).agg(F.min("_at").alias("_start"))
+    least = tied.join(starts, F.col(league) == F.col("_m")).filter(F.col("_at") - F.col("_start") < F.col("_more")).drop("_at", "_m", "_start")
+    pool = near.filter(met < F.col("_border")).unionByName(least)
     draw = F.struct(F.md5(F.concat_ws(":", F.col(league), F.col("id"), F.lit(turn)).cast("binary")), F.col("id"))
-    first = pool.groupBy(league).agg(F.min_by(F.struct("id", "rating"), draw).alias("_a"))
+    first = pool.drop("_l", "_border", "_more").groupBy(league).agg(F.min_by(F.struct("id", "rating"), draw).alias("_a"))
     others = ratings.join(first, league).filter(F.col("id") != F.col("_a")["id"])
     return others.groupBy(league, F.col("_a")["id"].alias("a")).agg(F.min_by("id", F.struct(F.abs(F.col("rating") - F.col("_a")["rating"]), F.col("id"))).alias("b"))
 

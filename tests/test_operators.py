@@ -348,6 +348,37 @@ def test_next_pair_is_little_seen_and_near(spark):
     assert seen == {"p2", "p5"}
 
 
+def test_the_pool_is_the_least_duelled_quarter(spark):
+    """Ties at its border go by id; leagues of every size."""
+    rnd = np.random.default_rng(12)
+    rows = [(g, f"p{i:03d}", float(rnd.normal()), int(rnd.integers(0, 3)) or None) for g in range(4) for i in range((2, 5, 40, 101)[g])]
+    ratings = spark.createDataFrame(rows, "league int, id string, rating double, n long")
+    want = {g: {r[1] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[3] or 0, r[1]))[: max(1, sum(r[0] == g for r in rows) // 4)]} for g in range(4)}
+    got = {}
+    for turn in range(4):
+        for r in ranking.next_pair(ratings, "league", turn).collect():
+            got.setdefault(r["league"], set()).add(r["a"])
+            a = next(x for x in rows if x[:2] == (r["league"], r["a"]))
+            assert r["b"] == min((abs(x[2] - a[2]), x[1]) for x in rows if x[0] == a[0] and x[1] != a[1])[1]
+    assert got.keys() == want.keys() and all(got[g] <= want[g] for g in want)
+
+
+def test_large_leagues_are_fitted_by_joins_and_sums(spark, monkeypatch):
+    rnd = np.random.default_rng(2)
+    skill = rnd.normal(size=12)
+    duels = [(g, f"p{(a if won else b):02d}", f"p{(b if won else a):02d}") for g in (0, 1) for a, b in rnd.integers(0, 12, (300 if g else 20, 2)) if a != b for won in [rnd.random() < 1 / (1 + np.exp(skill[b] - skill[a]))]]
+    df = spark.createDataFrame(duels, "league int, winner string, loser string")
+    one = {(r["league"], r["id"]): r for r in ranking.bradley_terry(df, "league").collect()}
+    monkeypatch.setattr(ranking, "MAX_PAIRS", 40)
+    monkeypatch.setattr(ranking, "SETTLED", 3e-3)
+    both = {(r["league"], r["id"]): r for r in ranking.bradley_terry(df, "league").collect()}
+    assert one.keys() == both.keys() and all(one[k]["duels"] == both[k]["duels"] for k in one)
+    assert all(abs(one[k]["strength"] - both[k]["strength"]) < 1e-9 for k in one if k[0] == 0)
+    w, l, n = zip(*[(int(a[1:]), int(b[1:]), 1.0) for g, a, b in duels if g == 1], strict=True)
+    best = ranking.Likelihood(np.array(w), np.array(l), np.array(n), 12, ranking.DECAY).maximum()
+    assert all(abs(both[1, f"p{i:02d}"]["strength"] - (best - best.mean())[i]) < 0.1 for i in range(12))
+
+
 def test_rank_profile(spark):
     """Photos on a line in one direction of their vectors: held-out duels are foretold, stars follow the scores."""
     rnd = np.random.default_rng(8)
