@@ -16,6 +16,30 @@ def sanitized(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(dashed, "-+", "-"), "^-|-$", "")
 
 
+#: Tokens of file-name templates whose values a picture's metadata tell, and those that are known without (fixed values).
+CAPTURE_TOKENS = ("date", "time", "year", "month", "day", "camera", "lens")
+OTHER_TOKENS = ("orig", "seq", "ext")
+_NAMES = r"\{([a-zA-Z]+)(?::\d+)?\}"
+
+
+def tokens(template: Column) -> Column:
+    """The names of a template's tokens, in order; a null template has none."""
+    return F.coalesce(F.regexp_extract_all(template, F.lit(_NAMES), 1), F.array().cast("array<string>"))
+
+
+def needs_capture(template: Column) -> Column:
+    """Whether a template has a token that only metadata can fill."""
+    return F.arrays_overlap(tokens(template), F.array(*map(F.lit, CAPTURE_TOKENS)))
+
+
+def problem(template: Column) -> Column:
+    """What is wrong with a template: the first token that there is not, or that nothing is left of it; null if it is
+    right."""
+    known = F.array(*map(F.lit, (*CAPTURE_TOKENS, *OTHER_TOKENS)))
+    unknown = F.filter(tokens(template), lambda t: ~F.array_contains(known, t))
+    return F.when(F.coalesce(template, F.lit("")) == "", "the template gives an empty name").when(F.size(unknown) > 0, F.concat(F.lit("there is no token {"), F.get(unknown, 0), F.lit("}")))
+
+
 def rendered(template: str, values: dict[str, Column], fallbacks: dict[str, str]) -> Column:
     """A file-name template: {token} or {token:width}. An unknown token is an error; an empty value falls back."""
     parts, at = [], 0

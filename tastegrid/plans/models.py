@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import arrays
 from ..functions.jsmath import logistic
-from ..operators import anchors, develop, evaluate, isolated, keyed, mixture, moments, ranking
+from ..operators import anchors, develop, evaluate, isolated, keyed, mixture, moments, ranking, structure
 from ..registry import query
 from ..sources import jsonl, packs
 from ..sources.shared import shared_dir
@@ -202,15 +202,9 @@ def kmeans_inertia(spark, sf_dir):
 
 @query("cluster_null")
 def cluster_null(spark, sf_dir):
-    """The same over columns shuffled each on its own, which keeps spreads and breaks structure."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(arrays.doubles(F.col("embedding"))).alias("i", "v"))
-    dealt = cells.withColumn("row", F.row_number().over(Window.partitionBy("i").orderBy(F.xxhash64("vec_id", "i"))))
-    shuffled = dealt.groupBy("row").agg(array_to_vector(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"])).alias("features"))
-    rows = [(1, _scatter(table(spark, sf_dir, "embeddings")))] + [(k, float(KMeans(k=k, seed=7, maxIter=20).fit(shuffled).summary.trainingCost)) for k in (2, 3)]
-    return spark.createDataFrame([(k, 1 - cost / rows[0][1]) for k, cost in rows], "k int, explained double")
+    """What 2 to 4 clusters explain of the embeddings, and of five tables whose columns are shuffled each by itself."""
+    found = structure.structure(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", rounds=20)
+    return spark.createDataFrame([(k, e, float(np.mean(nulls)), nulls) for k, e, nulls in found], "k int, explained double, null double, nulls array<double>")
 
 
 @query("anchor_fit")

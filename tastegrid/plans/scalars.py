@@ -21,6 +21,20 @@ def template_render(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.rendered("cam-{camera}_{seq:4}.{ext}", values, {"camera": "nocamera"}).alias("name"))
 
 
+#: Templates for the query below, in turn.
+TEMPLATES = ("{date}_{seq:4}.{ext}", "{orig}", "", "{camera}-{iso}", "plain", "{seq}{seq:2}.{ext}", "{lens:3}{", "{Date}", "{x}{y}")
+
+
+@query("template_check", f"""WITH t AS (SELECT p_partkey, [{", ".join("'" + t + "'" for t in TEMPLATES)}][(p_partkey % {len(TEMPLATES)})::INT + 1] || CASE WHEN p_size % 10 = 0 THEN '{{day}}' ELSE '' END AS t FROM part),
+  x AS (SELECT *, regexp_extract_all(t, '\{{([a-zA-Z]+)(?::[0-9]+)?\}}', 1) AS names FROM t), u AS (SELECT *, list_filter(names, lambda n: n NOT IN {text.CAPTURE_TOKENS + text.OTHER_TOKENS}) AS unknown FROM x)
+  SELECT p_partkey, len(names)::INT AS n_tokens, len(list_filter(names, lambda n: n IN {text.CAPTURE_TOKENS})) > 0 AS needs_capture, CASE WHEN t = '' THEN 'the template gives an empty name' WHEN len(unknown) > 0 THEN 'there is no token {{' || unknown[1] || '}}' END AS problem FROM u""")
+def template_check(spark, sf_dir):
+    """Templates of file names: their tokens, whether they need metadata, and what is wrong with them."""
+    p = table(spark, sf_dir, "part")
+    t = F.concat(F.get(F.array(*map(F.lit, TEMPLATES)), (F.col("p_partkey") % len(TEMPLATES)).cast("int")), F.when(F.col("p_size") % 10 == 0, "{day}").otherwise(""))
+    return p.select("p_partkey", F.size(text.tokens(t)).alias("n_tokens"), text.needs_capture(t).alias("needs_capture"), text.problem(t).alias("problem"))
+
+
 @query("sanitize", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[\\/:*?"<>|\s]+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS name FROM pages""")
 def sanitize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.sanitized(F.col("url")).alias("name"))

@@ -82,3 +82,21 @@ def test_branches_by_their_frames(spark):
         develop.train_dataset(df.filter("treatment = 'sepia'"), "treatment", "session", "x", "y", ["a", "b"])
     with pytest.raises(ValueError, match="too few"):
         develop.train_dataset(df.limit(1), "treatment", "session", "x", "y", ["a", "b"])
+
+
+def test_structure_against_shuffled_columns(spark):
+    """Three tight groups are explained and their nulls are not; noise is explained no better than its nulls. A null
+    keeps every column's values."""
+    from tastegrid.operators import structure
+
+    rnd = np.random.default_rng(4)
+    heart = rnd.normal(size=(3, 6)) * 5
+    groups = [(i, (heart[i % 3] + rnd.normal(size=6) * 0.2).tolist() + [1.0]) for i in range(240)]
+    noise = [(i, rnd.normal(size=7).tolist()) for i in range(240)]
+    frame = lambda rows: spark.createDataFrame(rows, "i int, v array<double>")
+    (_, told, nulls), (_, plain, others) = (structure.structure(frame(r), "i", "v", clusters=(3,), nulls=2)[0] for r in (groups, noise))
+    assert told > 0.9 and max(nulls) < 0.75 and abs(plain - np.mean(others)) < 0.1
+    df = spark.createDataFrame([(i, [float(i), float(i * i)]) for i in range(30)], "_r long, _z array<double>")
+    moved = [r["_z"] for r in structure.shuffled(df, 30, 3).collect()]
+    assert sorted(v[0] for v in moved) == [float(i) for i in range(30)] and sorted(v[1] for v in moved) == sorted(float(i * i) for i in range(30))
+    assert sum(v[0] ** 2 != v[1] for v in moved) > 20

@@ -51,7 +51,7 @@ def test_same_rows_as_sql(spark, duck, name):
 #: versions in test_operators.
 CHECKS = {
     "anchor_fit": lambda rows: len(rows) == 3 and all(r["n"] >= 60 and not r["kept"] for r in rows),
-    "cluster_null": lambda rows: [r["k"] for r in rows][1:] == [2, 3] and abs(rows[0]["explained"]) < 1e-9 and all(0 <= r["explained"] < 0.2 for r in rows),
+    "cluster_null": lambda rows: [r["k"] for r in rows] == [2, 3, 4] and all(len(r["nulls"]) == 5 and 0 <= r["null"] < 0.2 and r["explained"] >= 0 for r in rows),
     "color_features": lambda rows: all(len(r["features"]) == 50 and 0 <= r["features"][0] <= 1 and abs(sum(r["features"][3:19]) - 1) < 1e-4 for r in rows),
     "cv_skill": lambda rows: len(rows) == 14 and all(r["skill"] < 0.1 and 0 < r["mae"] < 100 and 0 <= r["response"] <= 3 for r in rows),
     "develop_profile": lambda rows: len(rows) == 4 and {r["head"] for r in rows} == {"level", "frame"} and all(len(r["weights"]) == (6 if r["head"] == "level" else 3) for r in rows),
