@@ -83,8 +83,8 @@ def fold_shoot(spark, sf_dir):
 
 @query("keyword_topk", """WITH v AS (SELECT label, list(s ORDER BY i) AS c FROM (SELECT label, i, avg(x::DOUBLE) AS s FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
   s AS (SELECT vec_id, v.label, list_sum(list_transform(list_zip(e.embedding, v.c), lambda z: z[1]::DOUBLE * z[2])) / sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(v.c, lambda x: x * x))) AS score FROM embeddings e, v),
-  k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY floor(score * 1e6 + 0.501) DESC, label) AS rank FROM s)
-  SELECT vec_id, rank, label, floor(score * 1e6 + 0.501) / 1e6 AS score FROM k WHERE rank <= 6 AND floor(score * 1e6 + 0.501) / 1e6 >= 0.05""")
+  k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY floor(score * 1e6 + 0.5) DESC, label) AS rank FROM s)
+  SELECT vec_id, rank, label, floor(score * 1e6 + 0.5) / 1e6 AS score FROM k WHERE rank <= 6 AND floor(score * 1e6 + 0.5) / 1e6 >= 0.05""")
 def keyword_topk(spark, sf_dir):
     """The six best terms of a small vocabulary, of which those at the floor or above count: limit, then filter."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", arrays.doubles(F.col("embedding")).alias("x"))

@@ -26,7 +26,7 @@ TEMPLATES = ("{date}_{seq:4}.{ext}", "{orig}", "", "{camera}-{iso}", "plain", "{
 
 
 @query("template_check", f"""WITH t AS (SELECT p_partkey, [{", ".join("'" + t + "'" for t in TEMPLATES)}][(p_partkey % {len(TEMPLATES)})::INT + 1] || CASE WHEN p_size % 10 = 0 THEN '{{day}}' ELSE '' END AS t FROM part),
-  x AS (SELECT *, regexp_extract_all(t, '\{{([a-zA-Z]+)(?::[0-9]+)?\}}', 1) AS names FROM t), u AS (SELECT *, list_filter(names, lambda n: n NOT IN {text.CAPTURE_TOKENS + text.OTHER_TOKENS}) AS unknown FROM x)
+  x AS (SELECT *, regexp_extract_all(t, '[{{]([a-zA-Z]+)(?::[0-9]+)?[}}]', 1) AS names FROM t), u AS (SELECT *, list_filter(names, lambda n: n NOT IN {text.CAPTURE_TOKENS + text.OTHER_TOKENS}) AS unknown FROM x)
   SELECT p_partkey, len(names)::INT AS n_tokens, len(list_filter(names, lambda n: n IN {text.CAPTURE_TOKENS})) > 0 AS needs_capture, CASE WHEN t = '' THEN 'the template gives an empty name' WHEN len(unknown) > 0 THEN 'there is no token {{' || unknown[1] || '}}' END AS problem FROM u""")
 def template_check(spark, sf_dir):
     """Templates of file names: their tokens, whether they need metadata, and what is wrong with them."""
