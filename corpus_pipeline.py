@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: rules, classifier, near duplicates, source mix, tokens."""
+"""A training corpus from raw documents: rules, classifier, near duplicates, source mix, tokens.
+
+Cases: a null text counts as empty, which the rules reject; by itself, the classifier's stage gives it the mean score of its
+labels, the join's leaves it alone, the mix takes none of it, and it has no tokens. A null source is a source; a row
+without an id is a document like others, but links with none. Repeated rows are documents of their own up to the join, of
+which one stays. Extra columns pass through all stages but the last, whatever their names; an empty table gives an empty
+result.
+"""
 
 from __future__ import annotations
 
