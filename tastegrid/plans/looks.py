@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import look
 from ..operators import looks, tone
 from ..registry import query
-from .base import r6, table
+from .base import r6, spread, table
 
 #: What an embedding stands for here: its components as stops of a histogram, weights that repeat, two parts of the frame.
 _STOPS = "list_transform(embedding, lambda x: x::DOUBLE * 16 - 4)"
 
 
 def histograms(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
+    e = spread(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
     stops, weights = F.transform("embedding", lambda x: x.cast("double") * 16 - 4), F.transform("embedding", lambda _, i: (1 + i % 3).cast("double"))
     side = lambda keep: F.transform("weights", lambda w, i: F.when(keep(i), w).otherwise(0.0))
     h = e.select(F.col("vec_id"), F.col("label"), stops.alias("stops"), weights.alias("weights"))

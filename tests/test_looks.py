@@ -156,3 +156,24 @@ def test_looks_from_features(spark):
     swapped = spark.createDataFrame([([0.3, 0.2, 1.4, -0.1],)], "v array<double>").select(looks.ordered(F.col("v"))).first()[0]
     assert swapped == [0.3, 0.3, 1.0, 1.0]
     assert folds.dealt(df, "session", 5).groupBy("session").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
+
+
+@pytest.mark.parametrize("name", ["solve_tone", "meet_constraints", "apply_intents"])
+def test_searches_are_dealt_over_all_tasks(spark, tmp_path, name):
+    import __spark_entry__ as entry
+
+    rows = [(i, [float(np.sin(i * 7 + j)) / 3 for j in range(64)], i % 3) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = entry.queries()[name](spark, str(tmp_path))
+    held = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().withColumnRenamed("count", "n").collect()]
+    assert sum(held) == 60 and len(held) >= 12 and max(held) <= 15
+
+
+def test_trials_are_read_as_plain_percentiles():
+    rnd = np.random.default_rng(11)
+    stops, weights = tone._in_order(rnd.normal(-3, 3, 64), np.where(rnd.random(64) < 0.3, 0.0, rnd.random(64)))
+    trials = rnd.uniform(-1, 1, (400, 6)) * tone.LIMIT
+    logs = tone.shaped(stops, 0.5, trials)
+    rising = tone._rising(logs)
+    assert rising.any() and not rising.all()
+    assert np.allclose(tone.Percentiles(weights)(logs, rising), tone.looks(tone.displayed(stops, 0.5, trials), weights), atol=1e-7)
