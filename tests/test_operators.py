@@ -654,3 +654,36 @@ def test_online_ratings_start_from_scores():
     old, new = 1800 + first, 1700 - first
     second = 32 * (1 - ranking.expected(new, old))
     assert dict(zip(out["id"], out["rating"], strict=True)) == {"new": new + second, "old": old - second} == dict(zip(*state.value, strict=True))
+
+
+def test_new_rows_stay_beside_existing_keys_that_they_meet(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(30, 1.0, "a"), (500_030, 2.0, "b"), (500_031, 3.0, "c")]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = sorted(tuple(r) for r in entry.queries()["upsert_photos"](spark, str(tmp_path)).collect())
+    assert got == [(30, 2.0, "a"), (500_030, 2.0, "b"), (500_030, 2.0, "new"), (500_031, 4.0, "c")]
+
+
+def test_numbers_are_of_one_computation(spark):
+    import random
+
+    drawn = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    df = spark.range(500).repartition(4).select("id", drawn("id").alias("v"))
+    rows = ordered.numbered(df, [F.col("v"), F.col("id")]).collect()
+    assert [r["place"] for r in sorted(rows, key=lambda r: (r["v"], r["id"]))] == list(range(1, 501))
+
+
+def test_facts_beside_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", i) for i in range(40)] + [("b", 1), (None, 2), ("d", 3)], "p string, v int")
+    facts = spark.createDataFrame([("a", 1.0, "x"), ("b", 2.0, "y"), ("c", 3.0, "z")], "p string, m double, kind string")
+    plain = sorted(map(tuple, rows.join(facts, "p").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = sessions.beside(rows, facts, "p")
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().toString() and sorted(map(tuple, few.collect())) == plain
+        monkeypatch.setattr(sessions, "FEW_FACTS", 2)
+        many = sessions.beside(rows, facts, "p")
+        assert many.columns == ["p", "v", "m", "kind"] and sorted(map(tuple, many.collect())) == plain
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
