@@ -235,7 +235,7 @@ def mae_skill(spark, sf_dir):
     o = observed(spark, sf_dir)
     means = o.groupBy("param").agg(F.avg("actual").alias("mean"))
     off = lambda c: F.sum(F.abs(F.col("actual") - F.col(c)))
-    return o.join(means, "param").groupBy("param").agg(r6(1 - off("predicted") / off("mean")).alias("skill"))
+    return sessions.beside(o, means, "param").groupBy("param").agg(r6(1 - off("predicted") / off("mean")).alias("skill"))
 
 
 @query("weighted_skill", f"""WITH {OBSERVED}, c AS (SELECT param, avg(actual) AS mean FROM observed GROUP BY 1), s AS (SELECT param, 1 - sum(abs(actual - predicted)) / sum(abs(actual - mean)) AS skill, left(param, 1)::INT AS weight FROM observed JOIN c USING (param) GROUP BY 1)
@@ -245,7 +245,7 @@ def weighted_skill(spark, sf_dir):
     o = observed(spark, sf_dir)
     means = o.groupBy("param").agg(F.avg("actual").alias("mean"))
     off = lambda c: F.sum(F.abs(F.col("actual") - F.col(c)))
-    s = o.join(means, "param").groupBy("param").agg((1 - off("predicted") / off("mean")).alias("skill")).withColumn("weight", F.left("param", F.lit(1)).cast("int")).filter("weight >= 1.5")
+    s = sessions.beside(o, means, "param").groupBy("param").agg((1 - off("predicted") / off("mean")).alias("skill")).withColumn("weight", F.left("param", F.lit(1)).cast("int")).filter("weight >= 1.5")
     return s.agg(r6(F.sum(F.col("weight") * F.col("skill")) / F.sum("weight")).alias("skill"))
 
 
