@@ -98,7 +98,8 @@ def merged(base: Column, patch: Column, *, deletes: bool = True, levels: int = L
         empty = F.create_map().cast(_OBJECT)
         return F.when(new.isNotNull(), F.to_variant_object(F.map_filter(both(F.coalesce(old, empty)), lambda _, v: v.isNotNull()))).otherwise(y)
 
-    return F.when(patch.isNull(), base).otherwise(merge(base, patch, levels))
+    # a patch may be a long expression: it is bound to a name, not repeated
+    return F.transform(F.array(patch), lambda y: F.when(y.isNull(), base).otherwise(merge(base, y, levels)))[0]
 
 
 def difference(base: Column, other: Column, *, levels: int = LEVELS) -> Column:

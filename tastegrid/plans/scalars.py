@@ -8,7 +8,7 @@ from ..functions import arrays, color, language, raster, text
 from ..functions.jsmath import clamp, logistic, round_half_up
 from ..operators import feedback
 from ..registry import query
-from .base import r6, table
+from .base import r6, spread, table
 
 
 def r4(x):
@@ -436,7 +436,7 @@ def color_features(spark, sf_dir):
   SELECT p_partkey, coalesce(n, 0) / 2304.0::DOUBLE AS share FROM part LEFT JOIN (SELECT p_partkey, count(*) AS n FROM c WHERE n % 2 = 1 GROUP BY 1) USING (p_partkey)""")
 def polygon_mask(spark, sf_dir):
     """Polygons as masks by the even-odd rule, and the share they cover."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.array(*[F.col("p_size") * 0.0 + v for v in (2.0, 2.0)], F.col("p_size") / 50.0 * 44 + 2, F.lit(2.0), F.lit(24.0), F.lit(46.0)).alias("points"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", F.array(*[F.col("p_size") * 0.0 + v for v in (2.0, 2.0)], F.col("p_size") / 50.0 * 44 + 2, F.lit(2.0), F.lit(24.0), F.lit(46.0)).alias("points"))
     return raster.polygon_share(p, 48)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import documents
 from ..operators import sidecars
 from ..registry import query
-from .base import r6, table
+from .base import r6, spread, table
 
 _DELETES = "CASE WHEN event_id % 3 = 0 THEN json_object('k', NULL) ELSE json_object() END"
 
@@ -19,7 +19,7 @@ _DELETES = "CASE WHEN event_id % 3 = 0 THEN json_object('k', NULL) ELSE json_obj
 def dotted_merge(spark, sf_dir):
     """Properties with two patches over them, the second of which deletes; the difference of both states applied again
     gives the later one."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"))
     tone = {"edit.tone.exposure": F.col("event_id") % 40 / 8.0, "edit.tone.contrast": F.col("event_id") % 7, "edit.by": F.col("user_id"), "tags": F.array(F.col("event_type").cast("variant"), (F.col("event_id") % 2).cast("variant")), "k": F.when(F.col("event_id") % 3 == 0, documents.nothing())}
     later = {"edit.tone.contrast": F.lit(-1), "edit.tone.curve": F.array(F.lit(0), F.lit(255)), "edit.by": F.when(F.col("user_id") % 2 == 0, documents.nothing())}
     once = e.select("event_id", documents.parsed(F.col("props")).alias("p"), documents.merged(documents.parsed(F.col("props")), documents.written(tone)).alias("a"), documents.written(later).alias("l"))
@@ -49,17 +49,19 @@ def _settings():
   FROM (SELECT p_partkey, setting, back FROM w UNION ALL SELECT p_partkey, setting, back FROM old) JOIN part USING (p_partkey)""")
 def rr_roundtrip(spark, sf_dir):
     """Settings merged into someone's document and read back, every gear: what was not written is as it was."""
-    held = table(spark, sf_dir, "part").withColumn("m", _settings())
-    doc = held.select("p_partkey", sidecars.applied(documents.parsed(F.lit(BASE)), F.col("m"), F.lit(None).cast("array<double>"), F.lit(5000.0)).alias("d"))
-    kept = (documents.text(F.col("d"), "hsl.reds.own") == "kept") & (F.to_json(documents.part(F.col("d"), "masks")) == "[1,2]")
-    read = doc.select("p_partkey", F.explode(sidecars.settings(F.col("d"))).alias("setting", "back"), kept.alias("kept"), sidecars.temperature(F.col("d"), F.lit(5000.0)).alias("kelvin"))
+    held = spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")).withColumn("m", _settings())
+    doc = sidecars.applied(documents.parsed(F.lit(BASE)), F.col("m"), F.lit(None).cast("array<double>"), F.lit(5000.0))
+    kept = lambda d: (documents.text(d, "hsl.reds.own") == "kept") & (F.to_json(documents.part(d, "masks")) == "[1,2]")
+    # a document is made once and read from there
+    told = F.transform(F.array(doc), lambda d: F.struct(sidecars.settings(d).alias("back"), kept(d).alias("kept"), sidecars.temperature(d, F.lit(5000.0)).alias("kelvin")))
+    read = held.select("p_partkey", F.explode(told).alias("t")).select("p_partkey", F.explode("t.back").alias("setting", "back"), "t.kept", "t.kelvin")
     return read.select("p_partkey", "setting", r6(F.col("back")).alias("back"), "kept", (F.floor(F.col("kelvin") * 1e3 + 0.501) / 1e3).alias("kelvin"))
 
 
 @query("rr_edited", """SELECT p_partkey, p_size > 25 OR p_partkey % 5 = 0 OR p_partkey % 7 = 0 AS edited, CASE WHEN p_partkey % 7 = 0 THEN 6 END::INT AS n_curve FROM part""")
 def rr_edited(spark, sf_dir):
     """Whether a document holds an edit: sliders off their rest, curves, colour tables; defaults and noise do not count."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     middle = F.when(F.col("p_partkey") % 7 == 0, 90.0).otherwise(F.lit(128.4))
     points = F.array(*[F.struct(F.lit(x).alias("x"), y.alias("y")) for x, y in ((0.0, F.lit(0.0)), (128.0, middle), (255.0, F.lit(255.0)))])
     values = {"grainSize": F.lit(25), "vignetteMidpoint": F.lit(50.0000004), "sharpness": F.lit(40), "clarity": F.when(F.col("p_size") > 25, F.col("p_size")), "exposure": F.lit("1.5"), "curves.luma": F.to_variant_object(points), "lutPath": F.when(F.col("p_partkey") % 5 == 0, "a.cube").otherwise("")}
@@ -72,7 +74,7 @@ def rr_edited(spark, sf_dir):
 def ingest_tags(spark, sf_dir):
     """Records of a metadata reader as numbers by tag: booleans, texts that are numbers, a tag under the reader's name,
     and what is no number or not wanted."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "props"))
     record = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("Exposure2012"), F.when(F.col("event_id") % 2 == 0, "True").otherwise("False").alias("ConvertToGrayscale"), F.lit(5500).alias("ColorTemperature"), F.lit("As Shot").alias("WhiteBalance"), F.lit("none").alias("Clarity2012"), F.when(F.col("event_id") % 4 == 0, " -7 ").alias("Dehaze")))
     m = e.select("event_id", sidecars.ingested(record).alias("m"))
     return m.select("event_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("Exposure2012", "ConvertToGrayscale", "Temperature")], F.size("m").alias("n"))
@@ -84,7 +86,7 @@ def ingest_tags(spark, sf_dir):
     || CASE WHEN p_partkey % 5 = 0 THEN '<crs:Look><x/></crs:Look>' ELSE '' END || '{sidecars.TAIL}' AS line FROM p""")
 def emit_settings(spark, sf_dir):
     """Sidecars as text: settings, treatment, profile, curve and look."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
     values = F.create_map(F.lit("Contrast2012"), F.col("p_size") / 3.0, F.lit("Exposure2012"), (F.col("p_size") - 25) / 10.0, F.lit("Dehaze"), F.lit(float("nan")), F.lit("Unknown"), F.lit(1.0))
     curve = F.when(F.col("p_size") > 20, F.array(F.lit(0.0), F.lit(0.0), F.lit(128.0), F.col("p_size") + 0.5))
     profile = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" <A&B>")))
