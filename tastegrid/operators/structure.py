@@ -14,6 +14,8 @@ from . import moments, ordered
 
 ROUNDS, SEED = 60, 7
 LEAST_SPREAD = 1e-12
+#: Numbers that a part of the table holds, in bytes.
+PART_BYTES = 16 << 20
 
 
 def standardised(vectors: DataFrame, vector: str) -> tuple[DataFrame, int, int]:
@@ -52,9 +54,11 @@ def structure(vectors: DataFrame, id: str, vector: str, *, clusters: tuple[int,
     found, n, varied = standardised(vectors.select(F.col(id).alias("_id"), F.col(vector).cast("array<double>").alias("_x")), "_x")
     held = ordered.numbered(found.withColumn("_h", F.xxhash64("_id")), [F.col("_h"), F.col("_id")], "_at").select((F.col("_at") - 1).alias("_r"), "_z").persist()
     out: list[list[float]] = [[] for _ in clusters]
+    # rounds are many and short: parts of PART_BYTES, and no more than there are tasks at once while rows are few
+    parts = max(vectors.sparkSession.sparkContext.defaultParallelism, n * max(varied, 1) * 8 // PART_BYTES)
     try:
         for s in range(nulls + 1):
-            rows = (held if s == 0 else shuffled(held, n, SEED + s)).select(array_to_vector("_z").alias("features")).persist()
+            rows = (held if s == 0 else shuffled(held, n, SEED + s)).select(array_to_vector("_z").alias("features")).coalesce(parts).persist()
             try:
                 for i, k in enumerate(clusters):
                     left = KMeans(k=k, seed=SEED, maxIter=rounds).fit(rows).summary.trainingCost

@@ -687,3 +687,41 @@ def test_facts_beside_rows(spark, monkeypatch):
         assert many.columns == ["p", "v", "m", "kind"] and sorted(map(tuple, many.collect())) == plain
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["rr_edited", "rr_roundtrip", "emit_settings", "polygon_mask"])
+def test_long_work_on_small_tables_is_dealt_over_all_tasks(spark, tmp_path, name):
+    import __spark_entry__ as entry
+
+    rows = [(i, f"part {i}", i % 50, 900.0 + i) for i in range(1, 61)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    out = entry.queries()[name](spark, str(tmp_path)).select("p_partkey", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r["p_partkey"] for r in out}) == 60 and len({r["task"] for r in out}) >= 12
+
+
+def test_short_vectors_are_averaged_without_python(spark):
+    df = spark.createDataFrame([(1, "a", [1.0, 2.0]), (1, "b", [3.0, 4.0]), (1, "c", [9.0]), (2, "a", None), (None, "a", [1.0])], "session int, file string, x array<double>")
+    found = sessions.means(df, "session", "x")
+    assert [tuple(r) for r in found.collect()] == [(1, [2.0, 3.0])] and "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert [tuple(r) for r in sessions._summed_means(df, "session", "x", "file").collect()] == [(1, [2.0, 3.0])]
+
+
+def test_clusters_are_sought_in_few_parts(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tastegrid.operators import structure
+
+    parts = []
+
+    def fit(rows):
+        parts.append(rows.rdd.getNumPartitions())
+        return SimpleNamespace(summary=SimpleNamespace(trainingCost=float(rows.count())))
+
+    monkeypatch.setattr(structure, "KMeans", lambda **_: SimpleNamespace(fit=fit))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.range(200).select(F.col("id").cast("int").alias("id"), F.array(F.sin("id"), F.cos("id")).alias("v"))
+        assert [k for k, _, _ in structure.structure(df, "id", "v", nulls=1)] == [2, 3, 4]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(parts) == 6 and max(parts) <= spark.sparkContext.defaultParallelism
