@@ -20,6 +20,9 @@ MAX_COLUMNS, MAX_BYTES = 1_000, 256 << 20
 #: Rows that the common centre is taken from; any centre gives the same fits, a near one keeps digits.
 CENTRE_ROWS = 1_000
 FLOOR = 1e-12
+#: Numbers from which on a block is passed on, and such blocks that a task holds.
+BLOCK_NUMBERS, HELD_BLOCKS = 1 << 17, 16
+BLOCKS = pa.schema([("key", pa.string()), ("block", pa.binary())])
 #: A column's spread counts as this at least.
 LEAST_SPREAD = 1e-6
 
@@ -72,35 +75,105 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def by_key(column: pa.Array) -> list[tuple[str, np.ndarray]]:
+    """The keys of an Arrow column, each with the places of its rows in order; nulls have no key."""
+    codes = column.cast(pa.string()).dictionary_encode()
+    place = np.asarray(pa.compute.fill_null(codes.indices, -1))
+    order = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(len(codes.dictionary) + 1))
+    return [(key, order[lo:hi]) for key, lo, hi in zip(codes.dictionary.to_pylist(), cuts[:-1], cuts[1:], strict=True)]
+
+
+def _summed(partial: DataFrame) -> dict[str, tuple[int, np.ndarray]]:
+    """What tasks have summed (key, n, sums), summed by key after a shuffle."""
+
+    def added(batches):
+        held: dict[str, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for key, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                before = held.get(key, (0, 0.0))
+                held[key] = (before[0] + n, before[1] + np.frombuffer(raw))
+        yield _told(held)
+
+    return {r["key"]: (r["n"], np.frombuffer(r["sums"])) for r in partial.repartition("key").mapInArrow(added, SUMS).collect()}
+
+
+SUMS = "key string, n long, sums binary"
+
+
+def _told(held: dict) -> pa.RecordBatch:
+    kind = pa.schema([("key", pa.string()), ("n", pa.int64()), ("sums", pa.binary())])
+    return pa.RecordBatch.from_pydict({"key": list(held), "n": [n for n, _ in held.values()], "sums": [v.tobytes() for _, v in held.values()]}, schema=kind)
+
+
 def sums_by_key(rows: DataFrame, width: int, add: Callable[[object, np.ndarray, np.ndarray], np.ndarray]) -> dict[str, tuple[int, np.ndarray]]:
     """rows (key, z, w): per key the row count and what add makes of its rows, summed. Each task keeps one array a key
     that it meets; keys meet again after a shuffle of these."""
-    kind = pa.schema([("key", pa.string()), ("n", pa.int64()), ("sums", pa.binary())])
-
-    def told(held: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"key": list(held), "n": [n for n, _ in held.values()], "sums": [v.tobytes() for _, v in held.values()]}, schema=kind)
 
     def partial(batches):
         held: dict[str, tuple[int, np.ndarray]] = {}
         for batch in batches:
-            codes = batch.column(0).cast(pa.string()).dictionary_encode()
-            z, w, place = matrix(batch.column(1), width), np.asarray(batch.column(2), dtype=float), np.asarray(codes.indices)
-            for i, key in enumerate(codes.dictionary.to_pylist()):
-                at = place == i
+            z, w = matrix(batch.column(1), width), np.asarray(batch.column(2), dtype=float)
+            for key, at in by_key(batch.column(0)):
                 n, sums = held.get(key, (0, 0.0))
-                held[key] = (n + int(at.sum()), sums + add(key, z[at], w[at]))
-        yield told(held)
+                held[key] = (n + len(at), sums + add(key, z[at], w[at]))
+        yield _told(held)
 
-    def added(batches):
+    return _summed(rows.mapInArrow(partial, SUMS))
+
+
+def packed(rows: DataFrame, width: int) -> DataFrame:
+    """rows (key, z) as (key, block): the numbers of some rows of a key, as bytes. What goes over rows more than once
+    holds these, so lists are made and read only once. A task holds at most HELD_BLOCKS blocks' numbers."""
+
+    def told(held: dict, keys: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"key": keys, "block": [b"".join(held.pop(key)) for key in keys]}, schema=BLOCKS)
+
+    def blocks(batches):
+        held: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
+        for batch in batches:
+            z = matrix(batch.column(1), width)
+            for key, at in by_key(batch.column(0)):
+                held.setdefault(key, []).append(z[at].tobytes())
+                sizes[key] = sizes.get(key, 0) + len(at) * width
+            full = list(held) if sum(sizes.values()) > HELD_BLOCKS * BLOCK_NUMBERS else [key for key, n in sizes.items() if n >= BLOCK_NUMBERS]
+            if full:
+                yield told(held, full)
+                sizes = {key: n for key, n in sizes.items() if key in held}
+        yield told(held, list(held))
+
+    return rows.mapInArrow(blocks, "key string, block binary")
+
+
+def unpacked(batch: pa.RecordBatch, width: int):
+    """(key, rows of numbers) of the blocks of a batch."""
+    for key, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        yield key, np.frombuffer(block.as_buffer()).reshape(-1, width)
+
+
+def sums_of_blocks(blocks: DataFrame, width: int, add: Callable[[str, np.ndarray, np.ndarray], np.ndarray]) -> dict[str, tuple[int, np.ndarray]]:
+    """The same as sums_by_key, of packed rows that weigh 1."""
+
+    def partial(batches):
         held: dict[str, tuple[int, np.ndarray]] = {}
         for batch in batches:
-            for key, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                before = held.get(key, (0, 0.0))
-                held[key] = (before[0] + n, before[1] + np.frombuffer(raw))
-        yield told(held)
+            for key, z in unpacked(batch, width):
+                n, sums = held.get(key, (0, 0.0))
+                held[key] = (n + len(z), sums + add(key, z, np.ones(len(z))))
+        yield _told(held)
+
+    return _summed(blocks.mapInArrow(partial, SUMS))
 
-    text = "key string, n long, sums binary"
-    return {r["key"]: (r["n"], np.frombuffer(r["sums"])) for r in rows.mapInArrow(partial, text).repartition("key").mapInArrow(added, text).collect()}
+
+def products(centre: np.ndarray) -> Callable[[object, np.ndarray, np.ndarray], np.ndarray]:
+    """Weighted sums of z z' for z = (1, row - centre)."""
+
+    def add(key: object, z: np.ndarray, w: np.ndarray) -> np.ndarray:
+        one = np.column_stack((np.ones(len(z)), z - centre))
+        return ((one * w[:, None]).T @ one).ravel()
+
+    return add
 
 
 def collect(df: DataFrame, x: str, y: str, group: str, weight: str | None = None) -> dict[str, Moments]:
@@ -115,12 +188,8 @@ def collect(df: DataFrame, x: str, y: str, group: str, weight: str | None = None
     if side - 1 > MAX_COLUMNS or groups * side * side * 8 > MAX_BYTES:
         raise ValueError(f"at most {MAX_COLUMNS} columns, and {MAX_BYTES} bytes of moments: {groups} groups of {side} by {side} are more")
 
-    def products(key: object, z: np.ndarray, w: np.ndarray) -> np.ndarray:
-        one = np.column_stack((np.ones(len(z)), z - centre))
-        return ((one * w[:, None]).T @ one).ravel()
-
     rows = df.select(F.col(group), F.concat(x, y).alias("_z"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
-    return {key: Moments(n, gram.reshape(side, side).copy(), centre, d) for key, (n, gram) in sums_by_key(rows, side - 1, products).items()}
+    return {key: Moments(n, gram.reshape(side, side).copy(), centre, d) for key, (n, gram) in sums_by_key(rows, side - 1, products(centre)).items()}
 
 
 def errors(df: DataFrame, x: str, truth: str, models: dict[str, tuple[np.ndarray, np.ndarray]], group: str) -> dict[str, tuple[int, np.ndarray]]:

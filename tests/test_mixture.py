@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tastegrid.operators import develop, evaluate, folds, mixture
+from tastegrid.operators import develop, evaluate, folds, mixture, moments
 
 SCHEMA = "file string, session int, x array<double>, y array<double>, style array<double>"
 
@@ -41,6 +41,39 @@ def test_small_clusters_and_targets_that_do_not_vary(spark):
         mixture.diagnosed(df.limit(10), "session", "x", "y", "style", [2.0, 2.0])
 
 
+def test_clusters_do_not_depend_on_how_rows_lie(spark):
+    """Even noise, which has several ways to be parted, gives the same clusters from one part as from many; they are
+    where plain rounds from them stay, and all numbers of clusters share their passes."""
+    rnd = np.random.default_rng(11)
+    rows = [(f"f{i}", i % 40, rnd.normal(size=2).tolist(), rnd.normal(size=2).tolist(), rnd.random(2).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spark.sparkContext.setJobGroup("mixture", "clusters")
+    one, many = (mixture.diagnosed(d, "session", "x", "y", "style", [2.0, 2.0]) for d in (df.coalesce(1), df.repartition(7)))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("mixture"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r[:3] for r in one.clusters] == [r[:3] for r in many.clusters] and np.allclose([s for _, s in one.skills], [s for _, s in many.skills])
+    assert jobs <= 2 * (mixture.ROUNDS + mixture.STARTS + 14)
+    style, spread = np.array([r[4] for r in rows]), np.array([r[4] for r in rows]).std(axis=0)
+    for c in (2, 3, 4):
+        mean = np.array([r[4] for r in one.clusters if r[0] == c]) / spread
+        place = mixture._nearest(style / spread, mean)[0]
+        moved = np.array([(style / spread)[place == j].mean(axis=0) for j in range(c)])
+        assert np.abs(moved - mean).max() < 0.02
+
+
+def test_blocks_hold_every_row_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(moments, "BLOCK_NUMBERS", 40)
+    rows = [(f"k{i % 3}" if i % 7 else None, [float(i), float(i * i)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "key string, z array<double>").repartition(3)
+    add = lambda key, z, w: np.array([w.sum(), *z.sum(axis=0)])
+    found = moments.sums_of_blocks(moments.packed(df, 2), 2, add)
+    plain = moments.sums_by_key(df.withColumn("w", F.lit(1.0)), 2, add)
+    assert found.keys() == plain.keys() == {"k0", "k1", "k2"}
+    for key, (n, sums) in found.items():
+        own = [z for k, z in rows if k == key]
+        assert n == plain[key][0] == len(own) and sums.tolist() == plain[key][1].tolist() == [len(own), *np.sum(own, axis=0)]
+
+
 def _plain(x, y, penalty):
     """Ridge on columns over their spreads, penalty times the rows."""
     mean, my, spread = x.mean(axis=0), y.mean(axis=0), x.std(axis=0)
