@@ -13,6 +13,10 @@ from . import ordered
 BROADCAST_ROWS = 200_000
 #: Distinct session sizes that are held on the driver, and copies of a session's fold for a join with its frames.
 MAX_SIZES, SALT = 1_000_000, 8
+#: Rows of a part that a task orders, about; digits of a hash by which buckets are cut at most.
+PART_ROWS, MAX_DIGITS = 250_000, 3
+#: Sessions up to which their folds are broadcast, however they were dealt.
+BROADCAST_FOLDS = 1_000_000
 
 
 def _greedy(rows: list, k: int) -> list[tuple]:
@@ -85,8 +89,8 @@ def balanced(frames: DataFrame, session: str, k: int) -> DataFrame:
 
 
 def dealt(df: DataFrame, session: str, k: int, source: DataFrame | None = None) -> DataFrame:
-    """df with fold (in the stead of one that it has), by session, as `balanced` deals them. Few sessions' folds are
-    broadcast; those of many are joined on the session and a salt, so a hot session is not one task. source: the same rows with less
+    """df with fold (in the stead of one that it has), by session, as `balanced` deals them. The folds of up to
+    BROADCAST_FOLDS sessions are broadcast; those of more are joined on the session and a salt, so a hot session is not one task. source: the same rows with less
     work behind them, to count sessions in."""
     df = df.drop("fold")
     counts = _counts(df if source is None else source, session)
@@ -94,19 +98,31 @@ def dealt(df: DataFrame, session: str, k: int, source: DataFrame | None = None)
     found = _few(counts, k)
     if found is not None:
         return df.join(F.broadcast(found.select(F.col("_s").alias(of), "fold")), F.col(session).eqNullSafe(F.col(of))).drop(of)
+    if counts.limit(BROADCAST_FOLDS + 1).count() <= BROADCAST_FOLDS:
+        return df.join(F.broadcast(_many(counts, k).select(F.col("_s").alias(of), "fold")), F.col(session).eqNullSafe(F.col(of))).drop(of)
     salted = df.withColumn(own_salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALT)))
     table = _many(counts, k).select(F.col("_s").alias(of), "fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias(salt))
     return salted.join(table, F.col(session).eqNullSafe(F.col(of)) & (F.col(own_salt) == F.col(salt))).drop(of, salt, own_salt)
 
 
 def round_robin(df: DataFrame, key: str, k: int, buckets: int = 64) -> DataFrame:
-    """df with fold (in the stead of one that it has): rows numbered in the order of their hash, modulo k. Numbers go by
-    hash bucket, so that no task orders all rows."""
+    """df with fold (in the stead of one that it has): rows numbered in the order of their hash's first byte modulo
+    buckets, then of their hash, modulo k. Each such bucket is cut further by the hash, into as many parts as the rows
+    need, so that a task orders PART_ROWS rows or so however many there are."""
     df = df.drop("fold")
     digest, bucket, at, n, start = fresh(df, "_hash", "_bucket", "_b", "_n", "_start")
-    hashed = df.withColumn(digest, F.md5(F.col(key).cast("string"))).withColumn(bucket, F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % buckets)
-    before = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    starts = hashed.groupBy(F.col(bucket).alias(at)).agg(F.count(F.lit(1)).alias(n)).select(at, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
-    place = F.row_number().over(Window.partitionBy(bucket).orderBy(digest, key))
-    joined = hashed.join(F.broadcast(starts), F.col(bucket) == F.col(at))  # a row per bucket
-    return joined.withColumn("fold", ((F.col(start) + place - 1) % k).cast("long")).drop(digest, bucket, at, start)
+    parts = max(buckets, -(-df.count() // PART_ROWS))
+    digits = 1
+    while 16 ** (2 + digits) < 16 * parts and digits < MAX_DIGITS:
+        digits += 1
+    named = F.md5(F.col(key).cast("string"))
+    place = F.substring(named, 1, 2 + digits)
+    hashed = df.withColumn(digest, F.unhex(named)).withColumn(bucket, place)
+    # within a bucket hashes are in order, so what comes first among their digits cuts it in order
+    before = Window.orderBy(F.conv(F.substring(at, 1, 2), 16, 10).cast("int") % buckets, at).rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(place.alias(at)).agg(F.count(F.lit(1)).alias(n)).select(at, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    row = F.row_number().over(Window.partitionBy(bucket).orderBy(digest, key))
+    spark = df.sparkSession
+    many = hashed.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), bucket)
+    joined = many.withColumn(n, row).join(F.broadcast(starts), F.col(bucket) == F.col(at))  # a row per part of a bucket
+    return joined.withColumn("fold", ((F.col(start) + F.col(n) - 1) % k).cast("long")).drop(digest, bucket, at, start, n)

@@ -1,7 +1,9 @@
 """Operators on literals and on synthetic data with a known answer."""
 
+import hashlib
 import json
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -398,6 +400,24 @@ def test_rank_profile(spark):
         ranking.rank_profile(photos, duels.limit(5))
 
 
+def test_rows_are_numbered_in_parts_that_hold_few(spark, monkeypatch):
+    """Folds of rows are those of one numbering by hash, and tasks order as many rows as PART_ROWS says, not a share of
+    all; folds of many sessions are the same broadcast or joined."""
+    monkeypatch.setattr(folds, "PART_ROWS", 50)
+    names = [f"/cat/{i}" for i in range(8000)]
+    df = spark.createDataFrame([(f, i % 90) for i, f in enumerate(names)], "file string, session int").repartition(3)
+    out = folds.round_robin(df, "file", 5).withColumn("task", F.spark_partition_id()).collect()
+    digest = {f: hashlib.md5(f.encode()).hexdigest() for f in names}
+    want = {f: i % 5 for i, f in enumerate(sorted(names, key=lambda f: (int(digest[f][:2], 16) % 64, digest[f])))}
+    assert {r["file"]: r["fold"] for r in out} == want
+    assert max(Counter(r["task"] for r in out).values()) <= 4 * 50
+    few = {r["session"]: r["fold"] for r in folds.dealt(df, "session", 4).collect()}
+    monkeypatch.setattr(folds, "BROADCAST_ROWS", 10)
+    for most in (1_000, 10):
+        monkeypatch.setattr(folds, "BROADCAST_FOLDS", most)
+        assert {r["session"]: r["fold"] for r in folds.dealt(df, "session", 4).collect()} == few
+
+
 def test_anchor_finds_a_slope_and_rejects_noise(spark):
     rnd = np.random.default_rng(4)
     x = rnd.normal(size=400)
