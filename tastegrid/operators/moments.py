@@ -22,6 +22,8 @@ CENTRE_ROWS = 1_000
 FLOOR = 1e-12
 #: Numbers from which on a block is passed on, and such blocks that a task holds.
 BLOCK_NUMBERS, HELD_BLOCKS = 1 << 17, 16
+#: Rows that many models score at once.
+SCORED_ROWS = 1 << 9
 BLOCKS = pa.schema([("key", pa.string()), ("block", pa.binary())])
 #: A column's spread counts as this at least.
 LEAST_SPREAD = 1e-6
@@ -207,6 +209,26 @@ def errors(df: DataFrame, x: str, truth: str, models: dict[str, tuple[np.ndarray
     return sums_by_key(df.select(F.col(group), F.concat(x, truth).alias("_z"), F.lit(1.0).alias("_w")), width, off)
 
 
+def errors_of_blocks(blocks: DataFrame, d: int, t: int, models: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, tuple[int, np.ndarray]]:
+    """The same as errors, of packed rows of d columns and t targets. A few rows are scored at once, so that the answers of
+    many models stay near the processor."""
+    shared = blocks.sparkSession.sparkContext.broadcast(models)
+
+    def off(key: str, z: np.ndarray, w: np.ndarray) -> np.ndarray:
+        b, c = shared.value[key]
+        out = np.zeros(b.shape[1])
+        truth = np.tile(np.arange(d, d + t), b.shape[1] // t)
+        for at in range(0, len(z), SCORED_ROWS):
+            part = z[at : at + SCORED_ROWS]
+            missed = part[:, :d] @ b
+            missed += c
+            missed -= part[:, truth]
+            out += np.abs(missed, out=missed).sum(axis=0)
+        return out
+
+    return sums_of_blocks(blocks, d + t, off)
+
+
 def total(parts: dict[object, Moments]) -> Moments:
     found = list(parts.values())
     out = found[0]

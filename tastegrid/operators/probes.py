@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.names import fresh
 from . import folds, moments
 from .evaluate import PENALTIES
 
@@ -14,6 +15,8 @@ from .evaluate import PENALTIES
 METHODS = ("constant", "model", "shoot mean", "model + offset", "model + shrunk offset")
 #: Frames that have to be left to be foretold; the least variance between shoots.
 LEAST_LEFT, LEAST_BETWEEN = 2, 1e-9
+#: Numbers of all means that are broadcast; copies of a mean for a join beyond that.
+BROADCAST_NUMBERS, SALT = 8 << 20, 8
 
 
 def kappas(frames: DataFrame) -> list[float]:
@@ -55,18 +58,28 @@ def calibration_curve(frames: DataFrame, key: str, session: str, predicted: str,
 
 
 def deviations(frames: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
-    """frames with array columns less their means over the group; the means are partial sums by place."""
-    marks = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
-    out = frames
-    for n, c in enumerate(columns):
-        cells = frames.select(*marks, F.posexplode(c).alias("_i", "_v"))
-        means = cells.groupBy(*[f"_g{i}" for i in range(len(group))], "_i").agg(F.avg("_v").alias("_m"))
-        means = means.groupBy(*[f"_g{i}" for i in range(len(group))]).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(f"_mean{n}"))
-        same = F.lit(True)
-        for i, g in enumerate(group):
-            same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-        out = out.join(means, same).withColumn(c, F.zip_with(c, f"_mean{n}", lambda a, b: a - b)).drop(f"_mean{n}", *[f"_g{i}" for i in range(len(group))])
-    return out
+    """frames with array columns less their means over the group: averages by place in all columns at once, broadcast
+    while their numbers are few (counted), else joined on the group and a salt, so that no task holds all rows of one."""
+    *marks, salt, own = fresh(frames, *[f"_g{i}" for i in range(len(group))], "_salt", "_own")
+    means = fresh(frames, *[f"_mean{i}" for i in range(len(columns))])
+    told = frames.agg(*[F.coalesce(F.max(F.size(c)), F.lit(0)) for c in columns], F.count_distinct(F.struct(*group))).first()
+    widths, groups = [max(w, 0) for w in told[:-1]], told[-1]
+    sums = frames.groupBy(*[F.col(g).alias(m) for g, m in zip(group, marks, strict=True)]).agg(
+        *[F.max(F.size(c)).alias(f"_n{i}") for i, c in enumerate(columns)],
+        *[F.avg(F.get(c, j)).alias(f"_m{i}_{j}") for i, (c, w) in enumerate(zip(columns, widths, strict=True)) for j in range(w)],
+    )
+    mean = lambda i: F.slice(F.array(*[F.col(f"_m{i}_{j}") for j in range(widths[i])]).cast("array<double>"), F.lit(1), F.col(f"_n{i}"))
+    known = sums.filter(" AND ".join(f"_n{i} > 0" for i in range(len(columns)))).select(*marks, *[mean(i).alias(m) for i, m in enumerate(means)])
+    same = F.lit(True)
+    for g, m in zip(group, marks, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(m))
+    if groups * max(sum(widths), 1) <= BROADCAST_NUMBERS:
+        joined = frames.join(F.broadcast(known), same)
+    else:
+        copies = known.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+        salted = frames.withColumn(own, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in frames.columns]), F.lit(SALT)))
+        joined = salted.join(copies, same & (F.col(own) == F.col(salt)))
+    return joined.withColumns({c: F.zip_with(c, m, lambda a, b: a - b) for c, m in zip(columns, means, strict=True)}).drop(*marks, *means, salt, own)
 
 
 def treatment_transfer(frames: DataFrame, treatment: str, session: str, x: str, y: str, *, k: int = 5, penalties: tuple[float, ...] = PENALTIES) -> list[tuple[str, str, int, float, float]]:
@@ -75,16 +88,24 @@ def treatment_transfer(frames: DataFrame, treatment: str, session: str, x: str,
     targets are deviations from the mean of treatment and shoot; skill is against no deviation at all. The penalty of a
     fold is the one of least absolute error among the other folds of what is trained on."""
     kept = frames.filter(F.col(treatment).isNotNull()).select(F.col(treatment).cast("string").alias("_t"), F.col(session).alias("_s"), F.col(x).cast("array<double>").alias("_x"), F.col(y).cast("array<double>").alias("_y"))
-    seen = folds.dealt(deviations(kept, ["_t", "_s"], ["_x", "_y"]), "_s", k).select(F.concat_ws("\u0001", "_t", "fold").alias("_key"), "_x", "_y").persist()
+    first = kept.filter("_x IS NOT NULL AND _y IS NOT NULL").first()
+    if first is None:
+        return []
+    d, t_count = len(first["_x"]), len(first["_y"])
+    dealt = folds.dealt(deviations(kept, ["_t", "_s"], ["_x", "_y"]), "_s", k, kept)
+    seen = moments.packed(dealt.select(F.concat_ws("\u0001", "_t", "fold").alias("key"), F.concat("_x", "_y").alias("z")), d + t_count).persist()
     try:
-        parts = {tuple(key.split("\u0001")): m for key, m in moments.collect(seen, "_x", "_y", "_key").items()}
+        if d + t_count > moments.MAX_COLUMNS or seen.select("key").distinct().count() * (d + t_count + 1) ** 2 * 8 > moments.MAX_BYTES:
+            raise ValueError(f"at most {moments.MAX_COLUMNS} columns, and {moments.MAX_BYTES} bytes of moments")
+        centre = np.zeros(d + t_count)
+        sums = moments.sums_of_blocks(seen, d + t_count, moments.products(centre))
+        parts = {tuple(key.split("\u0001")): moments.Moments(n, gram.reshape(d + t_count + 1, -1).copy(), centre, d) for key, (n, gram) in sums.items()}
         treatments, numbers = sorted({t for t, _ in parts}), sorted({f for _, f in parts})
         sets = {t: (t,) for t in treatments} | {"pooled": tuple(treatments)}
         fit = lambda own: [moments.ridge(own, p, per_weight=True, standardised=True) for p in penalties]
         summed = lambda names, without: {of: m for of, m in parts.items() if of[0] in names and of[1] not in without}
         fitted = {(name, out): fit(moments.total(found)) for name, names in sets.items() for f in numbers for g in numbers for out in [frozenset((f, g))] if (found := summed(names, out))}
-        t_count = len(next(iter(parts.values())).centre) - next(iter(parts.values())).dim
-        zero = (np.zeros((next(iter(parts.values())).dim, t_count)), np.zeros(t_count))
+        zero = np.zeros((d, t_count)), np.zeros(t_count)
         order = sorted(fitted, key=lambda s: (s[0], sorted(s[1])))
         models, places = {}, {}
         for t, f in parts:
@@ -93,7 +114,7 @@ def treatment_transfer(frames: DataFrame, treatment: str, session: str, x: str,
             places[t, f] = {s: 1 + i * len(penalties) for i, s in enumerate(use)}
             held = [zero, *(m for s in use for m in fitted[s])]
             models[f"{t}\u0001{f}"] = np.concatenate([b for b, _ in held], axis=1), np.concatenate([c for _, c in held])
-        found = {tuple(key.split("\u0001")): (n, e.reshape(-1, t_count)) for key, (n, e) in moments.errors(seen, "_x", "_y", models, "_key").items()}
+        found = {tuple(key.split("\u0001")): (n, e.reshape(-1, t_count)) for key, (n, e) in moments.errors_of_blocks(seen, d, t_count, models).items()}
     finally:
         seen.unpersist()
 

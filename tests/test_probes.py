@@ -43,6 +43,35 @@ def test_calibration_curve_as_done_plainly(spark):
     assert got[3, 0, "model + shrunk offset"][1] < got[3, 0, "model"][1]
 
 
+def test_deviations_of_a_hot_group_are_many_tasks(spark, monkeypatch):
+    """Vectors less their group's mean by place, null groups too; a group that most rows have is not one task, and a
+    group without numbers has no rows."""
+    rnd = np.random.default_rng(8)
+    rows = [(i, None if i % 50 == 1 else i % 5 if i % 10 == 0 else 9, rnd.normal(size=2 + (i % 5 == 0)).tolist(), rnd.normal(size=1).tolist()) for i in range(2000)]
+    rows += [(2000 + i, 77, [], [1.0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "i int, g int, x array<double>, y array<double>")
+    by = {}
+    for _, g, x, y in rows:
+        for c, v in (("x", x), ("y", y)):
+            for j, a in enumerate(v):
+                by.setdefault((g, c, j), []).append(a)
+    wide = {g: sum((g, "x", j) in by for j in range(3)) for _, g, _, _ in rows}
+    for conf, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(conf, value)
+    try:
+        for most in (probes.BROADCAST_NUMBERS, 0):
+            monkeypatch.setattr(probes, "BROADCAST_NUMBERS", most)
+            out = probes.deviations(df.repartition(4), ["g"], ["x", "y"]).withColumn("task", F.spark_partition_id()).collect()
+            got = {r["i"]: (r["x"], r["y"]) for r in out}
+            assert len(out) == len(got) == 2000 and max(sum(r["task"] == t for r in out) for t in range(4)) < 1200
+            for i, g, x, y in rows[:2000]:
+                want = [x[j] - np.mean(by[g, "x", j]) if j < len(x) else None for j in range(wide[g])], [y[0] - np.mean(by[g, "y", 0])]
+                assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for u, v in zip(got[i], want, strict=True) for a, b in zip(u, v, strict=True))
+    finally:
+        for conf in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(conf)
+
+
 def _treated(spark, other, n=400):
     rnd = np.random.default_rng(6)
     rows = []
